@@ -22,6 +22,8 @@ STATE_CONF = {
     # One bounded memory pool for all state partitions of an executor.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # Else each state partition reserves 4 MB of disk for its manifest before it holds a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .chat import chat_digests, format_chats
+from .embeddings import near_duplicates
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .ngram_join import jaccard_components
 from .scratch import Scratch
+from .suffix_dedup import remove_repeats
 from .token_io import token_digests, write_tokens
 
 
@@ -17,11 +20,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)[0]
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = "\\\\### Assistant: </turn> ok"
     extra = spark.sql(f"SELECT -7L AS conv_id, t.turn, t.role, '{mark}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
