@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,12 @@ FORMAT = {
 FILE_SCHEMA = "doc_id bigint, part int, offset bigint, n_tokens bigint, tokens array<int>"
 
 
+_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+_SIGN = np.array([32 < b < 127 and not chr(b).isalnum() and chr(b) != "'" for b in range(256)])
+
+
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of units: a run of ASCII white space with the run of other bytes after it.
+    """Starts of units: about a run of ASCII white space with the run of letters or signs after it.
 
     A byte-level BPE never merges across such a start. One that follows another kind of Unicode
     white space is no start, since the pattern takes both together.
@@ -46,50 +51,74 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     wide = ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | (
         (three >= 0xE1) & (three <= 0xE3) & ((two == 0x80) | (two == 0x81) | (two == 0x9A)))
     start &= ~wide
+    # After an ASCII letter the pattern also parts at ASCII signs other than the apostrophe.
+    start[1:] |= _SIGN[data[1:]] & _LETTER[data[:-1]]
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]
     start[begins] = True
     return np.flatnonzero(start)
 
 
 class RaggedCache:
-    """Id lists by 64-bit unit hash; emptied when it holds ``limit`` units."""
+    """Id lists by 64-bit unit hash, in sorted arrays; emptied when it would hold over ``limit`` units."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 2_000_000):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.slots = np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
-
-    def add(self, hashes: list[int], lists: list) -> None:
+        self.table = np.zeros(1 << 22, dtype=np.int32)
+        self.by_slot = np.zeros(1 << 14, dtype=np.uint64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots of the given hashes, -1 where there is none."""
+        slot = self.table[hashes >> np.uint64(42)]
+        there = self.by_slot[slot] == hashes
+        rest = np.flatnonzero(~there)  # unknown, or a later hash has its place in the table
+        slot = np.where(there, slot, -1)
+        if len(rest) and len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[rest]), len(self.hashes) - 1)
+            slot[rest] = np.where(self.hashes[at] == hashes[rest], self.slots[at], -1)
+        return slot
+
+    def add(self, hashes: np.ndarray, lists: list) -> np.ndarray:
+        """New sorted hashes with their lists; their slots."""
         lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.int32, int(lens.sum()))
-        n = len(self.slot)
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(lens.sum()))
+        n = len(self.hashes)
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.start) < n + len(lists) + 1:
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.by_slot = np.concatenate([self.by_slot, np.zeros_like(self.by_slot)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n + 1 : n + 1 + len(lists)] = self.used + np.cumsum(lens)
         self.used += len(ids)
-        self.slot.update(zip(hashes, range(n, n + len(lists))))
+        slots = np.arange(n, n + len(lists), dtype=np.int32)
+        self.by_slot[slots] = hashes
+        self.table[hashes >> np.uint64(42)] = slots
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.slots = np.insert(self.hashes, at, hashes), np.insert(self.slots, at, slots)
+        return slots
 
 
 def encode_units(cache: RaggedCache, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, ids per unit). ``encode`` turns a list of distinct byte strings into id lists."""
-    hashes, first, which = np.unique(PrefixHash(data).ranges(starts, ends), return_index=True, return_inverse=True)
-    if len(cache.slot) + len(hashes) > cache.limit:
-        cache.clear()
-    keys = hashes.tolist()
-    missing = [i for i, h in enumerate(keys) if h not in cache.slot]
-    if missing:
+    units = PrefixHash(data).ranges(starts, ends)
+    slot = cache.find(units)
+    missing = np.flatnonzero(slot < 0)
+    if len(missing):
+        hashes, first, which = np.unique(units[missing], return_index=True, return_inverse=True)
+        if len(cache.hashes) + len(hashes) > cache.limit and len(cache.hashes):
+            cache.clear()
+            return encode_units(cache, data, starts, ends, encode)
         raw = data.tobytes()
-        s, e = starts[first[missing]].tolist(), ends[first[missing]].tolist()
-        cache.add([keys[i] for i in missing], encode([raw[a:b] for a, b in zip(s, e)]))
-    slot = np.fromiter(map(cache.slot.__getitem__, keys), np.int64, len(keys))[which]
+        first = missing[first]
+        slot[missing] = cache.add(hashes, encode([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]))[which]
     begin = cache.start[slot]
     lens = cache.start[slot + 1] - begin
     shift = begin - (np.cumsum(lens) - lens)
@@ -106,6 +135,48 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, offsets
 
 
+def _unit_encoder(tokenizer):
+    """Encode distinct units with little overhead.
+
+    A space and Latin letters are a single piece to the pattern and go straight to the BPE model,
+    as byte characters. Other units that begin with ASCII white space and end with none are joined:
+    the tokenizer parts them again just there. Its tokens stand for known numbers of bytes, which
+    tell each unit's tokens.
+    """
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    hidden = [b for b in range(256) if b not in set(visible)]
+    names = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    model = tokenizer.model
+    size = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+    for token, i in tokenizer.get_vocab().items():  # one character of a token's name for each byte
+        size[i] = len(token)
+
+    def encode(raw: list[bytes]) -> list:
+        texts = [b.decode("utf-8") for b in raw]
+        out: list = [None] * len(raw)
+        for i, t in enumerate(texts):
+            if t[0] == " " and t[1:].isalpha() and max(t) < "\u0250":
+                out[i] = [x.id for x in model.tokenize(raw[i].decode("latin-1").translate(names))]
+        plain = [i for i, (b, t) in enumerate(zip(raw, texts)) if out[i] is None and b[0] <= 32 and not t[-1].isspace()]
+        for s in range(0, len(plain), 2000):
+            part = plain[s : s + 2000]
+            ids = np.array(tokenizer.encode_batch_fast(["".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.cumsum([len(raw[i]) for i in part])
+            cuts = np.searchsorted(np.cumsum(size[ids]), ends) + 1
+            ids = ids.tolist()
+            for i, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist()):
+                out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+    return encode
+
+
+#: Caches of this worker process by tokenizer file: later tasks start with what earlier ones met.
+_caches: dict[str, RaggedCache] = {}
+
+
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -115,8 +186,8 @@ def _encoder(path: str, end_id: int):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
-        encode = lambda raw: [e.ids for e in tokenizer.encode_batch_fast([b.decode("utf-8") for b in raw], add_special_tokens=False)]
-        cache, done = RaggedCache(), 0
+        encode = _unit_encoder(tokenizer)
+        cache, done = _caches.setdefault(path, RaggedCache()), 0
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
                 n = j - i
@@ -147,7 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-             .repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+             .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
              .select("doc_id", "text", F.spark_partition_id().alias("part")))
     dealt.mapInArrow(_encoder(tokenizer_path, end_id), FILE_SCHEMA).write.options(**FORMAT).parquet(path)
 
