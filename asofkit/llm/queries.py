@@ -9,11 +9,14 @@ from . import sql
 from .chat import chat_digests, format_chats
 from .embeddings import near_duplicates
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .scratch import Scratch
+from .sentencepieces import decode_pieces, encode_pieces
 from .suffix_dedup import remove_repeats
 from .token_io import token_digests, write_tokens
+from .toxicity import held_out, score_toxicity, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +55,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs.select("doc_id", "text"), train(docs, _table(spark, sf_dir, "labels")), score_col="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = "\\\\### Assistant: </turn> ok"
     extra = spark.sql(f"SELECT -7L AS conv_id, t.turn, t.role, '{mark}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
