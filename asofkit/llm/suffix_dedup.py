@@ -8,9 +8,11 @@ hash of some window. Which position a window chooses depends on its bytes alone,
 choose equal positions, and every window is judged through the suffix it chooses:
 
 1. first digit: the quarter at the position itself. Suffixes alone in their group leave;
-2. second digit: all bytes that a window through the position can hold. Suffixes that agree make
-   all their windows repeated and go on as one;
-3. last digit: the windows through the position, one for each distance of the position from the
+2. second digit: the quarter with half of the rest behind it, or with half of the rest ahead of it.
+   A window holds one of the two, so suffixes that are alone with both leave;
+3. third digit: all bytes that a window through the position can hold. Suffixes that agree make all
+   their windows repeated and go on as one;
+4. last digit: the windows through the position, one for each distance of the position from the
    window's start. Equal groups are exactly the repeated windows.
 
 Groups are compared by 64-bit hashes of their bytes.
@@ -76,11 +78,15 @@ def _find(length: int):
                 lo = np.maximum(offsets[doc], at - reach)
                 hi = np.minimum(offsets[doc + 1], at + length)
                 context = mix(hashes.ranges(lo, hi) + (at - lo).astype(np.uint64))
+                digit, half = length // 4, reach // 2
+                front = mix(hashes.ranges(np.maximum(at - half, 0), at + digit) + np.uint64(1)).view(np.int64)
+                back = hashes.ranges(at, np.minimum(at + digit + reach - half, len(data))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes.ranges(at, at + length // 4).view(np.int64)), pa.array(context.view(np.int64)),
+                    pa.array(hashes.ranges(at, at + digit).view(np.int64)), pa.array(context.view(np.int64)),
+                    pa.array(front, mask=at - half < lo), pa.array(back, mask=at + digit + reach - half > hi),
                     pa.array(ids[i + doc]), pa.array(keys[i + doc]), pa.array((at - offsets[doc]).astype(np.int32)),
                     pa.array((at - lo).astype(np.int32)), pa.array((hi - at).astype(np.int32)),
-                ], names=["digit", "context", "id", "tk", "pos", "ahead", "after"])
+                ], names=["digit", "context", "front", "back", "id", "tk", "pos", "ahead", "after"])
     return run
 
 
@@ -216,9 +222,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
     suffixes = scratch.save(texts.mapInArrow(
-        _find(length), "digit bigint, context bigint, id bigint, tk bigint, pos int, ahead int, after int"), "suffixes")
+        _find(length), "digit bigint, context bigint, front bigint, back bigint, id bigint, tk bigint, pos int, ahead int, after int"), "suffixes")
 
-    # Pass 1 and 2: groups of one leave; groups with one context are repeated as they are.
+    # Pass 1: groups of one leave; groups with one context are repeated as they are.
     groups = (suffixes.groupBy("digit").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
               .where("n > 1").select("digit", (F.col("lo") == F.col("hi")).alias("alike")))
     left = scratch.save(suffixes.join(groups, "digit"), "left")
@@ -229,8 +235,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         "id", "tk", (F.col("pos") - F.least(F.lit(reach), F.col("ahead"))).alias("start"),
         (F.col("pos") - F.greatest(F.lit(0), F.lit(length) - F.col("after")) + length).alias("end"))
 
-    # Pass 3 on one suffix of each context.
+    # Pass 2.
     mixed = left.where("not alike")
+    halves = scratch.save(mixed.select(F.explode(F.array("front", "back")).alias("half")).where("half is not null")
+                          .groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves")
+    keep = ["digit", "context", "id", "tk", "pos", "ahead", "after"]
+    fronts, backs = (halves.select(F.col("half").alias(c), F.lit(True).alias(f"{c}_again")) for c in ("front", "back"))
+    mixed = scratch.save(mixed.join(fronts, "front", "left").join(backs, "back", "left")
+                         .where("front_again or back_again").select(*keep), "mixed")
+    release(spark)
+
+    # Pass 3 and 4 on one suffix of each context.
     one = scratch.save(mixed.groupBy("digit", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tk", "pos")).alias("r"))
                        .select("digit", "context", "n", "r.*"), "one")
     sizes = one.groupBy("digit").agg(F.count(F.lit(1)).alias("m"))
@@ -255,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     parts = mixed.join(judged, ["digit", "context"]).select(
         "id", "tk", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("end"))
     ranges = scratch.save(whole.unionByName(parts).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "end")).alias("found")), "ranges")
-    scratch.drop("left", "judged")
+    scratch.drop("left", "mixed", "halves", "judged")
     release(spark)
     out = (texts.join(ranges.hint("shuffle_hash"), ["id", "tk"], "left").select("id", "text", "found")
            .mapInArrow(_remove, "id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"))
