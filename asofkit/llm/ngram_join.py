@@ -167,12 +167,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     grams = rows.select("id", "tk", "n", F.posexplode("grams").alias("place", "gram"))
     frequent = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     entries = scratch.save(grams.join(frequent, "gram"), "entries")
+    scratch.drop("rows")
     release(spark)
 
     # Round one: a row with the representative of its block, representatives with each other.
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     e = entries.withColumn("block", F.pmod(F.xxhash64("id", "tk"), F.lit(BLOCKS)))
-    heads = cut(e.groupBy("gram", "block").agg(F.min(F.struct("id", "tk", "n")).alias("h")))
+    heads = scratch.save(e.groupBy("gram", "block").agg(F.min(F.struct("id", "tk", "n")).alias("h")), "heads")
     tops = heads.groupBy("gram").agg(F.min("h").alias("t"))
     spokes = e.join(heads, ["gram", "block"]).select("id", "tk", "n", F.col("h.id").alias("i2"), F.col("h.tk").alias("t2"), F.col("h.n").alias("m"))
     hubs = heads.join(tops, "gram").select(F.col("h.id").alias("id"), F.col("h.tk").alias("tk"), F.col("h.n").alias("n"),
@@ -183,6 +184,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     keys = [F.col("x.id").alias("a"), F.col("x.tk").alias("ta"), F.col("y.id").alias("b"), F.col("y.tk").alias("tb")]
     join = _Join(texts, scratch, k, percent)
     tried = cut(one.select(*ordered).select(*keys).distinct())
+    scratch.drop("heads")
+    release(spark)
     first = join.links(tried, "links1")
     groups = connected_components(first)
 
@@ -201,7 +204,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     if not two.isEmpty():
         links = links.unionByName(join.links(two, "links2").select("a", "b"))
         groups = connected_components(links)
-    scratch.drop("entries", "torn", "rows")
+    scratch.drop("entries", "torn")
     shared.unpersist()
 
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("m"), "rep", F.coalesce("component", "rep").alias("component"))

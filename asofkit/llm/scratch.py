@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +74,4 @@ def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner remove shuffle files of plans that are no longer referenced."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # executors delete the files in the background
