@@ -130,8 +130,8 @@ def blind_review(answers: DataFrame, key: DataFrame, labels: list[str], wanted:
     """Problems and agreement of review answers (item, label) with the key (item, label)."""
     a = answers.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label"))
     j = a.join(key.select("item", F.col("label").alias("truth")), "item", "left")
-    g = j.agg(F.count(F.lit(1)).alias("items"), F.count_if("n > 1").alias("duplicates"), F.count_if(~F.col("label").isin(labels)).alias("invalid"),
-              F.count_if("truth is null").alias("without_key"), F.count_if(F.col("label") == F.col("truth")).alias("agreed"))
+    g = j.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("n") > 1).alias("duplicates"), F.count_if(~F.col("label").isin(labels)).alias("invalid"),
+              F.count_if(F.col("truth").isNull()).alias("without_key"), F.count_if(F.col("label") == F.col("truth")).alias("agreed"))
     share = F.coalesce(F.try_divide(F.col("agreed"), F.col("items")), F.lit(0.0))
     clean = (F.col("items") == wanted) & (F.col("duplicates") + F.col("invalid") + F.col("without_key") == 0)
     return g.withColumn("agreement", share).withColumn("passed", clean & (share >= threshold))

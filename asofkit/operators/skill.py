@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .windows import equal_frequency_bins
 
@@ -76,7 +77,7 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return mid - half, mid + half
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_p(hits: pd.Series, n: pd.Series) -> pd.Series:
     """One-sided exact P(X >= hits) for n fair draws, summed in logs; for aggregated rows."""
     def tail(h, m):
@@ -88,7 +89,7 @@ def binomial_p(hits: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([tail(h, m) for h, m in zip(hits, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_normal_p(t: pd.Series) -> pd.Series:
     return t.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
 

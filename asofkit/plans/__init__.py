@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import market
+    from . import market, research
 
-    return [market]
+    return [market, research]
 
 
 def queries() -> dict:

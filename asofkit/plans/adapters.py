@@ -78,7 +78,6 @@ RUNS = """runs AS (SELECT user_id % 20 AS source, event_id AS run_id, ts AS star
 
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
-    base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("post_id"), "text", "lang", "source", F.col("n_chars"),
         F.expr("timestampadd(MINUTE, cast(doc_id as int), timestamp_ntz'2024-01-01 00:00:00')").alias("published_at"),
@@ -97,8 +96,8 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit("quality").alias("field"), F.col("quality").cast("string").alias("gold"), F.col("quality").cast("string").alias("a"),
                  F.when(F.col("n_chars") % 5 == 0, "").otherwise((F.col("n_chars") % 2).cast("string")).alias("b"),
                  F.when(F.col("doc_id") % 4 == 0, F.col("lang")).otherwise(F.col("quality").cast("string")).alias("c")),
-        F.struct(F.lit("lang"), F.col("lang"), F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.col("lang")),
-                 F.when(F.col("n_chars") % 3 == 0, "en").otherwise(F.col("lang")), F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.lit("en"))))
+        F.struct(F.lit("lang").alias("field"), F.col("lang").alias("gold"), F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.col("lang")).alias("a"),
+                 F.when(F.col("n_chars") % 3 == 0, "en").otherwise(F.col("lang")).alias("b"), F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.lit("en")).alias("c")))
     c = j.select("doc_id", "source", F.explode(rows).alias("x")).select(F.col("doc_id").alias("post_id"), "source", "x.*")
     return c.select("post_id", "source", "field", "gold", *[v(F.col(x)).alias(x) for x in "abc"])
 
