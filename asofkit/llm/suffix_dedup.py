@@ -112,9 +112,10 @@ def _cut_contexts(length: int):
     return run
 
 
-def _windows(ahead: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, there): a row per context and a column per start, from ``reach`` bytes ahead to none."""
+def _windows(ahead: np.ndarray, contexts: list[bytes], length: int, start: np.ndarray | None = None, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, there): a row per context and a column per start; 0 lies ``reach`` bytes ahead of the position."""
     reach = length - length // 4
+    start, width = (np.arange(reach + 1), length) if start is None else (start, width)
     size = np.fromiter(map(len, contexts), np.int64, len(contexts))
     table = np.zeros((len(contexts), reach + length), dtype=np.uint8)
     row = np.repeat(np.arange(len(contexts)), size)
@@ -122,10 +123,9 @@ def _windows(ahead: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.
     table[row, place] = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     sums = np.zeros((len(contexts), reach + length + 1), dtype=np.uint64)
     np.cumsum(_BYTE_VALUES[table] * _power("up", reach + length), axis=1, out=sums[:, 1:])
-    h = mix((sums[:, length:] - sums[:, : reach + 1]) * _power("down", reach + 1))
-    start = np.arange(reach + 1)
+    h = mix((sums[:, start + width] - sums[:, start]) * _power("down", reach + length)[start])
     first, last = (reach - ahead)[:, None], (reach - ahead + size)[:, None]
-    return h, (start >= first) & (start + length <= last)
+    return h, (start >= first) & (start + width <= last)
 
 
 def _repeated(length: int):
@@ -167,16 +167,43 @@ def _repeated(length: int):
     return run
 
 
+#: Starts whose windows are first judged by the bytes they have in common.
+TOGETHER = 20
+
+
+def _cores(length: int):
+    """For groups that are too large for a task: what runs of neighbouring windows have in common."""
+    reach = length - length // 4
+    wide = min(TOGETHER, length // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 500):
+                part = batch.slice(s, 500)
+                # A core starts where the run's last window does and ends where its first one ends.
+                start = np.arange(reach // wide + 1) * wide + wide - 1
+                h, there = _windows(part.column("ahead").to_numpy().astype(np.int64), part.column("bytes").to_pylist(), length, start, length - wide + 1)
+                row, run_ = np.nonzero(there)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("digit").take(pa.array(row)), part.column("context").take(pa.array(row)), part.column("n").take(pa.array(row)),
+                    pa.array(run_.astype(np.int32)), pa.array(h[row, run_].view(np.int64))], names=["digit", "context", "n", "run", "core"])
+    return run
+
+
 def _explode(length: int):
-    """Every window of a context as a row, for groups that are too large for a task."""
+    """Every window of the listed runs as a row."""
     reach = length - length // 4
+    wide = min(TOGETHER, length // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 part = batch.slice(s, 500)
                 h, there = _windows(part.column("ahead").to_numpy().astype(np.int64), part.column("bytes").to_pylist(), length)
-                row, start = np.nonzero(there)
+                want = np.zeros((part.num_rows, reach // wide + 2), dtype=bool)
+                for i, runs in enumerate(part.column("runs").to_pylist()):
+                    want[i, runs or ()] = True
+                row, start = np.nonzero(there & want[:, np.arange(reach + 1) // wide])
                 yield pa.RecordBatch.from_arrays([
                     part.column("digit").take(pa.array(row)), part.column("context").take(pa.array(row)), part.column("n").take(pa.array(row)),
                     pa.array((reach - start).astype(np.int32)), pa.array(h[row, start].view(np.int64))],
@@ -260,13 +287,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     cold = contexts.join(hot, "digit", "left_anti")
     judged = cold.repartition(n, "digit").sortWithinPartitions("digit").mapInArrow(_repeated(length), found)
     if not hot.isEmpty():
-        rows = scratch.save(contexts.join(hot, "digit", "left_semi").mapInArrow(
+        large = contexts.join(hot, "digit", "left_semi")
+        cores = scratch.save(large.mapInArrow(_cores(length), "digit bigint, context bigint, n bigint, run int, core bigint"), "cores")
+        alike = cores.groupBy("core", "run").agg((F.sum("n") > 1).alias("again")).where("again").select("core", "run")
+        alive = cores.join(alike, ["core", "run"]).groupBy("digit", "context").agg(F.collect_set("run").alias("runs"))
+        rows = scratch.save(large.join(alive, ["digit", "context"]).select("digit", "context", "n", "ahead", "bytes", "runs").mapInArrow(
             _explode(length), "digit bigint, context bigint, n bigint, before int, window bigint"), "windows")
         often = rows.groupBy("window", "before").agg((F.sum("n") > 1).alias("again")).where("again").select("window", "before")
         judged = judged.unionByName(rows.join(often, ["window", "before"]).groupBy("digit", "context").agg(
             F.max("before").cast("int").alias("most"), F.min("before").cast("int").alias("least")))
     judged = scratch.save(judged.dropDuplicates(["digit", "context"]), "judged")
-    scratch.drop("contexts", "windows", "one")
+    scratch.drop("contexts", "windows", "cores", "one")
     parts = mixed.join(judged, ["digit", "context"]).select(
         "id", "tk", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("end"))
     ranges = scratch.save(whole.unionByName(parts).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "end")).alias("found")), "ranges")
