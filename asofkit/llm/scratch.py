@@ -44,10 +44,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes of an Arrow batch, so that long texts do not fill a worker; a set value stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")  # the default has a unit
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
+
+
 class Scratch:
     """Parquet tables of one operator call, for intermediates too large for ``cut``."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/asofkit-{name}-{uuid.uuid4().hex}"
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textbytes import LOWER, PrefixHash, chunks, mix, word_bounds
 
 FEATURES = 1 << 18
@@ -139,18 +140,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     return fit_nnpu(sets[1], sets[0], min(max(share or 0.0, 1e-3), 0.999), settings)
 
 
-def _scores(weights):
+def _scores(weights, at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch in batches:
-            out = []
-            for i, j, data, offsets in chunks(batch.column("__text")):
+            for i, j, data, offsets in chunks(batch.column(at)):
                 f, doc = word_features(data, offsets)
                 z = np.bincount(doc, weights=w[f], minlength=j - i) + float(w[-1])
-                out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-            rest = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], pa.array(np.concatenate(out) if out else [], pa.float64())],
-                                             names=[*rest, "__score"])
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*part.schema.names, "__score"])
     return run
 
 
@@ -161,8 +159,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
     the score of the prior; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB, fixed
-    names = [c for c in docs.columns if c != score_col]
-    cols = [F.col(f"`{c}`") for c in names]
-    source = docs.select(*cols, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    small_batches(docs.sparkSession)
+    cols = [F.col(f"`{c}`") for c in docs.columns if c != score_col]
     schema = docs.select(*cols, F.lit(0.0).alias("__score")).schema
-    return source.mapInArrow(_scores(shared), schema).withColumnRenamed("__score", score_col)
+    return docs.select(*cols).mapInArrow(_scores(shared, text_col), schema).withColumnRenamed("__score", score_col)
