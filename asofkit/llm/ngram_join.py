@@ -3,8 +3,8 @@
 The product is accumulated only where the sizes allow a link. With the columns of every row in one
 common order, two rows that reach the threshold share a column among the first few of each (how
 many follows from the row's size), and their sizes and places bound the overlap. Columns are
-ordered from rare to frequent by a count sketch over all documents, so frequent n-grams do not
-meet. Rows with equal sets count as one row.
+ordered from rare to frequent by a count sketch over all rows, so frequent n-grams do not meet. Rows
+with equal sets are one row: copies neither meet nor make the n-grams of a text look frequent.
 
 Linking needs no pair inside a group that is already connected. Round one compares each row with
 one representative of the column's block and the representatives with each other, which joins the
@@ -38,14 +38,11 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _sets(k: int):
-    """Rows (id, tk, n, d1, d2) of each document, and the task's share of the sketch in blocks."""
+    """Rows (id, tk, n, d1, d2): size and two digests of each document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, dtype=np.int64)
-        names = ["id", "tk", "n", "d1", "d2", "block", "counts"]
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
                 h, doc = shingle_sets(data, offsets, k)
-                sketch += np.bincount(_slot(h), minlength=SKETCH)
                 n = np.bincount(doc, minlength=j - i)
                 digests = []
                 for salt in (0x1234567, 0x89ABCDE):  # sums over the set, so order does not matter
@@ -53,14 +50,21 @@ def _sets(k: int):
                     np.cumsum(mix(h ^ np.uint64(salt)), out=total[1:])
                     ends = np.cumsum(n)
                     digests.append(pa.array((total[ends] - total[ends - n]).view(np.int64)))
-                none = pa.nulls(j - i)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("tk").slice(i, j - i), pa.array(n.astype(np.int32)),
-                                                  *digests, none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+                                                  *digests], names=["id", "tk", "n", "d1", "d2"])
+    return run
+
+
+def _sketch(k: int):
+    """The task's share of the count sketch, in blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(SKETCH, dtype=np.int64)
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column("text")):
+                sketch += np.bincount(_slot(shingle_sets(data, offsets, k)[0]), minlength=SKETCH)
         held = np.flatnonzero(sketch.reshape(-1, SKETCH_BLOCK).any(axis=1))
-        none = pa.nulls(len(held))
         counts = [np.minimum(sketch[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK], 2**31 - 1).astype("<i4").tobytes() for b in held]
-        yield pa.RecordBatch.from_arrays([*[none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())],
-                                          pa.array(held.astype(np.int32)), pa.array(counts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts, pa.binary())], names=["block", "counts"])
     return run
 
 
@@ -148,21 +152,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     scratch = Scratch(spark, "ngram-join")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
-    both = scratch.save(texts.mapInArrow(_sets(k), "id bigint, tk bigint, n int, d1 bigint, d2 bigint, block int, counts binary"), "sets")
-    sketch = np.zeros(SKETCH, dtype=np.int32)
-    # At most SKETCH / SKETCH_BLOCK rows of 64 KB, however many documents there are.
-    for r in both.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_add_blocks, "block int, counts binary").collect():
-        sketch[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, "<i4")
-    shared = spark.sparkContext.broadcast(sketch)
-    sets = both.where("block is null").select("id", "tk", "n", "d1", "d2")
+    sets = scratch.save(texts.mapInArrow(_sets(k), "id bigint, tk bigint, n int, d1 bigint, d2 bigint"), "sets")
 
     # Equal sets are one row of the matrix, under its smallest identifier.
     classes = scratch.save(sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "tk")).alias("r"))
                            .select("d1", "d2", "n", F.col("r.id").alias("rep"), F.col("r.tk").alias("rtk")), "classes")
-    rows = scratch.save(
-        texts.mapInArrow(_prefixes(k, percent, shared), "id bigint, tk bigint, n int, grams array<bigint>")
-        .join(classes.select(F.col("rep").alias("id"), F.col("rtk").alias("tk")), ["id", "tk"], "left_semi")
-        .dropDuplicates(["id", "tk"]), "rows")
+    one = classes.select(F.col("rep").alias("id"), F.col("rtk").alias("tk"))
+    texts = scratch.save(texts.join(one.hint("shuffle_hash"), ["id", "tk"], "left_semi"), "texts", compression="zstd")
+    release(spark)
+    sketch = np.zeros(SKETCH, dtype=np.int32)
+    # At most SKETCH / SKETCH_BLOCK rows of 64 KB, however many documents there are.
+    for r in texts.mapInArrow(_sketch(k), "block int, counts binary").groupBy("block").applyInPandas(_add_blocks, "block int, counts binary").collect():
+        sketch[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, "<i4")
+    shared = spark.sparkContext.broadcast(sketch)
+    rows = scratch.save(texts.mapInArrow(_prefixes(k, percent, shared), "id bigint, tk bigint, n int, grams array<bigint>")
+                        .dropDuplicates(["id", "tk"]), "rows")
     release(spark)
     grams = rows.select("id", "tk", "n", F.posexplode("grams").alias("place", "gram"))
     frequent = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
@@ -204,7 +208,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     if not two.isEmpty():
         links = links.unionByName(join.links(two, "links2").select("a", "b"))
         groups = connected_components(links)
-    scratch.drop("entries", "torn")
+    scratch.drop("entries", "torn", "texts")
     shared.unpersist()
 
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("m"), "rep", F.coalesce("component", "rep").alias("component"))
