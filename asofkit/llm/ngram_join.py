@@ -9,7 +9,10 @@ with equal sets are one row: copies neither meet nor make the n-grams of a text
 Linking needs no pair inside a group that is already connected. Round one compares each row with
 one representative of the column's block and the representatives with each other, which joins the
 groups of near copies; round two compares what shares a column across different groups, and
-nothing is left out. Overlaps of the pairs that remain are counted over the whole sets.
+nothing is left out: blocks of rows of one column meet in a task, which discards pairs by bounds on
+their overlap - sizes, places, and a parity signature of each row, in which every n-gram flips one
+bit, so two sets differ in at least as many n-grams as their signatures in bits. Overlaps of the
+pairs that remain are counted over the whole sets.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .textbytes import chunks, mix, shingle_sets
 SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 14
 #: Blocks into which the rows of one column are dealt for round one.
 BLOCKS = 32
+#: Rows of a column that meet in one task of round two; bits of a row's signature.
+TILE, SIGNATURE = 1024, 1024
 _NULL_ID = -(2**63)
 
 
@@ -90,9 +95,13 @@ def _prefixes(k: int, percent: int, shared):
                 length = np.where(n > 0, _prefix_length(n, percent), 0)
                 first = h[place < np.repeat(length, n)]
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                flips = np.bincount(np.repeat(np.arange(j - i), n) * SIGNATURE + (mix(h ^ np.uint64(0xABCDEF)) % np.uint64(SIGNATURE)).astype(np.int64),
+                                    minlength=(j - i) * SIGNATURE).reshape(j - i, SIGNATURE) & 1
+                packed = np.packbits(flips.astype(np.uint8), axis=1)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(i, j - i), batch.column("tk").slice(i, j - i), pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(first.view(np.int64)))], names=["id", "tk", "n", "grams"])
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(first.view(np.int64))), pa.array([r.tobytes() for r in packed], pa.binary())],
+                    names=["id", "tk", "n", "grams", "signature"])
     return run
 
 
@@ -120,6 +129,57 @@ def _overlaps(k: int, percent: int):
     return run
 
 
+def _survivors(percent: int):
+    """Rows sorted by column and tile -> pairs of different groups that no bound discards."""
+    names = ["gram", "x", "y", "half", "id", "tk", "n", "place", "g", "signature"]
+
+    def pairs(rows: dict) -> pa.RecordBatch | None:
+        n, place, g, half = (np.array(rows[c]) for c in ("n", "place", "g", "half"))
+        sig = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint64).reshape(len(n), -1)
+        ids, keys = np.array(rows["id"]), np.array(rows["tk"])
+        same_tile = rows["x"][0] == rows["y"][0]
+        out = []
+        for s in range(0, len(n), 256):
+            i = np.arange(s, min(s + 256, len(n)))
+            if not same_tile:
+                i = i[half[i] == 0]
+            if not len(i):
+                continue
+            total = n[i, None] + n[None, :]
+            left = np.minimum((n - place)[i, None], (n - place)[None, :])
+            fine = (g[i, None] != g[None, :]) & ((100 + percent) * left >= percent * total)
+            fine &= np.minimum(n[i, None], n[None, :]) * 100 >= np.maximum(n[i, None], n[None, :]) * percent
+            fine &= (np.arange(len(n))[None, :] > i[:, None]) if same_tile else (half == 1)[None, :]
+            a, b = np.nonzero(fine)
+            a = i[a]
+            apart = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1)
+            near = (100 + percent) * apart.astype(np.int64) <= (100 - percent) * (n[a] + n[b])
+            out.append((a[near], b[near]))
+        if not out:
+            return None
+        a, b = (np.concatenate(z) for z in zip(*out))
+        swap = (ids[a] > ids[b]) | ((ids[a] == ids[b]) & (keys[a] > keys[b]))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(keys[a]), pa.array(ids[b]), pa.array(keys[b])], names=["a", "ta", "b", "tb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in names}
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "x", "y")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                if held["gram"] and (held["gram"][-1], held["x"][-1], held["y"][-1]) != tuple(key[s].tolist()):
+                    if len(held["gram"]) > 1 and (found := pairs(held)) is not None:
+                        yield found
+                    held = {c: [] for c in names}
+                part = batch.slice(s, e - s)
+                for c in names:
+                    held[c] += part.column(c).to_pylist()
+        if len(held["gram"]) > 1 and (found := pairs(held)) is not None:
+            yield found
+    return run
+
+
 class _Join:
     def __init__(self, texts: DataFrame, scratch: Scratch, k: int, percent: int):
         self.texts, self.scratch, self.k, self.percent = texts, scratch, k, percent
@@ -165,12 +225,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     for r in texts.mapInArrow(_sketch(k), "block int, counts binary").groupBy("block").applyInPandas(_add_blocks, "block int, counts binary").collect():
         sketch[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, "<i4")
     shared = spark.sparkContext.broadcast(sketch)
-    rows = scratch.save(texts.mapInArrow(_prefixes(k, percent, shared), "id bigint, tk bigint, n int, grams array<bigint>")
+    rows = scratch.save(texts.mapInArrow(_prefixes(k, percent, shared), "id bigint, tk bigint, n int, grams array<bigint>, signature binary")
                         .dropDuplicates(["id", "tk"]), "rows")
     release(spark)
     grams = rows.select("id", "tk", "n", F.posexplode("grams").alias("place", "gram"))
     frequent = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     entries = scratch.save(grams.join(frequent, "gram"), "entries")
+    signatures = scratch.save(rows.select("id", "tk", "signature"), "signatures")
     scratch.drop("rows")
     release(spark)
 
@@ -197,18 +258,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     e = entries.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
     torn = e.groupBy("gram").agg((F.min("g") != F.max("g")).alias("torn")).where("torn").select("gram")
     e = scratch.save(e.join(torn, "gram"), "torn")
-    other = e.select("gram", *[F.col(c).alias(f"{c}_") for c in ("id", "tk", "n", "place", "g")])
-    # From their first common column on, both rows must have enough left to reach the threshold.
-    enough = (F.lit(100 + percent) * (F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_"))) >= F.lit(percent) * (F.col("n") + F.col("n_")))
-    two = (e.join(other, "gram").where("(id < id_ or (id = id_ and tk < tk_)) and g <> g_")
-           .where(F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent).where(enough))
-    two = two.select(F.col("id").alias("a"), F.col("tk").alias("ta"), F.col("id_").alias("b"), F.col("tk_").alias("tb")).distinct()
+    # Large columns are cut into tiles by hash; a task gets two tiles of one column, or one.
+    m = F.ceil(F.col("m") / TILE)
+    e = e.join(e.groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "gram").join(signatures, ["id", "tk"]).withColumn("tile", F.pmod(F.xxhash64("id", "tk"), m))
+    e = e.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))).select(
+        "gram", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"), (F.col("tile") > F.col("o")).cast("int").alias("half"), "id", "tk", "n", "place", "g", "signature")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    two = (e.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
+           .mapInArrow(_survivors(percent), "a bigint, ta bigint, b bigint, tb bigint").distinct())
     two = cut(two.join(tried, ["a", "ta", "b", "tb"], "left_anti"))
     links = first.select("a", "b")
     if not two.isEmpty():
         links = links.unionByName(join.links(two, "links2").select("a", "b"))
         groups = connected_components(links)
-    scratch.drop("entries", "torn", "texts")
+    scratch.drop("entries", "torn", "texts", "signatures")
     shared.unpersist()
 
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("m"), "rep", F.coalesce("component", "rep").alias("component"))
