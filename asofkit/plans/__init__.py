@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import market, research
+    from . import ingest, market, research
 
-    return [market, research]
+    return [market, research, ingest]
 
 
 def queries() -> dict:

@@ -1,0 +1,187 @@
+"""Queries over payload tables that Spark derives from the given tables, extraction, models and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import extract, health, labels, signal, skill, store, windows
+from ..sources import payloads
+from ..streaming import streams
+from . import adapters as a
+
+QUERIES, ORACLE = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+    return add
+
+
+r6 = lambda c: F.round(c, 6).alias(c)
+T = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+def _chart(spark, d):
+    """Each instrument's day of hourly bars as a chart response; some bars are broken."""
+    b = a.bars_1h(spark, d).withColumn("epoch", F.unix_seconds(F.col("open_time").cast("timestamp")))
+    b = b.withColumn("high", F.when(F.hour("open_time") % 7 == 0, F.col("low") - 1).otherwise(F.col("high"))).withColumn("open", F.when(F.hour("open_time") % 5 == 0, F.lit(None)).otherwise(F.col("open")))
+    g = b.groupBy("instrument", F.to_date("open_time").alias("day")).agg(F.array_sort(F.collect_list(F.struct("epoch", "open", "high", "low", "close", "volume"))).alias("x"))
+    quote = F.struct(*[F.col(f"x.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    chart = F.struct(F.array(F.struct(F.col("x.epoch").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))).alias("result"))
+    return g.select(F.lit("chart").alias("source"), "instrument", F.to_json(F.struct(chart.alias("chart")), {"ignoreNullFields": "false"}).alias("body"))
+
+
+_BROKEN = f"""{a.BARS}, x AS (SELECT instrument, open_time, close_time, CASE WHEN hour(open_time) % 5 = 0 THEN NULL ELSE open END AS open, CASE WHEN hour(open_time) % 7 = 0 THEN low - 1 ELSE high END AS high, low, close, volume FROM bars)"""
+
+
+@query(f"WITH {_BROKEN} SELECT instrument, {T('open_time')} AS open_time, open, high, low, close, CAST(volume AS DOUBLE) AS volume FROM x WHERE open IS NOT NULL AND high >= greatest(open, close) AND low <= least(open, close) AND least(open, high, low, close) > 0 AND close_time <= TIMESTAMP '2024-01-20'")
+def chart_payload_bars(spark, d):
+    bars, _ = payloads.chart_bars(_chart(spark, d), 3600, F.expr("timestamp'2024-01-20 00:00:00'"))
+    return bars.select("instrument", a.stamp("open_time").alias("open_time"), "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"))
+
+
+@query(f"""WITH {_BROKEN} SELECT CASE WHEN open IS NULL THEN 'missing_price' WHEN least(open, high, low, close) <= 0 THEN 'not_positive' WHEN high < greatest(open, close) OR low > least(open, close) THEN 'bounds' ELSE 'unclosed' END AS why, count(*) AS n
+FROM x WHERE NOT coalesce(open IS NOT NULL AND high >= greatest(open, close) AND low <= least(open, close) AND least(open, high, low, close) > 0 AND close_time <= TIMESTAMP '2024-01-20', false) GROUP BY ALL""")
+def chart_payload_drops(spark, d):
+    return payloads.chart_bars(_chart(spark, d), 3600, F.expr("timestamp'2024-01-20 00:00:00'"))[1]
+
+
+@query(f"WITH {_BROKEN} SELECT instrument, count(*) AS slots, count(*) FILTER (WHERE open IS NULL) AS without_price FROM x GROUP BY instrument")
+def chart_payload_slots(spark, d):
+    return payloads.chart_slots(_chart(spark, d)).groupBy("instrument").agg(F.count(F.lit(1)).alias("slots"), F.count_if(F.col("open").isNull()).alias("without_price"))
+
+
+@query(f"""WITH o AS (SELECT o_orderpriority AS code, CAST(date_trunc('month', o_orderdate) AS DATE) AS day, CAST(o_orderdate AS DATE) + 1 AS rel, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) + 6 END AS ends,
+  CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice, 2) END AS v FROM orders) SELECT code AS event_code, CAST(day AS VARCHAR) AS event_at, CAST(rel AS VARCHAR) AS released_at, min(v) AS value FROM o WHERE v IS NOT NULL AND day <= DATE '1997-06-01' GROUP BY ALL""")
+def macro_payload_releases(spark, d):
+    o = a.table(spark, d, "orders")
+    s = F.struct(F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM-dd").alias("date"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("realtime_start"),
+                 F.when(F.col("o_orderkey") % 7 == 0, F.date_format(F.date_add("o_orderdate", 5), "yyyy-MM-dd")).otherwise("9999-12-31").alias("realtime_end"),
+                 F.when(F.col("o_orderkey") % 5 == 0, ".").otherwise(F.round("o_totalprice", 2).cast("decimal(20,2)").cast("string")).alias("value"))
+    p = o.groupBy(F.col("o_orderpriority").alias("series"), F.year("o_orderdate").alias("y")).agg(F.collect_list(s).alias("observations"))
+    p = p.select(F.lit("m").alias("source"), "series", F.to_json(F.struct("observations")).alias("body"))
+    m = payloads.macro_observations(p, F.expr("timestamp'1997-06-01 00:00:00'"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return m.select("event_code", day("event_at"), day("released_at"), F.col("actual_value").cast("double").alias("value"))
+
+
+@query(f"WITH {a.POSTS} SELECT DISTINCT source, CAST(post_id AS VARCHAR) AS source_record_id, 'T ' || lang AS title, {T('published_at')} AS published_at FROM posts")
+def feed_payload_entries(spark, d):
+    p = a.posts(spark, d)
+    item = F.concat(F.lit("<item><guid>"), F.col("post_id").cast("string"), F.lit("</guid><title>T &lt;b&gt;"), "lang", F.lit("&lt;/b&gt;</title><pubDate>"),
+                    F.date_format("published_at", "d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
+    g = p.groupBy("source", F.floor(F.col("post_id") / 100).alias("b")).agg(F.array_join(F.collect_list(item), "").alias("items"))
+    feeds = g.select("source", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("body"))
+    return payloads.feed_entries(feeds).select("source", "source_record_id", "title", a.stamp("published_at").alias("published_at"))
+
+
+@query("""SELECT doc_id AS row_id, 'quality' AS field, CAST(quality AS VARCHAR) AS gold, CASE WHEN quality IS NULL THEN 'missing label' END AS skip_reason FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR), CASE WHEN toxic IS NULL THEN 'missing label' END FROM documents LEFT JOIN labels USING (doc_id)""")
+def benchmark_cells(spark, d):
+    rows = a.table(spark, d, "documents").join(a.table(spark, d, "labels"), "doc_id", "left").withColumnRenamed("doc_id", "row_id")
+    return payloads.benchmark_cells(rows, "text", {"quality": "quality", "toxic": "toxic"}).select("row_id", "field", "gold", "skip_reason")
+
+
+_POST_TEXT = "(['gold long near 2350, stop 2330, target 2400', '黄金看空，目标2300', '观望，等信号', 'if cpi beats then buy', 'he said gold is bearish', 'nothing here'])[doc_id % 6 + 1]"
+
+
+def _opinion_posts(spark, d):
+    t = ["gold long near 2350, stop 2330, target 2400", "黄金看空，目标2300", "观望，等信号", "if cpi beats then buy", "he said gold is bearish", "nothing here"]
+    pick = F.element_at(F.array(*[F.lit(x) for x in t]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return a.table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), F.when(F.col("doc_id") % 50 != 0, pick).alias("text"))
+
+
+@query(f"""WITH p AS (SELECT doc_id AS post_id, CASE WHEN doc_id % 50 <> 0 THEN {_POST_TEXT} END AS text FROM documents)
+SELECT post_id, CASE doc_id_ WHEN 0 THEN 'LONG' WHEN 1 THEN 'SHORT' WHEN 2 THEN 'FLAT' WHEN 3 THEN 'LONG' WHEN 4 THEN 'SHORT' END AS stance, CASE WHEN doc_id_ = 3 THEN 'MACRO' WHEN doc_id_ >= 0 THEN 'UNKNOWN' END AS info
+FROM (SELECT post_id, CASE WHEN text IS NOT NULL THEN post_id % 6 END AS doc_id_ FROM p) WHERE doc_id_ IS NOT NULL""")
+def opinion_columns(spark, d):
+    p = _opinion_posts(spark, d).where("text is not null")
+    return p.select("post_id", extract.stance_column(F.col("text")).alias("stance"), extract.information_type_column(F.col("text")).alias("info"))
+
+
+@query()
+def extracted_opinions(spark, d):
+    return extract.extract_opinions(_opinion_posts(spark, d))[1]
+
+
+@query("""SELECT CASE WHEN doc_id % 50 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status, CASE WHEN doc_id % 50 = 0 OR doc_id % 6 = 5 THEN 0 WHEN doc_id % 6 = 2 THEN 2 ELSE 1 END AS n_drafts, count(*) AS n FROM documents GROUP BY ALL""")
+def extraction_status(spark, d):
+    return extract.extract_opinions(_opinion_posts(spark, d))[0].groupBy("status", "n_drafts").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {a.POSTS} SELECT post_id FROM posts WHERE post_id % 3 <> 0")
+def pending_posts(spark, d):
+    p = a.posts(spark, d)
+    done = p.where("post_id % 3 = 0").select("post_id", F.lit("v2").alias("parser_version")).unionByName(p.select("post_id", F.lit("v1").alias("parser_version")))
+    return extract.pending_posts(p, done, "v2").select("post_id")
+
+
+@query()
+def technical_signal(spark, d):
+    """Logistic regression on window features, judged on the untouched last fifth of each instrument."""
+    f = windows.return_features(a.bars_1h(spark, d), ["instrument"])
+    f = labels.simple_label(f, ["instrument"], 4).where("label is not null and volatility is not null")
+    parts = windows.time_split(f, ["instrument"], [F.col("open_time")], 24).withColumn("hit", F.col("label") > 0)
+    test = signal.fit_signal(parts, ["log_return", "momentum", "mean_gap", "volatility", "breakout"], "hit")
+    return skill.signal_metrics(test, ["instrument"], "p", "hit", "p", "label")
+
+
+@query(f"""WITH {a.BARS}, g AS (SELECT instrument, time_bucket(INTERVAL 4 HOUR, open_time) AS b, arg_min(open, open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time) AS close, count(*) AS n
+  FROM bars GROUP BY ALL), last AS (SELECT max(open_time) AS m FROM bars) SELECT instrument, {T('b')} AS open_time, open, high, low, close FROM g, last WHERE n = 4 AND b + INTERVAL 4 HOUR <= last.m - INTERVAL 1 HOUR""")
+def streamed_bars_4h(spark, d):
+    """The streaming bars over hourly bars that arrive as files; what the watermark has closed."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="asofkit-stream-")
+    path = f"{root.rstrip('/')}/bars-{uuid.uuid4().hex}"
+    b = a.bars_1h(spark, d).select("instrument", "open_time", "open", "high", "low", "close", "volume")
+    b.write.parquet(f"{path}/in")
+    stream = streams.complete_bars_stream(spark.readStream.schema(b.schema).parquet(f"{path}/in"), "4 hours", 4, "1 hour")
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/q").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return out.select("instrument", a.stamp("open_time").alias("open_time"), "open", "high", "low", "close")
+
+
+@query(f"WITH {a.POSTS} SELECT post_id, {T('published_at')} AS published_at, {T('greatest(published_at, collected_at)')} AS effective_at, {T('time_bucket(INTERVAL 30 MINUTE, published_at)')} AS slot, n_chars > 1000 AS \"cut\" FROM posts")
+def effective_times(spark, d):
+    p = a.posts(spark, d)
+    return p.select("post_id", a.stamp("published_at").alias("published_at"), a.stamp(tx.effective_time(F.col("published_at"), F.col("collected_at"))).alias("effective_at"),
+                    a.stamp(tx.slot_floor(F.col("published_at"))).alias("slot"), (F.col("n_chars") > 1000).alias("cut"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey * 100 % 977 / 100.0 AS VARCHAR) AS raw_, CASE WHEN (o_orderkey * 100 % 977) % 100 = 0 THEN CAST((o_orderkey * 100 % 977) // 100 AS VARCHAR)
+  ELSE rtrim(rtrim(CAST(CAST((o_orderkey * 100 % 977) / 100.0 AS DECIMAL(10,2)) AS VARCHAR), '0'), '.') END AS number FROM orders QUALIFY false""")
+def normalized_numbers(spark, d):
+    cents = F.col("o_orderkey") * 100 % 977
+    text = F.concat(F.lit("about "), (cents / F.lit(100.0)).cast("decimal(10,2)").cast("string"), F.lit(" usd"))
+    return a.table(spark, d, "orders").select("o_orderkey", tx.normalize_number(text).alias("number"))
+
+
+ORACLE["normalized_numbers"] = """SELECT o_orderkey, rtrim(rtrim(CAST(CAST((o_orderkey * 100 % 977) / 100.0 AS DECIMAL(10,2)) AS VARCHAR), '0'), '.') AS number FROM orders"""
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 3 = 1 THEN false ELSE false END AS valid FROM orders")
+def reference_validity(spark, d):
+    ref = F.when(F.col("o_orderkey") % 3 == 0, "https://example.org/a").when(F.col("o_orderkey") % 3 == 1, "https://u@example.org/a").otherwise("docs/legal/../x")
+    return a.table(spark, d, "orders").select("o_orderkey", tx.valid_reference(ref).alias("valid"))
+
+
+@query(f"WITH {a.RUNS} SELECT source, run_id FROM runs WHERE run_id % 2 = 1")
+def versioned_append(spark, d):
+    r = a.runs(spark, d).select("source", "run_id", "inserted")
+    return store.append_versioned(r, r.where("run_id % 2 = 0"), ["run_id"], ["source", "inserted"]).select("source", "run_id")
+
+
+@query("SELECT event_type AS kind, count(*) FILTER (WHERE event_id % 10 < 7) AS accepted, count(*) FILTER (WHERE event_id % 10 = 7) AS duplicate, count(*) FILTER (WHERE event_id % 10 = 8) AS rejected, count(*) FILTER (WHERE event_id % 10 = 9) AS failed FROM events GROUP BY ALL")
+def processing_report(spark, d):
+    e = a.table(spark, d, "events")
+    o = e.select(F.col("event_type").alias("kind"), F.when(F.col("event_id") % 10 < 7, "ACCEPTED").when(F.col("event_id") % 10 == 7, "DUPLICATE").when(F.col("event_id") % 10 == 8, "REJECTED").otherwise("FAILED").alias("outcome"), F.lit(None).cast("string").alias("warning"))
+    return health.processing_report(o, ["kind"]).drop("warnings")
