@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import global_rank
-from .scratch import Scratch, cut
+from .scratch import Scratch, cut, release
 
 TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*>|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>)""", re.S)
 ATTR = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -187,20 +187,21 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                      F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
                      F.xxhash64(url, F.coalesce(F.col(html_col), F.lit(""))).alias("hk"))
     seen = scratch.save(p.select("id", "hk", "host", "path", "html").mapInArrow(
-        _signatures, "id bigint, hk bigint, host string, path string, lines array<bigint>"), "signatures")
-    seen = seen.withColumn("sig", F.xxhash64("lines"))
+        _signatures, "id bigint, hk bigint, host string, path string, lines array<bigint>").withColumn("sig", F.xxhash64("lines")), "signatures", compression="zstd")
     # Pages of a host with the same lines are one page here.
-    kinds = seen.groupBy("host", "sig").agg(F.min(F.struct("path", "id")).alias("first"), F.first("lines").alias("lines"))
-    ranked = cut(global_rank(kinds, [F.col("host"), F.col("first.path"), F.col("first.id"), F.col("sig")], "rank")
-                 .select("host", "sig", "rank", "lines"))
-    near = ranked.select(F.col("host").alias("h"), F.col("rank").alias("r"), F.col("lines").alias("l"))
-    before = near.select("h", (F.col("r") + 1).alias("rank"), F.col("l").alias("prev"))
-    after = near.select("h", (F.col("r") - 1).alias("rank"), F.col("l").alias("next"))
-    pairs = (ranked.join(before, (ranked.host == before.h) & (ranked["rank"] == before["rank"]), "left").select("host", "sig", ranked["rank"].alias("rank"), "prev")
-             .join(after.withColumnRenamed("rank", "rk"), (F.col("host") == F.col("h")) & (F.col("rank") == F.col("rk")), "left")
-             .select("host", "sig", F.coalesce("prev", "next").alias("partner")))
-    partners = (seen.select("id", "hk", "host", "sig").join(pairs, ["host", "sig"]).select(F.col("id").alias("i"), "hk", "partner")
-                .dropDuplicates(["i", "hk"]).withColumnRenamed("hk", "k"))
+    kinds = seen.groupBy("host", "sig").agg(F.min(F.struct("path", "id")).alias("first"))
+    ranked = cut(global_rank(kinds.select("host", "sig", F.col("first.path").alias("path"), F.col("first.id").alias("id")),
+                             [F.col("host"), F.col("path"), F.col("id"), F.col("sig")], "rank").select("host", "sig", "rank"))
+    before = ranked.select("host", (F.col("rank") + 1).alias("rank"), F.col("sig").alias("prev"))
+    after = ranked.select("host", (F.col("rank") - 1).alias("rank"), F.col("sig").alias("next"))
+    pairs = (ranked.join(before, ["host", "rank"], "left").join(after, ["host", "rank"], "left")
+             .select("host", "sig", F.coalesce("prev", "next").alias("near")))
+    lines = seen.groupBy("host", F.col("sig").alias("near")).agg(F.first("lines").alias("partner"))
+    partners = (seen.select("id", "hk", "host", "sig").dropDuplicates(["id", "hk"]).join(pairs, ["host", "sig"])
+                .join(lines, ["host", "near"], "left").select(F.col("id").alias("i"), F.col("hk").alias("k"), "partner"))
+    partners = scratch.save(partners, "partners", compression="zstd")
+    scratch.drop("signatures")
+    release(spark)
     out = (p.join(partners.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("i")) & (F.col("hk") == F.col("k")))
            .select("id", "url", "html", "partner").mapInArrow(_texts, "id bigint, url string, text string"))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
