@@ -90,7 +90,7 @@ class Transducer:
 
     def finite(self, a: int, b: int) -> bool:
         """Whether piece ``b`` may follow piece ``a``; below zero stand characters without a piece."""
-        if len(self.weights) > 1_000_000:
+        if len(self.weights) > 250_000:
             self.weights.clear()
         pair = [self._name(a), self._name(b)]
         known = self.weights[a << 32 | b & 0xFFFFFFFF] = self.merge("".join(pair)) == pair
@@ -163,6 +163,11 @@ class Transducer:
             out = np.where(keys[at] == h, names[at], out)
         return out
 
+    def _weight(self, key: int) -> bool:
+        known = self.weights.get(key)
+        b = key & 0xFFFFFFFF
+        return self.finite(key >> 32, b - (1 << 32) if b >> 31 else b) if known is None else known
+
     def _may_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         key = before << 32 | piece & 0xFFFFFFFF
         at = (mix(key.view(np.uint64)) >> np.uint64(43)).astype(np.int64)
@@ -170,14 +175,11 @@ class Transducer:
         for k, place in zip(new.tolist(), at[first].tolist()):
             if k == -1:
                 continue
-            known = self.weights.get(k)
-            if known is None:
-                b = k & 0xFFFFFFFF
-                known = self.finite(k >> 32, b - (1 << 32) if b >> 31 else b)
+            known = self._weight(k)
             self.pair_keys[place], self.pair_known[place] = k, known
         out = self.pair_known[at]
         for i in np.flatnonzero(self.pair_keys[at] != key).tolist():  # another pair of this call took its place
-            out[i] = self.weights[int(key[i])]
+            out[i] = self._weight(int(key[i]))
         return out
 
     def shortest_paths(self, texts: list[str]) -> list[list[int]]:

@@ -61,7 +61,7 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class RaggedCache:
     """Id lists by 64-bit unit hash, in sorted arrays; emptied when it would hold over ``limit`` units."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit = limit
         self.clear()
 
