@@ -1,11 +1,12 @@
-"""Near-duplicate embeddings by sorted projection passes.
-
-A pass hashes every vector by the signs of random projections, concatenates the signs and orders
-the vectors by them; near vectors agree on the leading signs and so stand close together. Each
-vector is compared in double precision with the ones that follow it, through a window that widens
-where its far half still holds links, and the links of all passes are united. The number of passes
-follows from the number of vectors, so that a pair at the threshold is met with the wanted
-probability at every size. Equal vectors are one vector with a count.
+"""Near-duplicate embeddings by buckets of random signs.
+
+A pass hashes every vector by the signs of some random projections; vectors with equal signs are a
+bucket, and all pairs of a bucket are compared in double precision. A pair agrees on a sign with a
+probability that its own angle gives, so the number of passes follows from the number of signs and
+a pair at the threshold is met with the wanted probability, however the other vectors lie. A bucket
+of any size is compared whole: a large one is dealt into pieces, and pieces meet pairwise in tasks
+of their own. Without signs there is one bucket and the result is exact. Equal vectors are one
+vector with a count.
 """
 
 from __future__ import annotations
@@ -20,98 +21,145 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ranking import global_rank
 from .scratch import Scratch, cut
 
-BITS = 63
 _NULL_ID = -(2**63)
+_LINK = "a bigint, b bigint, cosine double"
+_BUCKET = ["turn", "dim", "code"]
 
 
-def passes_for(n: int, window: int, threshold: float, wanted: float = 0.99) -> int:
-    """Passes so that a pair of cosine ``threshold`` meets with probability ``wanted``.
-
-    With one sign a bit, such a pair agrees on each with probability 1 - angle / pi, and must
-    agree on about log2(n / window) of them to fall into one window.
-    """
-    agree = 1 - math.acos(threshold) / math.pi
-    meet = agree ** max(0.0, math.log2(max(n, 1) / window) + 1)
+def passes_for(signs: int, threshold: float, wanted: float = 0.99) -> int:
+    """Passes so that a pair of cosine ``threshold`` shares a bucket of one with probability ``wanted``."""
+    meet = (1 - math.acos(threshold) / math.pi) ** signs
     return 1 if meet >= wanted else math.ceil(math.log(1 - wanted) / math.log(1 - meet))
 
 
-def _keys(passes: int, seed: int):
+def _codes(signs: int, passes: int, seed: int):
+    """(id, vec) -> (id, dim, vec, codes): the signs of each pass as a number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, column = batch.column("id").to_numpy(), batch.column("vec")
+            ids, column = batch.column("id"), batch.column("vec")
             dims = pc.list_value_length(column).to_numpy()
             for d in np.unique(dims).tolist():
                 row = np.flatnonzero(dims == d)
                 if d not in planes:
-                    planes[d] = np.random.Generator(np.random.PCG64([seed, d])).standard_normal((d, passes * BITS))
+                    planes[d] = np.random.Generator(np.random.PCG64([seed, d])).standard_normal((d, passes * signs))
                 for s in range(0, len(row), 1024):
-                    part = row[s : s + 1024]
-                    x = column.take(pa.array(part)).flatten().to_numpy().astype(np.float64).reshape(len(part), d)
-                    signs = (x @ planes[d] > 0).reshape(len(part), passes, BITS)
-                    keys = signs @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                    part = pa.array(row[s : s + 1024])
+                    n, vec = len(part), column.take(part)
+                    x = vec.flatten().to_numpy().astype(np.float64).reshape(n, d)
+                    codes = (x @ planes[d] > 0).reshape(n, passes, signs) @ (np.int64(1) << np.arange(signs, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.tile(np.arange(passes, dtype=np.int32), len(part))), pa.array(np.full(len(part) * passes, d, np.int32)),
-                        pa.array(keys.ravel()), pa.array(np.repeat(ids[part], passes))], names=["turn", "dim", "key", "id"])
+                        ids.take(part), pa.array(np.full(n, d, np.int32)), vec,
+                        pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * passes, pa.array(codes.astype(np.int32).ravel()))],
+                        names=["id", "dim", "vec", "codes"])
     return run
 
 
-def _compare(window: int, reach: int, threshold: float):
-    """Rows of whole blocks, sorted by block and position -> links (a, b, cosine)."""
-    def links(turn, rank, own, dims, vectors):
-        found = []
-        for part in np.split(np.arange(len(turn)), np.flatnonzero((np.diff(turn) != 0) | (np.diff(dims) != 0)) + 1):
-            ids, mine = own[0][part], own[1][part]
-            x = vectors.take(pa.array(part)).flatten().to_numpy().astype(np.float64).reshape(len(part), -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            for s in range(0, len(part), 256):
-                rows = np.arange(s, min(s + 256, len(part)))
-                rows = rows[mine[rows]]
-                near, width = 0, window
-                while len(rows):
-                    lo, hi = rows[0] + near + 1, min(rows[-1] + width + 1, len(part))
-                    if lo >= hi:
-                        break
-                    cosine = x[rows] @ x[lo:hi].T
-                    step = np.arange(lo, hi)[None, :] - rows[:, None]
-                    hit = (cosine >= threshold) & (step > near) & (step <= width)
-                    r, c = np.nonzero(hit)
-                    found.append((ids[rows[r]], ids[lo + c], cosine[r, c]))
-                    # Widen for rows whose far half still has links.
-                    rows = rows[(hit & (step > (near + width) // 2)).any(axis=1)] if width < reach else rows[:0]
-                    near, width = width, min(2 * width, reach)
-        return found
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _pairs(left: tuple, right: tuple | None, turn: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between two sets of (ids, unit vectors, codes), or inside one, that no earlier pass has met."""
+    ids, x, codes = left
+    other_ids, y, other_codes = right or left
+    for s in range(0, len(ids), 256):
+        lo = 0 if right else s
+        cosine = x[s : s + 256] @ y[lo:].T
+        r, c = np.nonzero(cosine >= threshold)
+        if not right:
+            r, c = r[c > r], c[c > r]
+        cos, r, c = cosine[r, c], r + s, c + lo
+        new = np.ones(len(r), bool)
+        for t in range(turn):
+            new &= codes[r, t] != other_codes[c, t]
+        if new.any():
+            a, b = ids[r[new]], other_ids[c[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cos[new])], names=["a", "b", "cosine"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Sorted rows -> (turn, dim, code, piece, pieces, ids, vectors, codes) of each whole piece."""
+    def solve(t):
+        t = t.combine_chunks()
+        turn, dim, code, piece, pieces = (t.column(k)[0].as_py() for k in [*_BUCKET, "piece", "pieces"])
+        flat = lambda k: t.column(k).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        return turn, dim, code, piece, pieces, t.column("id").to_numpy(), flat("vec").astype(np.float64), flat("codes")
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        key = np.stack([held.column(k).to_numpy() for k in [*_BUCKET, "piece"]])
+        edges = [0, *(np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1).tolist()]
+        for i, j in zip(edges, edges[1:]):
+            yield solve(held.slice(i, j - i))
+        held = held.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield solve(held)
+
+
+def _whole(threshold: float):
+    """Links inside buckets that are one piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for turn, _, _, _, _, ids, x, codes in _pieces(batches):
+            if len(ids) > 1:
+                yield from _pairs((ids, _unit(x), codes), None, turn, threshold)
+    return run
+
+
+_PACKED = "turn int, dim int, code int, piece int, pieces int, ids binary, vecs binary, codes binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of large buckets as one row each; components are single precision where that is all they hold."""
+    for turn, dim, code, piece, pieces, ids, x, codes in _pieces(batches):
+        with np.errstate(over="ignore"):
+            short = x.astype(np.float32)
+        x = short if (short == x).all() else x
+        yield pa.RecordBatch.from_arrays([
+            *[pa.array([v], pa.int32()) for v in (turn, dim, code, piece, pieces)],
+            *[pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in (ids, x, codes)]],
+            names=["turn", "dim", "code", "piece", "pieces", "ids", "vecs", "codes"])
+
 
+def _stripes(threshold: float):
+    """Rows of a stripe, sorted by step: its own piece first, then those that it is compared with."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        def solve(t):
-            t = t.combine_chunks()
-            c = {k: t.column(k).to_numpy() for k in ("turn", "rank", "id", "dim")}
-            out = links(c["turn"], c["rank"], (c["id"], t.column("own").to_numpy(zero_copy_only=False)), c["dim"], t.column("vec").combine_chunks())
-            if out:
-                a, b, cos = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cos)], names=["a", "b", "cosine"])
+        own, mine = None, None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            last = held.column("block")[-1].as_py()
-            whole = int(np.searchsorted(held.column("block").to_numpy(), last, "left"))
-            for i, j in _runs(held.column("block").to_numpy()[:whole]):
-                yield from solve(held.slice(i, j - i))
-            held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield from solve(held)
+            for i in range(batch.num_rows):
+                turn, dim, code, stripe, step, ids, vecs, codes = (
+                    batch.column(k)[i].as_py() for k in [*_BUCKET, "stripe", "step", "ids", "vecs", "codes"])
+                ids = np.frombuffer(ids, np.int64)
+                x = np.frombuffer(vecs, np.float32 if len(vecs) == 4 * dim * len(ids) else np.float64).reshape(len(ids), dim)
+                rows = ids, _unit(x.astype(np.float64)), np.frombuffer(codes, np.int32).reshape(len(ids), -1)
+                if step == 0:
+                    own, mine = (turn, dim, code, stripe), rows
+                    yield from _pairs(mine, None, turn, threshold)
+                elif own == (turn, dim, code, stripe):
+                    yield from _pairs(mine, rows, turn, threshold)
     return run
 
 
-def _runs(values: np.ndarray) -> list[tuple[int, int]]:
-    if not len(values):
-        return []
-    cuts = np.flatnonzero(np.diff(values)) + 1
-    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)]))
+def _compare(coded: DataFrame, block: int, threshold: float, parts: int) -> DataFrame:
+    """Every link that shares a bucket of some pass, once."""
+    rows = coded.select("id", "dim", "vec", "codes", F.posexplode("codes").alias("turn", "code"))
+    large = rows.groupBy(*_BUCKET).count().where(F.col("count") > block)  # at most rows / block
+    rows = (rows.join(F.broadcast(large), _BUCKET, "left")
+            .withColumn("pieces", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))
+            .withColumn("piece", F.pmod(F.xxhash64("turn", "id"), F.col("pieces")).cast("int")).drop("count"))
+    deal = lambda df: df.repartition(parts, *_BUCKET, "piece").sortWithinPartitions(*_BUCKET, "piece")
+    small = deal(rows.where("pieces = 1")).mapInArrow(_whole(threshold), _LINK)
+    packed = deal(rows.where("pieces > 1")).mapInArrow(_pack, _PACKED)
+    # Each piece meets the half of the others that follows it in a circle, so stripes are equally long.
+    met = (packed.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("pieces") / 2).cast("int"))).alias("step"))
+           .withColumn("stripe", F.pmod(F.col("piece") - F.col("step"), F.col("pieces")))
+           .where("step * 2 < pieces or stripe * 2 < pieces"))
+    striped = met.repartition(parts, *_BUCKET, "stripe").sortWithinPartitions(*_BUCKET, "stripe", "step")
+    return small.unionByName(striped.mapInArrow(_stripes(threshold), _LINK))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 256, block: int = 4096, seed: int = 11,
@@ -122,8 +170,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 25
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
     do vectors of different length; equal vectors link. ``n_links`` counts other rows linked
     directly; ``component_id`` is the smallest id_col reachable. Rows that share an identifier are
-    one node. An empty table gives no rows; other columns are not read. A vector is compared with
-    up to ``block / 2`` followers in each pass.
+    one node. An empty table gives no rows; other columns are not read. Buckets are compared
+    whole, in pieces of about ``block`` vectors.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -133,17 +181,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 25
     v = v.withColumn("vec", F.when(sound, F.transform("vec", lambda x: x + F.lit(0.0))))
     classes = scratch.save(v.where("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c")), "classes")
     n = classes.count()
-    turns = passes_for(n, window, threshold)
-    keys = classes.select("id", "vec").mapInArrow(_keys(turns, seed), "turn int, dim int, key bigint, id bigint")
-    placed = global_rank(keys, [F.col("turn"), F.col("dim"), F.col("key"), F.col("id")], "rank")
-    half = block // 2
-    at = placed.select("turn", "dim", "id", "rank", F.explode(F.array(
-        F.floor(F.col("rank") / half), F.floor(F.col("rank") / half) - 1)).alias("block")).where("block >= 0")
-    at = at.withColumn("own", F.floor(F.col("rank") / half) == F.col("block"))
+    signs = 0 if n <= block else max(0, math.ceil(math.log2(n / window)) + 1)
+    coded = scratch.save(classes.select("id", "vec").mapInArrow(_codes(signs, passes_for(signs, threshold), seed),
+                                                               "id bigint, dim int, vec array<double>, codes array<int>"), "coded")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = at.join(classes.select("id", "vec"), "id").repartition(parts, "block").sortWithinPartitions("block", "rank")
-    links = scratch.save(dealt.mapInArrow(_compare(window, half, threshold), "a bigint, b bigint, cosine double")
-                         .groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "links")
+    links = scratch.save(_compare(coded, block, threshold, parts), "links")
+    scratch.drop("coded")
     groups = connected_components(links)
     size = classes.select("id", "c")
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")

@@ -191,3 +191,18 @@ def test_embeddings_recall_at_threshold(spark):
     out = embeddings.near_duplicates(df, window=64, block=512)[0].collect()
     found = sum(x.n_links > 0 for x in out)
     assert found >= 0.9 * len(rows)
+
+
+def test_embeddings_group_larger_than_a_block(spark):
+    """All pairs of a group of different near vectors are links, however many blocks the group fills."""
+    r = np.random.default_rng(5)
+    base = r.standard_normal(32)
+    x = np.concatenate([base + 0.15 * r.standard_normal((1400, 32)), r.standard_normal((600, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    rows, links = embeddings.near_duplicates(df, window=16, block=200)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = np.argwhere(np.triu(x @ x.T >= 0.9, 1))
+    assert len(hit) > 900_000
+    met = {(p.a, p.b) for p in links.collect()}
+    assert len(met) == links.count() and met <= set(map(tuple, hit.tolist())) and len(met) >= 0.999 * len(hit)
+    assert {p.component_id for p in rows.collect() if p.vec_id < 1400} == {0}
