@@ -206,3 +206,32 @@ def test_embeddings_group_larger_than_a_block(spark):
     met = {(p.a, p.b) for p in links.collect()}
     assert len(met) == links.count() and met <= set(map(tuple, hit.tolist())) and len(met) >= 0.999 * len(hit)
     assert {p.component_id for p in rows.collect() if p.vec_id < 1400} == {0}
+
+
+def crowded(n, pairs, seed=6):
+    """A third of n vectors in a cone of pairwise cosine 0.8; some of them have a partner at 0.905."""
+    r = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    cone = unit(np.sqrt(0.8) * unit(r.standard_normal(64)) + np.sqrt(0.2) * unit(r.standard_normal((n // 3, 64))))
+    a, u = cone[:pairs], r.standard_normal((pairs, 64))
+    u = unit(u - (u * a).sum(axis=1, keepdims=True) * a)
+    return np.concatenate([cone, 0.905 * a + np.sqrt(1 - 0.905**2) * u, unit(r.standard_normal((n - n // 3 - pairs, 64)))])
+
+
+def test_embeddings_recall_in_a_cone(spark, window=1):
+    x = crowded(9000, 200)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    signs = embeddings.signs_for(df.selectExpr("vec_id AS id", "embedding AS vec"), len(x), window, 0.9)
+    assert signs > 0  # several passes, not the exact way
+    met = {(p.a, p.b) for p in embeddings.near_duplicates(df, window=window, block=512)[1].collect()}
+    hit = set(map(tuple, np.argwhere(np.triu(x @ x.T >= 0.9, 1)).tolist()))
+    assert met <= hit and len(met) >= 0.98 * len(hit)
+
+
+def test_embeddings_signs_follow_the_density(spark):
+    """Vectors of one cone share more signs than evenly spread ones, so their buckets take more signs."""
+    r = np.random.default_rng(7)
+    table = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    even, cone = (embeddings.signs_for(table(x), 10**7, 256, 0.9, sample=10**7) for x in (r.standard_normal((1000, 64)), crowded(1000, 10)))
+    assert 0 < even < cone
+    assert embeddings.signs_for(table(r.standard_normal((5, 64))), 5, 256, 0.9) == 0
