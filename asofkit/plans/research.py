@@ -168,10 +168,10 @@ def ema_20(spark, d):
 
 
 def _regimes(spark, d):
-    o = a.opinions(spark, d).where("opinion_id % 40 = 0")
+    o = a.opinions(spark, d)
     marks = o.select(F.col("effective_at").cast("timestamp").alias("mark_at"), F.col("effective_at").cast("timestamp").alias("known_at"),
                      F.when(F.col("opinion_id") % 80 == 0, "news").otherwise("macro").alias("kind"))
-    return regime.regime_run(a.bars_1h(spark, d), marks.where("kind = 'news'"))
+    return regime.regime_run(a.bars_1h(spark, d), marks)
 
 
 @query()
@@ -387,6 +387,13 @@ def first_occurrence(spark, d):
     return windows.first_occurrence(p, ["key"], [F.col("post_id")]).select("post_id", "status")
 
 
+@query()
+def first_occurrence_all(spark, d):
+    """Every post, in any script; without SQL, since DuckDB folds the case of some letters differently."""
+    p = a.posts(spark, d).withColumn("key", tx.ascii_key(F.col("text")))
+    return windows.first_occurrence(p, ["key"], [F.col("post_id")]).select("post_id", "status")
+
+
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS stripped FROM pages")
 def strip_tags(spark, d):
     return a.table(spark, d, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("stripped"))
@@ -414,9 +421,9 @@ def token_counts(spark, d):
     return a.table(spark, d, "documents").where("text is not null").select("doc_id", F.size(tx.tokens(F.lower("text"))).cast("long").alias("n_tokens"))
 
 
-def _docs(spark, d):
-    p = a.posts(spark, d).where("lang = 'en' and n_chars < 2500")
-    return p.select("post_id", F.col("source"), F.concat(F.lit("b"), (F.col("post_id") % 1).cast("string")).alias("bucket"),
+def _docs(spark, d, whole=False):
+    p = a.posts(spark, d)
+    return (p if whole else p.where("lang = 'en' and n_chars < 2500")).select("post_id", F.col("source"), F.concat(F.lit("b"), (F.col("post_id") % 1).cast("string")).alias("bucket"),
                     F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("normal"), "published_at")
 
 
@@ -445,6 +452,20 @@ def repost_clusters(spark, d):
     return propagation.clusters(docs.select("post_id", "published_at"), e, "post_id", "published_at")
 
 
+@query()
+def repost_edges_all(spark, d):
+    """Every post, of any language and length; the SQL of ``repost_edges`` compares all pairs, too slow here."""
+    e = propagation.edges(_docs(spark, d, True), "bucket", "post_id", "source", "normal", "published_at")
+    return e.select("from_item", "to_item", "relation", F.round("similarity", 5).alias("similarity"))
+
+
+@query()
+def repost_clusters_all(spark, d):
+    docs = _docs(spark, d, True)
+    e = propagation.edges(docs, "bucket", "post_id", "source", "normal", "published_at")
+    return propagation.clusters(docs.select("post_id", "published_at"), e, "post_id", "published_at")
+
+
 _EVID = f"""{a.POSTS}, ev AS (SELECT post_id, CASE WHEN post_id % 10 = 0 THEN '' ELSE source END AS source, CASE WHEN post_id % 13 = 0 THEN '' ELSE 'x' END AS content, post_id % 6 = 0 AS mock, post_id % 4 <> 0 AS approved,
   post_id % 3 <> 0 AS research, post_id % 9 = 0 AS late FROM posts)"""
 
