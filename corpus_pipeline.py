@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.llm import exact_dedup, mixing, ngram_join, sentencepieces, toxicity
+from asofkit.llm.ranking import global_rank
 from asofkit.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,19 +24,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.select(*COLUMNS), weights, score_col="toxicity").where("toxicity < 0.5").select(*COLUMNS)
 
 
+def with_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows with ``row_key``, different in every row and in the order of doc_id, null first.
+
+    That is doc_id where it is never null and never repeated. Else the rows are written with their
+    position, so that equal rows have keys of their own.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    return Scratch(spark, "keyed").save(global_rank(docs.select(*COLUMNS), order, "row_key"), "rows")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    rows = with_key(spark, docs)
+    kept = exact_dedup.exact_dedup(rows, id_col="row_key").where("kept").select("row_key")
+    return rows.join(kept.hint("shuffle_hash"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = ngram_join.jaccard_components(docs, k=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    rows = with_key(spark, docs)
+    kept = ngram_join.jaccard_components(rows, k=5, percent=80, id_col="row_key").where("kept").select("row_key")
+    return rows.join(kept.hint("shuffle_hash"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    return (docs.join(copies.hint("shuffle_hash"), "doc_id")
+    rows = with_key(spark, docs)
+    copies = mixing.mix_sources(rows, id_col="row_key").where("copies > 0").select("row_key", "copies")
+    return (rows.join(copies.hint("shuffle_hash"), "row_key")
             .select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS))
 
 
