@@ -5,22 +5,26 @@ matters, so suffixes are ordered only that far, digit by digit, most significant
 groups that hold one suffix leave after each pass. To keep the first pass small, suffixes are
 sorted at synchronising positions only: the positions whose ``length // 4`` bytes have the least
 hash of some window. Which position a window chooses depends on its bytes alone, so equal windows
-choose equal positions, and every window is judged through the suffix it chooses:
+choose equal positions, and every window is judged through the position it chooses:
 
 1. first digit: the quarter at the position itself. Suffixes alone in their group leave;
-2. second digit: the quarter with half of the rest behind it, or with half of the rest ahead of it.
-   A window holds one of the two, so suffixes that are alone with both leave;
-3. third digit: all bytes that a window through the position can hold. Suffixes that agree make all
-   their windows repeated and go on as one;
+2. all bytes that a window through the position can hold, its context. Suffixes that agree make all
+   their windows repeated, and go on as one;
+3. second digit: the quarter with half of the rest behind it, or with half of the rest ahead of it.
+   A window holds one of the two, so contexts that are alone with both leave;
 4. last digit: the windows through the position, one for each distance of the position from the
-   window's start. Equal groups are exactly the repeated windows.
+   window's start. Equal groups are exactly the repeated windows. Contexts of one first digit meet
+   in a task as long as they are few; beyond, runs of neighbouring windows are sorted first, by
+   the bytes that they have in common and by those that they cover, and only runs in which the two
+   tell different things are taken apart.
 
-Groups are compared by 64-bit hashes of their bytes.
+What is removed rests on equal bytes or equal 128-bit digests; 64-bit hashes only discard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, release
+from .skew import join_counted
 from .textbytes import _BYTE_VALUES, PrefixHash, _power, chunks, flat, mix
 
-#: Groups with more different contexts than this take the last digit through the shuffle.
-GROUP_IN_TASK = 2000
+#: Contexts of one first digit that meet in a task; more of them are sorted by the shuffle.
+GROUP_IN_TASK = 256
+#: Windows of a run.
+TOGETHER = 20
 _NULL_ID = -(2**63)
 
 
+def _digest(raw: bytes) -> bytes:
+    return blake2b(raw, digest_size=16).digest()
+
+
 def _sliding(values: np.ndarray, size: int, op) -> np.ndarray:
     """op over every run of ``size`` values, by running op inside blocks from both ends."""
     n = len(values)
@@ -77,21 +88,23 @@ def _find(length: int):
                     continue
                 lo = np.maximum(offsets[doc], at - reach)
                 hi = np.minimum(offsets[doc + 1], at + length)
-                context = mix(hashes.ranges(lo, hi) + (at - lo).astype(np.uint64))
+                raw, ahead = data.tobytes(), (at - lo).astype("<u4").tobytes()
+                context = [_digest(raw[a:b]) + ahead[4 * k : 4 * k + 4] for k, (a, b) in enumerate(zip(lo.tolist(), hi.tolist()))]
                 digit, half = length // 4, reach // 2
                 front = mix(hashes.ranges(np.maximum(at - half, 0), at + digit) + np.uint64(1)).view(np.int64)
                 back = hashes.ranges(at, np.minimum(at + digit + reach - half, len(data))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes.ranges(at, at + digit).view(np.int64)), pa.array(context.view(np.int64)),
+                    pa.array(hashes.ranges(at, at + digit).view(np.int64)), pa.array(context, pa.binary()),
                     pa.array(front, mask=at - half < lo), pa.array(back, mask=at + digit + reach - half > hi),
                     pa.array(ids[i + doc]), pa.array(keys[i + doc]), pa.array((at - offsets[doc]).astype(np.int32)),
-                    pa.array((at - lo).astype(np.int32)), pa.array((hi - at).astype(np.int32)),
-                ], names=["digit", "context", "front", "back", "id", "tk", "pos", "ahead", "after"])
+                    pa.array((hi - at).astype(np.int32)),
+                ], names=["digit", "context", "front", "back", "id", "tk", "pos", "after"])
     return run
 
 
 def _cut_contexts(length: int):
     reach = length - length // 4
+    kept = ["digit", "context", "n", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,54 +118,61 @@ def _cut_contexts(length: int):
             for s in range(0, len(at), 4096):
                 cut = slice(s, s + 4096)
                 yield pa.RecordBatch.from_arrays([
-                    fields.field("digit").slice(s, 4096), fields.field("context").slice(s, 4096), fields.field("n").slice(s, 4096),
-                    pa.array((at - lo)[cut].astype(np.int32)),
+                    *[fields.field(c).slice(s, 4096) for c in kept], pa.array((at - lo)[cut].astype(np.int32)),
                     pa.array([raw[a:b] for a, b in zip(lo[cut].tolist(), hi[cut].tolist())], pa.binary()),
-                ], names=["digit", "context", "n", "ahead", "bytes"])
+                ], names=[*kept, "ahead", "bytes"])
     return run
 
 
-def _windows(ahead: np.ndarray, contexts: list[bytes], length: int, start: np.ndarray | None = None, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, there): a row per context and a column per start; 0 lies ``reach`` bytes ahead of the position."""
+def _table(ahead: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first, end): a row per context; column 0 lies ``reach`` bytes ahead of the position."""
     reach = length - length // 4
-    start, width = (np.arange(reach + 1), length) if start is None else (start, width)
     size = np.fromiter(map(len, contexts), np.int64, len(contexts))
     table = np.zeros((len(contexts), reach + length), dtype=np.uint8)
     row = np.repeat(np.arange(len(contexts)), size)
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(reach - ahead, size)
     table[row, place] = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    sums = np.zeros((len(contexts), reach + length + 1), dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[table] * _power("up", reach + length), axis=1, out=sums[:, 1:])
-    h = mix((sums[:, start + width] - sums[:, start]) * _power("down", reach + length)[start])
-    first, last = (reach - ahead)[:, None], (reach - ahead + size)[:, None]
-    return h, (start >= first) & (start + width <= last)
+    return table, reach - ahead, reach - ahead + size
+
+
+def _hashes(table: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """A row per context and a column per start: hashes of ``width`` bytes."""
+    sums = np.zeros((table.shape[0], table.shape[1] + 1), dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[table] * _power("up", table.shape[1]), axis=1, out=sums[:, 1:])
+    return mix((sums[:, start + width] - sums[:, start]) * _power("down", table.shape[1])[start])
 
 
 def _repeated(length: int):
-    """Rows sorted by digit -> (digit, context, most, least): bytes ahead of the outermost repeated windows."""
+    """Rows sorted by digit -> (context, most, least): bytes ahead of the outermost repeated windows."""
     reach = length - length // 4
 
     def solve(rows: list) -> pa.RecordBatch:
-        digit, context, n, ahead, contexts = zip(*rows)
-        h, there = _windows(np.array(ahead, np.int64), list(contexts), length)
+        context, n, ahead, contexts = zip(*(r[1:] for r in rows))
+        table, first, end = _table(np.array(ahead, np.int64), list(contexts), length)
+        start = np.arange(reach + 1)
+        there = (start >= first[:, None]) & (start + length <= end[:, None])
         # A window's bytes hold the position's digit, so groups of several digits never mix.
-        h = np.where(there, h, np.arange(1, len(rows) + 1, dtype=np.uint64)[:, None]).T.copy()
+        h = np.where(there, _hashes(table, start, length), np.arange(1, len(rows) + 1, dtype=np.uint64)[:, None]).T.copy()
         order = np.argsort(h, axis=1, kind="stable")
         ranked = np.take_along_axis(h, order, axis=1)
         same = ranked[:, 1:] == ranked[:, :-1]
-        twice = np.zeros(h.shape, dtype=bool)
-        twice[:, 1:] |= same
-        twice[:, :-1] |= same
-        again = np.zeros_like(twice)
-        np.put_along_axis(again, order, twice, axis=1)
-        again = (again.T | (np.array(n) > 1)[:, None]) & there
-        hit = np.flatnonzero(again.any(axis=1))
-        again = again[hit]
-        most = reach - again.argmax(axis=1)
-        least = again[:, ::-1].argmax(axis=1)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.array(digit, np.int64)[hit]), pa.array(np.array(context, np.int64)[hit]),
-            pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32))], names=["digit", "context", "most", "least"])
+        # The partner of each window is its neighbour in the order; -1 where there is none.
+        partner = np.full(h.shape, -1)
+        beside = np.full(h.shape, -1)
+        beside[:, 1:][same] = order[:, :-1][same]
+        beside[:, :-1][same] = order[:, 1:][same]
+        np.put_along_axis(partner, order, beside, axis=1)
+        partner = np.where(there, partner.T, -1)
+        out = []
+        for i in np.flatnonzero((partner >= 0).any(axis=1)).tolist():
+            hit = np.flatnonzero(partner[i] >= 0).tolist()
+            equal = lambda s: (table[i, s : s + length] == table[partner[i, s], s : s + length]).all()  # noqa: B023, E731
+            low = next((s for s in hit if equal(s)), None)  # the outermost windows by their bytes
+            if low is not None:
+                out.append((context[i], reach - low, reach - next(s for s in reversed(hit) if equal(s))))
+        context, most, least = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(context, pa.binary()), pa.array(most, pa.int32()), pa.array(least, pa.int32())],
+                                          names=["context", "most", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -167,50 +187,80 @@ def _repeated(length: int):
     return run
 
 
-#: Starts whose windows are first judged by the bytes they have in common.
-TOGETHER = 20
-
-
-def _cores(length: int):
-    """For groups that are too large for a task: what runs of neighbouring windows have in common."""
+def _runs(length: int):
+    """Each run of neighbouring windows of a context: hash of what they have in common, digest of what they cover."""
     reach = length - length // 4
     wide = min(TOGETHER, length // 2)
+    start = np.arange(0, reach + 1, wide)
+    last = np.minimum(start + wide - 1, reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 part = batch.slice(s, 500)
-                # A core starts where the run's last window does and ends where its first one ends.
-                start = np.arange(reach // wide + 1) * wide + wide - 1
-                h, there = _windows(part.column("ahead").to_numpy().astype(np.int64), part.column("bytes").to_pylist(), length, start, length - wide + 1)
-                row, run_ = np.nonzero(there)
+                ahead, contexts = part.column("ahead").to_numpy().astype(np.int64), part.column("bytes").to_pylist()
+                table, first, end = _table(ahead, contexts, length)
+                core = np.stack([_hashes(table[:, b : a + length], np.zeros(1, np.int64), a + length - b)[:, 0] for a, b in zip(start, last)], axis=1)
+                there = (last >= first[:, None]) & (start + length <= end[:, None])
+                row, which = np.nonzero(there)
+                names = part.column("context").to_pylist()
+                hull = []
+                for i, a, b in zip(row.tolist(), start[which].tolist(), last[which].tolist()):
+                    whole = a >= first[i] and b + length <= end[i]
+                    hull.append(_digest(table[i, a : b + length].tobytes()) if whole else names[i])
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("digit").take(pa.array(row)), part.column("context").take(pa.array(row)), part.column("n").take(pa.array(row)),
-                    pa.array(run_.astype(np.int32)), pa.array(h[row, run_].view(np.int64))], names=["digit", "context", "n", "run", "core"])
+                    part.column("context").take(take), part.column("n").take(take), pa.array(which.astype(np.int32)),
+                    pa.array(core[row, which].view(np.int64)), pa.array(hull, pa.binary())], names=["context", "n", "run", "core", "hull"])
     return run
 
 
 def _explode(length: int):
-    """Every window of the listed runs as a row."""
+    """Every window of the listed runs as a row, which counts for as many as its run does."""
     reach = length - length // 4
     wide = min(TOGETHER, length // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 500):
-                part = batch.slice(s, 500)
-                h, there = _windows(part.column("ahead").to_numpy().astype(np.int64), part.column("bytes").to_pylist(), length)
-                want = np.zeros((part.num_rows, reach // wide + 2), dtype=bool)
-                for i, runs in enumerate(part.column("runs").to_pylist()):
-                    want[i, runs or ()] = True
-                row, start = np.nonzero(there & want[:, np.arange(reach + 1) // wide])
-                yield pa.RecordBatch.from_arrays([
-                    part.column("digit").take(pa.array(row)), part.column("context").take(pa.array(row)), part.column("n").take(pa.array(row)),
-                    pa.array((reach - start).astype(np.int32)), pa.array(h[row, start].view(np.int64))],
-                    names=["digit", "context", "n", "before", "window"])
+            for s in range(0, batch.num_rows, 200):
+                out: list = []
+                part = batch.slice(s, 200)
+                for context, ahead, raw, runs in zip(*(part.column(c).to_pylist() for c in ("context", "ahead", "bytes", "runs"))):
+                    for r in runs:
+                        for before in range(reach - r["run"] * wide, max(reach - (r["run"] + 1) * wide, -1), -1):
+                            a = ahead - before
+                            if 0 <= a <= len(raw) - length:
+                                out.append((context, r["n"], before, _digest(raw[a : a + length])))
+                if out:
+                    context, n, before, window = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(context, pa.binary()), pa.array(n, pa.int64()), pa.array(before, pa.int32()),
+                                                      pa.array(window, pa.binary())], names=["context", "n", "before", "window"])
     return run
 
 
+def _large(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(context, most, least) for groups of any size, by the shuffle alone."""
+    reach = length - length // 4
+    wide = min(TOGETHER, length // 2)
+    runs = scratch.save(contexts.mapInArrow(_runs(length), "context binary, n bigint, run int, core bigint, hull binary"), "runs")
+    total = runs.count()
+    hulls = scratch.save(runs.groupBy("core", "run", "hull").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("context").alias("context")), "hulls")
+    # Runs that cover the same bytes have the same windows.
+    sure = join_counted(runs.select("context", "run", "hull"), hulls.where("n > 1").groupBy("hull", "run").agg(F.sum("rows").alias("rows")),
+                        ["hull", "run"], "rows", total)
+    first = F.col("run") * wide
+    sure = sure.select("context", (F.lit(reach) - first).alias("most"), (F.lit(reach) - F.least(first + wide - 1, F.lit(reach))).alias("least"))
+    # Runs that have the common bytes alone with others: one for all that cover the same bytes.
+    open_ = join_counted(hulls, hulls.groupBy("core", "run").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), ["core", "run"], "kinds", total)
+    wanted = open_.groupBy("context").agg(F.collect_set(F.struct("run", "n")).alias("runs"))
+    rows = scratch.save(contexts.join(wanted, "context").select("context", "ahead", "bytes", "runs").mapInArrow(
+        _explode(length), "context binary, n bigint, before int, window binary"), "windows")
+    often = rows.groupBy("window", "before").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1").drop("n")
+    told = join_counted(rows.select("context", "window", "before"), often, ["window", "before"], "rows", rows.count())
+    return sure.unionByName(told.select("context", F.col("before").alias("most"), F.col("before").alias("least"))).groupBy("context").agg(
+        F.max("most").cast("int").alias("most"), F.min("least").cast("int").alias("least"))
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch.column("text"))
@@ -249,59 +299,49 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
     suffixes = scratch.save(texts.mapInArrow(
-        _find(length), "digit bigint, context bigint, front bigint, back bigint, id bigint, tk bigint, pos int, ahead int, after int"), "suffixes")
+        _find(length), "digit bigint, context binary, front bigint, back bigint, id bigint, tk bigint, pos int, after int"), "suffixes")
+    reach = length - length // 4
 
-    # Pass 1: groups of one leave; groups with one context are repeated as they are.
-    groups = (suffixes.groupBy("digit").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
-              .where("n > 1").select("digit", (F.col("lo") == F.col("hi")).alias("alike")))
-    left = scratch.save(suffixes.join(groups, "digit"), "left")
+    # Pass 1: groups of one leave.
+    groups = scratch.save(suffixes.groupBy("digit").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "groups")
+    total = suffixes.count()
+    left = scratch.save(join_counted(suffixes, groups, ["digit"], "rows", total).drop("rows"), "left")
     scratch.drop("suffixes")
     release(spark)
-    reach = length - length // 4
-    whole = left.where("alike").select(
-        "id", "tk", (F.col("pos") - F.least(F.lit(reach), F.col("ahead"))).alias("start"),
-        (F.col("pos") - F.greatest(F.lit(0), F.lit(length) - F.col("after")) + length).alias("end"))
-
-    # Pass 2.
-    mixed = left.where("not alike")
-    halves = scratch.save(mixed.select(F.explode(F.array("front", "back")).alias("half")).where("half is not null")
-                          .groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves")
-    keep = ["digit", "context", "id", "tk", "pos", "ahead", "after"]
-    fronts, backs = (halves.select(F.col("half").alias(c), F.lit(True).alias(f"{c}_again")) for c in ("front", "back"))
-    mixed = scratch.save(mixed.join(fronts, "front", "left").join(backs, "back", "left")
-                         .where("front_again or back_again").select(*keep), "mixed")
-    release(spark)
 
-    # Pass 3 and 4 on one suffix of each context.
-    one = scratch.save(mixed.groupBy("digit", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tk", "pos")).alias("r"))
-                       .select("digit", "context", "n", "r.*"), "one")
-    sizes = one.groupBy("digit").agg(F.count(F.lit(1)).alias("m"))
-    hot = scratch.save(sizes.where(F.col("m") > GROUP_IN_TASK).select("digit"), "hot")
-    need = one.groupBy("id", "tk").agg(F.collect_list(F.struct("digit", "context", "n", "pos")).alias("need"))
-    contexts = scratch.save(texts.join(need.hint("shuffle_hash"), ["id", "tk"]).select("text", "need")
-                            .mapInArrow(_cut_contexts(length), "digit bigint, context bigint, n bigint, ahead int, bytes binary"),
-                            "contexts", compression="zstd")
+    # Pass 2: a row for each context.
+    one = scratch.save(left.groupBy("context").agg(
+        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("digit", "front", "back", "after")], F.min(F.struct("id", "tk", "pos")).alias("r")), "one")
+    contexts = one.count()
+
+    # Pass 3.
+    half = one.select("context", F.explode(F.array("front", "back")).alias("half")).where("half is not null")
+    halves = scratch.save(half.groupBy("half").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "halves")
+    again = join_counted(half, halves, ["half"], "kinds", 2 * contexts).select("context").distinct()
+    mixed = one.join(again, "context")
+    sizes = scratch.save(mixed.groupBy("digit").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    mixed = join_counted(mixed, sizes, ["digit"], "m", contexts)
+
+    # Pass 4, on the bytes of one suffix of each context.
+    need = mixed.groupBy("r.id", "r.tk").agg(F.collect_list(F.struct("digit", "context", "n", "m", "r.pos")).alias("need"))
+    bytes_ = scratch.save(texts.join(need.hint("shuffle_hash"), ["id", "tk"]).select("text", "need").mapInArrow(
+        _cut_contexts(length), "digit bigint, context binary, n bigint, m bigint, ahead int, bytes binary"), "contexts", compression="zstd")
     release(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = "digit bigint, context bigint, most int, least int"
-    cold = contexts.join(hot, "digit", "left_anti")
-    judged = cold.repartition(n, "digit").sortWithinPartitions("digit").mapInArrow(_repeated(length), found)
-    if not hot.isEmpty():
-        large = contexts.join(hot, "digit", "left_semi")
-        cores = scratch.save(large.mapInArrow(_cores(length), "digit bigint, context bigint, n bigint, run int, core bigint"), "cores")
-        alike = cores.groupBy("core", "run").agg((F.sum("n") > 1).alias("again")).where("again").select("core", "run")
-        alive = cores.join(alike, ["core", "run"]).groupBy("digit", "context").agg(F.collect_set("run").alias("runs"))
-        rows = scratch.save(large.join(alive, ["digit", "context"]).select("digit", "context", "n", "ahead", "bytes", "runs").mapInArrow(
-            _explode(length), "digit bigint, context bigint, n bigint, before int, window bigint"), "windows")
-        often = rows.groupBy("window", "before").agg((F.sum("n") > 1).alias("again")).where("again").select("window", "before")
-        judged = judged.unionByName(rows.join(often, ["window", "before"]).groupBy("digit", "context").agg(
-            F.max("before").cast("int").alias("most"), F.min("before").cast("int").alias("least")))
-    judged = scratch.save(judged.dropDuplicates(["digit", "context"]), "judged")
-    scratch.drop("contexts", "windows", "cores", "one")
-    parts = mixed.join(judged, ["digit", "context"]).select(
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = (bytes_.where(F.col("m") <= GROUP_IN_TASK).repartition(parts, "digit").sortWithinPartitions("digit")
+           .mapInArrow(_repeated(length), "context binary, most int, least int"))
+    judged = scratch.save(few.unionByName(_large(bytes_.where(F.col("m") > GROUP_IN_TASK), length, scratch)).dropDuplicates(["context"]), "judged")
+    scratch.drop("contexts", "runs", "hulls", "windows")
+
+    # All windows of a context that occurs twice are repeated.
+    ahead = F.least(F.lit(reach), F.col("r.pos"))
+    once = one.where("n = 1").join(judged, "context").select("context", "n", "most", "least")
+    told = scratch.save(one.where("n > 1").select("context", "n", ahead.alias("most"), F.greatest(F.lit(0), F.lit(length) - F.col("after")).alias("least"))
+                        .unionByName(once), "told")
+    parts = join_counted(left.select("context", "id", "tk", "pos"), told, ["context"], "n", total).select(
         "id", "tk", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("end"))
-    ranges = scratch.save(whole.unionByName(parts).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "end")).alias("found")), "ranges")
-    scratch.drop("left", "mixed", "halves", "judged")
+    ranges = scratch.save(parts.groupBy("id", "tk").agg(F.collect_set(F.struct("start", "end")).alias("found")), "ranges")
+    scratch.drop("left", "one", "groups", "halves", "sizes", "judged", "told")
     release(spark)
     out = (texts.join(ranges.hint("shuffle_hash"), ["id", "tk"], "left").select("id", "text", "found")
            .mapInArrow(_remove, "id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"))

@@ -60,7 +60,7 @@ def repeated_texts():
     return texts
 
 
-@pytest.mark.parametrize(("length", "group"), [(24, 2000), (40, 2), (5, 2000)])
+@pytest.mark.parametrize(("length", "group"), [(24, 2000), (40, 2), (24, 8), (5, 2000)])
 def test_suffix_dedup(spark, monkeypatch, length, group):
     monkeypatch.setattr(suffix_dedup, "GROUP_IN_TASK", group)
     texts = repeated_texts()
