@@ -76,16 +76,38 @@ def positions(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     return at, np.searchsorted(offsets, at, "right") - 1, hashes
 
 
+def _first_digits(length: int):
+    """The first digit of every suffix at a synchronising position."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, data, offsets in chunks(batch.column("text")):
+                at, doc, hashes = positions(data, offsets, length)
+                if len(at):
+                    row = pa.array(i + doc)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(hashes.ranges(at, at + length // 4).view(np.int64)), batch.column("id").take(row), batch.column("tk").take(row),
+                        pa.array((at - offsets[doc]).astype(np.int32))], names=["digit", "id", "tk", "pos"])
+    return run
+
+
+def _listed(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each element, elements) of a list column."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
 def _find(length: int):
+    """Contexts and second digits of the listed suffixes."""
     reach = length - length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column("id").to_numpy(), batch.column("tk").to_numpy()
-            for i, _, data, offsets in chunks(batch.column("text")):
-                at, doc, hashes = positions(data, offsets, length)
-                if not len(at):
-                    continue
+            row, at_in = _listed(batch.column("at"))
+            at_in = at_in.to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j, data, offsets in chunks(batch.column("text")):
+                own = slice(*np.searchsorted(row, [i, j]))
+                doc = row[own] - i
+                at = offsets[doc] + at_in[own]
+                hashes = PrefixHash(data)
                 lo = np.maximum(offsets[doc], at - reach)
                 hi = np.minimum(offsets[doc + 1], at + length)
                 raw, ahead = data.tobytes(), (at - lo).astype("<u4").tobytes()
@@ -93,11 +115,11 @@ def _find(length: int):
                 digit, half = length // 4, reach // 2
                 front = mix(hashes.ranges(np.maximum(at - half, 0), at + digit) + np.uint64(1)).view(np.int64)
                 back = hashes.ranges(at, np.minimum(at + digit + reach - half, len(data))).view(np.int64)
+                take = pa.array(row[own])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(hashes.ranges(at, at + digit).view(np.int64)), pa.array(context, pa.binary()),
                     pa.array(front, mask=at - half < lo), pa.array(back, mask=at + digit + reach - half > hi),
-                    pa.array(ids[i + doc]), pa.array(keys[i + doc]), pa.array((at - offsets[doc]).astype(np.int32)),
-                    pa.array((hi - at).astype(np.int32)),
+                    batch.column("id").take(take), batch.column("tk").take(take), pa.array(at_in[own].astype(np.int32)), pa.array((hi - at).astype(np.int32)),
                 ], names=["digit", "context", "front", "back", "id", "tk", "pos", "after"])
     return run
 
@@ -109,9 +131,7 @@ def _cut_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            need = batch.column("need")
-            fields = need.flatten()
-            doc = np.repeat(np.arange(len(need)), pc.list_value_length(need).to_numpy(zero_copy_only=False))
+            doc, fields = _listed(batch.column("need"))
             at = offsets[doc] + fields.field("pos").to_numpy(zero_copy_only=False)
             lo, hi = np.maximum(offsets[doc], at - reach), np.minimum(offsets[doc + 1], at + length)
             raw = data.tobytes()
@@ -298,15 +318,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     scratch = Scratch(spark, "suffixes")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
-    suffixes = scratch.save(texts.mapInArrow(
-        _find(length), "digit bigint, context binary, front bigint, back bigint, id bigint, tk bigint, pos int, after int"), "suffixes")
     reach = length - length // 4
 
     # Pass 1: groups of one leave.
+    suffixes = scratch.save(texts.mapInArrow(_first_digits(length), "digit bigint, id bigint, tk bigint, pos int"), "suffixes")
     groups = scratch.save(suffixes.groupBy("digit").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "groups")
     total = suffixes.count()
-    left = scratch.save(join_counted(suffixes, groups, ["digit"], "rows", total).drop("rows"), "left")
-    scratch.drop("suffixes")
+    at = join_counted(suffixes, groups, ["digit"], "rows", total).groupBy("id", "tk").agg(F.collect_set("pos").alias("at"))
+    left = scratch.save(texts.join(at.hint("shuffle_hash"), ["id", "tk"]).mapInArrow(
+        _find(length), "digit bigint, context binary, front bigint, back bigint, id bigint, tk bigint, pos int, after int"), "left")
+    scratch.drop("suffixes", "groups")
     release(spark)
 
     # Pass 2: a row for each context.
@@ -341,7 +362,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     parts = join_counted(left.select("context", "id", "tk", "pos"), told, ["context"], "n", total).select(
         "id", "tk", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("end"))
     ranges = scratch.save(parts.groupBy("id", "tk").agg(F.collect_set(F.struct("start", "end")).alias("found")), "ranges")
-    scratch.drop("left", "one", "groups", "halves", "sizes", "judged", "told")
+    scratch.drop("left", "one", "halves", "sizes", "judged", "told")
     release(spark)
     out = (texts.join(ranges.hint("shuffle_hash"), ["id", "tk"], "left").select("id", "text", "found")
            .mapInArrow(_remove, "id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"))
