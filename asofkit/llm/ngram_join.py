@@ -11,8 +11,9 @@ one representative of the column's block and the representatives with each other
 groups of near copies; round two compares what shares a column across different groups, and
 nothing is left out: blocks of rows of one column meet in a task, which discards pairs by bounds on
 their overlap - sizes, places, and a parity signature of each row, in which every n-gram flips one
-bit, so two sets differ in at least as many n-grams as their signatures in bits. Overlaps of the
-pairs that remain are counted over the whole sets.
+bit, so two sets differ in at least as many n-grams as their signatures in bits. What remains is
+multiplied in blocks: the rows that meet one head are looked up in its column set entry by entry,
+and the counts of n-grams that both have are accumulated per row and held against the size bound.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, cut, release
+from .scratch import Scratch, release
+from .skew import join_counted
 from .textbytes import chunks, mix, shingle_sets
 
 #: Counters of the sketch (bounded, 1 MB) and their blocks.
@@ -35,6 +37,10 @@ SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 14
 BLOCKS = 32
 #: Rows of a column that meet in one task of round two; bits of a row's signature.
 TILE, SIGNATURE = 1024, 1024
+#: Bits of the signature that goes with every entry: the long one folded on itself.
+FOLD = 256
+#: Rows that one copy of a head's set is multiplied with.
+ROWS_OF_HEAD = 256
 _NULL_ID = -(2**63)
 
 
@@ -78,6 +84,14 @@ def _add_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
 
+def _summed(shares: DataFrame) -> DataFrame:
+    """Block sums by a tree: a task adds about the square root of all shares of a block."""
+    n = max(1, int(shares.select("task").distinct().count() ** 0.5))
+    kinds = "block int, counts binary"
+    some = shares.groupBy("block", F.pmod("task", F.lit(n))).applyInPandas(lambda key, pdf: _add_blocks(pdf), kinds)
+    return some.groupBy("block").applyInPandas(_add_blocks, kinds)
+
+
 def _prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
@@ -98,44 +112,63 @@ def _prefixes(k: int, percent: int, shared):
                 flips = np.bincount(np.repeat(np.arange(j - i), n) * SIGNATURE + (mix(h ^ np.uint64(0xABCDEF)) % np.uint64(SIGNATURE)).astype(np.int64),
                                     minlength=(j - i) * SIGNATURE).reshape(j - i, SIGNATURE) & 1
                 packed = np.packbits(flips.astype(np.uint8), axis=1)
+                folded = np.bitwise_xor.reduce(packed.reshape(j - i, -1, FOLD // 8), axis=1)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(i, j - i), batch.column("tk").slice(i, j - i), pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(first.view(np.int64))), pa.array([r.tobytes() for r in packed], pa.binary())],
-                    names=["id", "tk", "n", "grams", "signature"])
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(first.view(np.int64))), pa.array([r.tobytes() for r in packed], pa.binary()),
+                    pa.array([r.tobytes() for r in folded], pa.binary())], names=["id", "tk", "n", "grams", "signature", "folded"])
+    return run
+
+
+def _near(percent: int):
+    """Pairs whose parity signatures leave room for the threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            apart = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+            keep = pa.array((100 + percent) * apart <= (100 - percent) * n.astype(np.int64))
+            yield batch.select(["a", "ta", "b", "tb"]).filter(keep)
     return run
 
 
 def _overlaps(k: int, percent: int):
-    """Rows sorted by pair, two of each pair: those that reach the threshold, with their overlap."""
+    """Blocks of rows times the column of their head: each entry (row, n-gram) of the block that the
+    head has too adds one to its row's count; rows below the bound are discarded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (key, side, set) of the last row that still waits for its partner
+        head, key = np.zeros(0, np.uint64), None  # rows are sorted by head, with the head's own text first
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("a", "ta", "b", "tb")], axis=1)
-            sides, out = batch.column("side").to_pylist(), []
+            heads = np.stack([batch.column(c).to_numpy() for c in ("a", "ta", "part")], axis=1)
+            side, ids = batch.column("side").to_numpy(), batch.column("b").to_numpy()
+            out: list[np.ndarray] = []
             for i, j, data, offsets in chunks(batch.column("text")):
                 h, doc = shingle_sets(data, offsets, k)
-                ends = np.cumsum(np.bincount(doc, minlength=j - i))
-                for r in range(i, j):
-                    key, own = keys[r], h[(ends[r - i - 1] if r > i else 0) : ends[r - i]]
-                    if held is None or not (held[0] == key).all():
-                        held = (key, sides[r], own.copy())
-                    elif held[1] != sides[r]:  # rows that repeat identifier and text come more than once
-                        both = len(np.intersect1d(held[2], own, assume_unique=True))
-                        if both and 100 * both >= percent * (len(held[2]) + len(own) - both):
-                            out.append((key[0], key[2], both))
-            if out:
-                a, b, both = map(list, zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(both, pa.int64())], names=["a", "b", "overlap"])
+                n = np.bincount(doc, minlength=j - i)
+                ends = np.cumsum(n)
+                cuts = [0, *(np.flatnonzero((heads[i + 1 : j] != heads[i : j - 1]).any(axis=1)) + 1).tolist(), j - i]
+                for s, e in zip(cuts, cuts[1:]):
+                    if key is None or (heads[i + s] != key).any():
+                        key, head = heads[i + s], h[ends[s] - n[s] : ends[s]].copy()
+                    block = slice(ends[s] - n[s], ends[e - 1])
+                    at = np.minimum(np.searchsorted(head, h[block]), len(head) - 1)
+                    both = np.bincount(doc[block][head[at] == h[block]] - s, minlength=e - s)
+                    fine = (side[i + s : i + e] == 1) & (both > 0) & (100 * both >= percent * (len(head) + n[s:e] - both))
+                    hit = np.flatnonzero(fine)
+                    out.append(np.stack([np.full(len(hit), key[0]), ids[i + s + hit], both[hit]]))
+            a, b, both = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(both, pa.int64())], names=["a", "b", "overlap"])
     return run
 
 
 def _survivors(percent: int):
     """Rows sorted by column and tile -> pairs of different groups that no bound discards."""
-    names = ["gram", "x", "y", "half", "id", "tk", "n", "place", "g", "signature"]
+    names = ["gram", "x", "y", "half", "id", "tk", "n", "place", "g", "folded"]
 
     def pairs(rows: dict) -> pa.RecordBatch | None:
         n, place, g, half = (np.array(rows[c]) for c in ("n", "place", "g", "half"))
-        sig = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint64).reshape(len(n), -1)
+        sig = np.frombuffer(b"".join(rows["folded"]), dtype=np.uint64).reshape(len(n), -1)
         ids, keys = np.array(rows["id"]), np.array(rows["tk"])
         same_tile = rows["x"][0] == rows["y"][0]
         out = []
@@ -181,19 +214,31 @@ def _survivors(percent: int):
 
 
 class _Join:
-    def __init__(self, texts: DataFrame, scratch: Scratch, k: int, percent: int):
-        self.texts, self.scratch, self.k, self.percent = texts, scratch, k, percent
+    def __init__(self, texts: DataFrame, signatures: DataFrame, scratch: Scratch, k: int, percent: int):
+        self.texts, self.signatures, self.scratch, self.k, self.percent = texts, signatures, scratch, k, percent
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, ta, b, tb) of row keys, distinct -> those that the signatures do not discard."""
+        end = lambda i, t, n, s: self.signatures.select(F.col("id").alias(i), F.col("tk").alias(t), F.col("n").alias(n), F.col("signature").alias(s))
+        both = pairs.join(end("a", "ta", "n", "sa"), ["a", "ta"]).join(end("b", "tb", "m", "sb"), ["b", "tb"])
+        return both.select("a", "ta", "b", "tb", "n", "m", "sa", "sb").mapInArrow(_near(self.percent), "a bigint, ta bigint, b bigint, tb bigint")
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """pairs (a, ta, b, tb) of row keys, distinct -> (a, b, overlap) of those that link."""
+        """pairs (a, ta, b, tb) of row keys, distinct -> (a, b, overlap) of those that link.
+
+        ``a`` is the head: its set is sent once for up to ROWS_OF_HEAD rows that are multiplied with it.
+        """
         n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        need = pairs.select("a", "ta", "b", "tb", F.explode(F.array(
-            F.struct(F.col("a").alias("id"), F.col("ta").alias("tk"), F.lit(0).alias("side")),
-            F.struct(F.col("b").alias("id"), F.col("tb").alias("tk"), F.lit(1).alias("side")))).alias("x")).select("a", "ta", "b", "tb", "x.*")
-        met = (self.texts.join(need.hint("shuffle_hash"), ["id", "tk"]).select("a", "ta", "b", "tb", "side", "text")
-               .repartition(n, "a", "ta", "b", "tb").sortWithinPartitions("a", "ta", "b", "tb", "side"))
-        found = met.mapInArrow(_overlaps(self.k, self.percent), "a bigint, b bigint, overlap bigint")
-        found = self.scratch.save(found, name)
+        heads = pairs.groupBy("a", "ta").agg(F.ceil(F.count(F.lit(1)) / ROWS_OF_HEAD).cast("int").alias("parts"))
+        own = heads.select(F.col("a").alias("id"), F.col("ta").alias("tk"), "a", "ta", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+        total = pairs.count()
+        rows = join_counted(pairs, pairs.groupBy("a", "ta").agg(F.count(F.lit(1)).alias("rows")), ["a", "ta"], "rows", total)
+        rows = rows.select(F.col("b").alias("id"), F.col("tb").alias("tk"), "a", "ta",
+                           F.pmod(F.xxhash64("b", "tb"), F.ceil(F.col("rows") / ROWS_OF_HEAD)).cast("int").alias("part"), F.lit(1).alias("side"))
+        need = own.unionByName(rows)
+        met = (self.texts.join(need.hint("shuffle_hash"), ["id", "tk"]).select("a", "ta", "part", "side", F.col("id").alias("b"), "text")
+               .repartition(n, "a", "ta", "part").sortWithinPartitions("a", "ta", "part", "side"))
+        found = self.scratch.save(met.mapInArrow(_overlaps(self.k, self.percent), "a bigint, b bigint, overlap bigint"), name)
         release(pairs.sparkSession)
         return found
 
@@ -222,17 +267,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     release(spark)
     sketch = np.zeros(SKETCH, dtype=np.int32)
     # At most SKETCH / SKETCH_BLOCK rows of 64 KB, however many documents there are.
-    for r in texts.mapInArrow(_sketch(k), "block int, counts binary").groupBy("block").applyInPandas(_add_blocks, "block int, counts binary").collect():
+    shares = scratch.save(texts.mapInArrow(_sketch(k), "block int, counts binary").withColumn("task", F.spark_partition_id()), "shares", compression="zstd")
+    for r in _summed(shares).collect():
         sketch[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, "<i4")
     shared = spark.sparkContext.broadcast(sketch)
-    rows = scratch.save(texts.mapInArrow(_prefixes(k, percent, shared), "id bigint, tk bigint, n int, grams array<bigint>, signature binary")
+    rows = scratch.save(texts.mapInArrow(_prefixes(k, percent, shared), "id bigint, tk bigint, n int, grams array<bigint>, signature binary, folded binary")
                         .dropDuplicates(["id", "tk"]), "rows")
     release(spark)
     grams = rows.select("id", "tk", "n", F.posexplode("grams").alias("place", "gram"))
-    frequent = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    entries = scratch.save(grams.join(frequent, "gram"), "entries")
-    signatures = scratch.save(rows.select("id", "tk", "signature"), "signatures")
-    scratch.drop("rows")
+    frequent = scratch.save(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "frequent")
+    entries = scratch.save(join_counted(grams, frequent, ["gram"], "c", grams.count()).drop("c"), "entries")
+    signatures = scratch.save(rows.select("id", "tk", "n", "signature", "folded"), "signatures")
+    scratch.drop("rows", "frequent", "shares")
     release(spark)
 
     # Round one: a row with the representative of its block, representatives with each other.
@@ -247,11 +293,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     ordered = [F.least(F.struct("id", "tk"), F.struct(F.col("i2").alias("id"), F.col("t2").alias("tk"))).alias("x"),
                F.greatest(F.struct("id", "tk"), F.struct(F.col("i2").alias("id"), F.col("t2").alias("tk"))).alias("y")]
     keys = [F.col("x.id").alias("a"), F.col("x.tk").alias("ta"), F.col("y.id").alias("b"), F.col("y.tk").alias("tb")]
-    join = _Join(texts, scratch, k, percent)
-    tried = cut(one.select(*ordered).select(*keys).distinct())
+    join = _Join(texts, signatures, scratch, k, percent)
+    tried = scratch.save(one.select(*ordered).select(*keys).distinct(), "tried")
     scratch.drop("heads")
     release(spark)
-    first = join.links(tried, "links1")
+    first = join.links(scratch.save(join.near(tried), "near1"), "links1")
     groups = connected_components(first)
 
     # Round two: all else that shares a column across different groups.
@@ -260,18 +306,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     e = scratch.save(e.join(torn, "gram"), "torn")
     # Large columns are cut into tiles by hash; a task gets two tiles of one column, or one.
     m = F.ceil(F.col("m") / TILE)
-    e = e.join(e.groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "gram").join(signatures, ["id", "tk"]).withColumn("tile", F.pmod(F.xxhash64("id", "tk"), m))
+    e = e.join(e.groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "gram").join(signatures.select("id", "tk", "folded"), ["id", "tk"]).withColumn("tile", F.pmod(F.xxhash64("id", "tk"), m))
     e = e.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))).select(
-        "gram", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"), (F.col("tile") > F.col("o")).cast("int").alias("half"), "id", "tk", "n", "place", "g", "signature")
+        "gram", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"), (F.col("tile") > F.col("o")).cast("int").alias("half"), "id", "tk", "n", "place", "g", "folded")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     two = (e.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
            .mapInArrow(_survivors(percent), "a bigint, ta bigint, b bigint, tb bigint").distinct())
-    two = cut(two.join(tried, ["a", "ta", "b", "tb"], "left_anti"))
+    two = scratch.save(join.near(two.join(tried, ["a", "ta", "b", "tb"], "left_anti")), "near2")
+    scratch.drop("torn", "entries")
+    release(spark)
     links = first.select("a", "b")
     if not two.isEmpty():
         links = links.unionByName(join.links(two, "links2").select("a", "b"))
         groups = connected_components(links)
-    scratch.drop("entries", "torn", "texts", "signatures")
+    scratch.drop("texts", "signatures", "tried", "near1", "near2")
     shared.unpersist()
 
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("m"), "rep", F.coalesce("component", "rep").alias("component"))
