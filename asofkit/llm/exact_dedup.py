@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import join_counted
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -93,11 +94,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop("state", "query")
 
     # Full bytes on hits: all texts of a digest are equal iff the smallest is the largest.
-    hits = state.where("group_size > 1").select("digest")
+    hits = state.where("group_size > 1").select("digest", "group_size")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).withColumn("digest", digest(F.col("t")))
-    differ = scratch.save(texts.join(hits.hint("shuffle_hash"), "digest", "left_semi").groupBy("digest")
+    total = rows.count()
+    # Rows of a digest with many copies are compared where they are; only the least and greatest text of each task move.
+    differ = scratch.save(join_counted(texts, hits, ["digest"], "group_size", total).groupBy("digest")
                           .agg((F.min("t") != F.max("t")).alias("differ")).where("differ").select("digest"), "differ")
-    found = rows.join(state, "digest").select(
+    found = join_counted(rows, state, ["digest"], "group_size", total).select(
         "id", F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("locator") == F.col("keep.locator")).alias("kept"), "digest")
     if differ.isEmpty():

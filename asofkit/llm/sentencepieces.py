@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kept import kept
 from .textbytes import _power, chunks, mix
 from .token_io import RaggedCache, encode_units
 
@@ -247,14 +248,9 @@ class Transducer:
         return out
 
 
-_kept: dict[str, tuple[Transducer, RaggedCache]] = {}
-
-
-def _transducer(path: str) -> tuple[Transducer, RaggedCache]:
-    """One per worker process; later tasks go on with its weights and units."""
-    if path not in _kept:
-        _kept[path] = Transducer(path), RaggedCache()
-    return _kept[path]
+def _transducer(path: str):
+    """The worker's transducer and unit cache; tasks that follow at once go on with them."""
+    return kept(("pieces", path), lambda: (Transducer(path), RaggedCache()))
 
 
 def _with_dummy_prefix(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +277,10 @@ def _unit_starts(data: np.ndarray, offsets: np.ndarray, alone: np.ndarray) -> np
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst, cache = _transducer(path)
+        with _transducer(path) as (fst, cache):
+            yield from encoded(fst, cache, batches)
+
+    def encoded(fst, cache, batches):
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
                 data, offsets = _with_dummy_prefix(data, offsets)
@@ -298,7 +297,10 @@ def _encode(path: str):
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst, _ = _transducer(path)
+        with _transducer(path) as (fst, _):
+            yield from decoded(fst, batches)
+
+    def decoded(fst, batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)

@@ -39,13 +39,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Longer tables of powers are made anew for each use, so that one long document leaves nothing behind.
+KEPT_POWERS = 1 << 22
+
+
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
         m = 1 << max(16, int(n - 1).bit_length())
         base = np.full(m, np.uint64(_BASE % 2**64 if kind == "up" else _INVERSE), dtype=np.uint64)
         base[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(base)
+        have = np.multiply.accumulate(base)
+        if m <= KEPT_POWERS:
+            _powers[kind] = have
     return have[:n]
 
 

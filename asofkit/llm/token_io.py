@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .kept import kept
 from .textbytes import SPACE, PrefixHash, chunks
 
 #: File format: delta-packed integers in version-2 pages, row groups and pages of fixed size,
@@ -173,54 +174,70 @@ def _unit_encoder(tokenizer):
     return encode
 
 
-#: Caches of this worker process by tokenizer file: later tasks start with what earlier ones met.
-_caches: dict[str, RaggedCache] = {}
+def _holds(column: pa.Array, marks: list[str]) -> np.ndarray:
+    """Which texts hold a special string."""
+    found = np.zeros(len(column), bool)
+    for m in marks:
+        found |= pc.fill_null(pc.match_substring(column, m), False).to_numpy(zero_copy_only=False)
+    return found
 
 
-def _encoder(path: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(path: str, end_id: int, plain_specials: bool):
+    def make():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
-        encode = _unit_encoder(tokenizer)
-        cache, done = _caches.setdefault(path, RaggedCache()), 0
-        for batch in batches:
-            for i, j, data, offsets in chunks(batch.column("text")):
-                n = j - i
-                starts = unit_starts(data, offsets)
-                if len(starts):
-                    ids, lens = encode_units(cache, data, starts, np.append(starts[1:], len(data)), encode)
-                    doc = np.searchsorted(offsets, starts, "right") - 1
-                    counts = np.bincount(doc, weights=lens, minlength=n).astype(np.int64)
-                else:
-                    ids, counts = np.zeros(0, np.int32), np.zeros(n, np.int64)
-                flat, bounds = with_end(ids, counts, end_id)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(i, n), batch.column("part").slice(i, n),
-                    pa.array(done + bounds[:-1], pa.int64()), pa.array(counts + 1, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())),
-                ], names=["doc_id", "part", "offset", "n_tokens", "tokens"])
-                done += int(bounds[-1])
+        tokenizer.encode_special_tokens = plain_specials
+        marks = [] if plain_specials else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        return tokenizer, marks, _unit_encoder(tokenizer), RaggedCache()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with kept(("tokens", path, plain_specials), make) as (tokenizer, marks, encode, cache):
+            done = 0
+            for batch in batches:
+                text = batch.column("text")
+                special = _holds(text, marks)  # the library cuts these texts first, so it gets them whole
+                usual = pc.if_else(pa.array(special), "", text) if special.any() else text
+                for i, j, data, offsets in chunks(usual):
+                    n = j - i
+                    starts = unit_starts(data, offsets)
+                    if len(starts):
+                        ids, lens = encode_units(cache, data, starts, np.append(starts[1:], len(data)), encode)
+                        doc = np.searchsorted(offsets, starts, "right") - 1
+                        counts = np.bincount(doc, weights=lens, minlength=n).astype(np.int64)
+                    else:
+                        ids, counts = np.zeros(0, np.int32), np.zeros(n, np.int64)
+                    for r in np.flatnonzero(special[i:j]).tolist():
+                        own = np.array(tokenizer.encode(text[i + r].as_py(), add_special_tokens=False).ids, np.int32)
+                        ids, counts[r] = np.insert(ids, int(counts[:r].sum()), own), len(own)
+                    flat, bounds = with_end(ids, counts, end_id)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("doc_id").slice(i, n), batch.column("part").slice(i, n),
+                        pa.array(done + bounds[:-1], pa.int64()), pa.array(counts + 1, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())),
+                    ], names=["doc_id", "part", "offset", "n_tokens", "tokens"])
+                    done += int(bounds[-1])
     return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id",
-                 text_col: str = "text", partitions: int | None = None) -> None:
+                 text_col: str = "text", partitions: int | None = None, plain_specials: bool = False) -> None:
     """Encode every document and write the token files in ascending identifier order.
 
     Null text is empty: only the end id. Rows that tie in the identifier (null ones come first)
     are ordered by text. An empty table writes a file without rows. Other columns are not read.
+    Special strings inside a text become their special ids, as the library does unasked; with
+    ``plain_specials`` they are ordinary text.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
              .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
              .select("doc_id", "text", F.spark_partition_id().alias("part")))
-    dealt.mapInArrow(_encoder(tokenizer_path, end_id), FILE_SCHEMA).write.options(**FORMAT).parquet(path)
+    dealt.mapInArrow(_encoder(tokenizer_path, end_id, plain_specials), FILE_SCHEMA).write.options(**FORMAT).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

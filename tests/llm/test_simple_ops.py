@@ -51,7 +51,6 @@ def test_token_files(spark, docs, n):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     path = Scratch(spark, "test").path("ids")
     token_io.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), partitions=n)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_io.token_digests(spark, path).collect())
@@ -69,7 +68,6 @@ def test_token_files_match_library_on_corpus(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     path = Scratch(spark, "test").path("ids")
     token_io.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -78,6 +76,22 @@ def test_token_files_match_library_on_corpus(spark):
     assert {r.doc_id: r.tokens for r in token_io.read_tokens(spark, path).collect()} == want
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_token_files_special_strings(spark, plain):
+    """Special strings come out as the plain library gives them, or as text where that is asked for."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = plain
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "no mark", None, "x<|endoftext|><|endoftext|>\n y", "<|endoftext"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    path = Scratch(spark, "test").path("ids")
+    token_io.write_tokens(df, path, public_tokenizers.path("byte_bpe_50k.json"), plain_specials=plain)
+    want = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in enumerate(texts)}
+    assert {r.doc_id: r.tokens for r in token_io.read_tokens(spark, path).collect()} == want
+
+
 def test_token_files_empty(spark):
     import public_tokenizers
 
