@@ -46,24 +46,24 @@ def asof_forward_strict(left: DataFrame, right: DataFrame, by: list[str], left_t
     """Left rows with ``values`` of the first right row strictly after their time, else null."""
     tie = tie or values
     seq = _sequence(left, right, by, left_time, right_time, values, tie, chunk)
-    # At equal times right rows come first, so the frame after a left row excludes them.
-    inside = Window.partitionBy(*by, "__chunk").orderBy("__t", "__side", "__tie").rowsBetween(1, Window.unboundedFollowing)
+    # Backwards in time, so that the frame grows; at equal times left rows come first and see no right row of their own time.
+    inside = Window.partitionBy(*by, "__chunk").orderBy(*[F.col(c).desc() for c in ("__t", "__side", "__tie")]).rowsBetween(Window.unboundedPreceding, -1)
     starts = seq.where("__side = 0").groupBy(*by, "__chunk").agg(F.min_by("__value", "__tie").alias("__start"))
     chunks = seq.select(*by, "__chunk").distinct().join(starts, [*by, "__chunk"], "left")
-    after = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(1, Window.unboundedFollowing)
-    carry = chunks.select(*by, "__chunk", F.first("__start", ignorenulls=True).over(after).alias("__carry"))
-    found = seq.withColumn("__found", F.first("__value", ignorenulls=True).over(inside)).where("__side = 1").join(carry, [*by, "__chunk"], "left")
+    after = Window.partitionBy(*by).orderBy(F.col("__chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.select(*by, "__chunk", F.last("__start", ignorenulls=True).over(after).alias("__carry"))
+    found = seq.withColumn("__found", F.last("__value", ignorenulls=True).over(inside)).where("__side = 1").join(carry, [*by, "__chunk"], "left")
     found = found.withColumn("__found", F.coalesce("__found", "__carry"))
     return found.select("__row.*", *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
 def interval_counts(ends: DataFrame, marks: DataFrame, end_col: str, mark_col: str, span_seconds: int, kind_col: str, kinds: list[str],
                     known_col: str | None = None, key: list[str] | None = None) -> DataFrame:
-    """Rows of ``ends`` with the count of marks in (end - span, end], by kind, and the newest mark.
+    """Rows of ``ends`` with the count of marks in (end - span, end], by kind, and ``newest_mark``, the time of the newest.
 
     Marks are copied to the few buckets of length ``span`` that an end can look into, so the join
     is an equality on the bucket with a range left over. With ``known_col`` a mark counts only if
-    known by the end.
+    known by the end, and ``newest_known`` is when the last of those counted became known.
     """
     key = key or []
     bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / span_seconds)
@@ -78,7 +78,8 @@ def interval_counts(ends: DataFrame, marks: DataFrame, end_col: str, mark_col: s
         inside &= F.col(k) == F.col(f"__k_{k}")
     hits = e.join(m, (F.col("__b") == F.col("__mb")) & inside, "left")
     counts = [F.count_if(F.col(f"__m_{kind_col}") == k).alias(f"n_{k}") for k in kinds]
-    return hits.groupBy("__id", *ends.columns).agg(*counts, F.max(f"__m_{mark_col}").alias("newest_mark")).drop("__id")
+    known = [F.max(f"__m_{known_col}").alias("newest_known")] if known_col else []
+    return hits.groupBy("__id", *ends.columns).agg(*counts, F.max(f"__m_{mark_col}").alias("newest_mark"), *known).drop("__id")
 
 
 def vintage_asof(releases: DataFrame, key: list[str], as_of, released: str = "released_at", vintage_end: str = "vintage_end_at") -> DataFrame:

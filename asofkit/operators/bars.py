@@ -109,44 +109,40 @@ def missing_times(bars: DataFrame, step_seconds: int, cap: int = 100) -> DataFra
         "instrument", F.timestamp_seconds(t("open_time") + F.col("i") * step_seconds).alias("missing_time"))
 
 
-def us_holidays(first_year: int, last_year: int) -> list[str]:
-    """Dates on which the US market rests: fixed days moved off weekends, nth weekdays, Good Friday."""
-    import calendar
+def good_fridays(first_year: int, last_year: int) -> list[str]:
+    """Two days before Easter Sunday, by Gauss's rule in its form for all Gregorian years."""
     from datetime import date, timedelta
 
-    def nth(y, m, weekday, n):
-        days = [d for d in calendar.Calendar().itermonthdates(y, m) if d.month == m and d.weekday() == weekday]
-        return days[n]
-
-    def observed(d):
-        return d + timedelta({5: -1, 6: 1}.get(d.weekday(), 0))
-
-    def easter(y):  # the anonymous Gregorian computus
-        a, (b, c) = y % 19, divmod(y, 100)
-        d, e = divmod(b, 4)
-        g = (8 * b + 13) // 25
-        h = (19 * a + b - d - g + 15) % 30
-        i, k = divmod(c, 4)
-        m = (32 + 2 * e + 2 * i - h - k) % 7
-        n = (a + 11 * h + 22 * m) // 451
-        return date(y, (h + m - 7 * n + 114) // 31, (h + m - 7 * n + 114) % 31 + 1)
-
-    out = set()
+    out = []
     for y in range(first_year, last_year + 1):
-        out |= {observed(date(y, 1, 1)), nth(y, 1, 0, 2), nth(y, 2, 0, 2), easter(y) - timedelta(2), nth(y, 5, 0, -1), observed(date(y, 6, 19)),
-                observed(date(y, 7, 4)), nth(y, 9, 0, 0), nth(y, 11, 3, 3), observed(date(y, 12, 25))}
-    return sorted(d.isoformat() for d in out)
+        century, golden = y // 100, y % 19
+        moon = (15 + century - century // 4 - (8 * century + 13) // 25 + 19 * golden) % 30  # days from 21 March to the full moon
+        moon -= moon == 29 or moon == 28 and golden > 10
+        full = date(y, 3, 21) + timedelta(moon)
+        out.append((full + timedelta(6 - full.weekday() or 7) - timedelta(2)).isoformat())  # the Sunday after it
+    return out
 
 
 def market_closed(t: Column, first_year: int = 2015, last_year: int = 2035) -> Column:
     """Whether the hour that starts at UTC time ``t`` is closed by schedule.
 
-    Closed from Friday 17:00 to Sunday 18:00 New York time, 17:00 to 18:00 every day, and on holidays.
+    Closed from Friday 17:00 to Sunday 18:00 New York time, 17:00 to 18:00 every day, and in the
+    hours that US holidays take: around Good Friday, Christmas and New Year whole days or evenings,
+    on the others from the early close to the evening's opening. Good Friday is known for the years given.
     """
     ny = F.from_utc_timestamp(t.cast("timestamp"), "America/New_York")
-    day, hour = F.weekday(ny), F.hour(ny)  # Monday is 0
+    day, hour, month, dom = F.weekday(ny), F.hour(ny), F.month(ny), F.dayofmonth(ny)  # Monday is 0
     weekend = (day == 5) | ((day == 4) & (hour >= 17)) | ((day == 6) & (hour < 18))
-    return weekend | (hour == 17) | F.date_format(ny, "yyyy-MM-dd").isin(us_holidays(first_year, last_year))
+    fridays = good_fridays(first_year, last_year)
+    good = F.date_format(ny, "yyyy-MM-dd").isin(fridays) | (F.date_format(F.date_add(ny, 1), "yyyy-MM-dd").isin(fridays) & (hour >= 17))
+    turn = (((month == 12) & (dom == 24) & (hour >= 14)) | ((month == 12) & (dom == 25) & (hour < 18))
+            | ((month == 12) & (dom == 31) & (hour >= 17)) | ((month == 1) & (dom == 1) & (hour < 18)))
+    early = (hour >= 15) & (hour < 18)
+    monday = (day == 0) & (month.isin(1, 2) & dom.between(15, 21) | (month == 5) & (dom >= 25) | (month == 9) & (dom <= 7))
+    moved = lambda m, d: (month == m) & ((dom == d) & (day < 5) | (dom == d - 1) & (day == 4) | (dom == d + 1) & (day == 0))
+    summer = (moved(6, 19) | moved(7, 4)) & F.when(day == 4, hour >= 13).otherwise(early)
+    thanks = (month == 11) & ((day == 3) & dom.between(22, 28) & early | (day == 4) & dom.between(23, 29) & (hour >= 15))
+    return weekend | (hour == 17) | good | turn | (monday & early) | summer | thanks
 
 
 def segments(bars: DataFrame, step_seconds: int = 3600) -> DataFrame:

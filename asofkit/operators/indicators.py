@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,8 @@ def ewm_mean(df: DataFrame, by: list[str], order: str, value: str, alpha: float,
     """
     w = Window.partitionBy(*by).orderBy(order)
     keep = 1.0 - alpha
+    # Powers of ``keep`` inside a chunk stay within the range of doubles.
+    chunk_rows = min(chunk_rows, max(1, int(60 / -math.log10(keep)))) if keep > 0 else 1
     d = df.withColumn("__i", F.row_number().over(w) - 1)
     d = d.withColumn("__c", F.floor(F.col("__i") / chunk_rows)).withColumn("__j", F.col("__i") % chunk_rows)
     x = F.when(F.col("__i") == 0, F.col(value)).otherwise(F.lit(alpha) * F.col(value))

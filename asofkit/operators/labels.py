@@ -22,19 +22,20 @@ def simple_label(bars: DataFrame, by: list[str], horizon: int) -> DataFrame:
 def horizon_label(bars: DataFrame, by: list[str], horizon: int, max_step_seconds: int) -> DataFrame:
     """Entry at the first open strictly after a bar's close, exit ``horizon`` bars later.
 
-    Null if a step between the bar and its exit is longer than allowed or the exit lies past the
-    end. Gaps are counted once in a running sum; equal sums mean no gap in between.
+    Null if a step between entry and exit is longer than allowed or the exit lies past the end;
+    how far the entry is from the bar does not matter. Gaps are counted once in a running sum;
+    equal sums mean no gap in between.
     """
     w = Window.partitionBy(*by).orderBy("open_time")
     long = (seconds("open_time") - F.lag(seconds("open_time")).over(w)) > max_step_seconds
     b = bars.withColumn("__rn", F.row_number().over(w)).withColumn("__long", F.coalesce(long, F.lit(False)).cast("int"))
     b = b.withColumn("__gaps", F.sum("__long").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    entry = b.select(*by, F.col("open_time").alias("entry_at"), F.col("open").alias("__entry"), F.col("__rn").alias("__entry_rn"))
-    with_entry = asof_forward_strict(b, entry, by, "close_time", "entry_at", ["entry_at", "__entry", "__entry_rn"], ["entry_at"])
+    entry = b.select(*by, F.col("open_time").alias("entry_at"), F.col("open").alias("__entry"), F.col("__rn").alias("__entry_rn"), F.col("__gaps").alias("__entry_gaps"))
+    with_entry = asof_forward_strict(b, entry, by, "close_time", "entry_at", ["entry_at", "__entry", "__entry_rn", "__entry_gaps"], ["entry_at"])
     leave = b.select(*[F.col(k).alias(f"__x_{k}") for k in by], F.col("__rn").alias("__exit_rn"), F.col("close").alias("__exit"), F.col("__gaps").alias("__exit_gaps"))
     on = [F.col(k) == F.col(f"__x_{k}") for k in by] + [F.col("__entry_rn") + horizon - 1 == F.col("__exit_rn")]
     out = with_entry.join(leave, on, "left")
-    label = F.when(F.col("__exit_gaps") == F.col("__gaps"), F.ln(F.col("__exit") / F.col("__entry")))
+    label = F.when(F.col("__exit_gaps") == F.col("__entry_gaps"), F.ln(F.col("__exit") / F.col("__entry")))
     return out.withColumn("label", label).select(*bars.columns, "entry_at", "label")
 
 

@@ -50,6 +50,9 @@ def statistical_regime() -> Column:
             .when(rank <= 0.2, "LOW_VOLATILITY").otherwise("RANGE"))
 
 
+REGIMES = ["TREND_UP", "TREND_DOWN", "RANGE", "HIGH_VOLATILITY", "LOW_VOLATILITY", "NEWS_DRIVEN", "UNKNOWN"]
+
+
 def smoothed(raw: DataFrame, hold: int = 12, confirm: int = 3) -> DataFrame:
     """``regime`` from ``raw_regime``, and the running hash of each segment's labels."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,12 +72,14 @@ def regime_run(b: DataFrame, marks: DataFrame) -> DataFrame:
     """Bars and marks (mark_at, known_at, kind news or macro) -> labelled bars, end to end.
 
     Indicators restart in every segment; a bar sees the marks of the four hours before its close
-    that were known by then; ``available_at`` is the newest input so far in the segment.
+    that were known by then; ``available_at`` is when the last input so far in the segment became
+    known. Bars may say in ``effective_at`` when they became known, marks in ``instrument`` whom they concern.
     """
     ind = indicators(bars.segments(b))
-    seen = asof.interval_counts(ind, marks, "close_time", "mark_at", SPAN_SECONDS, "kind", ["news", "macro"], known_col="known_at")
+    seen = asof.interval_counts(ind, marks, "close_time", "mark_at", SPAN_SECONDS, "kind", ["news", "macro"], known_col="known_at",
+                               key=["instrument"] if "instrument" in marks.columns else None)
     regime, confidence = rule_regime()
-    known = F.greatest("close_time", "newest_mark")
+    known = F.greatest(F.coalesce("effective_at", "close_time") if "effective_at" in b.columns else F.col("close_time"), "newest_known")
     w = Window.partitionBy("instrument", "segment").orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
     raw = (seen.withColumn("available_at", F.max(known).over(w)).withColumn("raw_regime", regime).withColumn("confidence", confidence)
            .withColumn("stat_regime", statistical_regime()))
@@ -82,16 +87,18 @@ def regime_run(b: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def regime_metrics(run: DataFrame, state: str = "regime") -> DataFrame:
-    """Unknown share, mean run length, most switches a day, agreement of rule and statistics, and the gates."""
+    """Points by regime, unknown share, mean run length, most switches a day, agreement of rule and statistics, and the gates."""
     base = run.groupBy("instrument").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col(state) == "UNKNOWN").cast("double")).alias("unknown_ratio"),
         F.avg(F.when(F.col("raw_regime") != "UNKNOWN", (F.col("raw_regime") == F.col("stat_regime")).cast("double"))).alias("agreement"),
-        F.count_if(F.col("available_at") > F.greatest("close_time", "newest_mark", "available_at")).alias("violations"))
-    runs = windows.state_runs(run, ["instrument", "segment"], "open_time", state)
+        F.count_if(F.col("available_at") > F.col("close_time")).alias("violations"),
+        *[F.count_if(F.col(state) == r).alias(f"n_{r}") for r in REGIMES])
+    # A run also ends with its segment.
+    runs = windows.state_runs(run.select("instrument", "open_time", F.struct(state, "segment").alias("s")), ["instrument"], "open_time", "s").withColumn(state, F.col(f"s.{state}"))
     length = runs.where(F.col(state) != "UNKNOWN").groupBy("instrument").agg(F.avg("n").alias("mean_run"))
-    per_day = windows.daily_switches(runs, ["instrument", "segment"], state).groupBy("instrument", "day").agg(F.sum("switches").alias("s"))
-    switches = per_day.groupBy("instrument").agg(F.max("s").alias("max_switches"))
+    per_day = windows.daily_switches(runs, ["instrument"], state)
+    switches = per_day.groupBy("instrument").agg(F.max("switches").alias("max_switches"))
     m = base.join(length, "instrument", "left").join(switches, "instrument", "left").withColumn("max_switches", F.coalesce("max_switches", F.lit(0)))
-    gates = ((F.col("unknown_ratio") <= 0.05) & (F.coalesce("mean_run", F.lit(0.0)) >= 12) & (F.col("max_switches") <= 4)
-             & (F.coalesce("agreement", F.lit(0.0)) >= 0.85) & (F.col("violations") == 0))
+    gates = ((F.col("unknown_ratio") <= 0.01) & (F.coalesce("mean_run", F.lit(0.0)) >= 12) & (F.col("max_switches") <= 6)
+             & (F.coalesce("agreement", F.lit(0.0)) >= 0.8) & (F.col("violations") == 0))
     return m.withColumn("passed", gates)

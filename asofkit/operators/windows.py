@@ -42,9 +42,9 @@ def longest_run(states: DataFrame, by: list[str], order: str, state: str) -> Dat
 
 
 def daily_switches(runs: DataFrame, by: list[str], state: str, unknown: str = "UNKNOWN") -> DataFrame:
-    """Run starts a day, without the first run of a series and those that come after UNKNOWN."""
+    """Starts of known runs a day that follow another known run directly."""
     prev = F.lag(state).over(Window.partitionBy(*by).orderBy("start_at"))
-    return (runs.withColumn("__p", prev).where(F.col("__p").isNotNull() & (F.col("__p") != unknown))
+    return (runs.withColumn("__p", prev).where(F.col("__p").isNotNull() & (F.col("__p") != unknown) & (F.col(state) != unknown))
             .groupBy(*by, F.to_date("start_at").alias("day")).agg(F.count(F.lit(1)).alias("switches")))
 
 
@@ -85,25 +85,37 @@ def equal_frequency_bins(df: DataFrame, by: list[str], order: list[Column], k: i
     return d.withColumn(name, bin_).drop("__n", "__i")
 
 
-def time_split(df: DataFrame, by: list[str], order: list[Column], embargo: int, shares: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
-    """``part`` train, validation or test by row number; ``embargo`` rows before each border are left out."""
+def time_split(df: DataFrame, by: list[str], order: list[Column], embargo: int, shares: tuple[float, float] = (0.6, 0.8),
+               minimum: int = 500, strict: bool = True) -> DataFrame:
+    """``part`` train, validation or test by row number; ``embargo`` rows after each border are left out.
+
+    A series of fewer than ``minimum`` rows is an error, or without ``strict`` has no parts.
+    """
     w = Window.partitionBy(*by)
     d = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1)
     a, b = F.floor(F.col("__n") * shares[0]), F.floor(F.col("__n") * shares[1])
-    part = (F.when(F.col("__i") < a - embargo, "train").when(F.col("__i") < a, "embargo").when(F.col("__i") < b - embargo, "validation")
-            .when(F.col("__i") < b, "embargo").otherwise("test"))
+    short = F.raise_error(F.format_string("a series has %d rows, of " + str(minimum), "__n")) if strict else F.lit(None).cast("string")
+    part = (F.when(F.col("__n") < minimum, short).when(F.col("__i") < a, "train").when(F.col("__i") < a + embargo, "embargo")
+            .when(F.col("__i") < b, "validation").when(F.col("__i") < b + embargo, "embargo").otherwise("test"))
     return d.withColumn("part", part).drop("__n", "__i")
 
 
-def walk_forward(df: DataFrame, by: list[str], order: list[Column], train: int, test: int, embargo: int) -> DataFrame:
-    """Rows of each window's test part: window number, the end of its training rows, and the row number.
+def walk_forward(df: DataFrame, by: list[str], order: list[Column], train_ratio: float, window_rows: int, horizon: int,
+                 min_train: int, min_window: int) -> DataFrame:
+    """Rows from the first test row on: row, window, train_end and whether the window is ``used``.
 
-    Window w tests rows [train + embargo + w * test, ...) and trains on all rows before its embargo.
+    The first window starts at ``train_ratio`` of the rows. A window trains on all rows that end
+    ``horizon`` rows before it, so that no label reaches into it; it is skipped if it or its
+    training part is too short.
     """
-    d = df.withColumn("row", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    first = train + embargo
-    return (d.where(F.col("row") >= first).withColumn("window", F.floor((F.col("row") - first) / test))
-            .withColumn("train_end", F.lit(train) + F.col("window") * test))
+    w = Window.partitionBy(*by)
+    d = df.withColumn("row", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    d = d.withColumn("__first", F.floor(F.col("__n") * train_ratio)).where("row >= __first")
+    d = d.withColumn("window", F.floor((F.col("row") - F.col("__first")) / window_rows))
+    start = F.col("__first") + F.col("window") * window_rows
+    d = d.withColumn("train_end", F.greatest(start - horizon, F.lit(0)))
+    size = F.least(start + window_rows, F.col("__n")) - start
+    return d.withColumn("used", (F.col("train_end") >= min_train) & (size >= min_window)).drop("__n", "__first")
 
 
 def every_nth(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -117,6 +129,6 @@ def q_values(tests: DataFrame, family: list[str], p: str, tie: list[str]) -> Dat
     known = tests.where(F.col(p).isNotNull())
     w = Window.partitionBy(*family)
     ranked = known.withColumn("__r", F.row_number().over(w.orderBy(p, *tie))).withColumn("__m", F.count(F.lit(1)).over(w))
-    q = F.min(F.col(p) * F.col("__m") / F.col("__r")).over(w.orderBy("__r").rowsBetween(0, Window.unboundedFollowing))
+    q = F.min(F.col(p) * F.col("__m") / F.col("__r")).over(w.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0))
     out = ranked.withColumn("q", F.least(q, F.lit(1.0))).drop("__r", "__m")
     return out.unionByName(tests.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))

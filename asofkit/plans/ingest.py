@@ -130,7 +130,7 @@ def technical_signal(spark, d):
     """Logistic regression on window features, judged on the untouched last fifth of each instrument."""
     f = windows.return_features(a.bars_1h(spark, d), ["instrument"])
     f = labels.simple_label(f, ["instrument"], 4).where("label is not null and volatility is not null")
-    parts = windows.time_split(f, ["instrument"], [F.col("open_time")], 24).withColumn("hit", F.col("label") > 0)
+    parts = windows.time_split(f, ["instrument"], [F.col("open_time")], 24, minimum=100, strict=False).withColumn("hit", F.col("label") > 0)
     test = signal.fit_signal(parts, ["log_return", "momentum", "mean_gap", "volatility", "breakout"], "hit")
     return skill.signal_metrics(test, ["instrument"], "p", "hit", "p", "label")
 

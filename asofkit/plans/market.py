@@ -93,8 +93,16 @@ def missing_bar_times(spark, d):
     return bars.missing_times(a.bars_1h(spark, d), 3600).select("instrument", a.stamp("missing_time").alias("missing_time"))
 
 
-_HOL = ", ".join(f"'{x}'" for x in bars.us_holidays(2023, 2025))
-_CLOSED = """(isodow({l}) = 6 OR (isodow({l}) = 5 AND hour({l}) >= 17) OR (isodow({l}) = 7 AND hour({l}) < 18) OR hour({l}) = 17 OR strftime({l}, '%Y-%m-%d') IN (""" + _HOL + "))"
+# The holiday windows of 2023 to 2025 as a list of (first closed hour, first open hour again), New York time.
+_HOLIDAYS = [
+    *((f"{d} 15:00", f"{d} 18:00") for d in (
+        "2023-01-16", "2024-01-15", "2025-01-20", "2023-02-20", "2024-02-19", "2025-02-17", "2023-05-29", "2024-05-27", "2025-05-26", "2023-09-04", "2024-09-02",
+        "2025-09-01", "2023-06-19", "2024-06-19", "2025-06-19", "2023-07-04", "2024-07-04", "2023-11-23", "2024-11-28", "2025-11-27")),
+    ("2023-04-06 17:00", "2023-04-08 00:00"), ("2024-03-28 17:00", "2024-03-30 00:00"), ("2025-04-17 17:00", "2025-04-19 00:00"),
+    ("2025-07-04 13:00", "2025-07-05 00:00"), ("2023-11-24 15:00", "2023-11-25 00:00"), ("2024-11-29 15:00", "2024-11-30 00:00"), ("2025-11-28 15:00", "2025-11-29 00:00"),
+    *((f"{y}-12-24 14:00", f"{y}-12-25 18:00") for y in (2023, 2024, 2025)), *((f"{y}-12-31 17:00", f"{y + 1}-01-01 18:00") for y in (2022, 2023, 2024, 2025))]
+_HOL = " OR ".join(f"({{l}} >= TIMESTAMP '{a}' AND {{l}} < TIMESTAMP '{b}')" for a, b in _HOLIDAYS)
+_CLOSED = "(isodow({l}) = 6 OR (isodow({l}) = 5 AND hour({l}) >= 17) OR (isodow({l}) = 7 AND hour({l}) < 18) OR hour({l}) = 17 OR " + _HOL + ")"
 
 
 @query(f"""WITH {a.BARS}, s AS (SELECT instrument, open_time AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS l FROM bars)
@@ -161,7 +169,7 @@ def longest_state_run(spark, d):
 
 
 @query(f"""WITH {_STATE}{_ISL}, p AS (SELECT *, lag(state) OVER (PARTITION BY instrument ORDER BY start_at) AS ps FROM runs)
-SELECT instrument, CAST(CAST(start_at AS DATE) AS VARCHAR) AS day, count(*) AS switches FROM p WHERE ps IS NOT NULL AND ps <> 'UNKNOWN' GROUP BY ALL""")
+SELECT instrument, CAST(CAST(start_at AS DATE) AS VARCHAR) AS day, count(*) AS switches FROM p WHERE ps IS NOT NULL AND ps <> 'UNKNOWN' AND state <> 'UNKNOWN' GROUP BY ALL""")
 def daily_state_switches(spark, d):
     r = windows.state_runs(_states(spark, d), ["instrument"], "open_time", "state")
     return windows.daily_switches(r, ["instrument"], "state").withColumn("day", F.col("day").cast("string"))
@@ -186,7 +194,7 @@ def simple_label(spark, d):
 
 @query(f"""WITH {a.BARS}, n AS (SELECT *, row_number() OVER ({_W}) AS rn, lag(open_time) OVER ({_W}) AS po FROM bars),
   s AS (SELECT *, sum(CASE WHEN open_time - po > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER ({_W}) AS gaps FROM n)
-SELECT e.instrument, {t('b.open_time')} AS open_time, round(CASE WHEN x.gaps = b.gaps THEN ln(x.close / e.open) END, 6) AS label
+SELECT e.instrument, {t('b.open_time')} AS open_time, round(CASE WHEN x.gaps = e.gaps THEN ln(x.close / e.open) END, 6) AS label
 FROM s b JOIN s e ON b.instrument = e.instrument AND e.rn = (SELECT min(q.rn) FROM s q WHERE q.instrument = b.instrument AND q.open_time > b.close_time)
 LEFT JOIN s x ON x.instrument = e.instrument AND x.rn = e.rn + 23""")
 def horizon_label(spark, d):
@@ -227,13 +235,16 @@ def strict_entry(spark, d):
 
 @query(f"""WITH {a.BARS}, {a.OPINIONS}
 SELECT b.instrument, {t('b.close_time')} AS close_time, count(*) FILTER (WHERE o.stance = 'LONG') AS n_LONG, count(*) FILTER (WHERE o.stance = 'SHORT') AS n_SHORT,
-  {t('max(o.effective_at)')} AS newest_mark FROM bars b LEFT JOIN opinions o ON o.instrument = b.instrument AND o.effective_at <= b.close_time
-  AND o.effective_at > b.close_time - INTERVAL 4 HOUR GROUP BY b.instrument, b.close_time""")
+  {t('max(o.effective_at)')} AS newest_mark, {t('max(o.effective_at + to_minutes(opinion_id % 90))')} AS newest_known
+  FROM bars b LEFT JOIN opinions o ON o.instrument = b.instrument AND o.effective_at <= b.close_time
+  AND o.effective_at > b.close_time - INTERVAL 4 HOUR AND o.effective_at + to_minutes(opinion_id % 90) <= b.close_time GROUP BY b.instrument, b.close_time""")
 def marks_before_close(spark, d):
     b = a.bars_1h(spark, d).select("instrument", "close_time")
-    o = a.opinions(spark, d).select("instrument", "stance", F.col("effective_at").cast("timestamp").alias("effective_at"))
-    got = asof.interval_counts(b, o, "close_time", "effective_at", 4 * 3600, "stance", ["LONG", "SHORT"], key=["instrument"])
-    return got.select("instrument", a.stamp("close_time").alias("close_time"), "n_LONG", "n_SHORT", a.stamp("newest_mark").alias("newest_mark"))
+    o = a.opinions(spark, d).select("instrument", "stance", F.col("effective_at").cast("timestamp").alias("effective_at"),
+                                    F.expr("timestampadd(MINUTE, cast(opinion_id % 90 as int), effective_at)").cast("timestamp").alias("known_at"))
+    got = asof.interval_counts(b, o, "close_time", "effective_at", 4 * 3600, "stance", ["LONG", "SHORT"], known_col="known_at", key=["instrument"])
+    return got.select("instrument", a.stamp("close_time").alias("close_time"), "n_LONG", "n_SHORT", a.stamp("newest_mark").alias("newest_mark"),
+                      a.stamp("newest_known").alias("newest_known"))
 
 
 @query()

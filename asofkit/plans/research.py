@@ -141,17 +141,18 @@ def q_values(spark, d):
 
 
 @query(f"""WITH {a.BARS}, n AS (SELECT instrument, open_time, count(*) OVER (PARTITION BY instrument) AS n, row_number() OVER (PARTITION BY instrument ORDER BY open_time) - 1 AS i FROM bars)
-SELECT instrument, CASE WHEN i < floor(n * 0.6) - 24 THEN 'train' WHEN i < floor(n * 0.6) THEN 'embargo' WHEN i < floor(n * 0.8) - 24 THEN 'validation'
-  WHEN i < floor(n * 0.8) THEN 'embargo' ELSE 'test' END AS part, count(*) AS n FROM n GROUP BY ALL""")
+SELECT instrument, CASE WHEN n < 500 THEN NULL WHEN i BETWEEN floor(n * 0.6) AND floor(n * 0.6) + 23 OR i BETWEEN floor(n * 0.8) AND floor(n * 0.8) + 23 THEN 'embargo'
+  WHEN i >= floor(n * 0.8) THEN 'test' WHEN i >= floor(n * 0.6) THEN 'validation' ELSE 'train' END AS part, count(*) AS n FROM n GROUP BY ALL""")
 def time_split(spark, d):
-    return windows.time_split(a.bars_1h(spark, d), ["instrument"], [F.col("open_time")], 24).groupBy("instrument", "part").agg(F.count(F.lit(1)).alias("n"))
+    return windows.time_split(a.bars_1h(spark, d), ["instrument"], [F.col("open_time")], 24, strict=False).groupBy("instrument", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {a.BARS}, n AS (SELECT instrument, open_time, row_number() OVER (PARTITION BY instrument ORDER BY open_time) - 1 AS i FROM bars)
-SELECT instrument, CAST((i - 224) // 50 AS BIGINT) AS "window", CAST(200 + (i - 224) // 50 * 50 AS BIGINT) AS train_end, count(*) AS n, {T('min(open_time)')} AS start_at FROM n WHERE i >= 224 GROUP BY ALL""")
+@query(f"""WITH {a.BARS}, c AS (SELECT instrument, count(*) AS n, CAST(floor(count(*) * 0.5) AS BIGINT) AS s FROM bars GROUP BY ALL),
+  w AS (SELECT instrument, n, s + k * 100 AS b, least(s + k * 100 + 100, n) AS e, k FROM c, range(0, 100000) r(k) WHERE s + k * 100 < n)
+SELECT instrument, k AS "window", greatest(b - 24, 0) AS train_end, e - b AS n, greatest(b - 24, 0) >= 200 AND e - b >= 30 AS used FROM w""")
 def walk_forward_windows(spark, d):
-    w = windows.walk_forward(a.bars_1h(spark, d), ["instrument"], [F.col("open_time")], 200, 50, 24)
-    return w.groupBy("instrument", "window", "train_end").agg(F.count(F.lit(1)).alias("n"), a.stamp(F.min("open_time")).alias("start_at"))
+    w = windows.walk_forward(a.bars_1h(spark, d), ["instrument"], [F.col("open_time")], 0.5, 100, 24, 200, 30)
+    return w.groupBy("instrument", "window", "train_end", "used").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {a.BARS}, n AS (SELECT instrument, open_time, row_number() OVER (PARTITION BY instrument ORDER BY open_time) - 1 AS i FROM bars) SELECT instrument, {T('open_time')} AS open_time FROM n WHERE i % 24 = 0")

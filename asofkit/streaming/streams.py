@@ -20,7 +20,7 @@ def complete_bars_stream(minutes: DataFrame, bucket: str, need: int, lateness: s
     """
     g = (minutes.withWatermark("open_time", lateness).groupBy("instrument", F.window("open_time", bucket))
          .agg(F.min_by("open", "open_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time").alias("close"),
-              F.sum("volume").alias("volume"), F.approx_count_distinct("open_time", 0.01).alias("times"), F.count(F.lit(1)).alias("n")))
+              F.sum("volume").alias("volume"), F.size(F.collect_set("open_time")).alias("times"), F.count(F.lit(1)).alias("n")))
     return g.where((F.col("n") == need) & (F.col("times") == need)).select("instrument", F.col("window.start").alias("open_time"), F.col("window.end").alias("close_time"), "open", "high", "low", "close", "volume")
 
 
@@ -74,7 +74,40 @@ def smoothed_stream(labels: DataFrame, hold: int = 12, confirm: int = 3) -> Data
         Smoother(hold, confirm), outputStructType="instrument string, open_time timestamp, segment bigint, regime string", outputMode="Append", timeMode="None")
 
 
-def stale_sources_stream(runs: DataFrame, lateness: str, slot: str = "30 minutes") -> DataFrame:
-    """Successful runs by slot and source; three slots without one make a source stale."""
-    return (runs.where("status = 'SUCCESS'").withWatermark("started_at", lateness).groupBy("source", F.window("started_at", slot))
-            .agg(F.count(F.lit(1)).alias("succeeded")).select("source", F.col("window.start").alias("slot"), "succeeded"))
+class Staleness(StatefulProcessor):
+    """Keeps each source's last success; a timer fires when none has followed for ``limit_ms``."""
+
+    def __init__(self, limit_ms: int):
+        self.limit_ms = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = max((pdf["started_at"].max() for pdf in rows if len(pdf)), default=None)
+        known = self.last.get()[0] if self.last.exists() else None
+        if newest is not None and (known is None or newest > pd.Timestamp(known)):
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.last.update((newest.to_pydatetime(),))
+            self.handle.registerTimer(int(newest.timestamp() * 1000) + self.limit_ms)
+        yield pd.DataFrame({"source": [], "last_success": [], "stale_at": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = pd.Timestamp(self.last.get()[0])
+        yield pd.DataFrame({"source": [key[0]], "last_success": [at], "stale_at": [at + pd.Timedelta(milliseconds=self.limit_ms)]})
+
+    def close(self) -> None:
+        pass
+
+
+def stale_sources_stream(runs: DataFrame, lateness: str, limit_seconds: int = 5400) -> DataFrame:
+    """(source, last_success, stale_at) once the watermark passes ``limit_seconds`` without a success.
+
+    Every run moves the watermark, so other sources' runs show that time goes on. Needs the RocksDB state store.
+    """
+    good = runs.withWatermark("started_at", lateness).where("status = 'SUCCESS'")
+    return good.groupBy("source").transformWithStateInPandas(
+        Staleness(limit_seconds * 1000), outputStructType="source string, last_success timestamp, stale_at timestamp",
+        outputMode="Append", timeMode="EventTime")
