@@ -22,7 +22,9 @@ STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # One bounded memory pool for all state partitions of an executor.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    # Small tables in memory: every state partition of an executor has one.
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     # Else each state partition reserves 4 MB of disk for its manifest before it holds a row.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

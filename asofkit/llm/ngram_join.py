@@ -37,8 +37,6 @@ SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 14
 BLOCKS = 32
 #: Rows of a column that meet in one task of round two; bits of a row's signature.
 TILE, SIGNATURE = 1024, 1024
-#: Bits of the signature that goes with every entry: the long one folded on itself.
-FOLD = 256
 #: Rows that one copy of a head's set is multiplied with.
 ROWS_OF_HEAD = 256
 _NULL_ID = -(2**63)
@@ -112,11 +110,10 @@ def _prefixes(k: int, percent: int, shared):
                 flips = np.bincount(np.repeat(np.arange(j - i), n) * SIGNATURE + (mix(h ^ np.uint64(0xABCDEF)) % np.uint64(SIGNATURE)).astype(np.int64),
                                     minlength=(j - i) * SIGNATURE).reshape(j - i, SIGNATURE) & 1
                 packed = np.packbits(flips.astype(np.uint8), axis=1)
-                folded = np.bitwise_xor.reduce(packed.reshape(j - i, -1, FOLD // 8), axis=1)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(i, j - i), batch.column("tk").slice(i, j - i), pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(first.view(np.int64))), pa.array([r.tobytes() for r in packed], pa.binary()),
-                    pa.array([r.tobytes() for r in folded], pa.binary())], names=["id", "tk", "n", "grams", "signature", "folded"])
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(first.view(np.int64))), pa.array([r.tobytes() for r in packed], pa.binary())],
+                    names=["id", "tk", "n", "grams", "signature"])
     return run
 
 
@@ -164,11 +161,11 @@ def _overlaps(k: int, percent: int):
 
 def _survivors(percent: int):
     """Rows sorted by column and tile -> pairs of different groups that no bound discards."""
-    names = ["gram", "x", "y", "half", "id", "tk", "n", "place", "g", "folded"]
+    names = ["gram", "x", "y", "half", "id", "tk", "n", "place", "g", "signature"]
 
     def pairs(rows: dict) -> pa.RecordBatch | None:
         n, place, g, half = (np.array(rows[c]) for c in ("n", "place", "g", "half"))
-        sig = np.frombuffer(b"".join(rows["folded"]), dtype=np.uint64).reshape(len(n), -1)
+        sig = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint64).reshape(len(n), -1)
         ids, keys = np.array(rows["id"]), np.array(rows["tk"])
         same_tile = rows["x"][0] == rows["y"][0]
         out = []
@@ -271,13 +268,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     for r in _summed(shares).collect():
         sketch[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, "<i4")
     shared = spark.sparkContext.broadcast(sketch)
-    rows = scratch.save(texts.mapInArrow(_prefixes(k, percent, shared), "id bigint, tk bigint, n int, grams array<bigint>, signature binary, folded binary")
+    rows = scratch.save(texts.mapInArrow(_prefixes(k, percent, shared), "id bigint, tk bigint, n int, grams array<bigint>, signature binary")
                         .dropDuplicates(["id", "tk"]), "rows")
     release(spark)
     grams = rows.select("id", "tk", "n", F.posexplode("grams").alias("place", "gram"))
     frequent = scratch.save(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "frequent")
     entries = scratch.save(join_counted(grams, frequent, ["gram"], "c", grams.count()).drop("c"), "entries")
-    signatures = scratch.save(rows.select("id", "tk", "n", "signature", "folded"), "signatures")
+    signatures = scratch.save(rows.select("id", "tk", "n", "signature"), "signatures")
     scratch.drop("rows", "frequent", "shares")
     release(spark)
 
@@ -306,13 +303,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     e = scratch.save(e.join(torn, "gram"), "torn")
     # Large columns are cut into tiles by hash; a task gets two tiles of one column, or one.
     m = F.ceil(F.col("m") / TILE)
-    e = e.join(e.groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "gram").join(signatures.select("id", "tk", "folded"), ["id", "tk"]).withColumn("tile", F.pmod(F.xxhash64("id", "tk"), m))
+    e = e.join(e.groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "gram").join(signatures.select("id", "tk", "signature"), ["id", "tk"]).withColumn("tile", F.pmod(F.xxhash64("id", "tk"), m))
     e = e.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))).select(
-        "gram", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"), (F.col("tile") > F.col("o")).cast("int").alias("half"), "id", "tk", "n", "place", "g", "folded")
+        "gram", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"), (F.col("tile") > F.col("o")).cast("int").alias("half"), "id", "tk", "n", "place", "g", "signature")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     two = (e.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
            .mapInArrow(_survivors(percent), "a bigint, ta bigint, b bigint, tb bigint").distinct())
-    two = scratch.save(join.near(two.join(tried, ["a", "ta", "b", "tb"], "left_anti")), "near2")
+    two = scratch.save(two.join(tried, ["a", "ta", "b", "tb"], "left_anti"), "near2")
     scratch.drop("torn", "entries")
     release(spark)
     links = first.select("a", "b")

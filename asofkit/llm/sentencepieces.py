@@ -54,12 +54,6 @@ class Transducer:
         self.names = names
         self.weights: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}  # pieces that come out whole at the start of a unit
-        #: What each id stands for when decoding.
-        surface = [b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else bytes([int(names[i][3:-1], 16)]) if model.is_byte(i)
-                   else names[i].replace(SPACE_MARK, " ").encode() for i in range(n)]
-        self.surface = np.frombuffer(b"".join(surface), dtype=np.uint8)
-        self.surface_start = np.concatenate([[0], np.cumsum([len(x) for x in surface])])
-        self.dummy = np.array([p.startswith(SPACE_MARK) for p in names])
 
     def merge(self, text: str) -> list[str]:
         """The model's merges, best score first and leftmost of equals."""
@@ -253,6 +247,21 @@ def _transducer(path: str):
     return kept(("pieces", path), lambda: (Transducer(path), RaggedCache()))
 
 
+class Surfaces:
+    """What each id stands for when decoding."""
+
+    def __init__(self, model_path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        text = [b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else bytes([int(p[3:-1], 16)]) if model.is_byte(i)
+                else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(names)]
+        self.surface = np.frombuffer(b"".join(text), dtype=np.uint8)
+        self.surface_start = np.concatenate([[0], np.cumsum([len(x) for x in text])])
+        self.dummy = np.array([p.startswith(SPACE_MARK) for p in names])
+
+
 def _with_dummy_prefix(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A space in front of each document that is not empty."""
     add = (np.diff(offsets) > 0).astype(np.int64)
@@ -297,7 +306,7 @@ def _encode(path: str):
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _transducer(path) as (fst, _):
+        with kept(("surfaces", path), lambda: Surfaces(path)) as fst:
             yield from decoded(fst, batches)
 
     def decoded(fst, batches):
