@@ -169,3 +169,60 @@ def stratified_sample(posts: DataFrame, k: int, seed: int, source_cap: int, day:
     in_source = F.row_number().over(Window.partitionBy(source).orderBy("__c", "bucket", "__h"))
     d = d.withColumn("__s", in_source).where(F.col("__s") <= source_cap)
     return d.orderBy("__s", "__h", "post_id").limit(k).drop("__h", "__d", "__c", "__s")
+
+
+#: Upper bounds of price differences; larger ones are ``>10``.
+PRICE_BANDS = [0.5, 1.0, 5.0, 10.0]
+
+
+def price_band(gold: Column, pred: Column) -> Column:
+    """Band of the distance of two prices; null unless both are numbers."""
+    diff = F.abs(gold.try_cast("decimal(38,10)") - pred.try_cast("decimal(38,10)"))
+    out = F.lit(">10")
+    for limit in reversed(PRICE_BANDS):
+        out = F.when(diff <= limit, f"<={limit:g}").otherwise(out)
+    return F.when(diff.isNotNull(), out)
+
+
+def run_stats(posts: DataFrame, drafts: DataFrame, confidence: str = "confidence") -> DataFrame:
+    """(metric, value) of an extractor's run: posts with and without opinion or with several, drafts, unknown stances, confidences."""
+    n = drafts.groupBy("post_id").agg(F.count(F.lit(1)).alias("n"))
+    p = posts.select("post_id").join(n, "post_id", "left").agg(
+        F.count(F.lit(1)).alias("posts"), F.count("n").alias("posts_with_opinion"), F.count_if(F.col("n").isNull()).alias("posts_without_opinion"), F.count_if(F.col("n") > 1).alias("posts_with_several"))
+    c = F.col(confidence)
+    d = drafts.agg(F.count(F.lit(1)).alias("drafts"), F.count_if(F.col("stance") == "UNKNOWN").alias("unknown_stance"), F.count_if(c.isNull()).alias("confidence_missing"),
+                   F.count_if(~c.between(0, 1)).alias("confidence_invalid"))
+    return p.crossJoin(d).unpivot([], [*p.columns, *d.columns], "metric", "value")  # one row each
+
+
+def price_bands(cells: DataFrame, fields: list[str]) -> DataFrame:
+    """Wrong prices by field and distance from the gold price."""
+    band = price_band(F.col("gold"), F.col("pred"))
+    return (cells.where(F.col("field").isin(fields) & (F.col("outcome") == "wrong")).withColumn("band", band).where("band is not null")
+            .groupBy("field", "band").agg(F.count(F.lit(1)).alias("n")))
+
+
+def stats_by_side(pairs: DataFrame, source: str | None = None) -> DataFrame:
+    """Outcome counts by run side and field of aligned cells (post_id, field, gold, gold_source, left_outcome, right_outcome)."""
+    p = pairs if source is None else pairs.where(F.col("gold_source") == source)
+    long = p.unpivot(["field", "gold"], ["left_outcome", "right_outcome"], "side", "outcome")
+    return long.groupBy(F.regexp_replace("side", "_outcome$", "").alias("side"), "field").agg(
+        F.count(F.lit(1)).alias("cells"), F.count("gold").alias("gold_present"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
+
+
+def refusals(cells: DataFrame, layer: str, core: str) -> DataFrame:
+    """Per layer: posts without any value, how often the core field refuses a direction, and values that nobody scored."""
+    posts = cells.groupBy(layer, "post_id").agg(F.bool_or(F.col("pred").isNotNull()).alias("any"))
+    empty = posts.groupBy(layer).agg(F.count(F.lit(1)).alias("posts"), F.count_if(~F.col("any")).alias("without_opinion"))
+    given = (F.col("field") == core) & F.col("pred").isNotNull()
+    extra = F.col("outcome") == "not_evaluated"
+    rest = cells.groupBy(layer).agg(F.count_if(given).alias("directions"), F.count_if(given & (F.col("pred") == "UNKNOWN")).alias("refused"),
+                                    F.count_if(extra).alias("unscored"), F.count_if(extra & F.col("pred").isNotNull()).alias("unscored_with_value"))
+    return empty.join(rest, layer).withColumn("refusal_rate", F.try_divide(F.col("refused"), F.col("directions")))
+
+
+def label_conflicts(rows: DataFrame, text: str, negative: Column, positive: Column, up: list[str], down: list[str]) -> DataFrame:
+    """Rows whose label speaks against cue words in their text, with those cues. Labels stay as they are."""
+    found = lambda cues: F.filter(F.array(*[F.when(F.contains(F.col(text), F.lit(c)), F.lit(c)) for c in cues]), lambda x: x.isNotNull())
+    cues = F.when(negative, found(up)).when(positive, found(down))
+    return rows.withColumn("cues", cues).where(F.size("cues") > 0)

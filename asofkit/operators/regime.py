@@ -88,6 +88,7 @@ def regime_run(b: DataFrame, marks: DataFrame) -> DataFrame:
 
 def regime_metrics(run: DataFrame, state: str = "regime") -> DataFrame:
     """Points by regime, unknown share, mean run length, most switches a day, agreement of rule and statistics, and the gates."""
+    run = cut(run.select("instrument", "segment", "open_time", "close_time", "available_at", "raw_regime", "stat_regime", state))  # read three times
     base = run.groupBy("instrument").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col(state) == "UNKNOWN").cast("double")).alias("unknown_ratio"),
         F.avg(F.when(F.col("raw_regime") != "UNKNOWN", (F.col("raw_regime") == F.col("stat_regime")).cast("double"))).alias("agreement"),

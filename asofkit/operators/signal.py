@@ -26,7 +26,7 @@ def fit_signal(df: DataFrame, features: list[str], label: str, model: str = "log
     if model == "logistic":
         fit = LogisticRegression(featuresCol="x", labelCol="y", standardization=False, regParam=1.0 / max(train.count(), 1), rawPredictionCol="raw").fit(train)
     else:
-        fit = GBTClassifier(featuresCol="x", labelCol="y", maxIter=20, maxDepth=3, seed=7, rawPredictionCol="raw").fit(train)
+        fit = GBTClassifier(featuresCol="x", labelCol="y", maxIter=10, maxDepth=3, seed=7).setRawPredictionCol("raw").fit(train)
     scored = fit.transform(z).withColumn("logit", vector_to_array("raw")[1])
     one = VectorAssembler(inputCols=["logit"], outputCol="l").transform(scored)
     platt = LogisticRegression(featuresCol="l", labelCol="y", standardization=False, probabilityCol="pp", rawPredictionCol="pr", predictionCol="pd").fit(one.where("part = 'validation'").select("l", "y"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import ingest, market, research
+    from . import ingest, intake, market, research
 
-    return [market, research, ingest]
+    return [market, research, ingest, intake]
 
 
 def queries() -> dict:

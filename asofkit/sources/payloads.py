@@ -135,7 +135,7 @@ def feed_entries(payloads: DataFrame, max_items: int = 200) -> DataFrame:
             .withColumn("published_at", at).withColumn("ambiguous_time", ambiguous).drop("__n", "pos"))
 
 
-_CANDLE = struct.Struct(">5if")
+_CANDLE = ">5if"  # second, open, close, low, high, volume
 
 
 def _minutes(scale: float):
@@ -143,9 +143,9 @@ def _minutes(scale: float):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 raw = lzma.decompress(content) if len(content) else b""
-                if len(raw) % _CANDLE.size:
+                if len(raw) % struct.calcsize(_CANDLE):
                     raise ValueError(f"{path}: size is no multiple of a record")
-                rows = list(_CANDLE.iter_unpack(raw))
+                rows = list(struct.iter_unpack(_CANDLE, raw))
                 out = pd.DataFrame(rows, columns=["second", "open", "close", "low", "high", "volume"])
                 s = out["second"]
                 if (s % 60 != 0).any() or (s.diff().dropna() <= 0).any():
@@ -167,14 +167,15 @@ def corpus_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) ->
     """Corpus files in UTF-8 or, where their bytes are not, in GB18030, with aliased columns."""
     from ..operators.evidence import canonical_columns
 
-    probe = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
-    out = None
-    for utf8, encoding in ((True, "UTF-8"), (False, "GB18030")):
-        paths = [r.path for r in probe.where(F.col("utf8") == utf8).select("path").collect()]
-        if paths:
-            df, _ = canonical_columns(spark.read.csv(paths, header=True, encoding=encoding, multiLine=True, escape='"'), aliases)
-            out = df if out is None else out.unionByName(df)
-    return out
+    read = lambda paths, encoding: canonical_columns(spark.read.csv(paths, header=True, encoding=encoding, multiLine=True, escape='"'), aliases)[0]
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    # Only the names of files in the other encoding come here, the exception; the rest is read as a folder.
+    other = [r.path for r in files.where(~F.col("utf8")).select("path").toLocalIterator()]
+    if not other:
+        return read(path, "UTF-8")
+    name = F.input_file_name()
+    utf8 = canonical_columns(spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, escape='"').withColumn("__file", name), aliases | {"__file": []})[0]
+    return utf8.where(~F.col("__file").isin(other)).drop("__file").unionByName(read(other, "GB18030"))
 
 
 def quarantined_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -189,3 +190,63 @@ def benchmark_cells(rows: DataFrame, text: str, flags: dict[str, str]) -> DataFr
     """Labelled headlines -> one cell per field; a missing label gives a skipped row with its reason."""
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("gold"), F.when(F.col(c).isNull(), "missing label").alias("skip_reason")) for f, c in flags.items()])
     return rows.select("row_id", F.col(text).alias("text"), F.explode(cells).alias("c")).select("row_id", "text", "c.*")
+
+
+def probe_rows(payloads: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Chart rows with all four prices; a missing volume is NaN, not null."""
+    pts = chart_points(payloads, keep=keep)
+    whole = pts.where(F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull())
+    return whole.withColumn("volume", F.coalesce(F.col("volume").cast("double"), F.lit(float("nan"))))
+
+
+def daily_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bars, skipped) of text rows (instrument, date, open, high, low, close, volume).
+
+    A price or date that is missing or no number is an error, since it says that the source has
+    changed; prices that contradict each other are a row to skip.
+    """
+    number = lambda c: F.col(c).try_cast("decimal(20,8)")
+    day = F.try_to_timestamp("date", F.lit("yyyy-MM-dd"))
+    broken = day.isNull() | number("open").isNull() | number("high").isNull() | number("low").isNull() | number("close").isNull()
+    d = rows.select("instrument", F.when(broken, F.raise_error(F.concat(F.lit("unreadable daily row "), F.to_json(F.struct(*rows.columns))))).otherwise(day).alias("open_time"),
+                    *[number(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    d = d.withColumn("close_time", F.col("open_time") + F.expr("interval 1 day"))
+    fine = ((F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close")) & (F.least("open", "high", "low", "close") > 0)
+            & (F.coalesce("volume", F.lit(0)) >= 0))
+    return d.where(fine), d.where(~fine)
+
+
+def _read_csv(spark: SparkSession, path: str, need: list[str]) -> DataFrame:
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    df = df.toDF(*[c.strip().lower() for c in df.columns])
+    if lacking := sorted(set(need) - set(df.columns)):
+        raise ValueError(f"columns missing: {lacking}")
+    return df
+
+
+def news_csv(spark: SparkSession, path: str) -> DataFrame:
+    """News from CSV with record_id, title, published_at and maybe summary or content, link, category. A time without a zone is ambiguous."""
+    from ..functions import text as tx
+
+    df = _read_csv(spark, path, ["record_id", "title", "published_at"])
+    col = lambda *names: F.coalesce(*[F.nullif(F.trim(n), F.lit("")) for n in names if n in df.columns], F.lit(None).cast("string"))
+    at, ambiguous = tx.feed_time(F.trim("published_at"))
+    title, text = tx.strip_html(F.coalesce(col("title"), F.lit(""))), tx.strip_html(F.coalesce(col("summary", "content"), F.lit("")))
+    return df.select(F.coalesce(col("record_id"), tx.content_hash(title, text)).alias("source_record_id"), title.alias("title"), text.alias("text"), col("link").alias("source_url"),
+                     F.when(col("category").isNotNull(), F.array(col("category"))).otherwise(F.array().cast("array<string>")).alias("categories"), at.alias("published_at"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"))
+
+
+def offline_bars(spark: SparkSession, path: str) -> DataFrame:
+    """Bars from CSV with open_time, open, high, low, close and maybe volume; an unreadable time is an error."""
+    df = _read_csv(spark, path, ["open_time", "open", "high", "low", "close"])
+    at = F.coalesce(F.try_to_timestamp("open_time"), F.raise_error(F.concat(F.lit("unreadable time "), F.coalesce("open_time", F.lit("null")))))
+    volume = F.col("volume").cast("double") if "volume" in df.columns else F.lit(None).cast("double")
+    return df.select(at.alias("open_time"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")], F.coalesce(volume, F.lit(float("nan"))).alias("volume"))
+
+
+def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
+    """A result as CSV with header, JSON lines or Parquet; writing it again replaces it."""
+    if form not in ("csv", "json", "parquet"):
+        raise ValueError(f"no such form: {form}")
+    w = df.write.mode("overwrite")
+    (w.option("header", True).option("escape", '"') if form == "csv" else w).format(form).save(path)

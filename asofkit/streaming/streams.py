@@ -92,7 +92,7 @@ class Staleness(StatefulProcessor):
                 self.handle.deleteTimer(t)
             self.last.update((newest.to_pydatetime(),))
             self.handle.registerTimer(int(newest.timestamp() * 1000) + self.limit_ms)
-        yield pd.DataFrame({"source": [], "last_success": [], "stale_at": []})
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = pd.Timestamp(self.last.get()[0])
