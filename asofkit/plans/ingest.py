@@ -91,21 +91,14 @@ def benchmark_cells(spark, d):
     return payloads.benchmark_cells(rows, "text", {"quality": "quality", "toxic": "toxic"}).select("row_id", "field", "gold", "skip_reason")
 
 
-_POST_TEXT = "(['gold long near 2350, stop 2330, target 2400', '黄金看空，目标2300', '观望，等信号', 'if cpi beats then buy', 'he said gold is bearish', 'nothing here'])[doc_id % 6 + 1]"
-
-
 def _opinion_posts(spark, d):
-    t = ["gold long near 2350, stop 2330, target 2400", "黄金看空，目标2300", "观望，等信号", "if cpi beats then buy", "he said gold is bearish", "nothing here"]
-    pick = F.element_at(F.array(*[F.lit(x) for x in t]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return a.table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), F.when(F.col("doc_id") % 50 != 0, pick).alias("text"))
+    return a.table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), "text")
 
 
-@query(f"""WITH p AS (SELECT doc_id AS post_id, CASE WHEN doc_id % 50 <> 0 THEN {_POST_TEXT} END AS text FROM documents)
-SELECT post_id, CASE doc_id_ WHEN 0 THEN 'LONG' WHEN 1 THEN 'SHORT' WHEN 2 THEN 'FLAT' WHEN 3 THEN 'LONG' WHEN 4 THEN 'SHORT' END AS stance, CASE WHEN doc_id_ = 3 THEN 'MACRO' WHEN doc_id_ >= 0 THEN 'UNKNOWN' END AS info
-FROM (SELECT post_id, CASE WHEN text IS NOT NULL THEN post_id % 6 END AS doc_id_ FROM p) WHERE doc_id_ IS NOT NULL""")
+@query()
 def opinion_columns(spark, d):
-    p = _opinion_posts(spark, d).where("text is not null")
-    return p.select("post_id", extract.stance_column(F.col("text")).alias("stance"), extract.information_type_column(F.col("text")).alias("info"))
+    """Stance and information type of every whole text; lookarounds are beyond DuckDB's patterns, so tests hold the columns against the rules."""
+    return _opinion_posts(spark, d).where("text is not null").select("post_id", extract.stance_column(F.col("text")).alias("stance"), extract.information_type_column(F.col("text")).alias("info"))
 
 
 @query()
@@ -113,9 +106,9 @@ def extracted_opinions(spark, d):
     return extract.extract_opinions(_opinion_posts(spark, d))[1]
 
 
-@query("""SELECT CASE WHEN doc_id % 50 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status, CASE WHEN doc_id % 50 = 0 OR doc_id % 6 = 5 THEN 0 WHEN doc_id % 6 = 2 THEN 2 ELSE 1 END AS n_drafts, count(*) AS n FROM documents GROUP BY ALL""")
+@query("SELECT CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'SKIPPED' ELSE 'SUCCESS' END AS status, count(*) AS n FROM documents GROUP BY ALL")
 def extraction_status(spark, d):
-    return extract.extract_opinions(_opinion_posts(spark, d))[0].groupBy("status", "n_drafts").agg(F.count(F.lit(1)).alias("n"))
+    return extract.extract_opinions(_opinion_posts(spark, d))[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {a.POSTS} SELECT post_id FROM posts WHERE post_id % 3 <> 0")
@@ -157,8 +150,7 @@ def effective_times(spark, d):
                     a.stamp(tx.slot_floor(F.col("published_at"))).alias("slot"), (F.col("n_chars") > 1000).alias("cut"))
 
 
-@query("""SELECT o_orderkey, CAST(o_orderkey * 100 % 977 / 100.0 AS VARCHAR) AS raw_, CASE WHEN (o_orderkey * 100 % 977) % 100 = 0 THEN CAST((o_orderkey * 100 % 977) // 100 AS VARCHAR)
-  ELSE rtrim(rtrim(CAST(CAST((o_orderkey * 100 % 977) / 100.0 AS DECIMAL(10,2)) AS VARCHAR), '0'), '.') END AS number FROM orders QUALIFY false""")
+@query()
 def normalized_numbers(spark, d):
     cents = F.col("o_orderkey") * 100 % 977
     text = F.concat(F.lit("about "), (cents / F.lit(100.0)).cast("decimal(10,2)").cast("string"), F.lit(" usd"))
@@ -168,10 +160,9 @@ def normalized_numbers(spark, d):
 ORACLE["normalized_numbers"] = """SELECT o_orderkey, rtrim(rtrim(CAST(CAST((o_orderkey * 100 % 977) / 100.0 AS DECIMAL(10,2)) AS VARCHAR), '0'), '.') AS number FROM orders"""
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 3 = 1 THEN false ELSE false END AS valid FROM orders")
+@query("SELECT page_id, coalesce(regexp_matches(url, '^https://[^/?#@]+([/?#]|$)'), false) AS valid FROM pages")
 def reference_validity(spark, d):
-    ref = F.when(F.col("o_orderkey") % 3 == 0, "https://example.org/a").when(F.col("o_orderkey") % 3 == 1, "https://u@example.org/a").otherwise("docs/legal/../x")
-    return a.table(spark, d, "orders").select("o_orderkey", tx.valid_reference(ref).alias("valid"))
+    return a.table(spark, d, "pages").select("page_id", F.coalesce(tx.valid_reference(F.col("url")), F.lit(False)).alias("valid"))
 
 
 @query(f"WITH {a.RUNS} SELECT source, run_id FROM runs WHERE run_id % 2 = 1")
@@ -180,8 +171,8 @@ def versioned_append(spark, d):
     return store.append_versioned(r, r.where("run_id % 2 = 0"), ["run_id"], ["source", "inserted"]).select("source", "run_id")
 
 
-@query("SELECT event_type AS kind, count(*) FILTER (WHERE event_id % 10 < 7) AS accepted, count(*) FILTER (WHERE event_id % 10 = 7) AS duplicate, count(*) FILTER (WHERE event_id % 10 = 8) AS rejected, count(*) FILTER (WHERE event_id % 10 = 9) AS failed FROM events GROUP BY ALL")
+@query("SELECT event_type AS kind, count(*) FILTER (WHERE event_id % 10 < 7) AS accepted, count(*) FILTER (WHERE event_id % 10 = 7) AS duplicate, count(*) FILTER (WHERE event_id % 10 = 8) AS rejected, count(*) FILTER (WHERE event_id % 10 = 9) AS failed, coalesce(string_agg(DISTINCT CASE WHEN event_id % 10 = 8 THEN 'late ' || (user_id % 3) END, ',' ORDER BY CASE WHEN event_id % 10 = 8 THEN 'late ' || (user_id % 3) END), '') AS warnings FROM events GROUP BY ALL")
 def processing_report(spark, d):
     e = a.table(spark, d, "events")
-    o = e.select(F.col("event_type").alias("kind"), F.when(F.col("event_id") % 10 < 7, "ACCEPTED").when(F.col("event_id") % 10 == 7, "DUPLICATE").when(F.col("event_id") % 10 == 8, "REJECTED").otherwise("FAILED").alias("outcome"), F.lit(None).cast("string").alias("warning"))
-    return health.processing_report(o, ["kind"]).drop("warnings")
+    o = e.select(F.col("event_type").alias("kind"), F.when(F.col("event_id") % 10 < 7, "ACCEPTED").when(F.col("event_id") % 10 == 7, "DUPLICATE").when(F.col("event_id") % 10 == 8, "REJECTED").otherwise("FAILED").alias("outcome"), F.when(F.col("event_id") % 10 == 8, F.concat(F.lit("late "), (F.col("user_id") % 3).cast("string"))).alias("warning"))
+    return health.processing_report(o, ["kind"]).withColumn("warnings", F.array_join(F.array_sort("warnings"), ","))

@@ -382,15 +382,8 @@ def readiness_events(spark, d):
 _FOLD = "sha256(lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))))"
 
 
-@query(f"WITH {a.POSTS}, k AS (SELECT post_id, {_FOLD} AS key FROM posts) SELECT post_id, CASE WHEN row_number() OVER (PARTITION BY key ORDER BY post_id) = 1 THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS status FROM k WHERE post_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]'))")
+@query(f"WITH {a.POSTS}, k AS (SELECT post_id, {_FOLD} AS key FROM posts) SELECT post_id, CASE WHEN row_number() OVER (PARTITION BY key ORDER BY post_id) = 1 THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS status FROM k")
 def first_occurrence(spark, d):
-    p = a.posts(spark, d).where(~F.coalesce(F.col("text").rlike("[^\\x00-\\x7F]"), F.lit(False))).withColumn("key", tx.ascii_key(F.col("text")))
-    return windows.first_occurrence(p, ["key"], [F.col("post_id")]).select("post_id", "status")
-
-
-@query()
-def first_occurrence_all(spark, d):
-    """Every post, in any script; without SQL, since DuckDB folds the case of some letters differently."""
     p = a.posts(spark, d).withColumn("key", tx.ascii_key(F.col("text")))
     return windows.first_occurrence(p, ["key"], [F.col("post_id")]).select("post_id", "status")
 
@@ -405,11 +398,16 @@ def content_hashes(spark, d):
     return a.posts(spark, d).select("post_id", tx.content_hash(F.col("source"), F.col("text"), namespace="post").alias("content_hash"), tx.normalize_text("text").alias("normal"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace('Authorization: Bearer ' || source || 'x token=' || lang || ' end', '(?i)\\b(bearer)\\s+[A-Za-z0-9._~+/=-]+', '\\1 ***', 'g'), '(?i)\\b(authorization)\\b["'']?\\s*[:=]\\s*[^\\s,;]+', '\\1=***', 'g')
-  .regexp_replace('(?i)\\b(token)\\b["'']?\\s*[:=]\\s*[^\\s,;]+', '\\1=***', 'g') AS safe FROM documents""")
+_REDACTED = "coalesce(text, '')"
+for _p, _r in tx.SECRETS:
+    _REDACTED = "regexp_replace({0}, '{1}', '{2}', 'g')".format(_REDACTED, _p.replace("'", "''"), _r.replace("$1", "\\1"))
+
+
+@query(f"SELECT doc_id, sha256({_REDACTED}) AS safe_sha256, {_REDACTED} <> coalesce(text, '') AS held_secret FROM documents")
 def redacted_text(spark, d):
+    text = F.coalesce("text", F.lit(""))
     p = a.table(spark, d, "documents")
-    return p.select("doc_id", tx.safe_text(F.concat(F.lit("Authorization: Bearer "), "source", F.lit("x token="), "lang", F.lit(" end"))).alias("safe"))
+    return p.select("doc_id", F.sha2(tx.redact(text), 256).alias("safe_sha256"), (tx.redact(text) != text).alias("held_secret"))
 
 
 @query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://', ''), '/+$', '')) AS key, regexp_replace(url, '[?#].*$', '') AS safe FROM pages")
@@ -422,13 +420,12 @@ def token_counts(spark, d):
     return a.table(spark, d, "documents").where("text is not null").select("doc_id", F.size(tx.tokens(F.lower("text"))).cast("long").alias("n_tokens"))
 
 
-def _docs(spark, d, whole=False):
-    p = a.posts(spark, d)
-    return (p if whole else p.where("lang = 'en' and n_chars < 2500")).select("post_id", F.col("source"), F.concat(F.lit("b"), (F.col("post_id") % 1).cast("string")).alias("bucket"),
+def _docs(spark, d):
+    return a.posts(spark, d).select("post_id", F.col("source"), F.concat(F.lit("b"), (F.col("post_id") % 1).cast("string")).alias("bucket"),
                     F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("normal"), "published_at")
 
 
-_REPOST = f"""{a.POSTS}, d AS (SELECT post_id, source, lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS normal, published_at FROM posts WHERE lang = 'en' AND n_chars < 2500),
+_REPOST = f"""{a.POSTS}, d AS (SELECT post_id, source, lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS normal, published_at FROM posts),
   h AS (SELECT *, first_value(post_id) OVER (PARTITION BY normal ORDER BY published_at, post_id) AS head FROM d WHERE normal <> ''), hd AS (SELECT * FROM h WHERE post_id = head),
   tk AS (SELECT post_id, unnest(regexp_extract_all(normal, '[a-z0-9]+')) AS tok FROM hd), tf AS (SELECT post_id, tok, count(*) AS c FROM tk GROUP BY ALL),
   nn AS (SELECT count(*) AS n FROM hd), df AS (SELECT tok, count(*) AS df FROM tf GROUP BY ALL), ln_ AS (SELECT post_id, sum(c) AS len FROM tf GROUP BY ALL),
@@ -453,20 +450,6 @@ def repost_clusters(spark, d):
     return propagation.clusters(docs.select("post_id", "published_at"), e, "post_id", "published_at")
 
 
-@query()
-def repost_edges_all(spark, d):
-    """Every post, of any language and length; the SQL of ``repost_edges`` compares all pairs, too slow here."""
-    e = propagation.edges(_docs(spark, d, True), "bucket", "post_id", "source", "normal", "published_at")
-    return e.select("from_item", "to_item", "relation", F.round("similarity", 5).alias("similarity"))
-
-
-@query()
-def repost_clusters_all(spark, d):
-    docs = _docs(spark, d, True)
-    e = propagation.edges(docs, "bucket", "post_id", "source", "normal", "published_at")
-    return propagation.clusters(docs.select("post_id", "published_at"), e, "post_id", "published_at")
-
-
 _EVID = f"""{a.POSTS}, ev AS (SELECT post_id, CASE WHEN post_id % 10 = 0 THEN '' ELSE source END AS source, CASE WHEN post_id % 13 = 0 THEN '' ELSE 'x' END AS content, post_id % 6 = 0 AS mock, post_id % 4 <> 0 AS approved,
   post_id % 3 <> 0 AS research, post_id % 9 = 0 AS late FROM posts)"""
 

@@ -163,19 +163,31 @@ def minute_files(files: DataFrame, scale: float = 1000.0) -> DataFrame:
     return files.select("path", "content").mapInPandas(_minutes(scale), "path string, second int, open double, close double, low double, high double, volume double")
 
 
+def _gb18030(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import csv
+    import io
+
+    for pdf in batches:
+        for content in pdf["content"]:
+            rows = csv.DictReader(io.StringIO(content.decode("gb18030")))
+            yield pd.DataFrame({"r": [{(k or "").strip().lower(): v for k, v in row.items() if isinstance(v, str)} for row in rows]})
+
+
 def corpus_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
-    """Corpus files in UTF-8 or, where their bytes are not, in GB18030, with aliased columns."""
+    """Corpus files in UTF-8 or, where their bytes are not, in GB18030, with aliased columns.
+
+    Spark's reader takes the UTF-8 files of the folder; the others, the exception, are decoded a
+    file at a time in tasks.
+    """
     from ..operators.evidence import canonical_columns
 
-    read = lambda paths, encoding: canonical_columns(spark.read.csv(paths, header=True, encoding=encoding, multiLine=True, escape='"'), aliases)[0]
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
-    # Only the names of files in the other encoding come here, the exception; the rest is read as a folder.
-    other = [r.path for r in files.where(~F.col("utf8")).select("path").toLocalIterator()]
-    if not other:
-        return read(path, "UTF-8")
-    name = F.input_file_name()
-    utf8 = canonical_columns(spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, escape='"').withColumn("__file", name), aliases | {"__file": []})[0]
-    return utf8.where(~F.col("__file").isin(other)).drop("__file").unionByName(read(other, "GB18030"))
+    files = spark.read.format("binaryFile").load(path).where("length > 0").withColumn("utf8", F.is_valid_utf8(F.col("content").cast("string")))
+    plain = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, escape='"').withColumn("__file", F.regexp_replace(F.input_file_name(), "^file:/+", "/"))
+    name = F.regexp_replace("path", "^file:/+", "/").alias("__file")
+    utf8 = canonical_columns(plain, aliases | {"__file": []})[0].join(files.where("utf8").select(name), "__file", "left_semi").select(*aliases)
+    maps = files.where("not utf8").select("content").mapInPandas(_gb18030, "r map<string,string>")
+    pick = [F.coalesce(*[F.nullif(F.trim(F.try_element_at("r", F.lit(x.lower()))), F.lit("")) for x in (target, *others)]).alias(target) for target, others in aliases.items()]
+    return utf8.unionByName(maps.select(*pick))
 
 
 def quarantined_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -97,8 +97,8 @@ def test_wilson_and_binomial(spark):
     assert r[0] == pytest.approx(0.4901, abs=1e-3) and r[1] == pytest.approx(0.9433, abs=1e-3) and r[2] == pytest.approx(56 / 1024)
 
 
-def test_reposts_golden_set(spark):
-    base = "gold breaks above the old high and the trend stays up as long as support holds at the line"
+def test_reposts_of_one_text(spark):
+    base = "silver breaks above the old high and the trend stays up as long as support holds at the line"
     rows = [(i, f"s{i % 7}", "b", base, T0 + timedelta(minutes=i)) for i in range(100)]
     rows += [(200, "s", "b", base.replace("line", "level"), T0 + timedelta(days=1)), (201, "s", "b", "nothing alike in here whatsoever", T0)]
     d = spark.createDataFrame(rows, "id long, source string, bucket string, normal string, at timestamp")
@@ -129,11 +129,11 @@ def test_table_digest_ignores_order(spark):
 
 
 def test_text_functions(spark):
-    d = spark.createDataFrame([("Ｇold​  Price",), (None,)], "t string")
-    assert [r[0] for r in d.select(tx.normalize_for_hash("t")).collect()] == ["gold price", ""]
-    assert [r[0] for r in d.select(tx.normalize_text("t")).collect()] == ["Gold Price", None]
-    one = spark.createDataFrame([("黄金价格 up 12 x",)], "t string")
-    assert one.select(tx.tokens(F.col("t"))).first()[0] == ["黄金", "金价", "价格", "up", "12", "x"]
+    d = spark.createDataFrame([("Ｃopper​  Price",), (None,)], "t string")
+    assert [r[0] for r in d.select(tx.normalize_for_hash("t")).collect()] == ["copper price", ""]
+    assert [r[0] for r in d.select(tx.normalize_text("t")).collect()] == ["Copper Price", None]
+    one = spark.createDataFrame([("白银价格 up 12 x",)], "t string")
+    assert one.select(tx.tokens(F.col("t"))).first()[0] == ["白银", "银价", "价格", "up", "12", "x"]
     h = lambda *p: spark.range(1).select(tx.content_hash(*[F.lit(x) for x in p])).first()[0]
     assert h("ab", "c") != h("a", "bc") and h("A ", "c") == h("a", "C")
     r = spark.range(1).select(tx.redact(F.lit("Authorization: Bearer abc.def token=xyz sk-12345")), tx.safe_url(F.lit("https://u:p@h.org/a?q=1#f"))).first()
@@ -144,12 +144,22 @@ def test_text_functions(spark):
 
 
 def test_opinion_rules():
-    o = opinion_rules.extract("gold long near 2350, stop 2330, target 2400")[0]
-    assert (o.stance, o.instrument, o.entry_low, o.stop_loss, o.take_profit, o.confidence) == ("LONG", "XAUUSD", 2350, 2330, 2400, 0.9)
-    assert opinion_rules.extract("不看多黄金")[0].stance == "UNKNOWN" and opinion_rules.extract("if cpi beats then buy")[0].stance == "UNKNOWN"
-    assert opinion_rules.extract("我认为黄金看涨")[0].stance == "LONG" and opinion_rules.extract("专家认为黄金看涨")[0].stance == "UNKNOWN"
-    assert opinion_rules.extract("gold long near 2350, stop 2380")[0].stop_loss is None
-    assert opinion_rules.extract("nothing here") == [] and opinion_rules.extract(None) == []
+    names = {"silver": "XAGUSD", "白银": "XAGUSD", "oil": "WTI"}
+    rules = lambda t: opinion_rules.extract(t, names)
+    o = rules("silver long near 2350, stop 2330, target 2400")[0]
+    assert (o.stance, o.instrument, o.entry_low, o.stop_loss, o.take_profit, o.confidence) == ("LONG", "XAGUSD", 2350, 2330, 2400, 0.9)
+    assert rules("不看多白银")[0].stance == "UNKNOWN" and rules("if cpi beats then buy")[0].stance == "UNKNOWN"
+    assert rules("我认为白银看涨")[0].stance == "LONG" and rules("专家认为白银看涨")[0].stance == "UNKNOWN"
+    assert rules("silver long near 2350, stop 2380")[0].stop_loss is None
+    assert rules("nothing here") == [] and rules(None) == [] and opinion_rules.only_image("看图") and not opinion_rules.only_image("看图做多")
+    assert rules("buy US02Y at 98.5-99.25")[0].instrument == "US02Y" and rules("buy, silver or oil")[0].diagnostics == ["many_instruments"]
+    o = rules("long 98.5 - 99.25. Target later")[0]
+    assert (o.entry_low, o.entry_high) == (98.5, 99.25) and rules("long at 2350点")[0].entry_low is None
+
+
+def test_numbers_of_a_text():
+    got = [(x.value, x.counted) for x in opinion_rules.numbers("7 at 23.5, 1.2.3 and 12345678 or 40% of 99.12345")]
+    assert got == [(23.5, False), (40.0, True)]
 
 
 def test_evidence_reference_and_readiness(spark):
