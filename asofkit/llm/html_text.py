@@ -1,12 +1,16 @@
 """Main text of web pages: nearest-URL page differencing.
 
-Pages of a host are put in the order of their URL paths, and each is paired with its neighbour
-(pages with the same lines count once, so a copy is never a page's own partner). Both pages' text
-lines are aligned by longest common subsequence; lines that the two share are the site's template
-and go. Markup settles what comparison cannot see: elements that are no article by their meaning
-(navigation, header, footer, aside, form, script, advert, comments) go even if their words differ
-from page to page, and lines inside an ``article`` or ``main`` element are the article even if a
-neighbour repeats them. Where such an element exists, the text outside it is not the article.
+Pages of a host are put in the order of their URL paths, and each is paired with the neighbour
+that shares more leading path segments (pages with the same lines count once, so a copy is never a
+page's own partner). Both pages' text lines are aligned by longest common subsequence; lines that
+the two share are the site's template and go. That holds at the edges of an article element too,
+where a run of two or more shared lines goes on from outside of it; a shared line among lines of the page's own
+is something that both articles say, and stays. A partner whose article is for the most part the
+same tells nothing about this page's own lines. Markup settles what
+comparison cannot see: elements that are no article by their meaning (navigation, header, footer,
+aside, form, script, advert, comments) go even if their words differ from page to page. Where
+class words contradict each other, the comparison decides. Where an ``article`` or ``main`` element
+exists, the text outside it is not the article.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from .ranking import global_rank
 from .scratch import Scratch, cut, release
 
-TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*>|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>)""", re.S)
+# No part may run past a "<", so that a page of unclosed tags is scanned once.
+TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/><]*)(?P<attrs>(?:[^><"']++|"[^"]*"|'[^']*')*+)>)""", re.S)
 ATTR = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 # HTML elements by what they do to text.
@@ -42,77 +47,151 @@ CHROME_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adver
                 "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "widget", "toolbar", "pagination", "pager", "copyright"}
 
 
-def _is_chrome(name: str, attrs: str) -> bool:
-    if name in CHROME:
-        return True
-    if name in CONTENT or name in ("html", "body") or "=" not in attrs:
-        return False
+COMMENT_WORDS = {"comment", "comments", "disqus", "replies", "respond"}
+CONTENT_WORDS = {"content", "article", "post", "entry", "body", "main", "story", "text", "page"}
+# Elements that stay what they are around an article; others of CHROME may wrap a whole page.
+STRONG = {"aside", "nav", "footer", "menu", "head"}
+ARTICLE, PLAIN, CHROME_PART, DOUBTFUL = 2, 1, 0, 3
+
+
+def _kind(name: str, attrs: str) -> tuple[int, bool] | None:
+    """(part, strong) of an element that is no article by its name or attributes, or may be none."""
+    found: tuple[int, bool] | None = (CHROME_PART, name in STRONG) if name in CHROME else None
+    if name in ("html", "body") or "=" not in attrs:
+        return found
     for key, *values in ATTR.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
-        if key == "role" and value in CHROME_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id") and not CHROME_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+        if key == "role" and value in CHROME_ROLES or key == "aria-hidden" and value == "true":
+            found = found or (CHROME_PART, False)
+        if key not in ("class", "id"):
+            continue
+        tokens = [set(re.split(r"[^a-z0-9]+", t)) for t in value.split() if not t.startswith(("no-", "without-", "has-", "with-"))]
+        if any(COMMENT_WORDS & t for t in tokens):
+            return CHROME_PART, True
+        bad = any(CHROME_WORDS & t for t in tokens)
+        good = any(CONTENT_WORDS & t and not CHROME_WORDS & t for t in tokens)
+        if bad and found is None and name not in CONTENT:
+            found = (DOUBTFUL if good else CHROME_PART, False)
+    return found
+
+
+def _tags(page: str) -> list[tuple[int, int, str, str, str, str | None]]:
+    """(start, end, name, close, attrs, cdata) of each tag; raw elements are one tag with their content."""
+    out, at, n = [], 0, len(page)
+    ends: dict[str, re.Pattern] = {}
+    while at < n and (m := TAG.search(page, at)):
+        name, end = (m["name"] or "").lower(), m.end()
+        if name in RAW and not m["close"] and not m["attrs"].endswith("/"):
+            if name not in ends:
+                ends[name] = re.compile(rf"</{re.escape(name)}\s*>", re.I)
+            last = ends[name].search(page, end)
+            end = last.end() if last else n
+        out.append((m.start(), end, name, m["close"] or "", m["attrs"] or "", m["cdata"]))
+        at = end
+    return out
+
+
+def _closes(tags: list) -> tuple[dict[int, int], dict[int, int]]:
+    """(closing tag of each opening one, and the other way), by name, the last open one first."""
+    open_: dict[str, list[int]] = defaultdict(list)
+    match: dict[int, int] = {}
+    for i, (_, _, name, close, attrs, _) in enumerate(tags):
+        if not name or name in VOID or name in RAW:
+            continue
+        if not close:
+            if not attrs.endswith("/"):
+                open_[name].append(i)
+        elif open_[name]:
+            match[open_[name].pop()] = i
+    return match, {j: i for i, j in match.items()}
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """(text, part) of each block in page order; part 0 is chrome, 1 unmarked, 2 article."""
+    """(text, part) of each block in page order; part is CHROME_PART, PLAIN, ARTICLE or DOUBTFUL."""
     page = page or ""
+    tags = _tags(page)
+    match, opener = _closes(tags)
     out: list[tuple[str, int]] = []
     text: list[str] = []
-    chrome: str | None = None  # the element that began it, with how often it is open
-    depth = content = 0
-    part = 1
+    regions: list[tuple[int | None, int, bool, int]] = []  # (closing tag, part, strong, opening tag)
+    articles: list[int | None] = []  # closing tags of open article elements
+    at = 0
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if line:
-            out.append((line, part))
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        if m is None:
-            text.append(page[at:])
-            break
-        text.append(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            text.append(html.escape(m["cdata"]))
-        name = (m["name"] or "").lower()
-        if not name:
-            continue
-        close, attrs = m["close"], m["attrs"]
-        if name in RAW and not close and not attrs.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            parts = {r[1] for r in regions}
+            out.append((line, CHROME_PART if CHROME_PART in parts else DOUBTFUL if DOUBTFUL in parts and articles else ARTICLE if articles else DOUBTFUL if DOUBTFUL in parts else PLAIN))
+
+    for i, (start, end, name, close, attrs, cdata) in enumerate(tags):
+        text.append(page[at:start])
+        at = end
+        if cdata is not None:
+            text.append(html.escape(cdata))
+        if not name or name in RAW:
             continue
-        opens_chrome = not close and chrome is None and name not in VOID and _is_chrome(name, attrs)
-        if name not in INLINE or opens_chrome or name == chrome:
+        kind = None if close or name in VOID else _kind(name, attrs)
+        over = [r for r in regions if r[0] == i or r[0] is None and (
+            close and i in opener and opener[i] < r[3] or not close and name == tags[r[3]][2] and name in ("p", "li") or not close and name in CONTENT)]
+        content = name in CONTENT and not close and not (kind and kind[0] == CHROME_PART)
+        if content:  # what may wrap a page ends where the article begins
+            over += [r for r in regions if not r[2] and r not in over]
+        if name not in INLINE or kind or over:
             flush()
         elif name == "br":
             text.append(" ")
-        if name in CONTENT:
-            chrome = None  # whatever was left open before ends here
-            content = max(0, content + (-1 if close else 1))
-        elif chrome is not None:
-            if name == chrome and name not in VOID:
-                depth += -1 if close else 1
-                if not close and name in ("p", "li"):  # a new one ends the open one
-                    depth -= 1
-            if not depth or close and chrome in ("p", "li") and name not in INLINE:
-                chrome = None
-        elif opens_chrome:
-            chrome, depth = name, 1
-        part = 0 if chrome is not None else 2 if content else 1
+        if over:
+            regions = [r for r in regions if r not in over]
+        if close and name in CONTENT and articles:
+            articles = [j for j in articles if j != i] if i in articles else articles[:-1] if i not in opener else articles
+        if content and not any(r[1] == CHROME_PART for r in regions):
+            articles.append(match.get(i))
+        if kind and not attrs.endswith("/"):
+            regions.append((match.get(i), *kind, i))
+    text.append(page[at:])
     flush()
     return out
 
 
+def _lengths(x: list, y: list) -> int:
+    """Bits of y: the zeros among the low j ones count the longest common subsequence of x with y[:j] (bit-parallel)."""
+    where: dict = defaultdict(int)
+    for j, v in enumerate(y):
+        where[v] |= 1 << j
+    full = (1 << len(y)) - 1
+    v = full
+    for item in x:
+        u = v & where.get(item, 0)
+        v = ((v + u) | (v - u)) & full
+    return v
+
+
+def _subsequence(x: list, y: list, shift: int, found: set[int]) -> None:
+    """Indexes of x, plus ``shift``, in a longest common subsequence; halves x, so memory stays linear."""
+    common = set(x) & set(y)
+    if not common:
+        return
+    if len(x) == 1:
+        found.add(shift)
+        return
+    keep = [j for j, v in enumerate(y) if v in common]
+    y, half = [y[j] for j in keep], len(x) // 2
+    ahead, behind = _lengths(x[:half], y), _lengths(x[half:][::-1], y[::-1])
+    best, cut, n = -1, 0, len(y)
+    left, right = 0, n - behind.bit_count()
+    for j in range(n + 1):  # left: with y[:j]; right: with y[j:]
+        if left + right > best:
+            best, cut = left + right, j
+        if j < n:
+            left += not ahead >> j & 1
+            right -= not behind >> (n - 1 - j) & 1
+    _subsequence(x[:half], y[:cut], shift, found)
+    _subsequence(x[half:], y[cut:], shift + half, found)
+
+
 def shared_lines(a: list, b: list) -> set[int]:
-    """Indexes of ``a`` in a longest common subsequence of both (bit-parallel)."""
+    """Indexes of ``a`` in a longest common subsequence of both."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -120,34 +199,28 @@ def shared_lines(a: list, b: list) -> set[int]:
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     found = {*range(lo), *range(len(a) - hi, len(a))}
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if not x or not y or set(x).isdisjoint(y):
-        return found
-    where: dict = defaultdict(int)
-    for j, v in enumerate(y):
-        where[v] |= 1 << j
-    full = (1 << len(y)) - 1
-    rows, v = [full], full
-    for item in x:
-        u = v & where.get(item, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)  # the zeros among its low j bits count the longest common subsequence with y[:j]
-    best = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
-    i, j = len(x), len(y)
-    while i and j:
-        if best(i - 1, j) == best(i, j):
-            i -= 1
-        elif best(i, j - 1) == best(i, j):
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            found.add(lo + i)
+    _subsequence(a[lo : len(a) - hi], b[lo : len(b) - hi], lo, found)
     return found
 
 
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
-    marked = any(part == 2 for _, part in lines)
-    return "\n".join(t for i, (t, part) in enumerate(lines) if part == 2 or part == 1 and not marked and i not in shared)
+    """The article without the template; a page without an article element gives its unmarked lines that are not shared."""
+    own = {i for i, (_, part) in enumerate(lines) if part == ARTICLE}
+    size = lambda rows: sum(len(lines[i][0]) for i in rows)
+    if own:
+        inside = own & shared
+        if 2 * size(inside) > size(own):  # the partner is a copy
+            inside = set()
+        edge: set[int] = set()
+        for step in (1, -1):  # shared lines that follow shared lines outside of the article, from either side
+            run = 0
+            for i in range(len(lines))[::step]:
+                run = run + 1 if i in shared and (i not in own or run >= 2 and i in inside) else 0
+                if run and i in own:
+                    edge.add(i)
+        shared = shared - own | edge
+    keep = (ARTICLE, DOUBTFUL) if own else (PLAIN, DOUBTFUL)
+    return "\n".join(t for i, (t, part) in enumerate(lines) if part in keep and i not in shared)
 
 
 def _hash(line: str) -> int:
@@ -191,11 +264,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     # Pages of a host with the same lines are one page here.
     kinds = seen.groupBy("host", "sig").agg(F.min(F.struct("path", "id")).alias("first"))
     ranked = cut(global_rank(kinds.select("host", "sig", F.col("first.path").alias("path"), F.col("first.id").alias("id")),
-                             [F.col("host"), F.col("path"), F.col("id"), F.col("sig")], "rank").select("host", "sig", "rank"))
-    before = ranked.select("host", (F.col("rank") + 1).alias("rank"), F.col("sig").alias("prev"))
-    after = ranked.select("host", (F.col("rank") - 1).alias("rank"), F.col("sig").alias("next"))
-    pairs = (ranked.join(before, ["host", "rank"], "left").join(after, ["host", "rank"], "left")
-             .select("host", "sig", F.coalesce("prev", "next").alias("near")))
+                             [F.col("host"), F.col("path"), F.col("id"), F.col("sig")], "rank").select("host", "sig", "path", "rank"))
+    end = lambda shift, at: ranked.select("host", (F.col("rank") + shift).alias("rank"), F.struct("sig", "path").alias(at))
+    pairs = ranked.join(end(1, "prev"), ["host", "rank"], "left").join(end(-1, "next"), ["host", "rank"], "left")
+    near = lambda at: F.expr(f"size(filter(sequence(1, least(size(split(path, '/')), size(split({at}.path, '/')))), i -> slice(split(path, '/'), 1, i) = slice(split({at}.path, '/'), 1, i)))")
+    pairs = pairs.select("host", "sig", F.when(near("next") > near("prev"), F.col("next.sig")).otherwise(F.coalesce("prev.sig", "next.sig")).alias("near"))
     lines = seen.groupBy("host", F.col("sig").alias("near")).agg(F.first("lines").alias("partner"))
     partners = (seen.select("id", "hk", "host", "sig").dropDuplicates(["id", "hk"]).join(pairs, ["host", "sig"])
                 .join(lines, ["host", "near"], "left").select(F.col("id").alias("i"), F.col("hk").alias("k"), "partner"))

@@ -54,6 +54,45 @@ def test_html_differencing(spark):
     assert html_text.extract_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_html_template_inside_the_article(spark):
+    """The partner decides what is template where markup cannot say; a line that both articles say stays."""
+    page = lambda body, kind="article": f"<nav>Home</nav><div>News</div><{kind}>{body}<p>Share this</p></{kind}><p>About us</p><p>Imprint</p>"
+    quote = "<p>As the saying goes</p>"
+    rows = [(1, "http://h/a/1", page(f"<p>One has a long text of its own, which no other page repeats</p>{quote}<p>first</p>")), (2, "http://h/a/2", page(f"<p>Two has another long text of its own, which no other page has</p>{quote}<p>second</p>")), (3, "http://h/b", page("<p>Three</p>", "div")),
+            (4, "http://h/c", page("<p>Four</p>", "div")), (5, "http://alone/", page("<p>Five</p>"))]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "One has a long text of its own, which no other page repeats\nAs the saying goes\nfirst", 2: "Two has another long text of its own, which no other page has\nAs the saying goes\nsecond", 3: "Three", 4: "Four", 5: "Five\nShare this"}
+    for _, _, x in rows[:4]:  # without the comparison the template stays
+        assert "Share this" in html_text.main_text(html_text.lines_of(x), set())
+
+
+def test_html_nearest_partner_shares_leading_segments(spark):
+    """Page b/1 is paired with b/2, not with the page before it in the order of paths."""
+    page = lambda body, menu: f"<div>{menu}</div><div>{menu} more</div><p>{body}</p>"
+    rows = [(1, "http://h/a/9", page("nine", "A")), (2, "http://h/b/1", page("one", "B")), (3, "http://h/b/2", page("two", "B"))]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[2] == "one" and got[3] == "two"
+
+
+def test_html_comments_asides_and_contradicting_classes():
+    text = lambda x: html_text.main_text(html_text.lines_of(x), set())
+    assert text('<article><p>Body</p><section class="comments"><article class="comment">first! nice</article></section></article><aside><article>Other</article></aside>') == "Body"
+    assert text('<div class="content no-sidebar header"><p>Body text</p></div><div class="ad">x</div>') == "Body text"
+    assert text('<form id="page"><article><p>A</p></article></form>') == "A"
+    assert text('<div class="ad">x<article><p>A<p>B<div>c</div></article></div>tail') == "A\nB\nc"
+
+
+def test_html_hostile_pages_are_scanned_once():
+    import time
+
+    start = time.time()
+    for x in ("<a ", "<", "<!", '<a"', "<div>", "</p>", "<p class=ad>", "<aaaa"):
+        html_text.lines_of(x * 50_000)
+    a, b = list(range(4000)), list(range(2, 8000, 2))
+    assert html_text.shared_lines(a + [9], [-1] + b) == {*range(2, 4000, 2)}
+    assert time.time() - start < 30
+
+
 def test_html_corpus(spark):
     import html
 
