@@ -152,7 +152,7 @@ def test_opinion_rules():
     assert rules("我认为白银看涨")[0].stance == "LONG" and rules("专家认为白银看涨")[0].stance == "UNKNOWN"
     assert rules("silver long near 2350, stop 2380")[0].stop_loss is None
     assert rules("nothing here") == [] and rules(None) == [] and opinion_rules.only_image("看图") and not opinion_rules.only_image("看图做多")
-    assert rules("buy US02Y at 98.5-99.25")[0].instrument == "US02Y" and rules("buy, silver or oil")[0].diagnostics == ["many_instruments"]
+    assert rules("buy US02Y at 98.5-99.25")[0].instrument == "US02Y" and rules("buy, silver or oil")[0].instrument == "XAGUSD"
     o = rules("long 98.5 - 99.25. Target later")[0]
     assert (o.entry_low, o.entry_high) == (98.5, 99.25) and rules("long at 2350点")[0].entry_low is None
 
