@@ -1,12 +1,14 @@
-"""Near-duplicate embeddings by buckets of random signs.
+"""Near-duplicate embeddings by sorted projection passes.
 
-A pass hashes every vector by the signs of some random projections; vectors with equal signs are a
-bucket, and all pairs of a bucket are compared in double precision. A pair agrees on a sign with a
+A pass hashes every vector by the signs of some random projections and puts the vectors in the
+lexicographic order of the concatenated hashes. A vector is compared in double precision with its
+neighbours in that order: with a bounded window of others, and with the whole run of vectors whose
+hashes are all equal, however long it is; a run longer than a block is cut into blocks, which meet
+pairwise in tasks of their own, so that no follower is refused. A pair agrees on a sign with a
 probability that its own angle gives, so the number of passes follows from the number of signs and
-a pair at the threshold is met with the wanted probability, however the other vectors lie. A bucket
-of any size is compared whole: a large one is dealt into pieces, and pieces meet pairwise in tasks
-of their own. Without signs there is one bucket and the result is exact. Equal vectors are one
-vector with a count.
+a pair at the threshold falls into one run with the wanted probability, however the other vectors
+lie; what the windows find comes on top. Links of all passes are united. A table of one block is
+one window. Equal vectors are one vector with a count.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .components import connected_components
 from .scratch import Scratch, cut
 
 _NULL_ID = -(2**63)
-_LINK = "a bigint, b bigint, cosine double"
+_LINK = "a bigint, b bigint, cosine double, beside boolean"
 _BUCKET = ["turn", "dim", "code"]
 
 
@@ -34,14 +36,16 @@ def passes_for(signs: int, threshold: float, wanted: float = 0.99) -> int:
     return 1 if meet >= wanted else math.ceil(math.log(1 - wanted) / math.log(1 - meet))
 
 
-def signs_for(classes: DataFrame, n: int, window: int, threshold: float, sample: int = 1024) -> int:
+def signs_for(classes: DataFrame, n: int, window: int, threshold: float, sample: int = 1024, block: int = 4096) -> int:
     """The number of signs with the least work, by the angles between about ``sample`` of the ``n`` vectors.
 
     Two vectors share a bucket of k signs with probability (1 - angle / pi) ** k, so the sample's
     mean of that is the share of all pairs that a pass compares, also where many vectors crowd into
     one cone. Carrying a row through a pass counts as much as 8 * window comparisons. The sample
-    decides the work only; no signs, the exact way, may cost half as much again.
+    decides the work only. A table of one ``block`` is a single window and needs no signs.
     """
+    if n <= block:
+        return 0
     places = 1 << 30
     most = min(places, max(1, places * sample // max(n, 1)))
     drawn = classes.where(F.pmod(F.xxhash64("id"), F.lit(places)) < most).select("vec").toArrow().column("vec").combine_chunks()
@@ -52,8 +56,8 @@ def signs_for(classes: DataFrame, n: int, window: int, threshold: float, sample:
         angle = np.arccos(np.clip(x @ x.T, -1, 1))
         agree.append(1 - angle[np.triu_indices(len(x), 1)] / math.pi)
     agree, pairs = np.concatenate([*agree, np.zeros(0)]), max(1, len(dims) * (len(dims) - 1) // 2)
-    work = [passes_for(k, threshold) * (n * float((agree**k).sum()) / pairs / 2 + 8 * window) for k in range(31)]
-    return 0 if work[0] <= 1.5 * min(work) else int(np.argmin(work))
+    work = [passes_for(k, threshold) * (n * float((agree**k).sum()) / pairs / 2 + 8 * window) for k in range(1, 31)]
+    return 1 + int(np.argmin(work))
 
 
 def _codes(signs: int, passes: int, seed: int):
@@ -83,8 +87,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pairs(left: tuple, right: tuple | None, turn: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links between two sets of (ids, unit vectors, codes), or inside one, that no earlier pass has met."""
+def _pairs(left: tuple, right: tuple | None, turn: int, threshold: float, beside: bool = False) -> Iterator[pa.RecordBatch]:
+    """Links between two sets of (ids, unit vectors, codes), or inside one, that no earlier pass has met.
+
+    Those of neighbours ``beside`` each other count only if no pass has them in one run.
+    """
     ids, x, codes = left
     other_ids, y, other_codes = right or left
     for s in range(0, len(ids), 256):
@@ -95,11 +102,12 @@ def _pairs(left: tuple, right: tuple | None, turn: int, threshold: float) -> Ite
             r, c = r[c > r], c[c > r]
         cos, r, c = cosine[r, c], r + s, c + lo
         new = np.ones(len(r), bool)
-        for t in range(turn):
+        for t in range(codes.shape[1] if beside else turn):
             new &= codes[r, t] != other_codes[c, t]
         if new.any():
             a, b = ids[r[new]], other_ids[c[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cos[new])], names=["a", "b", "cosine"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cos[new]), pa.array(np.full(len(a), beside))],
+                                             names=["a", "b", "cosine", "beside"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -123,12 +131,20 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield solve(held)
 
 
-def _whole(threshold: float):
-    """Links inside buckets that are one piece."""
+def _whole(threshold: float, window: int):
+    """Sorted runs of one block at most: links inside each, and with the window of vectors before it in the order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, _, _, _, _, ids, x, codes in _pieces(batches):
+        order, before = None, None
+        for turn, dim, _, _, _, ids, x, codes in _pieces(batches):
+            rows = ids, _unit(x), codes
             if len(ids) > 1:
-                yield from _pairs((ids, _unit(x), codes), None, turn, threshold)
+                yield from _pairs(rows, None, turn, threshold)
+            if order != (turn, dim):
+                order, before = (turn, dim), None
+            if before is not None:
+                yield from _pairs(before, tuple(v[:window] for v in rows), turn, threshold, beside=True)
+                rows = tuple(np.concatenate([u[-window:], v[-window:]]) for u, v in zip(before, rows))
+            before = tuple(v[-window:] for v in rows)
     return run
 
 
@@ -166,15 +182,16 @@ def _stripes(threshold: float):
     return run
 
 
-def _compare(coded: DataFrame, block: int, threshold: float, parts: int) -> DataFrame:
-    """Every link that shares a bucket of some pass, once."""
+def _compare(coded: DataFrame, window: int, block: int, threshold: float, parts: int) -> DataFrame:
+    """Every link of some pass: once if a run holds it, else once for each window that does."""
     rows = coded.select("id", "dim", "vec", "codes", F.posexplode("codes").alias("turn", "code"))
     large = rows.groupBy(*_BUCKET).count().where(F.col("count") > block)  # at most rows / block
     rows = (rows.join(F.broadcast(large), _BUCKET, "left")
             .withColumn("pieces", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))
             .withColumn("piece", F.pmod(F.xxhash64("turn", "id"), F.col("pieces")).cast("int")).drop("count"))
     deal = lambda df: df.repartition(parts, *_BUCKET, "piece").sortWithinPartitions(*_BUCKET, "piece")
-    small = deal(rows.where("pieces = 1")).mapInArrow(_whole(threshold), _LINK)
+    order = rows.where("pieces = 1").repartitionByRange(parts, *_BUCKET).sortWithinPartitions(*_BUCKET)
+    small = order.mapInArrow(_whole(threshold, window), _LINK)
     packed = deal(rows.where("pieces > 1")).mapInArrow(_pack, _PACKED)
     # Each piece meets the half of the others that follows it in a circle, so stripes are equally long.
     met = (packed.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("pieces") / 2).cast("int"))).alias("step"))
@@ -184,7 +201,7 @@ def _compare(coded: DataFrame, block: int, threshold: float, parts: int) -> Data
     return small.unionByName(striped.mapInArrow(_stripes(threshold), _LINK))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 256, block: int = 4096, seed: int = 11,
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 64, block: int = 4096, seed: int = 11,
                     id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(rows, links). rows: id_col, n_links, component_id, kept, one for each vector; links: (a, b,
     cosine) between representatives of equal vectors.
@@ -192,8 +209,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 25
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
     do vectors of different length; equal vectors link. ``n_links`` counts other rows linked
     directly; ``component_id`` is the smallest id_col reachable. Rows that share an identifier are
-    one node. An empty table gives no rows; other columns are not read. Buckets are compared
-    whole, in pieces of about ``block`` vectors.
+    one node. An empty table gives no rows; other columns are not read. ``window`` bounds the
+    neighbours of other hashes on each side; runs of equal hashes are compared whole, in pieces of about ``block`` vectors.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -203,12 +220,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 25
     v = v.withColumn("vec", F.when(sound, F.transform("vec", lambda x: x + F.lit(0.0))))
     classes = scratch.save(v.where("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c")), "classes")
     n = classes.count()
-    signs = signs_for(classes, n, window, threshold)
+    signs = signs_for(classes, n, 256, threshold, block=block)
     coded = scratch.save(classes.select("id", "vec").mapInArrow(_codes(signs, passes_for(signs, threshold), seed),
                                                                "id bigint, dim int, vec array<double>, codes array<int>"), "coded")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = scratch.save(_compare(coded, block, threshold, parts), "links")
+    met = scratch.save(_compare(coded, window, block, threshold, parts), "met")
     scratch.drop("coded")
+    links = met.where("not beside").drop("beside").unionByName(met.where("beside").dropDuplicates(["a", "b"]).drop("beside"))
     groups = connected_components(links)
     size = classes.select("id", "c")
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")

@@ -221,7 +221,7 @@ def crowded(n, pairs, seed=6):
 def test_embeddings_recall_in_a_cone(spark, window=1):
     x = crowded(9000, 200)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    signs = embeddings.signs_for(df.selectExpr("vec_id AS id", "embedding AS vec"), len(x), window, 0.9)
+    signs = embeddings.signs_for(df.selectExpr("vec_id AS id", "embedding AS vec"), len(x), 256, 0.9, block=512)
     assert signs > 0  # several passes, not the exact way
     met = {(p.a, p.b) for p in embeddings.near_duplicates(df, window=window, block=512)[1].collect()}
     hit = set(map(tuple, np.argwhere(np.triu(x @ x.T >= 0.9, 1)).tolist()))
