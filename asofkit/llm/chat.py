@@ -82,12 +82,17 @@ def parse_chat(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def chat_digests(formatted: DataFrame, id_col: str = "conv_id", trained_role: str = "assistant") -> DataFrame:
-    """What the formatted strings hold when they are read back."""
-    back = formatted.select(id_col, "formatted", parse_chat(F.col("formatted")).alias("t"))
-    both = back.select(
-        id_col, F.size("t").cast("long").alias("n_turns"), F.length("formatted").cast("long").alias("formatted_chars"),
+def learnt_text(formatted: Column, loss_runs: Column) -> Column:
+    """The text under the loss mask, as the turns had it."""
+    under = F.aggregate(loss_runs, F.struct(F.lit(1).alias("at"), F.lit("").alias("text")), lambda a, r: F.struct(
+        (a.at + r.n_chars).alias("at"), F.when(r.learn, F.concat(a.text, F.substring(formatted, a.at, r.n_chars))).otherwise(a.text).alias("text")), lambda a: a.text)
+    return unescape(under)
+
+
+def chat_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """What the formatted strings and their loss masks hold when they are read back."""
+    both = formatted.select(id_col, "formatted", parse_chat(F.col("formatted")).alias("t"), learnt_text(F.col("formatted"), F.col("loss_runs")).alias("loss"))
+    return both.select(
+        id_col, F.size("t").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("t", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.array_join(F.transform(F.filter("t", lambda x: x.role == trained_role), lambda x: x.text), "").alias("loss"))
-    return both.select(id_col, "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"),
-                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

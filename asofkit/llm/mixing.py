@@ -35,11 +35,12 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
     rows = by_source.withColumn("w", weight).withColumn("limit", F.col("source_size") * F.lit(float(most)))
     order = Window.orderBy((F.col("limit") / F.col("w")).asc(), F.col("source").asc_nulls_last())
+    backwards = Window.orderBy((F.col("limit") / F.col("w")).desc(), F.col("source").desc_nulls_first())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = (rows.withColumn("total", F.sum("source_size").over(whole) * F.lit(float(share)))
             .withColumn("left", F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
-            .withColumn("rate", F.col("left") / F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
+            .withColumn("rate", F.col("left") / F.sum("w").over(backwards.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("i", F.row_number().over(order))
             .withColumn("free", F.col("rate") * F.col("w") <= F.col("limit")))
     rows = rows.withColumn("rate", F.min_by(F.when(F.col("free"), F.col("rate")),
