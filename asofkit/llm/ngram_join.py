@@ -100,7 +100,8 @@ def _prefixes(k: int, percent: int, shared):
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
                 h, doc = shingle_sets(data, offsets, k)
-                order = np.lexsort((h, sketch[_slot(h)], doc))
+                # Sets come sorted by hash, so a stable sort by document and count keeps that as the last key.
+                order = np.argsort(doc.astype(np.uint64) << np.uint64(32) | sketch[_slot(h)].astype(np.uint64), kind="stable")
                 h = h[order]
                 n = np.bincount(doc, minlength=j - i)
                 place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
