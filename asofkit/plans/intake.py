@@ -23,7 +23,8 @@ def query(sql: str | None = None):
 
 T = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 ts = lambda c: c.cast("timestamp")
-NOW = F.expr("timestamp'2024-06-01 00:00:00'")
+def _now():
+    return F.expr("timestamp'2024-06-01 00:00:00'")
 
 
 def _raw(spark, d):
@@ -44,7 +45,7 @@ SELECT post_id, turn, CASE WHEN empty OR no_id OR late OR c IS NULL THEN 'REJECT
   CASE WHEN empty THEN 'empty_content' WHEN no_id THEN 'missing_source_record_id' ELSE concat_ws(',', CASE WHEN c IS NULL THEN 'collected_at: missing' END, CASE WHEN late THEN 'published_at: in_future' END) END AS reasons,
   {T('greatest(p, c, f)')} AS effective_at FROM p""")
 def collection_outcomes(spark, d):
-    r = intake.collection_records(_raw(spark, d), spark.createDataFrame([], "identity string"), [F.col("post_id"), F.col("turn")], NOW)
+    r = intake.collection_records(_raw(spark, d), spark.createDataFrame([], "identity string"), [F.col("post_id"), F.col("turn")], _now())
     return r.select("post_id", "turn", "outcome", F.array_join("reasons", ",").alias("reasons"), a.stamp("effective_at").alias("effective_at"))
 
 
@@ -56,7 +57,7 @@ def corpus_intake(spark, d):
     pub = F.when(i % 6 == 0, "2024-05-01 10:00").when(i % 13 == 0, "2024-06-01T03:00:00Z").otherwise("2024-05-01T10:00:00+00:00")
     eff = F.when(i % 10 == 0, "soon").when(i % 7 == 0, "2024-05-01T09:00:00Z").when(i % 13 == 0, "2024-06-01T03:00:00Z").otherwise("2024-05-01T10:00:00Z")
     return doc.select("doc_id", intake.corpus_route(F.when(i % 11 == 0, "event"), F.col("text"), F.col("source"), "w", 200).alias("layer"),
-                      F.array_join(intake.corpus_problems(F.col("text"), pub, eff, NOW), ",").alias("problems"))
+                      F.array_join(intake.corpus_problems(F.col("text"), pub, eff, _now()), ",").alias("problems"))
 
 
 @query()
@@ -161,7 +162,7 @@ def authorisation_audit(spark, d):
         F.when(i % 7 == 0, "hope").otherwise("Consent").alias("authorization_basis"), F.when(i % 13 != 0, "https://example.org/x").otherwise(" ").alias("authorization_reference"), F.lit("2024-01-01T00:00:00Z").alias("reviewed_at"),
         F.lit("2024-02-01T00:00:00Z").alias("valid_from"), F.when(i % 4 == 0, "2024-05-01T00:00:00Z").otherwise("").alias("expires_at"), F.lit("true").alias("permits_automated_collection"), F.lit("yes").alias("permits_local_storage"),
         F.when(i % 11 == 0, "no").otherwise("1").alias("permits_research_use"))
-    return intake.authorisation_audit(rows, NOW, ["consent", "license"]).select("row", F.array_join("errors", ",").alias("errors"))
+    return intake.authorisation_audit(rows, _now(), ["consent", "license"]).select("row", F.array_join("errors", ",").alias("errors"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND trim(coalesce(source, ''), ' ') <> ''")
