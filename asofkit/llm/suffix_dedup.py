@@ -16,7 +16,7 @@ choose equal positions, and every window is judged through the position it choos
    window's start. Equal groups are exactly the repeated windows. Contexts of one first digit meet
    in a task as long as they are few; beyond, runs of neighbouring windows are sorted first, by
    the bytes that they have in common and by those that they cover, and only runs in which the two
-   tell different things are taken apart.
+   tell different things are taken apart, into shorter runs and at last into windows.
 
 What is removed rests on equal bytes or equal 128-bit digests; 64-bit hashes only discard.
 """
@@ -24,6 +24,7 @@ What is removed rests on equal bytes or equal 128-bit digests; 64-bit hashes onl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -38,8 +39,8 @@ from .textbytes import _BYTE_VALUES, PrefixHash, _power, chunks, flat, mix
 
 #: Contexts of one first digit that meet in a task; more of them are sorted by the shuffle.
 GROUP_IN_TASK = 256
-#: Windows of a run.
-TOGETHER = 20
+#: Windows of a run at each level; a level's number divides the one before.
+TOGETHER = (100, 20, 4)
 _NULL_ID = -(2**63)
 
 
@@ -207,10 +208,17 @@ def _repeated(length: int):
     return run
 
 
-def _runs(length: int):
-    """Each run of neighbouring windows of a context: hash of what they have in common, digest of what they cover."""
+def _widths(length: int) -> list[int]:
+    """Windows of a run, level by level; each level splits the runs of the one before."""
+    return [w for w in TOGETHER if w <= length // 4] + [1]
+
+
+def _runs(length: int, wide: int, within: int | None):
+    """Each run of ``wide`` neighbouring windows of a context: hash of what they have in common, digest of what they cover.
+
+    Of the context's listed runs of ``within`` windows only, and with their counts, if given.
+    """
     reach = length - length // 4
-    wide = min(TOGETHER, length // 2)
     start = np.arange(0, reach + 1, wide)
     last = np.minimum(start + wide - 1, reach)
 
@@ -218,67 +226,58 @@ def _runs(length: int):
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 part = batch.slice(s, 500)
-                ahead, contexts = part.column("ahead").to_numpy().astype(np.int64), part.column("bytes").to_pylist()
-                table, first, end = _table(ahead, contexts, length)
-                core = np.stack([_hashes(table[:, b : a + length], np.zeros(1, np.int64), a + length - b)[:, 0] for a, b in zip(start, last)], axis=1)
+                names, contexts, n = (part.column(c).to_pylist() for c in ("context", "bytes", "n"))
+                table, first, end = _table(part.column("ahead").to_numpy().astype(np.int64), contexts, length)
+                count = np.repeat(np.array(n, np.int64)[:, None], len(start), axis=1)
                 there = (last >= first[:, None]) & (start + length <= end[:, None])
+                if within:
+                    count[:] = 0  # no listed run counts for none
+                    of, listed = _listed(part.column("runs"))
+                    outer = listed.field("run").to_numpy(zero_copy_only=False).astype(np.int64) * (within // wide)
+                    for j in range(within // wide):
+                        own = outer + j < len(start)
+                        count[of[own], outer[own] + j] = listed.field("n").to_numpy(zero_copy_only=False)[own]
+                    there &= count > 0
                 row, which = np.nonzero(there)
-                names = part.column("context").to_pylist()
-                hull = []
-                for i, a, b in zip(row.tolist(), start[which].tolist(), last[which].tolist()):
-                    whole = a >= first[i] and b + length <= end[i]
-                    hull.append(_digest(table[i, a : b + length].tobytes()) if whole else names[i])
-                take = pa.array(row)
+                sums = np.zeros((table.shape[0], table.shape[1] + 1), dtype=np.uint64)
+                np.cumsum(_BYTE_VALUES[table] * _power("up", table.shape[1]), axis=1, out=sums[:, 1:])
+                a, b = start[which], last[which]
+                core = mix((sums[row, a + length] - sums[row, b]) * _power("down", table.shape[1])[b])
+                whole = ((a >= first[row]) & (b + length <= end[row])).tolist()
+                hull = [_digest(table[i, c : d + length].tobytes()) if w else names[i] for i, c, d, w in zip(row.tolist(), a.tolist(), b.tolist(), whole)]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("context").take(take), part.column("n").take(take), pa.array(which.astype(np.int32)),
-                    pa.array(core[row, which].view(np.int64)), pa.array(hull, pa.binary())], names=["context", "n", "run", "core", "hull"])
-    return run
-
-
-def _explode(length: int):
-    """Every window of the listed runs as a row, which counts for as many as its run does."""
-    reach = length - length // 4
-    wide = min(TOGETHER, length // 2)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, 200):
-                out: list = []
-                part = batch.slice(s, 200)
-                for context, ahead, raw, runs in zip(*(part.column(c).to_pylist() for c in ("context", "ahead", "bytes", "runs"))):
-                    for r in runs:
-                        for before in range(reach - r["run"] * wide, max(reach - (r["run"] + 1) * wide, -1), -1):
-                            a = ahead - before
-                            if 0 <= a <= len(raw) - length:
-                                out.append((context, r["n"], before, _digest(raw[a : a + length])))
-                if out:
-                    context, n, before, window = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(context, pa.binary()), pa.array(n, pa.int64()), pa.array(before, pa.int32()),
-                                                      pa.array(window, pa.binary())], names=["context", "n", "before", "window"])
+                    part.column("context").take(pa.array(row)), pa.array(count[row, which]), pa.array(which.astype(np.int32)),
+                    pa.array(core.view(np.int64)), pa.array(hull, pa.binary())], names=["context", "n", "run", "core", "hull"])
     return run
 
 
 def _large(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(context, most, least) for groups of any size, by the shuffle alone."""
+    """(context, most, least) for groups of any size, by the shuffle alone: runs of windows, then of fewer, then windows."""
     reach = length - length // 4
-    wide = min(TOGETHER, length // 2)
-    runs = scratch.save(contexts.mapInArrow(_runs(length), "context binary, n bigint, run int, core bigint, hull binary"), "runs")
-    total = runs.count()
-    hulls = scratch.save(runs.groupBy("core", "run", "hull").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("context").alias("context")), "hulls")
-    # Runs that cover the same bytes have the same windows.
-    sure = join_counted(runs.select("context", "run", "hull"), hulls.where("n > 1").groupBy("hull", "run").agg(F.sum("rows").alias("rows")),
-                        ["hull", "run"], "rows", total)
-    first = F.col("run") * wide
-    sure = sure.select("context", (F.lit(reach) - first).alias("most"), (F.lit(reach) - F.least(first + wide - 1, F.lit(reach))).alias("least"))
-    # Runs that have the common bytes alone with others: one for all that cover the same bytes.
-    open_ = join_counted(hulls, hulls.groupBy("core", "run").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), ["core", "run"], "kinds", total)
-    wanted = open_.groupBy("context").agg(F.collect_set(F.struct("run", "n")).alias("runs"))
-    rows = scratch.save(contexts.join(wanted, "context").select("context", "ahead", "bytes", "runs").mapInArrow(
-        _explode(length), "context binary, n bigint, before int, window binary"), "windows")
-    often = rows.groupBy("window", "before").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1").drop("n")
-    told = join_counted(rows.select("context", "window", "before"), often, ["window", "before"], "rows", rows.count())
-    return sure.unionByName(told.select("context", F.col("before").alias("most"), F.col("before").alias("least"))).groupBy("context").agg(
-        F.max("most").cast("int").alias("most"), F.min("least").cast("int").alias("least"))
+    sure, wanted, within = [], None, None
+    for wide in _widths(length):
+        held = (contexts.join(wanted, "context") if within else contexts).select("context", "n", "ahead", "bytes", *(["runs"] if within else []))
+        runs = scratch.save(held.mapInArrow(_runs(length, wide, within), "context binary, n bigint, run int, core bigint, hull binary"), f"runs{wide}")
+        total = runs.count()
+        hulls = scratch.save(runs.groupBy("core", "run", "hull").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("context").alias("context")),
+                             f"hulls{wide}")
+        release(scratch.spark)
+        # Runs that cover the same bytes have the same windows.
+        told = join_counted(runs.select("context", "run", "hull"), hulls.where("n > 1").groupBy("hull", "run").agg(F.sum("rows").alias("rows")),
+                            ["hull", "run"], "rows", total)
+        first = F.col("run") * wide
+        sure.append(scratch.save(told.groupBy("context").agg(
+            F.max(F.lit(reach) - first).cast("int").alias("most"),
+            F.min(F.lit(reach) - F.least(first + wide - 1, F.lit(reach))).cast("int").alias("least")), f"sure{wide}"))
+        scratch.drop(f"runs{wide}")
+        if wide > 1:
+            # Runs that have the common bytes alone with others are split: one for all that cover the same bytes.
+            open_ = join_counted(hulls, hulls.groupBy("core", "run").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), ["core", "run"], "kinds", total)
+            wanted = scratch.save(open_.groupBy("context").agg(F.collect_set(F.struct("run", "n")).alias("runs")), f"wanted{wide}")
+        scratch.drop(f"hulls{wide}")
+        release(scratch.spark)
+        within = wide
+    return reduce(DataFrame.unionByName, sure).groupBy("context").agg(F.max("most").alias("most"), F.min("least").alias("least"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     few = (bytes_.where(F.col("m") <= GROUP_IN_TASK).repartition(parts, "digit").sortWithinPartitions("digit")
            .mapInArrow(_repeated(length), "context binary, most int, least int"))
     judged = scratch.save(few.unionByName(_large(bytes_.where(F.col("m") > GROUP_IN_TASK), length, scratch)).dropDuplicates(["context"]), "judged")
-    scratch.drop("contexts", "runs", "hulls", "windows")
+    scratch.drop("contexts", *(f"{t}{w}" for w in _widths(length) for t in ("sure", "wanted")))
 
     # All windows of a context that occurs twice are repeated.
     ahead = F.least(F.lit(reach), F.col("r.pos"))

@@ -85,7 +85,9 @@ def test_suffix_dedup_repeated_row_and_null_id(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string"), 12).count() == 0
 
 
-def test_suffix_dedup_corpus(spark):
+@pytest.mark.parametrize("group", [256, 1])
+def test_suffix_dedup_corpus(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP_IN_TASK", group)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
     want = dict(zip((i for i, _ in rows), spans_of([t for _, t in rows], 400)))
