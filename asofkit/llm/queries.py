@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .chat import chat_digests, format_chats
+from .collocations import collocations
 from .embeddings import near_duplicates
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
@@ -82,6 +83,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
