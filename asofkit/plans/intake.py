@@ -544,7 +544,8 @@ def minute_files(spark, d):
     return payloads.minute_files(files).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("second").cast("long").alias("last_second"))
 
 
-@query(f"WITH {a.RUNS} SELECT source FROM runs WHERE status = 'SUCCESS' GROUP BY source HAVING max(started_at) + INTERVAL 6 HOUR < (SELECT max(started_at) FROM runs) - INTERVAL 1 MINUTE")
+@query(f"""WITH {a.RUNS} SELECT source FROM runs GROUP BY source
+HAVING coalesce(max(started_at) FILTER (WHERE status = 'SUCCESS'), min(started_at)) + INTERVAL 6 HOUR < (SELECT max(started_at) FROM runs) - INTERVAL 1 MINUTE""")
 def stale_sources(spark, d):
     """Sources that the stream reports because no success followed within six hours, unless one came later."""
     from ..streaming import streams
@@ -561,5 +562,5 @@ def stale_sources(spark, d):
     finally:
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
     out = spark.read.schema("source string, last_success timestamp, stale_at timestamp").parquet(f"{path}/out")
-    last = r.where("status = 'SUCCESS'").groupBy("source").agg(F.max("started_at").alias("last"))
-    return out.join(last, (out.source == last.source) & (out.last_success == last["last"])).select(out.source.cast("long").alias("source")).distinct()
+    last = r.groupBy("source").agg(F.max(F.when(F.col("status") == "SUCCESS", F.date_trunc("millisecond", "started_at"))).alias("last"))
+    return out.join(last, (out.source == last.source) & out.last_success.eqNullSafe(last["last"])).select(out.source.cast("long").alias("source")).distinct()

@@ -75,28 +75,38 @@ def smoothed_stream(labels: DataFrame, hold: int = 12, confirm: int = 3) -> Data
 
 
 class Staleness(StatefulProcessor):
-    """Keeps each source's last success; a timer fires when none has followed for ``limit_ms``."""
+    """An idle-source clock: one timer per source, due ``limit_ms`` after its last success.
+
+    A source without a success is due that long after its first run. Each later success moves the
+    timer; a run that failed only starts the clock of a new source. Times are milliseconds.
+    """
 
     def __init__(self, limit_ms: int):
         self.limit_ms = limit_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at timestamp")
+        self.state = handle.getValueState("seen", "first bigint, last bigint, due bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max((pdf["started_at"].max() for pdf in rows if len(pdf)), default=None)
-        known = self.last.get()[0] if self.last.exists() else None
-        if newest is not None and (known is None or newest > pd.Timestamp(known)):
-            for t in self.handle.listTimers():
-                self.handle.deleteTimer(t)
-            self.last.update((newest.to_pydatetime(),))
-            self.handle.registerTimer(int(newest.timestamp() * 1000) + self.limit_ms)
+        first, last, due = self.state.get() if self.state.exists() else (None, None, None)
+        for pdf in rows:
+            times = pdf["at_ms"].dropna()
+            good = pdf["at_ms"][pdf["good"].fillna(False).astype(bool)].dropna()
+            first = min((int(t) for t in (first, times.min()) if not pd.isna(t)), default=None) if len(times) else first
+            last = max((int(t) for t in (last, good.max()) if not pd.isna(t)), default=None) if len(good) else last
+        since = first if last is None else last
+        if since is not None and since + self.limit_ms != due:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            due = since + self.limit_ms
+            self.handle.registerTimer(due)
+            self.state.update((first, last, due))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = pd.Timestamp(self.last.get()[0])
-        yield pd.DataFrame({"source": [key[0]], "last_success": [at], "stale_at": [at + pd.Timedelta(milliseconds=self.limit_ms)]})
+        _, last, due = self.state.get()
+        yield pd.DataFrame({"source": [key[0]], "last_ms": pd.array([last], dtype="Int64"), "due_ms": [due]})
 
     def close(self) -> None:
         pass
@@ -105,9 +115,13 @@ class Staleness(StatefulProcessor):
 def stale_sources_stream(runs: DataFrame, lateness: str, limit_seconds: int = 5400) -> DataFrame:
     """(source, last_success, stale_at) once the watermark passes ``limit_seconds`` without a success.
 
-    Every run moves the watermark, so other sources' runs show that time goes on. Needs the RocksDB state store.
+    Every run reaches the clock and moves the watermark, failed ones too, so that time goes on while
+    a source is silent or fails; last_success is null for a source that never had one. A success that
+    is later than the watermark moves its source's time again, and so may be reported again. Runs
+    without a time are ignored. Needs the RocksDB state store.
     """
-    good = runs.withWatermark("started_at", lateness).where("status = 'SUCCESS'")
-    return good.groupBy("source").transformWithStateInPandas(
-        Staleness(limit_seconds * 1000), outputStructType="source string, last_success timestamp, stale_at timestamp",
-        outputMode="Append", timeMode="EventTime")
+    timed = runs.withWatermark("started_at", lateness).select(
+        "source", "started_at", F.unix_millis("started_at").alias("at_ms"), (F.col("status") == "SUCCESS").alias("good"))
+    fired = timed.groupBy("source").transformWithStateInPandas(
+        Staleness(limit_seconds * 1000), outputStructType="source string, last_ms bigint, due_ms bigint", outputMode="Append", timeMode="EventTime")
+    return fired.select("source", F.timestamp_millis("last_ms").alias("last_success"), F.timestamp_millis("due_ms").alias("stale_at"))
