@@ -18,6 +18,8 @@ from .sentencepieces import decode_pieces, encode_pieces
 from .suffix_dedup import remove_repeats
 from .token_io import token_digests, write_tokens
 from .toxicity import held_out, score_toxicity, train
+from .turn_repair import repair_turns
+from .url_filter import count_words, filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,10 +85,32 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = F.lit(" ")
+    turns = _table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"),
+        (F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]).cast("binary")) % 20).alias("damage"))
+    damage = F.col("damage")
+    text = F.when(damage == 1, "").when(damage == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    damaged = turns.withColumns({"role": F.when(damage == 4, "user").otherwise(F.col("role")), "text": text})
+    fixed = repair_turns(damaged, times=F.when(damage == 0, 0).when(damage == 3, 2).otherwise(1))
+    lines = F.transform("repaired", lambda t: F.concat(t.role, F.lit(":"), t.text))
+    return fixed.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                        F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), count_words(_table(spark, sf_dir, "documents")), URL_RULES)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
