@@ -14,7 +14,7 @@ words. Phrases are counted in two steps:
 
 Words and pairs are summarised first; triples and quadruples only where all pairs inside them are set, as no
 phrase is more frequent than its parts. A document is hashed whole, in one task, at some dozens of bytes of
-memory for each of its own. Inside a batch n-grams are told apart by 64-bit hashes; across batches by words.
+memory for each of its own. A task tells the phrases it holds apart by 64-bit hashes; across tasks their words do.
 
 Null texts are empty, a null language is ``und``; rows without words add nothing, and a table without rows
 gives none. Repeated rows count as often as they occur. Other columns are ignored.
@@ -38,8 +38,10 @@ PART_BYTES = 6_000_000
 #: Bits of the bitmap of survivors, a power of two.
 BITMAP_BITS = 1 << 26
 #: N-grams that a task holds before it sums them up.
-HELD = 4_000_000
+HELD = 2_000_000
 LONGEST = 4
+#: Phrases that a task counts before it passes them on.
+TALLIED = 200_000
 #: Bytes of the bitmap in a row.
 BLOCK = 1 << 16
 
@@ -251,28 +253,59 @@ def _bitmap(spark: SparkSession, docs: DataFrame, sizes: tuple[int, ...], parts:
     return out.tobytes()
 
 
+class Tally:
+    """Counts of phrases by hash, each phrase spelled out when it is first met."""
+
+    def __init__(self):
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rows: np.ndarray = np.zeros(0, dtype=np.int64)  # the phrase of each hash, by its place below
+        self.lang: list[str] = []
+        self.n: list[int] = []
+        self.phrase: list[bytes] = []
+
+    def add(self, h: np.ndarray, at: np.ndarray, n: int, words: Words, names: dict[int, str]) -> None:
+        order = np.argsort(h)
+        ranked = h[order]
+        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(h) else np.zeros(0, np.int64)
+        f, one, h = np.diff(np.r_[first, len(h)]), at[order[first]], ranked[first]
+        place = np.searchsorted(self.hashes, h)
+        known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
+        self.counts[place[known]] += f[known]
+        fresh = ~known
+        rows = len(self.n) + np.arange(int(fresh.sum()))
+        self.lang.extend(names[c] for c in words.lang[one[fresh]].tolist())
+        self.n.extend([n] * len(rows))
+        self.phrase.extend(words.phrase(i, n) for i in one[fresh].tolist())
+        self.hashes = np.insert(self.hashes, place[fresh], h[fresh])
+        self.counts = np.insert(self.counts, place[fresh], f[fresh])
+        self.rows = np.insert(self.rows, place[fresh], rows)
+
+    def record_batch(self) -> pa.RecordBatch:
+        f = np.zeros(len(self.n), dtype=np.int64)
+        f[self.rows] = self.counts
+        return pa.record_batch([pa.array(self.lang, pa.string()), pa.array(self.n, pa.int32()), pa.array(self.phrase, pa.binary()), pa.array(f)],
+                               names=["lang", "n", "phrase", "f"])
+
+
 def _counts(bitmap) -> Callable:
-    """Rows (lang, n, phrase, f) of one task; n = 0 carries the number of words."""
+    """Rows (lang, n, phrase, f) of a task's texts; n = 0 carries the number of words."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, dtype=np.uint8)
+        tally, totals = Tally(), {}
         for words, names in _batches(rows):
-            found: tuple[list, list, list, list] = ([], [], [], [])
-            codes, n_words = np.unique(words.lang, return_counts=True)
-            for code, f in zip(codes.tolist(), n_words.tolist()):
-                for column, value in zip(found, (names[code], 0, b"", f)):
-                    column.append(value)
+            for code, f in zip(*(x.tolist() for x in np.unique(words.lang, return_counts=True))):
+                totals[names[code]] = totals.get(names[code], 0) + f
             for n in range(1, LONGEST + 1):
                 h, at = _allowed(words, n, bits)
                 keep = has_bit(bits, h)
-                _, first, f = np.unique(h[keep], return_index=True, return_counts=True)
-                first = at[keep][first]
-                found[0].extend(names[c] for c in words.lang[first].tolist())
-                found[1].extend([n] * len(first))
-                found[2].extend(words.phrase(i, n) for i in first.tolist())
-                found[3].extend(f.tolist())
-            yield pa.record_batch([pa.array(found[0], pa.string()), pa.array(found[1], pa.int32()),
-                                   pa.array(found[2], pa.binary()), pa.array(found[3], pa.int64())], names=["lang", "n", "phrase", "f"])
+                tally.add(h[keep], at[keep], n, words, names)
+            if len(tally.n) >= TALLIED:
+                yield tally.record_batch()
+                tally = Tally()
+        yield tally.record_batch()
+        yield pa.record_batch([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([b""] * len(totals), pa.binary()),
+                               pa.array(list(totals.values()), pa.int64())], names=["lang", "n", "phrase", "f"])
 
     return run
 
