@@ -149,7 +149,7 @@ def filter_urls(pages: DataFrame, words: DataFrame, rules: list[tuple[str, str,
         "word", F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("good", F.lit(0)).alias("good"),
         F.coalesce(F.col("one"), F.lit(0)).alias("seed")), "counts")
     bad, good, n_words = (x or 0 for x in counts.agg(F.sum("bad"), F.sum("good"), F.count("*")).first())
-    bad_urls, all_urls = (x or 0 for x in told.agg(F.count_if("marked"), F.count("*")).first())
+    bad_urls, all_urls = told.where("marked").count(), urls.count()
     prior = round(PARTS * math.log((bad_urls + SMOOTHING) / (all_urls - bad_urls + SMOOTHING))) if all_urls else 0
     mass = SMOOTHING * n_words
     weight = F.log((F.col("bad") + SEED_COUNT * F.col("seed") + SMOOTHING) / (bad + SEED_COUNT * len(blocked) + mass)) - F.log((F.col("good") + SMOOTHING) / (good + mass))

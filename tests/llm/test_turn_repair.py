@@ -33,6 +33,9 @@ def plain(initials, found):
                         same = letter == initials[i]
                         tries.append((cost + 3 * (not same) + 3 * (found[i] == "t"), ("K" if same else "R") + rest))
         return min(tries, default=(1 << 20, ""))
+    for i in range(len(initials), -1, -1):  # from the end, so that no call goes deep
+        for state in ("", "S", "U", "A"):
+            best(i, state, 0)
     return best(0, "", 0)
 
 
