@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -91,24 +92,52 @@ def benchmark_cells(spark, d):
     return payloads.benchmark_cells(rows, "text", {"quality": "quality", "toxic": "toxic"}).select("row_id", "field", "gold", "skip_reason")
 
 
-def _opinion_posts(spark, d):
-    return a.table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), "text")
+#: What a post says behind its text, by doc_id % 12, with prices {p}, {s} and {t} made of its columns.
+SAID = ["gold long near {p}, stop {s}, target {t}, intraday. cpi was hot", "白银看空 {p} 附近，止损 {t}，目标 {s}，本周", "if btc breaks {p}, buy oil. wait in the range {s}-{t}",
+        "我认为黄金看涨，日内目标 {t}", "专家认为黄金看涨，目标 {t}", "不看多黄金，30分钟", "maybe buy silver from {s} - {t}, scalp. see chart", "long gold, sell oil, hours, stop {t}",
+        "yesterday short at {p}", "buy XPTUSD at {p}, BUDGET is fine, stop {t}", "看图，{p}", "{p} 点做多，{s} 止损，黄金或白银观望"]
 
 
-@query()
+def _opinion_posts(spark, d):
+    rows = a.table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), "text", (F.lit(1000) + F.coalesce("n_chars", F.lit(0)) % 500).alias("p"))
+    price = {"{p}": F.col("p"), "{s}": F.col("p") - 20, "{t}": F.col("p") + 35}
+    said = [F.concat(*[price[x].cast("string") if x in price else F.lit(x) for x in re.split(r"(\{[pst]\})", s) if x]) for s in SAID]
+    return rows.select("post_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.get(F.array(*said), (F.col("post_id") % 12).cast("int"))).alias("text"))
+
+
+_PRICED = "SELECT doc_id AS post_id, doc_id % 12 AS k, CAST(1000 + coalesce(n_chars, 0) % 500 AS DOUBLE) AS p, p - 20 AS s, p + 35 AS t FROM documents"
+#: What is read from each phrase; the letters stand for the prices.
+_READ = """(VALUES (0, 'LONG', '1h', 'XAUUSD', 'TECHNICAL', 0.9, 'p', 'p', 's', 't', ''), (1, 'SHORT', '1d', 'XAGUSD', 'TECHNICAL', 0.9, 'p', 'p', 't', 's', ''),
+  (2, 'UNKNOWN', NULL, 'BTCUSD', NULL, NULL, '', '', '', '', 'conditional'), (2, 'UNKNOWN', NULL, 'WTI', NULL, NULL, '', '', '', '', 'conditional'),
+  (2, 'FLAT', NULL, NULL, 'TECHNICAL', 0.6, 's', 't', '', '', ''), (3, 'LONG', '1h', 'XAUUSD', 'TECHNICAL', 0.9, '', '', '', 't', ''),
+  (4, 'UNKNOWN', NULL, 'XAUUSD', NULL, NULL, '', '', '', '', 'quote-only'), (5, 'UNKNOWN', '30m', 'XAUUSD', NULL, NULL, '', '', '', '', 'negated_direction'),
+  (6, 'LONG', '15m', 'XAGUSD', 'TECHNICAL', 0.4, 's', 't', '', '', 'weak_language'), (7, 'LONG', '4h', 'XAUUSD', 'OTHER', 0.7, '', '', '', '', ''),
+  (7, 'SHORT', '4h', 'WTI', 'TECHNICAL', 0.9, '', '', 't', '', ''), (8, 'UNKNOWN', NULL, NULL, NULL, NULL, '', '', '', '', 'post-hoc'),
+  (9, 'LONG', NULL, 'XPTUSD', 'TECHNICAL', 0.9, 'p', 'p', '', '', 'price_dropped'), (11, 'LONG', NULL, NULL, 'TECHNICAL', 0.9, 's', 's', '', '', 'price_dropped'),
+  (11, 'FLAT', NULL, 'XAUUSD', 'OTHER', 0.6, '', '', '', '', ''), (11, 'FLAT', NULL, 'XAGUSD', 'OTHER', 0.6, '', '', '', '', ''))
+  x(k, stance, horizon, instrument, information_type, confidence, lo, hi, sl, tp, diagnostics)"""
+_VALUE = "CASE {0} WHEN 'p' THEN p WHEN 's' THEN s WHEN 't' THEN t END"
+
+
+@query(f"""WITH d AS ({_PRICED}) SELECT post_id, (['LONG', 'SHORT', 'LONG', 'LONG', 'LONG', 'LONG', 'LONG', 'LONG', 'SHORT', 'LONG', NULL, 'LONG'])[k + 1] AS stance,
+  CASE k WHEN 0 THEN 'MACRO' END AS information_type FROM d""")
 def opinion_columns(spark, d):
-    """Stance and information type of every whole text; lookarounds are beyond DuckDB's patterns, so tests hold the columns against the rules."""
-    return _opinion_posts(spark, d).where("text is not null").select("post_id", extract.stance_column(F.col("text")).alias("stance"), extract.information_type_column(F.col("text")).alias("info"))
+    """Stance and information type of every whole post."""
+    return _opinion_posts(spark, d).select("post_id", extract.stance_column(F.col("text")).alias("stance"), extract.information_type_column(F.col("text")).alias("information_type"))
 
 
-@query()
+@query(f"""WITH d AS ({_PRICED}) SELECT post_id, stance, horizon, instrument, information_type, CAST(confidence AS DOUBLE) AS confidence, {_VALUE.format('lo')} AS entry_low, {_VALUE.format('hi')} AS entry_high,
+  {_VALUE.format('sl')} AS stop_loss, {_VALUE.format('tp')} AS take_profit, diagnostics, CASE instrument WHEN 'XPTUSD' THEN 'unknown_instrument' ELSE '' END AS warnings FROM d JOIN {_READ} USING (k)""")
 def extracted_opinions(spark, d):
-    return extract.extract_opinions(_opinion_posts(spark, d))[1]
+    o = extract.extract_opinions(_opinion_posts(spark, d))[1]
+    return o.select("post_id", "stance", "horizon", "instrument", "information_type", "confidence", "entry_low", "entry_high", "stop_loss", "take_profit",
+                    F.array_join("diagnostics", ",").alias("diagnostics"), F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("SELECT CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'SKIPPED' ELSE 'SUCCESS' END AS status, count(*) AS n FROM documents GROUP BY ALL")
+@query("SELECT 'SUCCESS' AS status, CASE WHEN doc_id % 12 = 10 THEN 'image_only' END AS reason, CAST(sum(CASE WHEN doc_id % 12 IN (2, 7, 11) THEN 2 WHEN doc_id % 12 = 10 THEN 0 ELSE 1 END) AS BIGINT) AS units, count(*) AS n FROM documents GROUP BY ALL")
 def extraction_status(spark, d):
-    return extract.extract_opinions(_opinion_posts(spark, d))[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    done = extract.extract_opinions(_opinion_posts(spark, d))[0]
+    return done.groupBy("status", "reason").agg(F.sum("n_units").alias("units"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {a.POSTS} SELECT post_id FROM posts WHERE post_id % 3 <> 0")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from asofkit.functions import hysteresis, opinion_rules
+from asofkit.functions import hysteresis
 from asofkit.functions import text as tx
 from asofkit.operators import asof, bars, evidence, indicators, labels, propagation, regime, skill, store
 from asofkit.streaming import streams
@@ -143,25 +143,6 @@ def test_text_functions(spark):
     assert [(str(a), b) for a, b in times] == [("2024-01-02 10:00:00", False), ("2024-01-02 08:00:00", False), ("None", True)]
 
 
-def test_opinion_rules():
-    names = {"silver": "XAGUSD", "白银": "XAGUSD", "oil": "WTI"}
-    rules = lambda t: opinion_rules.extract(t, names)
-    o = rules("silver long near 2350, stop 2330, target 2400")[0]
-    assert (o.stance, o.instrument, o.entry_low, o.stop_loss, o.take_profit, o.confidence) == ("LONG", "XAGUSD", 2350, 2330, 2400, 0.9)
-    assert rules("不看多白银")[0].stance == "UNKNOWN" and rules("if cpi beats then buy")[0].stance == "UNKNOWN"
-    assert rules("我认为白银看涨")[0].stance == "LONG" and rules("专家认为白银看涨")[0].stance == "UNKNOWN"
-    assert rules("silver long near 2350, stop 2380")[0].stop_loss is None
-    assert rules("nothing here") == [] and rules(None) == [] and opinion_rules.only_image("看图") and not opinion_rules.only_image("看图做多")
-    assert rules("buy US02Y at 98.5-99.25")[0].instrument == "US02Y" and rules("buy, silver or oil")[0].instrument == "XAGUSD"
-    o = rules("long 98.5 - 99.25. Target later")[0]
-    assert (o.entry_low, o.entry_high) == (98.5, 99.25) and rules("long at 2350点")[0].entry_low is None
-
-
-def test_numbers_of_a_text():
-    got = [(x.value, x.counted) for x in opinion_rules.numbers("7 at 23.5, 1.2.3 and 12345678 or 40% of 99.12345")]
-    assert got == [(23.5, False), (40.0, True)]
-
-
 def test_evidence_reference_and_readiness(spark):
     p = spark.createDataFrame([("s", "a", i, T0.date()) for i in range(3)], "scope string, source string, item long, available_at date")
     rows = {(r.scope, r.metric): r.status for r in evidence.readiness(p, ["s", "empty"], 2, 0, 0.4).collect()}
