@@ -7,8 +7,8 @@ hashes are all equal, however long it is; a run longer than a block is cut into
 pairwise in tasks of their own, so that no follower is refused. A pair agrees on a sign with a
 probability that its own angle gives, so the number of passes follows from the number of signs and
 a pair at the threshold falls into one run with the wanted probability, however the other vectors
-lie; what the windows find comes on top. Links of all passes are united. A table of one block is
-one window. Equal vectors are one vector with a count.
+lie; what the windows find comes on top. Links of all passes are united. Equal vectors are one vector
+with a count.
 """
 
 from __future__ import annotations
@@ -30,22 +30,20 @@ _LINK = "a bigint, b bigint, cosine double, beside boolean"
 _BUCKET = ["turn", "dim", "code"]
 
 
-def passes_for(signs: int, threshold: float, wanted: float = 0.99) -> int:
+def passes_for(signs: int, threshold: float, wanted: float = 0.999) -> int:
     """Passes so that a pair of cosine ``threshold`` shares a bucket of one with probability ``wanted``."""
     meet = (1 - math.acos(threshold) / math.pi) ** signs
     return 1 if meet >= wanted else math.ceil(math.log(1 - wanted) / math.log(1 - meet))
 
 
-def signs_for(classes: DataFrame, n: int, window: int, threshold: float, sample: int = 1024, block: int = 4096) -> int:
+def signs_for(classes: DataFrame, n: int, window: int, threshold: float, sample: int = 1024) -> int:
     """The number of signs with the least work, by the angles between about ``sample`` of the ``n`` vectors.
 
     Two vectors share a bucket of k signs with probability (1 - angle / pi) ** k, so the sample's
     mean of that is the share of all pairs that a pass compares, also where many vectors crowd into
     one cone. Carrying a row through a pass counts as much as 8 * window comparisons. The sample
-    decides the work only. A table of one ``block`` is a single window and needs no signs.
+    decides the work only, and a small table has few signs by the same rule.
     """
-    if n <= block:
-        return 0
     places = 1 << 30
     most = min(places, max(1, places * sample // max(n, 1)))
     drawn = classes.where(F.pmod(F.xxhash64("id"), F.lit(places)) < most).select("vec").toArrow().column("vec").combine_chunks()
@@ -74,7 +72,7 @@ def _codes(signs: int, passes: int, seed: int):
                 for s in range(0, len(row), 1024):
                     part = pa.array(row[s : s + 1024])
                     n, vec = len(part), column.take(part)
-                    x = vec.flatten().to_numpy().astype(np.float64).reshape(n, d)
+                    x = _unit(vec.flatten().to_numpy().astype(np.float64).reshape(n, d))
                     codes = (x @ planes[d] > 0).reshape(n, passes, signs) @ (np.int64(1) << np.arange(signs, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([
                         ids.take(part), pa.array(np.full(n, d, np.int32)), vec,
@@ -84,6 +82,8 @@ def _codes(signs: int, passes: int, seed: int):
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -185,8 +185,8 @@ def _stripes(threshold: float):
 def _compare(coded: DataFrame, window: int, block: int, threshold: float, parts: int) -> DataFrame:
     """Every link of some pass: once if a run holds it, else once for each window that does."""
     rows = coded.select("id", "dim", "vec", "codes", F.posexplode("codes").alias("turn", "code"))
-    large = rows.groupBy(*_BUCKET).count().where(F.col("count") > block)  # at most rows / block
-    rows = (rows.join(F.broadcast(large), _BUCKET, "left")
+    large = rows.groupBy(*_BUCKET).count().where(F.col("count") > block)
+    rows = (rows.join(large, _BUCKET, "left")  # its size is for Spark to weigh: broadcast or shuffled
             .withColumn("pieces", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))
             .withColumn("piece", F.pmod(F.xxhash64("turn", "id"), F.col("pieces")).cast("int")).drop("count"))
     deal = lambda df: df.repartition(parts, *_BUCKET, "piece").sortWithinPartitions(*_BUCKET, "piece")
@@ -220,7 +220,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 64
     v = v.withColumn("vec", F.when(sound, F.transform("vec", lambda x: x + F.lit(0.0))))
     classes = scratch.save(v.where("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c")), "classes")
     n = classes.count()
-    signs = signs_for(classes, n, 256, threshold, block=block)
+    signs = signs_for(classes, n, 256, threshold)
     coded = scratch.save(classes.select("id", "vec").mapInArrow(_codes(signs, passes_for(signs, threshold), seed),
                                                                "id bigint, dim int, vec array<double>, codes array<int>"), "coded")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

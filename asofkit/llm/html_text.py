@@ -47,6 +47,7 @@ CHROME_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adver
                 "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "widget", "toolbar", "pagination", "pager", "copyright"}
 
 
+AD_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner"}
 COMMENT_WORDS = {"comment", "comments", "disqus", "replies", "respond"}
 CONTENT_WORDS = {"content", "article", "post", "entry", "body", "main", "story", "text", "page"}
 # Elements that stay what they are around an article; others of CHROME may wrap a whole page.
@@ -68,6 +69,8 @@ def _kind(name: str, attrs: str) -> tuple[int, bool] | None:
         tokens = [set(re.split(r"[^a-z0-9]+", t)) for t in value.split() if not t.startswith(("no-", "without-", "has-", "with-"))]
         if any(COMMENT_WORDS & t for t in tokens):
             return CHROME_PART, True
+        if found is None and name not in CONTENT and any(AD_WORDS & t for t in tokens):  # whatever else it is called
+            found = (CHROME_PART, False)
         bad = any(CHROME_WORDS & t for t in tokens)
         good = any(CONTENT_WORDS & t and not CHROME_WORDS & t for t in tokens)
         if bad and found is None and name not in CONTENT:

@@ -223,7 +223,7 @@ def crowded(n, pairs, seed=6):
 def test_embeddings_recall_in_a_cone(spark, window=1):
     x = crowded(9000, 200)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    signs = embeddings.signs_for(df.selectExpr("vec_id AS id", "embedding AS vec"), len(x), 256, 0.9, block=512)
+    signs = embeddings.signs_for(df.selectExpr("vec_id AS id", "embedding AS vec"), len(x), 256, 0.9)
     assert signs > 0  # several passes, not the exact way
     met = {(p.a, p.b) for p in embeddings.near_duplicates(df, window=window, block=512)[1].collect()}
     hit = set(map(tuple, np.argwhere(np.triu(x @ x.T >= 0.9, 1)).tolist()))
@@ -236,4 +236,25 @@ def test_embeddings_signs_follow_the_density(spark):
     table = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
     even, cone = (embeddings.signs_for(table(x), 10**7, 256, 0.9, sample=10**7) for x in (r.standard_normal((1000, 64)), crowded(1000, 10)))
     assert 0 < even < cone
-    assert embeddings.signs_for(table(r.standard_normal((5, 64))), 5, 256, 0.9) == 0
+    assert embeddings.signs_for(table(r.standard_normal((5, 64))), 5, 256, 0.9) == 1  # small tables take passes too
+
+
+def test_embeddings_of_extreme_size(spark):
+    """Components whose squares over- or underflow have the angle that they have."""
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, 0.1]), (5, [5e-324, 5e-324]), (6, [1.7e308, 1.7e308]), (7, [-1e-200, -1e-200]), (8, [10.0, 1e-300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))[0].collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (1, 4), 5: (4, 1), 6: (4, 1), 7: (0, 7), 8: (1, 4)}
+
+
+def test_embeddings_against_all_pairs(spark):
+    """The registered query on the given table, by its own passes."""
+    from asofkit.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    sound = [r for r in rows if r.embedding and all(v is not None and np.isfinite(v) for v in r.embedding) and any(r.embedding)]
+    x = np.array([r.embedding for r in sound], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = dict(zip((r.vec_id for r in sound), ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()))
+    got = {r.vec_id: r.n_links for r in queries.op1_embedding_dedup(spark, sf).collect()}
+    assert sum(got.values()) >= 0.999 * sum(links.values()) and all(n <= links.get(i, 0) for i, n in got.items())
