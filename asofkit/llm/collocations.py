@@ -40,8 +40,8 @@ BITMAP_BITS = 1 << 26
 #: N-grams that a task holds before it sums them up.
 HELD = 2_000_000
 LONGEST = 4
-#: Phrases that a task counts before it passes them on.
-TALLIED = 200_000
+#: Words that a task counts before it passes its counts on; this bounds the phrases that it holds.
+TALLIED = 600_000
 #: Bytes of the bitmap in a row.
 BLOCK = 1 << 16
 
@@ -292,17 +292,18 @@ def _counts(bitmap) -> Callable:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, dtype=np.uint8)
-        tally, totals = Tally(), {}
+        tally, totals, n_words = Tally(), {}, 0
         for words, names in _batches(rows):
+            n_words += len(words.start)
             for code, f in zip(*(x.tolist() for x in np.unique(words.lang, return_counts=True))):
                 totals[names[code]] = totals.get(names[code], 0) + f
             for n in range(1, LONGEST + 1):
                 h, at = _allowed(words, n, bits)
                 keep = has_bit(bits, h)
                 tally.add(h[keep], at[keep], n, words, names)
-            if len(tally.n) >= TALLIED:
+            if n_words >= TALLIED:
                 yield tally.record_batch()
-                tally = Tally()
+                tally, n_words = Tally(), 0
         yield tally.record_batch()
         yield pa.record_batch([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([b""] * len(totals), pa.binary()),
                                pa.array(list(totals.values()), pa.int64())], names=["lang", "n", "phrase", "f"])

@@ -2,7 +2,7 @@
 
 Every intermediate result that is read more than once is written below the folder that the
 session names in ``spark.checkpoint.dir``, which all executors and the driver share. Where the
-setting is absent (tests on one machine) a temporary folder is used instead.
+setting is absent, a session on one machine uses a temporary folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only if unset, a temporary one of this process."""
+    """The cluster's checkpoint folder; only if unset, and on one machine, a temporary one of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = "file://" + tempfile.mkdtemp(prefix="asofkit-checkpoint-")
