@@ -84,7 +84,7 @@ def first_by_any_key(rows: DataFrame, row: str, keys: list[str]) -> DataFrame:
     goes if an earlier kept one shares a key, and stays if no earlier open one does. A round
     settles at least the first open row of every chain; rounds are cut by checkpoints.
     """
-    from .propagation import cut
+    from ..shared import cut
 
     pairs = [F.when(~blank(F.col(k)), F.concat(F.lit(f"{k}="), F.trim(F.col(k)))) for k in keys]
     held = cut(rows.select(F.col(row).alias("r"), F.explode(F.array(*pairs)).alias("k")).where("k is not null"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import folder as folder  # queries name it through this module
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -107,12 +109,3 @@ CELLS = """cells AS (SELECT doc_id AS post_id, source, 'quality' AS field, CAST(
   CASE WHEN doc_id % 4 = 0 THEN lang ELSE CAST(quality AS VARCHAR) END AS c FROM labels JOIN documents USING (doc_id)
   UNION ALL SELECT doc_id, source, 'lang', lang, nullif(CASE WHEN doc_id % 6 = 0 THEN '' ELSE lang END, ''),
   CASE WHEN n_chars % 3 = 0 THEN 'en' ELSE lang END, nullif(CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'en' END, '') FROM labels JOIN documents USING (doc_id))"""
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query derives from the tables, on the shared file system where the session names one."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="asofkit-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -161,8 +159,7 @@ def technical_signal(spark, d):
   FROM bars GROUP BY ALL), last AS (SELECT max(open_time) AS m FROM bars) SELECT instrument, {T('b')} AS open_time, open, high, low, close FROM g, last WHERE n = 4 AND b + INTERVAL 4 HOUR <= last.m - INTERVAL 1 HOUR""")
 def streamed_bars_4h(spark, d):
     """The streaming bars over hourly bars that arrive as files; what the watermark has closed."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="asofkit-stream-")
-    path = f"{root.rstrip('/')}/bars-{uuid.uuid4().hex}"
+    path = a.folder(spark, "bars")
     b = a.bars_1h(spark, d).select("instrument", "open_time", "open", "high", "low", "close", "volume")
     b.write.parquet(f"{path}/in")
     stream = streams.complete_bars_stream(spark.readStream.schema(b.schema).parquet(f"{path}/in"), "4 hours", 4, "1 hour")

@@ -433,7 +433,7 @@ _REPOST = f"""{a.POSTS}, d AS (SELECT post_id, source, lower(trim(regexp_replace
   v AS (SELECT post_id, tok, w / norm AS w FROM w JOIN nm USING (post_id)),
   p AS (SELECT x.post_id AS a, y.post_id AS b, round(sum(x.w * y.w), 6) AS similarity FROM v x JOIN v y ON x.tok = y.tok AND x.post_id < y.post_id GROUP BY ALL HAVING round(sum(x.w * y.w), 6) >= 0.8),
   e AS (SELECT head AS from_item, post_id AS to_item, 'REPOST' AS relation, 1.0 AS similarity FROM h WHERE post_id <> head UNION ALL
-    SELECT a, b, CASE WHEN sa.source IS NOT DISTINCT FROM sb.source THEN 'SAME_SOURCE' WHEN similarity >= 0.999 THEN 'REPOST' ELSE 'SEMANTIC_SIMILAR' END, similarity FROM p JOIN hd sa ON sa.post_id = a JOIN hd sb ON sb.post_id = b)"""
+    SELECT a, b, CASE WHEN sa.source = sb.source THEN 'SAME_SOURCE' WHEN similarity >= 0.999 THEN 'REPOST' ELSE 'SEMANTIC_SIMILAR' END, similarity FROM p JOIN hd sa ON sa.post_id = a JOIN hd sb ON sb.post_id = b)"""
 
 
 @query(f"WITH {_REPOST} SELECT from_item, to_item, relation, round(similarity, 5) AS similarity FROM e")
