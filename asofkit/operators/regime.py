@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.hysteresis import smooth
+from ..functions.hysteresis import Automaton
+from ..shared import cut
 from . import asof, bars, windows
-from .indicators import indicators
-from .propagation import cut
+from .indicators import CHUNK_SECONDS, chunk_of, indicators
 
 NEEDED = ["ema_20", "ema_60", "ema_20_slope_4", "ema_60_slope_4", "adx_14", "atr_14_pct", "atr_pct_rank_60"]
 NEWS_AT_LEAST, MACRO_AT_LEAST, SPAN_SECONDS = 3, 1, 4 * 3600
@@ -54,19 +55,54 @@ def statistical_regime() -> Column:
 REGIMES = ["TREND_UP", "TREND_DOWN", "RANGE", "HIGH_VOLATILITY", "LOW_VOLATILITY", "NEWS_DRIVEN", "UNKNOWN"]
 
 
-def smoothed(raw: DataFrame, hold: int = 12, confirm: int = 3) -> DataFrame:
-    """``regime`` from ``raw_regime``, and the running hash of each segment's labels."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("open_time").reset_index(drop=True)
-        pdf["regime"] = smooth(pdf["raw_regime"], hold, confirm)
-        link, chain = b"", []
-        for t, r in zip(pdf["open_time"], pdf["raw_regime"]):
-            link = hashlib.sha256(link + f"{t.isoformat()}|{r}".encode()).digest()
-            chain.append(link.hex())
-        pdf["prefix_hash"] = chain
-        return pdf
-    return raw.groupBy("instrument", "segment").applyInPandas(
-        run, StructType([*raw.schema.fields, StructField("regime", StringType()), StructField("prefix_hash", StringType())]))
+def smoothed(raw: DataFrame, hold: int = 12, confirm: int = 3, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """``regime`` from ``raw_regime``, segment by segment, however many tasks a segment takes.
+
+    Each chunk of time becomes a map between the states of the smoothing automaton; the maps of a segment are
+    followed in order, one small row a chunk, and give each chunk the state that it starts from.
+    """
+    machine, by = Automaton(REGIMES, hold, confirm), ["instrument", "segment", "__chunk"]
+    rows = cut(raw.withColumn("__chunk", chunk_of("open_time", chunk_seconds)))  # read twice
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def to_map(key, t):
+        states = machine.chunk(t.sort_by("open_time").column("raw_regime").to_pylist())
+        return pa.table({**{c: pa.array([k.as_py()], t.schema.field(c).type) for c, k in zip(by, key)}, "m": pa.array([states.tolist()], pa.list_(pa.int32()))})
+
+    maps = rows.select(*by, "open_time", "raw_regime").groupBy(*by).applyInArrow(to_map, f"{kinds}, m array<int>")
+    starts = (maps.groupBy("instrument", "segment").agg(F.array_sort(F.collect_list(F.struct(F.col("__chunk").alias("c"), "m"))).alias("s"))
+              .select("instrument", "segment", F.explode(F.expr("""aggregate(s, struct(0 as state, cast(array() as array<struct<c: bigint, start: int>>) as out),
+                  (t, r) -> struct(r.m[t.state] as state, array_append(t.out, struct(r.c as c, t.state as start)) as out), t -> t.out)""")).alias("o"))
+              .select("instrument", "segment", F.col("o.c").alias("__chunk"), F.col("o.start").alias("__start")))
+
+    def smooth(t):
+        t = t.sort_by("open_time")
+        regime = machine.run(t.column("raw_regime").to_pylist(), t.column("__start")[0].as_py())
+        return t.drop_columns(["__start"]).append_column("regime", pa.array(regime, pa.string()))
+
+    out = rows.join(starts, by).select(*rows.columns, "__start").groupBy(*by).applyInArrow(smooth, StructType([*rows.schema.fields, StructField("regime", StringType())]))
+    return out.drop("__chunk")
+
+
+def hash_chain(labelled: DataFrame) -> DataFrame:
+    """``prefix_hash``: the running SHA-256 of each segment's times and raw labels.
+
+    A chain has no short cut, so a segment is one task's work; it streams through it and is never held.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, link = None, b""
+        for b in batches:
+            chain = []
+            for instrument, segment, at, label in zip(*(b.column(c).to_pylist() for c in ("instrument", "segment", "__at", "raw_regime"))):
+                if (instrument, segment) != last:
+                    last, link = (instrument, segment), b""
+                link = hashlib.sha256(link + f"{at}|{label}".encode()).digest()
+                chain.append(link.hex())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(chain, pa.string())], names=[*b.schema.names[:-1], "prefix_hash"])
+
+    dealt = labelled.repartition("instrument", "segment").sortWithinPartitions("instrument", "segment", "open_time")
+    dealt = dealt.withColumn("__at", F.date_format("open_time", "yyyy-MM-dd'T'HH:mm:ss"))
+    return dealt.mapInArrow(run, StructType([*labelled.schema.fields, StructField("prefix_hash", StringType())]))
 
 
 def regime_run(b: DataFrame, marks: DataFrame) -> DataFrame:
@@ -84,7 +120,7 @@ def regime_run(b: DataFrame, marks: DataFrame) -> DataFrame:
     w = Window.partitionBy("instrument", "segment").orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
     raw = (seen.withColumn("available_at", F.max(known).over(w)).withColumn("raw_regime", regime).withColumn("confidence", confidence)
            .withColumn("stat_regime", statistical_regime()))
-    return smoothed(raw)
+    return hash_chain(smoothed(raw))
 
 
 def regime_metrics(run: DataFrame, state: str = "regime") -> DataFrame:

@@ -1,5 +1,6 @@
 """Boundaries, future mutation, repeated runs and recurrences of the library's own operators."""
 
+import hashlib
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -86,10 +87,72 @@ def test_hysteresis():
     assert hysteresis.smooth([a] * 12 + ["UNKNOWN", b]) == [a] * 12 + ["UNKNOWN", b]
 
 
-def test_rsi_edges():
-    assert indicators.rsi(pd.Series(range(30), dtype=float)).iloc[-1] == 100
-    assert indicators.rsi(pd.Series([5.0] * 30)).iloc[-1] == 50
-    assert indicators.rsi(pd.Series(range(30, 0, -1), dtype=float)).iloc[-1] == 0
+def test_rsi_edges(spark):
+    got = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (0.0, 1.0), (1.0, 3.0), (None, 1.0)], "g double, l double").select(indicators.rsi_column(F.col("g"), F.col("l"))).collect()
+    assert [r[0] for r in got] == [100, 50, 0, 25, None]
+
+
+def plain_indicators(rows):
+    """Indicators of one segment by recursion."""
+    def mean(xs, alpha, warm):
+        y, n, out = None, 0, []
+        for x in xs:
+            if x is not None:
+                y, n = x if y is None else alpha * x + (1 - alpha) * y, n + 1
+            out.append(y if n >= warm else None)
+        return out
+
+    def each(f, *columns):
+        return [None if None in v else f(*v) for v in zip(*columns)]
+    h, lo, c = ([r[k] for r in rows] for k in (4, 5, 6))
+    back = lambda xs, k: [None] * k + xs[:-k]
+    tr = [max(a - b, abs(a - p), abs(b - p)) if p is not None else a - b for a, b, p in zip(h, lo, back(c, 1))]
+    up, down, step = each(lambda x, y: x - y, h, back(h, 1)), each(lambda x, y: y - x, lo, back(lo, 1)), each(lambda x, y: x - y, c, back(c, 1))
+    plus = [u if u is not None and u > d and u > 0 else 0.0 for u, d in zip(up, down)]
+    minus = [d if d is not None and d > u and d > 0 else 0.0 for u, d in zip(up, down)]
+    atr, p, m = (mean(x, 1 / 14, 14) for x in (tr, plus, minus))
+    gain, loss = mean(each(lambda s: max(s, 0.0), step), 1 / 14, 14), mean(each(lambda s: max(-s, 0.0), step), 1 / 14, 14)
+    pct = each(lambda a, x: a / x, atr, c)
+    e20, e60, macd = mean(c, 2 / 21, 20), mean(c, 2 / 61, 60), each(lambda a, b: a - b, mean(c, 2 / 13, 12), mean(c, 2 / 27, 26))
+    dx = [None if None in (x, y) or x + y == 0 else 100 * abs(x - y) / (x + y) for x, y in zip(p, m)]
+    rank = [None if i < 59 or None in pct[i - 59 : i + 1] else sum(x <= pct[i] for x in pct[i - 59 : i + 1]) / 60 for i in range(len(c))]
+    rsi = each(lambda g, s: 50.0 if g == s == 0 else 100.0 if s == 0 else 100 - 100 / (1 + g / s), gain, loss)
+    slope = lambda e: each(lambda x, y: x / y - 1, e, back(e, 4))
+    hist = each(lambda x, y, z: (x - y) / z, macd, mean(macd, 2 / 10, 9), c)
+    return list(zip(e20, e60, slope(e20), slope(e60), pct, mean(dx, 1 / 14, 14), rank, rsi, hist))
+
+
+@pytest.mark.parametrize("chunk_hours", [100, 1000])
+def test_indicators_over_chunks(spark, chunk_hours):
+    """Several chunks a segment, a segment shorter than a chunk, a flat start and a null nowhere else than while warming up."""
+    r = np.random.default_rng(2)
+    price = 100 + np.cumsum(r.normal(0, 1, 460)) * 0.3
+    price[:30] = 100.0
+    rows = hourly(460, lambda i: float(round(price[i], 4)))
+    flat = [(*x[:4], x[6], x[6], x[6], *x[7:]) if i < 30 else x for i, x in enumerate(rows)]
+    d = spark.createDataFrame([(*x, s) for s, part in ((0, flat[:400]), (1, flat[400:])) for x in part], BARS + ", segment long")
+    got = {x.open_time: [x[c] for c in indicators.INDICATORS] for x in indicators.indicators(d, chunk_hours * 3600).collect()}
+    want = [v for part in (flat[:400], flat[400:]) for v in plain_indicators(part)]
+    for x, w in zip(flat, want):
+        assert [v is None for v in got[x[1]]] == [v is None for v in w], x
+        assert [v for v in got[x[1]] if v is not None] == pytest.approx([v for v in w if v is not None], rel=1e-9, abs=1e-9)
+
+
+def test_smoothing_over_chunks(spark):
+    """Equal to the loop on random labels, a segment spread over many tasks."""
+    r = np.random.default_rng(3)
+    names = ["RANGE", "TREND_UP", "TREND_DOWN", "UNKNOWN"]
+    series = {0: [names[i] for i in np.repeat(r.choice(4, 200, p=[0.45, 0.3, 0.2, 0.05]), r.integers(1, 9, 200))], 1: ["RANGE"] * 5}
+    rows = [("X", s, T0 + timedelta(hours=i + 5000 * s), x) for s, xs in series.items() for i, x in enumerate(xs)]
+    out = regime.smoothed(spark.createDataFrame(rows, "instrument string, segment long, open_time timestamp, raw_regime string"), chunk_seconds=50 * 3600).orderBy("segment", "open_time").collect()
+    for s, xs in series.items():
+        assert [x.regime for x in out if x.segment == s] == hysteresis.smooth(xs)
+    chain = regime.hash_chain(spark.createDataFrame(rows, "instrument string, segment long, open_time timestamp, raw_regime string").repartition(3)).orderBy("segment", "open_time").collect()
+    for s, xs in series.items():
+        link = b""
+        for x, row in zip(xs, [c for c in chain if c.segment == s]):
+            link = hashlib.sha256(link + f"{row.open_time.isoformat()}|{x}".encode()).digest()
+            assert row.prefix_hash == link.hex()
 
 
 def test_wilson_and_binomial(spark):
