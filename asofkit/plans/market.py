@@ -267,3 +267,61 @@ def rows_in_authorised_window(spark, d):
                                              F.when(F.col("c_custkey") % 3 != 0, F.expr("timestamp_ntz'1997-01-01 00:00:00'")).alias("expires_at"))
     o = a.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
     return asof.range_join(o, c, "c_custkey", "o_orderdate", "valid_from", "expires_at").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NUMBERED = f"""{_SEGMENTS}, num AS (SELECT instrument, segment, open_time, open, high, low, close, volume, row_number() OVER w AS i, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close) OVER w AS pc
+    FROM seg WINDOW w AS (PARTITION BY instrument, segment ORDER BY open_time))"""
+_MEAN = "CASE WHEN y.{0} IS NULL THEN x.{1} ELSE {2} * x.{1} + (1 - {2}) * y.{0} END"
+_STEP = {"e20": ("close", "2.0::DOUBLE / 21"), "e60": ("close", "2.0::DOUBLE / 61"), "fast": ("close", "2.0::DOUBLE / 13"), "slow": ("close", "2.0::DOUBLE / 27"),
+         **{m: (x, "1.0::DOUBLE / 14") for m, x in (("atr", "tr"), ("mp", "plus"), ("mm", "minus"), ("mg", "gain"), ("ml", "loss"))}}
+#: A second recursion, over what the first one gives: the mean of the directional index and the signal line.
+_LATER = {"adx": ("dx", "1.0::DOUBLE / 14"), "sig": ("macd", "2.0::DOUBLE / 10")}
+
+
+@query(f"""WITH RECURSIVE {_NUMBERED},
+  x AS (SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr,
+    CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS plus, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS minus,
+    CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss FROM num),
+  y AS (SELECT instrument, segment, i, {', '.join(f'CAST({x} AS DOUBLE) AS {m}' for m, (x, _) in _STEP.items())} FROM x WHERE i = 1
+    UNION ALL SELECT x.instrument, x.segment, x.i, {', '.join(_MEAN.format(m, x, f'({a_})') for m, (x, a_) in _STEP.items())}
+    FROM y JOIN x ON x.instrument = y.instrument AND x.segment = y.segment AND x.i = y.i + 1),
+  z AS (SELECT x.*, y.* EXCLUDE (instrument, segment, i), atr / close AS pct, CASE WHEN x.i >= 26 THEN fast - slow END AS macd,
+    CASE WHEN x.i >= 14 AND mp + mm <> 0 AND atr <> 0 THEN 100 * abs(mp - mm) / (mp + mm) END AS dx FROM x JOIN y USING (instrument, segment, i)),
+  r AS (SELECT instrument, segment, i, dx AS adx, macd AS sig, (dx IS NOT NULL)::INT AS n FROM z WHERE i = 1
+    UNION ALL SELECT x.instrument, x.segment, x.i, {', '.join(f'CASE WHEN x.{x} IS NULL THEN y.{m} ELSE {_MEAN.format(m, x, f"({a_})")} END' for m, (x, a_) in _LATER.items())}, y.n + (x.dx IS NOT NULL)::INT
+    FROM r y JOIN z x ON x.instrument = y.instrument AND x.segment = y.segment AND x.i = y.i + 1),
+  k AS (SELECT b.instrument, b.segment, b.i, count(*) FILTER (WHERE c.pct <= b.pct) / 60 AS rank FROM z b JOIN z c ON c.instrument = b.instrument AND c.segment = b.segment AND c.i BETWEEN b.i - 59 AND b.i
+    WHERE b.i >= 73 GROUP BY ALL)
+SELECT instrument, {t('open_time')} AS open_time, round(CASE WHEN i >= 20 THEN e20 END, 4) AS ema_20, round(CASE WHEN i >= 60 THEN e60 END, 4) AS ema_60,
+  round(CASE WHEN i >= 24 THEN e20 / lag(e20, 4) OVER w - 1 END, 6) AS ema_20_slope_4, round(CASE WHEN i >= 64 THEN e60 / lag(e60, 4) OVER w - 1 END, 6) AS ema_60_slope_4,
+  round(CASE WHEN i >= 14 THEN pct END, 6) AS atr_14_pct, round(CASE WHEN n >= 14 THEN adx END, 4) AS adx_14, round(rank, 6) AS atr_pct_rank_60,
+  round(CASE WHEN i >= 15 THEN CASE WHEN ml = 0 AND mg = 0 THEN 50 WHEN ml = 0 THEN 100 ELSE 100 - 100 / (1 + mg / ml) END END, 4) AS rsi_14,
+  round(CASE WHEN i >= 34 THEN (macd - sig) / close END, 6) AS macd_hist
+FROM z JOIN r USING (instrument, segment, i) LEFT JOIN k USING (instrument, segment, i) WINDOW w AS (PARTITION BY instrument, segment ORDER BY i)""")
+def technical_indicators(spark, d):
+    """Every indicator of every bar; each segment begins anew."""
+    from ..operators import indicators
+
+    out = indicators.indicators(bars.segments(a.bars_1h(spark, d)))
+    short = {"ema_20", "ema_60", "adx_14", "rsi_14"}
+    return out.select("instrument", a.stamp("open_time").alias("open_time"), *[F.round(c, 4 if c in short else 6).alias(c) for c in indicators.INDICATORS])
+
+
+_LABEL = "CASE WHEN close > open AND volume % 4 > 0 THEN 'TREND_UP' WHEN volume % 3 = 0 THEN 'TREND_DOWN' WHEN volume % 41 = 5 THEN 'UNKNOWN' ELSE 'RANGE' END"
+
+
+@query(f"""WITH RECURSIVE {_NUMBERED}, x AS (SELECT *, {_LABEL} AS r FROM num),
+  y AS (SELECT instrument, segment, i, r AS active, CASE WHEN r = 'UNKNOWN' THEN 0 ELSE 1 END AS held, 'UNKNOWN' AS pending, 0 AS n FROM x WHERE i = 1
+    UNION ALL SELECT instrument, segment, i, CASE WHEN fresh THEN r ELSE active END, CASE WHEN r = 'UNKNOWN' THEN 0 WHEN fresh THEN 1 ELSE held + 1 END,
+      CASE WHEN fresh OR keeps THEN 'UNKNOWN' ELSE r END, CASE WHEN fresh OR keeps THEN 0 ELSE count_ END FROM (
+      SELECT *, r = 'UNKNOWN' OR active = 'UNKNOWN' OR (NOT keeps AND count_ >= 2) AS fresh FROM (
+        SELECT x.instrument, x.segment, x.i, x.r, y.active, y.held, x.r = y.active OR y.held < 5 AS keeps, CASE WHEN x.r = y.pending THEN y.n + 1 ELSE 1 END AS count_
+        FROM y JOIN x ON x.instrument = y.instrument AND x.segment = y.segment AND x.i = y.i + 1)))
+SELECT instrument, {t('open_time')} AS open_time, r AS raw_regime, active AS regime FROM y JOIN x USING (instrument, segment, i)""")
+def smoothed_labels(spark, d):
+    """Labels of the bars' own columns, smoothed by the automaton (held for 5 bars, 2 to confirm) over chunks of a day."""
+    from ..operators import regime
+
+    seg = bars.segments(a.bars_1h(spark, d)).withColumn("raw_regime", F.expr(_LABEL))
+    out = regime.smoothed(seg.select("instrument", "segment", "open_time", "raw_regime"), hold=5, confirm=2, chunk_seconds=86_400)
+    return out.select("instrument", a.stamp("open_time").alias("open_time"), "raw_regime", "regime")
