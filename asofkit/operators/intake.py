@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import save
+from .propagation import clusters
 
 MAX_TITLE = 500
 
@@ -80,26 +86,43 @@ def corpus_route(kind: Column, content: Column, source: Column, prefix: str, lea
 def first_by_any_key(rows: DataFrame, row: str, keys: list[str]) -> DataFrame:
     """Rows with ``kept``: no earlier kept row, in order of ``row``, has one of its keys. Null or blank keys are none.
 
-    Keys of dropped rows do not count, so the result depends on the order: in each round a row
-    goes if an earlier kept one shares a key, and stays if no earlier open one does. A round
-    settles at least the first open row of every chain; rounds are cut by checkpoints.
+    Keys of dropped rows do not count, so the result depends on the order. First, rows that come first for each of
+    their keys stay and those that share a key with them go, twice over; that settles keys of very many rows where
+    they are. What is then open falls into components of rows that share keys, found in a number of rounds that
+    grows with the logarithm of the longest chain. Each component streams through a task in its order; only the keys
+    of its kept rows are held.
     """
-    from ..shared import cut
-
     pairs = [F.when(~blank(F.col(k)), F.concat(F.lit(f"{k}="), F.trim(F.col(k)))) for k in keys]
-    held = cut(rows.select(F.col(row).alias("r"), F.explode(F.array(*pairs)).alias("k")).where("k is not null"))
-    kept = held.select("r").limit(0)
-    open_ = held
-    while not open_.isEmpty():
-        taken = held.join(kept, "r", "left_semi").groupBy("k").agg(F.min("r").alias("t"))
-        gone = open_.join(taken, "k").where("t < r").select("r").distinct()
-        rest = cut(open_.join(gone, "r", "left_anti"))
-        first = rest.groupBy("k").agg(F.min("r").alias("f"))
-        stays = rest.join(first, "k").groupBy("r").agg(F.bool_and(F.col("r") == F.col("f")).alias("s")).where("s").select("r")
-        kept, open_ = cut(kept.unionByName(stays)), cut(rest.join(stays, "r", "left_anti"))
-    without = rows.select(F.col(row).alias("r")).join(held.select("r").distinct(), "r", "left_anti")
-    kept = kept.unionByName(without).select(F.col("r").alias(row), F.lit(True).alias("kept"))
-    return rows.join(kept, row, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    held = save(rows.select(F.col(row).alias("r"), F.explode(F.array(*pairs)).alias("k")).where("k is not null").distinct(), "keys")
+    kept, open_ = [held.groupBy("r").count().select("r").limit(0)], held
+    for _ in range(2):
+        ranked = open_.join(open_.groupBy("k").agg(F.min("r").alias("first")), "k")
+        stays = save(ranked.groupBy("r").agg(F.bool_and(F.col("r") == F.col("first")).alias("s")).where("s").select("r"), "stays")
+        taken = open_.join(stays, "r", "left_semi").select("k").distinct()
+        gone = open_.join(taken, "k", "left_semi").select("r").distinct()  # the kept ones too: they are settled
+        kept.append(stays)
+        open_ = save(open_.join(gone, "r", "left_anti"), "open")
+    links = open_.join(open_.groupBy("k").agg(F.min("r").alias("from_item")), "k").where("r <> from_item").select("from_item", F.col("r").alias("to_item"))
+    parts = clusters(open_.select("r", F.col("r").alias("at")).distinct(), links, "r", "at")
+    told = open_.groupBy("r").agg(F.collect_list("k").alias("ks")).join(parts, "r")
+    kind = rows.schema[row].dataType.simpleString()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, taken = None, set()
+        for b in batches:
+            stays = []
+            for one, ks in zip(b.column("root").to_pylist(), b.column("ks").to_pylist()):
+                if one != root:
+                    root, taken = one, set()
+                stays.append(taken.isdisjoint(ks))
+                if stays[-1]:
+                    taken.update(ks)
+            yield pa.record_batch([b.column("r").filter(pa.array(stays, pa.bool_()))], names=["r"])
+
+    last = told.repartition("root").sortWithinPartitions("root", "r").mapInArrow(settle, f"r {kind}")
+    kept += [last, rows.select(F.col(row).alias("r")).join(held.select("r").distinct(), "r", "left_anti")]
+    all_kept = reduce(DataFrame.unionByName, kept).select(F.col("r").alias(row), F.lit(True).alias("kept"))
+    return rows.join(all_kept, row, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def in_window(published: Column, start: Column, end: Column) -> Column:

@@ -60,9 +60,13 @@ def corpus_intake(spark, d):
                       F.array_join(intake.corpus_problems(F.col("text"), pub, eff, _now()), ",").alias("problems"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, list_filter(['u=u' || CAST(n_chars % 97 AS VARCHAR) || coalesce(source, ''), 'i=' || CAST(doc_id % 5000 AS VARCHAR),
+    'f=' || lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))], lambda x: x IS NOT NULL) AS ks FROM documents),
+  g AS (SELECT i, doc_id, true AS kept, ks AS taken FROM r WHERE i = 1 UNION ALL
+    SELECT r.i, r.doc_id, NOT list_has_any(g.taken, r.ks), CASE WHEN list_has_any(g.taken, r.ks) THEN g.taken ELSE list_concat(g.taken, r.ks) END FROM g JOIN r ON r.i = g.i + 1)
+SELECT doc_id, kept FROM g""")
 def corpus_first_by_any_key(spark, d):
-    """Greedy dedup by URL, id or text: the rule follows the order of rows, which SQL cannot say; tests hold it against a loop."""
+    """Greedy dedup by URL, id or text, in the order of rows."""
     p = a.table(spark, d, "documents").select("doc_id", F.concat(F.lit("u"), (F.col("n_chars") % 97).cast("string"), F.coalesce("source", F.lit(""))).alias("url"),
                                               (F.col("doc_id") % 5000).cast("string").alias("id"), tx.ascii_key(F.col("text")).alias("fingerprint"))
     return intake.first_by_any_key(p, "doc_id", ["url", "id", "fingerprint"]).select("doc_id", "kept")

@@ -28,6 +28,23 @@ def test_first_by_any_key_equals_the_loop(spark):
     assert got == want | {500: True} and 0 < sum(want.values()) < 120
 
 
+def test_first_by_any_key_along_a_chain_and_a_hot_key(spark):
+    """Row i shares a key with row i + 1 only, so every second row stays; thousands share one key."""
+    n = 10_000
+    rows = [(i, f"k{i // 2}", f"k{(i + 1) // 2}") for i in range(n)] + [(n + i, "hot", None) for i in range(3000)]
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {x.i: x.kept for x in intake.first_by_any_key(spark.createDataFrame(rows, "i long, a string, b string"), "i", ["a", "b"]).collect()}
+    assert [got[i] for i in range(n, n + 3000)] == [True] + [False] * 2999
+    held, want = set(), []
+    for _, *ks in rows[:n]:
+        ks = {f"{c}={k}" for c, k in zip("ab", ks)}
+        want.append(not ks & held)
+        held |= ks if want[-1] else set()
+    assert [got[i] for i in range(n)] == want == [i % 2 == 0 for i in range(n)]
+    assert len(status.getJobIdsForGroup("chain")) < 400
+
+
 def test_collection_registers_identity_before_validation(spark):
     late, early = T0 + timedelta(days=2), T0
     rows = [(1, "s", "a", "T", "Text", late, early, None), (2, "s", "a", " t ", "text", early, early, early + timedelta(hours=1)), (3, "s", " ", "T", "x", early, early, None),
