@@ -77,16 +77,40 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return mid - half, mid + half
 
 
-@F.pandas_udf(DoubleType())
-def binomial_p(hits: pd.Series, n: pd.Series) -> pd.Series:
-    """One-sided exact P(X >= hits) for n fair draws, summed in logs; for aggregated rows."""
-    def tail(h, m):
-        if not m:
-            return None
-        logs = [math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) - m * math.log(2) for i in range(int(h), int(m) + 1)]
-        top = max(logs)
-        return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
-    return pd.Series([tail(h, m) for h, m in zip(hits, n)], dtype="float64")
+def _stirling_error(k: Column) -> Column:
+    """ln k! less Stirling's formula: by table up to 15, beyond that by its series, which then holds to the last digit."""
+    table = [math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 16)]
+    square = k * k
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * square)) / square) / square) / k
+    return F.when(k > 15, series).otherwise(F.get(F.array(*map(F.lit, table)), k.cast("int") - 1))
+
+
+def _half_pmf(k: Column, n: Column) -> Column:
+    """Probability of exactly k of n fair draws, 0 < k < n, without differences of large logarithms."""
+    u = (2 * k - n) / n
+    v = u * u
+    near = F.lit(0.0)
+    for j in range(12, 0, -1):
+        near = (near + 1 / (j * (2 * j - 1))) * v
+    far = (1 + u) * F.log1p(u) + (1 - u) * F.log1p(-u)
+    deviance = n / 2 * F.when(F.abs(u) < 0.2, near).otherwise(far)
+    return F.sqrt(n / (2 * math.pi * k * (n - k))) * F.exp(_stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - deviance)
+
+
+def binomial_p(hits: Column | str, n: Column | str) -> Column:
+    """One-sided exact P(X >= hits) for n fair draws; null without draws.
+
+    From the greater side of the middle the terms of the tail follow from the first one by their ratios, and after
+    some multiples of sqrt(n) they no longer count, so a row costs about 5 sqrt(n) steps; the other side is the complement.
+    """
+    h, m = (F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in (hits, n))
+    k = F.greatest(h, m - h + 1)  # at or above the middle
+    steps = F.least(m - k, F.ceil(5 * F.sqrt(m)) + 40).cast("int")
+    ratios = F.aggregate(F.sequence(F.lit(0), F.greatest(steps, F.lit(0))), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
+                         lambda acc, i: F.struct((acc.t * (m - k - i) / (k + i + 1)).alias("t"), (acc.s + acc.t).alias("s")), lambda acc: acc.s)
+    first = F.when(k >= m, F.pow(F.lit(0.5), m)).otherwise(_half_pmf(k, m))
+    tail = F.when(k > m, F.lit(0.0)).otherwise(first * ratios)
+    return F.when(m > 0, F.when(h <= 0, F.lit(1.0)).when(h > m, F.lit(0.0)).when(h >= m - h + 1, F.least(tail, F.lit(1.0))).otherwise(1 - tail))
 
 
 @F.pandas_udf(DoubleType())

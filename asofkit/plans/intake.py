@@ -431,14 +431,10 @@ def walk_forward_models(spark, d):
     from ..operators import evaluation
 
     f = _signals(spark, d).withColumn("hit", F.col("label") > 0)
-    out = None
-    for model in ("logistic", "trees"):
-        p = evaluation.model_windows(f, F.col("open_time"), ["log_return", "momentum", "mean_gap", "volatility", "breakout"], "hit", 0.6, 120, 4, 60, 10, model)
-        if p is None:
-            continue
-        one = p.groupBy("window").agg(F.count(F.lit(1)).alias("n"), skill.brier(F.col("p"), F.col("hit")).alias("brier")).withColumn("model", F.lit(model))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "window bigint, n bigint, brier double, model string")
+    given = (F.col("open_time"), ["log_return", "momentum", "mean_gap", "volatility", "breakout"], "hit", 0.6, 120, 4, 60, 10)
+    scored = [(name, fit(f, *given)) for name, fit in (("logistic", evaluation.model_windows), ("trees", evaluation.tree_windows))]
+    parts = [p.groupBy("window").agg(F.count(F.lit(1)).alias("n"), skill.brier(F.col("p"), F.col("hit")).alias("brier")).withColumn("model", F.lit(name)) for name, p in scored]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"""WITH {a.POSTS}, x AS (SELECT post_id, coalesce(source, '') || (post_id % 3) AS account, CASE WHEN post_id % 31 = 0 THEN 'B' ELSE 'A' END AS author, n_chars % 40 AS body, n_chars, published_at AS p, CASE WHEN post_id % 12 = 0 THEN published_at ELSE collected_at END AS c FROM posts),

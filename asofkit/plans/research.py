@@ -117,6 +117,17 @@ def signal_metrics(spark, d):
     return m.select("instrument", "hits", "n", *[r6(c) for c in ("brier", "hit_rate", "wilson_low", "wilson_high")])
 
 
+@query(f"""WITH {_SIG}, g AS (SELECT instrument, count(*) AS n, count(*) FILTER (WHERE ret > 0) AS h FROM k GROUP BY ALL UNION ALL SELECT instrument || '/' || win, count(*), count(*) FILTER (WHERE ret > 0) FROM k GROUP BY instrument, win),
+  u AS (SELECT instrument, n, h, unnest(range(h, n + 1)) AS i FROM g)
+SELECT instrument AS series, h AS hits, n, round(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))), 8) AS p FROM u GROUP BY ALL""")
+def binomial_tails(spark, d):
+    """Exact one-sided p-value of the hits of each instrument and of each of its windows."""
+    s = _signals(spark, d)
+    counts = [s.groupBy(k.alias("series")).agg(F.count_if(F.col("ret") > 0).alias("hits"), F.count(F.lit(1)).alias("n"))
+              for k in (F.col("instrument"), F.concat_ws("/", "instrument", F.col("win").cast("string")))]
+    return counts[0].unionByName(counts[1]).withColumn("p", F.round(skill.binomial_p("hits", "n"), 8))
+
+
 @query()
 def signal_gate(spark, d):
     s = _signals(spark, d).withColumn("hit", F.col("ret") > 0).withColumn("p", F.col("sig") % 10 / F.lit(10.0))

@@ -155,6 +155,35 @@ def test_smoothing_over_chunks(spark):
             assert row.prefix_hash == link.hex()
 
 
+def test_binomial_tail_is_exact(spark):
+    import math
+    from fractions import Fraction
+
+    def exact(h, n):
+        term, total = math.comb(n, h) if 0 <= h <= n else 0, 0
+        for i in range(max(h, 0), n + 1):
+            total += term
+            term = term * (n - i) // (i + 1)
+        return float(Fraction(total, 2**n))
+    cases = [(h, n) for n in (1, 2, 3, 15, 16, 17, 100, 1001) for h in sorted({0, 1, n // 3, n // 2, n // 2 + 1, n - 1, n, n + 1})] + [(500_700, 1_000_000), (499_300, 1_000_000)]
+    d = spark.createDataFrame([*cases, (0, 0)], "h long, n long").select("h", "n", skill.binomial_p("h", "n").alias("p"))
+    for r in d.collect():
+        if r.n == 1_000_000:  # the exact sum by symmetry and a normal approximation of the middle is too coarse: by logarithms in high precision
+            from decimal import Decimal, getcontext
+
+            getcontext().prec = 60
+            k, n = max(r.h, r.n - r.h + 1), r.n
+            term = total = Decimal(math.comb(n, k)) / Decimal(2) ** n
+            for i in range(k, k + 12_000):
+                term *= Decimal(n - i) / Decimal(i + 1)
+                total += term
+            assert abs(r.p - float(total if r.h == k else 1 - total)) < 1e-12
+        elif r.n:
+            assert r.p == pytest.approx(exact(r.h, r.n), rel=1e-11, abs=1e-15)
+        else:
+            assert r.p is None
+
+
 def test_wilson_and_binomial(spark):
     r = spark.createDataFrame([(8, 10)], "h long, n long").select(*[c for c in skill.wilson(F.col("h"), F.col("n"))], skill.binomial_p("h", "n")).first()
     assert r[0] == pytest.approx(0.4901, abs=1e-3) and r[1] == pytest.approx(0.9433, abs=1e-3) and r[2] == pytest.approx(56 / 1024)
