@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def new_rows(batch: DataFrame, existing: DataFrame, keys: list[list[str]], order: list[Column]) -> DataFrame:
-    """Rows of ``batch`` that match nothing in ``existing`` by any of the keys, and no earlier row by the first.
+    """Rows of ``batch`` that match nothing in ``existing`` by any of the keys, and of the rows of one key the first in ``order``.
 
-    A key with a null matches nothing.
+    A key with a null matches nothing. The first rows are taken map-side, so a key of very many rows is no task's work
+    alone, and rows without a key stay where they are.
     """
     out = batch
     for k in keys:
@@ -18,8 +19,9 @@ def new_rows(batch: DataFrame, existing: DataFrame, keys: list[list[str]], order
         whole = F.lit(True)
         for c in k:
             whole &= F.col(c).isNotNull()
-        n = F.row_number().over(Window.partitionBy(*k).orderBy(*order))
-        out = out.withColumn("__n", F.when(whole, n).otherwise(1)).where("__n = 1").drop("__n")
+        row = F.struct(*[F.col(f"`{c}`") for c in out.columns])
+        first = out.where(whole).groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(k)]).agg(F.min_by(row, F.struct(*order)).alias("__row")).select("__row.*")
+        out = first.unionByName(out.where(~whole))
     return out
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as tx
-from ..operators import annotation, evidence, health, intake, labels, signal, skill, snapshots, store, windows
+from ..operators import annotation, dimensions, evidence, health, intake, labels, signal, skill, snapshots, store, windows
 from ..sources import payloads
 from . import adapters as a
 
@@ -353,13 +354,106 @@ def news_csv_items(spark, d):
     return payloads.news_csv(spark, path).select("source_record_id", "title", a.stamp("published_at").alias("published_at"), "ambiguous")
 
 
-@query("""SELECT o_orderkey, length(trim(coalesce(o_orderpriority, ''))) > 0 AS fine FROM orders WHERE o_orderkey % 5 <> 0""")
+_LINE = "CASE WHEN o_orderkey % 5 = 0 THEN 'broken_json' WHEN o_orderkey % 7 = 0 THEN 'not_an_object' WHEN o_orderkey % 11 = 0 THEN 'wrong_type' END"
+
+
+def _lines(spark, d):
+    path, i = a.folder(spark, "lines"), F.col("o_orderkey")
+    key = i.cast("string")
+    line = (F.when(i % 5 == 0, F.concat(F.lit("{broken "), key)).when(i % 7 == 0, F.concat(F.lit("["), key, F.lit("]"))).when(i % 11 == 0, F.concat(F.lit('{"o_orderkey": "x'), key, F.lit('"}')))
+            .otherwise(F.to_json(F.struct("o_orderkey", "o_orderpriority"))))
+    a.table(spark, d, "orders").select(F.explode(F.array(line, F.lit(" "))).alias("value")).write.text(path)  # every second line is blank
+    return payloads.quarantined_json(spark, path, "o_orderkey bigint, o_orderpriority string")
+
+
+@query(f"SELECT o_orderkey, length(trim(coalesce(o_orderpriority, ''))) > 0 AS fine FROM orders WHERE {_LINE} IS NULL")
 def quarantined_lines(spark, d):
-    path = a.folder(spark, "lines")
-    o = a.table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("{broken "), F.col("o_orderkey").cast("string"))).otherwise(F.to_json(F.struct("o_orderkey", "o_orderpriority"))).alias("value"))
-    o.write.text(path)
-    rows, _ = payloads.quarantined_json(spark, path, "o_orderkey bigint, o_orderpriority string")
-    return rows.select("o_orderkey", (F.length("o_orderpriority") > 0).alias("fine"))
+    return _lines(spark, d)[0].select("o_orderkey", (F.length("o_orderpriority") > 0).alias("fine"))
+
+
+@query(f"SELECT {_LINE} AS reason, count(*) AS n FROM orders WHERE {_LINE} IS NOT NULL GROUP BY ALL")
+def quarantined_line_rejects(spark, d):
+    return _lines(spark, d)[1].groupBy("reason").agg(F.count_distinct("digest").alias("n"))
+
+
+_FIELD = "CASE WHEN o_orderkey % 7 = 0 THEN 'malformed' WHEN o_orderkey % 5 = 0 THEN 'bad_value:price' WHEN o_orderkey % 11 = 0 THEN 'missing:priority' END"
+
+
+def _csv(spark, d):
+    """CSV files with quoted line ends, rows that are too short, prices that are none and missing values."""
+    path, i = a.folder(spark, "csv"), F.col("o_orderkey")
+    price = F.when(i % 5 == 0, F.concat(F.lit("about "), i.cast("string"))).otherwise(F.concat(F.lit(" "), (i % 1000 / 4.0).cast("string")))
+    row = F.when(i % 7 == 0, i.cast("string")).otherwise(F.concat_ws(",", i.cast("string"), price, F.when(i % 11 == 0, "").otherwise(F.concat(F.lit('"'), "o_orderpriority", F.lit('\nof ""it"""')))))
+    a.table(spark, d, "orders").select(row.alias("value")).write.text(path)
+    return payloads.quarantined_csv(spark, path, StructType().add("o_orderkey", "long").add("price", "double").add("priority", "string"), ["priority"], header=False)
+
+
+@query(f"""SELECT o_orderkey, o_orderkey % 1000 / 4.0 AS price, o_orderpriority || chr(10) || 'of "it"' AS priority FROM orders WHERE {_FIELD} IS NULL""")
+def quarantined_csv_rows(spark, d):
+    return _csv(spark, d)[0]
+
+
+@query(f"SELECT {_FIELD} AS reason, count(*) AS n FROM orders WHERE {_FIELD} IS NOT NULL GROUP BY ALL")
+def quarantined_csv_rejects(spark, d):
+    return _csv(spark, d)[1].groupBy("reason").agg(F.count_distinct("digest").alias("n"))
+
+
+@query("SELECT n_name AS name, substring(sha256(n_name), 1, 32) AS id FROM nation WHERE n_nationkey % 2 = 1")
+def dimension_seeds(spark, d):
+    """Nations that the table lacks, from the nations of all customers and suppliers."""
+    n = a.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    seen = a.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).unionByName(a.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))).unionByName(n.select("k"))
+    return dimensions.seed(seen.join(n, "k").select("name", "k"), n.where("k % 2 = 0").select("name"), ["name"])[0].select("name", "id")
+
+
+def _authors(spark, d):
+    i = F.col("c_custkey")
+    pick = lambda *xs: F.get(F.array(*map(F.lit, xs)), (i % len(xs)).cast("int"))
+    return a.table(spark, d, "customer").select(
+        i.alias("row"), F.when(i % 90 == 0, " ").otherwise(F.concat(F.lit("Author "), (i % 40).cast("string"))).alias("author_name"), pick("s", "t", "zz").alias("source"),
+        (i % 50).cast("string").alias("external_account_id"), pick("true", "no").alias("verified"), F.lit("7").alias("followers"), F.lit('{"a": 1}').alias("meta"))
+
+
+_AUTHORS = """f AS (SELECT c_custkey AS i, 'Author ' || (c_custkey % 40) AS name, (['s', 't', 'zz'])[c_custkey % 3 + 1] AS source, CAST(c_custkey % 50 AS VARCHAR) AS ext, c_custkey % 2 = 0 AS verified FROM customer WHERE c_custkey % 90 <> 0),
+  o AS (SELECT *, first_value(name) OVER (PARTITION BY source, ext ORDER BY i) AS own, row_number() OVER (PARTITION BY source, ext ORDER BY i) AS nth FROM f WHERE source <> 'zz'), g AS (SELECT * FROM o WHERE name = own)"""
+_ID = "substring(sha256('{0}' || chr(31) || {1}), 1, 32)"
+
+
+@query(f"""WITH {_AUTHORS} SELECT DISTINCT 'author' AS entity, {_ID.format('author', 'lower(name)')} AS id, name, NULL AS parent, NULL AS external_id, NULL AS verified FROM g
+UNION ALL SELECT 'account', {_ID.format('account', "source || chr(31) || ext")}, NULL, {_ID.format('author', 'lower(name)')}, ext, verified FROM g WHERE nth = 1""")
+def author_load(spark, d):
+    """Authors and accounts loaded in two parts, the second with all rows of the first, then once more."""
+    path, rows, sources = a.folder(spark, "authors"), _authors(spark, d), spark.createDataFrame([("s",), ("t",)], "name string")
+    for part in (rows.where("row < 40"), rows, rows):
+        dimensions.load_authors(part, sources, path)
+    return dimensions.members(spark, path).select("entity", "id", "name", "parent", "external_id", "verified")
+
+
+@query(f"""WITH {_AUTHORS} SELECT c_custkey AS "row", 'author_name' AS problem FROM customer WHERE c_custkey % 90 = 0 UNION ALL SELECT i, 'unknown_source' FROM f WHERE source = 'zz'
+UNION ALL SELECT i, 'account_of_another_author' FROM o WHERE name <> own""")
+def author_load_problems(spark, d):
+    sources = spark.createDataFrame([("s",), ("t",)], "name string")
+    return dimensions.author_load(_authors(spark, d), sources, spark.createDataFrame([], dimensions.MEMBERS))[1]
+
+
+_PRINT = "lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_PRINT} AS k FROM documents) SELECT min(doc_id) AS doc_id FROM p WHERE doc_id % 3 <> 0 AND k NOT IN (SELECT k FROM p WHERE doc_id % 3 = 0) GROUP BY k""")
+def cross_source_append(spark, d):
+    """Items to append: none whose content is there already or came earlier, from whatever source."""
+    p = a.table(spark, d, "documents").select("doc_id", "source", tx.ascii_key(F.col("text")).alias("content_hash"))
+    return store.new_rows(p.where("doc_id % 3 <> 0"), p.where("doc_id % 3 = 0"), [["content_hash"]], [F.col("doc_id")]).select("doc_id")
+
+
+@query("""WITH m AS (SELECT DISTINCT doc_id, md5(CAST(v AS VARCHAR)) AS digest FROM (SELECT doc_id, unnest([n_chars % 7, n_chars % 5, doc_id % 7]) AS v FROM documents))
+SELECT doc_id, digest FROM m WHERE doc_id % 4 <> 0""")
+def media_append(spark, d):
+    """Media of posts, once for each post and content, however often they are sent."""
+    i = F.col("doc_id")
+    m = a.table(spark, d, "documents").select("doc_id", F.posexplode(F.array(F.col("n_chars") % 7, F.col("n_chars") % 5, i % 7)).alias("place", "v"))
+    m = m.select("doc_id", "place", F.md5(F.col("v").cast("string").cast("binary")).alias("digest"))
+    return store.new_rows(m.unionByName(m), m.where("doc_id % 4 = 0"), [["doc_id", "digest"]], [F.col("place")]).select("doc_id", "digest")
 
 
 @query("SELECT doc_id, source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import feed_time, strip_html
 from ..operators.bars import reasons
@@ -190,12 +191,40 @@ def corpus_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) ->
     return utf8.unionByName(maps.select(*pick))
 
 
+def _rejected(df: DataFrame, record: str) -> DataFrame:
+    """(file, reason, digest): what was wrong and where; the record itself is not kept, as it may hold anything."""
+    return df.where("reason is not null").select("file", "reason", F.sha2(F.col(record), 256).alias("digest"))
+
+
 def quarantined_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, unreadable lines): a line that is no JSON of the schema is kept apart, not fatal."""
+    """(rows, rejected) of files of JSON lines: a line that is no object of the schema is kept apart, not fatal. Blank lines are none."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    df = spark.read.text(path).select("value", F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r"))
-    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
-    return df.where(~bad).select("r.*").drop("_corrupt_record"), df.where(bad).select("value")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
+    parsed = F.try_parse_json("value")
+    df = lines.withColumn("r", F.from_json("value", f"{schema}, _corrupt_record string", options))
+    df = df.withColumn("reason", F.when(parsed.isNull(), "broken_json").when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), "not_an_object")
+                       .when(F.col("r").isNull() | F.col("r._corrupt_record").isNotNull(), "wrong_type"))
+    return df.where("reason is null").select("r.*").drop("_corrupt_record"), _rejected(df, "value")
+
+
+def quarantined_csv(spark: SparkSession, path: str, schema: StructType, required: list[str] | None = None, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of CSV files, with a header or without; fields may hold line ends.
+
+    A row with too few or too many fields is ``malformed``, one whose text is no value of a column's type
+    ``bad_value:column``, one without a required column's value ``missing:column``; the first reason counts. Columns
+    are taken by their place in the schema.
+    """
+    names = schema.fieldNames()
+    text = StructType([*[StructField(n, StringType()) for n in names], StructField("_corrupt_record", StringType())])
+    raw = (spark.read.schema(text).csv(path, header=header, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+           .select("*", F.col("_metadata.file_name").alias("file")))
+    typed = raw.select(*[F.col(f"`{n}`").alias(f"__t_{n}") for n in names], *[F.expr(f"try_cast(trim(`{f.name}`) AS {f.dataType.simpleString()})" if not isinstance(f.dataType, StringType)
+                       else f"`{f.name}`").alias(f.name) for f in schema.fields], "_corrupt_record", "file")
+    blank = lambda n: F.trim(F.coalesce(F.col(f"__t_{n}"), F.lit(""))) == ""
+    reasons = [F.when(F.col("_corrupt_record").isNotNull(), "malformed"), *[F.when(~blank(n) & F.col(n).isNull(), f"bad_value:{n}") for n in names],
+               *[F.when(blank(n), f"missing:{n}") for n in required or []]]
+    judged = typed.withColumn("reason", F.coalesce(*reasons)).withColumn("record", F.coalesce("_corrupt_record", F.to_json(F.array(*[f"__t_{n}" for n in names]))))
+    return judged.where("reason is null").select(*names), _rejected(judged, "record")
 
 
 def benchmark_cells(rows: DataFrame, text: str, flags: dict[str, str]) -> DataFrame:
