@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..shared import cut
+
 ABSENT = "∅"
 
 
@@ -152,23 +159,77 @@ def evenly_spaced(df: DataFrame, by: list[str], order: list[Column], k: int) ->
     return d.where(F.array_contains(spots, F.col("__i"))).drop("__n", "__i")
 
 
-def stratified_sample(posts: DataFrame, k: int, seed: int, source_cap: int, day: str, source: str, length: str, bounds: tuple[int, ...] = (80, 240)) -> DataFrame:
-    """About ``k`` posts spread over days, sources and lengths.
+#: Upper bounds of the lengths of texts: short, medium and long ones.
+LENGTHS = [("short", 50), ("medium", 200), ("long", None)]
+
+
+def first_of_each(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group, through the first of every slice of it, so that no task sorts a whole group."""
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = Window.partitionBy(*by, "__slice").orderBy(*order)
+    d = df.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(slices))).withColumn("__k", F.row_number().over(some)).where(F.col("__k") <= k)
+    return d.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__k") <= k).drop("__k", "__slice")
+
+
+def numbered(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """``name``: the place of a row in its group, from 1; groups of any size are dealt by range of (by, order)."""
+    dealt = cut(df.repartitionByRange(by, order).withColumn("__p", F.spark_partition_id()))
+    sizes = dealt.groupBy(by, "__p").agg(F.count(F.lit(1)).alias("n"))  # a row for each group of a partition
+    before = sizes.select(F.col(by).alias("__by"), F.col("__p").alias("__q"), (F.sum("n").over(Window.partitionBy(by).orderBy("__p")) - F.col("n")).alias("__before"))
+    d = dealt.join(before, (F.col(by).eqNullSafe(F.col("__by"))) & (F.col("__p") == F.col("__q")))
+    inside = F.row_number().over(Window.partitionBy("__p", by).orderBy(order))
+    return d.withColumn(name, F.col("__before") + inside).drop("__p", "__by", "__q", "__before")
+
+
+def stratified_sample(posts: DataFrame, k: int, seed: int = 42, source_cap: float = 0.25, media_quota: int = 10) -> DataFrame:
+    """``k`` posts (post_id, source, text, effective_at, has_media), or all if there are fewer, with ``step`` and ``place``.
+
+    Blank texts go; of equal texts (without regard to case and white space) the earliest stays. Posts stand in
+    seeded order, and days take turns. Four steps go over them in that order and take what their limits allow: media until the quota;
+    then posts while a source holds less than ``source_cap`` of ``k`` and a length bucket less than its third; then without the
+    thirds; then without the share of sources.
 
-    In seeded order, days take turns inside each (source, length bucket), sources hold at most
-    ``source_cap`` rows, and buckets take turns until ``k`` are chosen.
+    What a step takes is decided on a bounded rest: of a (source, length, media) cell only the first ``k`` posts can be
+    taken, and as fewer than 1 + 1 / source_cap sources can be full, of a (length, media) cell only the first
+    k * (2 + 1 / source_cap) of those. So one small group holds all that may be chosen, however many posts there are.
     """
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + (F.col(length) > b).cast("int")
-    d = posts.withColumn("bucket", bucket).withColumn("__h", F.xxhash64(F.lit(seed), F.col("post_id")))
-    in_day = F.row_number().over(Window.partitionBy(source, "bucket", day).orderBy("__h", "post_id"))
-    d = d.withColumn("__d", in_day)
-    in_cell = F.row_number().over(Window.partitionBy(source, "bucket").orderBy("__d", "__h", "post_id"))
-    d = d.withColumn("__c", in_cell).where(F.col("__c") <= source_cap)
-    in_source = F.row_number().over(Window.partitionBy(source).orderBy("__c", "bucket", "__h"))
-    d = d.withColumn("__s", in_source).where(F.col("__s") <= source_cap)
-    return d.orderBy("__s", "__h", "post_id").limit(k).drop("__h", "__d", "__c", "__s")
+    key = tx.ascii_key(F.col("text"))
+    p = posts.select("post_id", F.coalesce("source", F.lit("")).alias("source"), "text", "effective_at", F.coalesce("has_media", F.lit(False)).alias("has_media"))
+    p = p.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("__key", key)
+    row = F.struct("post_id", "source", "text", "effective_at", "has_media")
+    pool = p.groupBy("__key").agg(F.min_by(row, F.struct("effective_at", "post_id")).alias("r")).select("r.*")
+    bucket = F.lit(LENGTHS[-1][0])
+    for name, most in reversed(LENGTHS[:-1]):
+        bucket = F.when(F.length("text") <= most, name).otherwise(bucket)
+    pool = pool.withColumn("bucket", bucket).withColumn("day", F.to_date("effective_at")).withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("post_id").cast("string"))))
+    spread = cut(numbered(pool, "day", "__h", "turn").drop("text"))
+    there = {r.bucket: r.n for r in spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows
+    base, more = divmod(k, len(LENGTHS))
+    targets = {name: min(base + (i < more), there.get(name, 0)) for i, (name, _) in enumerate(LENGTHS)}
+    cap = max(1, math.ceil(k * source_cap))
+    order = ["turn", "day", "__h"]
+    rest = first_of_each(spread, ["source", "bucket", "has_media"], order, max(k, 1))
+    rest = first_of_each(rest, ["bucket", "has_media"], order, max(1, math.ceil(k * (2 + 1 / source_cap))))
+
+    def choose(t):
+        t = t.sort_by([(c, "ascending") for c in order])
+        rows = list(zip(*(t.column(c).to_pylist() for c in ("source", "bucket", "has_media"))))
+        taken, sources, buckets, media = {}, Counter(), Counter(), 0
+        for step in (1, 2, 3, 4):
+            for i, (source, length, has_media) in enumerate(rows):
+                if len(taken) >= k or step == 1 and media >= media_quota:
+                    break
+                if i in taken or step == 1 and not has_media or step < 4 and sources[source] >= cap or step == 2 and buckets[length] >= targets[length]:
+                    continue
+                taken[i] = (step, len(taken) + 1)
+                sources[source] += 1
+                buckets[length] += 1
+                media += has_media
+        out = t.take(pa.array(list(taken), pa.int64())).select(["post_id", "source", "bucket", "day", "has_media"])
+        return (out.append_column("step", pa.array([s for s, _ in taken.values()], pa.int32())).append_column("place", pa.array([n for _, n in taken.values()], pa.int32())))
+
+    kind = posts.schema["post_id"].dataType.simpleString()
+    return rest.groupBy().applyInArrow(choose, f"post_id {kind}, source string, bucket string, day date, has_media boolean, step int, place int")
 
 
 #: Upper bounds of price differences; larger ones are ``>10``.

@@ -638,6 +638,27 @@ def minute_files(spark, d):
     return payloads.minute_files(files).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("second").cast("long").alias("last_second"))
 
 
+@query("""WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 7 = 0 THEN 2 WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS batch FROM events WHERE event_id % 7 = 0 OR epoch(ts) < (SELECT max(epoch(ts)) FROM events) - 86400 * 4 * (1 - event_id % 2)),
+  m AS (SELECT batch, max(ts) AS newest FROM e GROUP BY batch)
+SELECT batch, coalesce(ts < (SELECT max(newest) FROM m WHERE m.batch < e.batch) - INTERVAL 3 DAY, false) AS late, count(*) AS n FROM e GROUP BY ALL""")
+def dead_letters(spark, d):
+    """Three batches of events; rows of the later ones that are three days behind what was seen before are kept apart."""
+    from ..streaming import streams
+
+    i, path = F.col("event_id"), a.folder(spark, "letters")
+    e = a.table(spark, d, "events").select("event_id", ts(F.col("ts")).alias("ts"))
+    top = e.agg(F.max("ts").alias("top"))
+    batch = F.when(i % 7 == 0, 2).when(i % 2 == 0, 1).otherwise(0)
+    dealt = e.join(F.broadcast(top)).where((i % 7 == 0) | (F.unix_micros("ts") / 1e6 < F.unix_micros("top") / 1e6 - 86400 * 4 * (1 - i % 2))).withColumn("b", batch)  # one row
+    for b in range(3):
+        dealt.where(F.col("b") == b).select("event_id", "ts").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        q = (spark.readStream.schema("event_id bigint, ts timestamp").parquet(f"{path}/in").writeStream.foreachBatch(streams.with_dead_letters(path, "ts", 3 * 86_400))
+             .option("checkpointLocation", f"{path}/q").trigger(availableNow=True).start())
+        q.awaitTermination()
+    kept = [spark.read.schema("event_id bigint, batch int").parquet(f"{path}/{part}").groupBy("batch").agg(F.count(F.lit(1)).alias("n")).withColumn("late", F.lit(part == "late")) for part in ("rows", "late")]
+    return kept[0].unionByName(kept[1]).select("batch", "late", "n")
+
+
 @query(f"""WITH {a.RUNS} SELECT source FROM runs GROUP BY source
 HAVING coalesce(max(started_at) FILTER (WHERE status = 'SUCCESS'), min(started_at)) + INTERVAL 6 HOUR < (SELECT max(started_at) FROM runs) - INTERVAL 1 MINUTE""")
 def stale_sources(spark, d):

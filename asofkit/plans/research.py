@@ -314,10 +314,23 @@ def evenly_spaced_sample(spark, d):
     return annotation.evenly_spaced(a.posts(spark, d), ["lang"], [F.col("post_id")], 8).select("post_id", "lang")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, text, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 170 AS INTEGER)) AS seen, doc_id % 9 = 0 AS media,
+    lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS k FROM documents WHERE trim(coalesce(text, '')) <> ''),
+  p AS (SELECT *, CASE WHEN length(text) <= 50 THEN 'short' WHEN length(text) <= 200 THEN 'medium' ELSE 'long' END AS bucket, CAST(seen AS DATE) AS day, md5('42:' || doc_id) AS h
+    FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY seen, doc_id) = 1),
+  t AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY h) AS turn FROM p), s AS (SELECT *, row_number() OVER (ORDER BY turn, day, h) AS i FROM t),
+  c AS (SELECT count(*) AS n, least(67, count(*) FILTER (WHERE bucket = 'short')) AS n1, least(67, count(*) FILTER (WHERE bucket = 'medium')) AS n2, least(66, count(*) FILTER (WHERE bucket = 'long')) AS n3 FROM s),
+  r AS (SELECT 0 AS k, MAP([''], [0]) AS src, MAP(['short', 'medium', 'long'], [0, 0, 0]) AS b, 0 AS m, CAST([] AS BIGINT[]) AS taken, CAST([] AS INTEGER[]) AS steps
+    UNION ALL SELECT k + 1, CASE WHEN ok THEN map_concat(src, MAP([source], [coalesce(src[source], 0) + 1])) ELSE src END,
+      CASE WHEN ok THEN map_concat(b, MAP([bucket], [b[bucket] + 1])) ELSE b END, m + (ok AND media)::INT, CASE WHEN ok THEN list_append(taken, doc_id) ELSE taken END, CASE WHEN ok THEN list_append(steps, step) ELSE steps END
+    FROM (SELECT *, len(taken) < 200 AND NOT list_contains(taken, doc_id) AND (step <> 1 OR (media AND m < 30)) AND (step = 4 OR coalesce(src[source], 0) < 50)
+        AND (step <> 2 OR b[bucket] < CASE bucket WHEN 'short' THEN n1 WHEN 'medium' THEN n2 ELSE n3 END) AS ok
+      FROM (SELECT r.*, s.*  EXCLUDE (k), c.*, CAST(r.k // c.n + 1 AS INTEGER) AS step FROM r, c, s WHERE r.k < 4 * c.n AND s.i = r.k % c.n + 1)))
+SELECT unnest(taken) AS post_id, unnest(steps) AS step, unnest(range(1, len(taken) + 1))::INTEGER AS place FROM r, c WHERE k = 4 * c.n""")
 def stratified_sample(spark, d):
-    p = a.posts(spark, d).withColumn("day", F.col("post_id") % 7)
-    return annotation.stratified_sample(p, 200, 42, 25, "day", "source", "n_chars", (500, 2000)).select("post_id", "source", "day", "bucket")
+    i = F.col("doc_id")
+    p = a.table(spark, d, "documents").select(i.alias("post_id"), "source", "text", F.expr("timestampadd(HOUR, cast(doc_id % 170 as int), timestamp_ntz'2024-01-01 00:00:00')").alias("effective_at"), (i % 9 == 0).alias("has_media"))
+    return annotation.stratified_sample(p, 200, 42, 0.25, 30).select("post_id", "step", "place")
 
 
 _HEALTH = f"""{a.RUNS}, src AS (SELECT i AS source, i <> 3 AS enabled FROM range(0, 25) t(i)), k AS (SELECT * FROM runs WHERE started_at <= TIMESTAMP '2024-01-28' AND source <> 7),

@@ -43,6 +43,28 @@ def append_new(path: str, key: list[str], order: list[str]):
     return store
 
 
+def with_dead_letters(path: str, at: str, lateness_seconds: int):
+    """For foreachBatch: rows in time go to ``path``/rows, rows behind the watermark to ``path``/late, none is lost.
+
+    The watermark of a batch is the greatest time of the batches before it less the lateness, as with
+    ``withWatermark``, and is stored with each batch; late rows carry it. A batch that runs again replaces
+    what it wrote. Rows without a time are in time.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = None
+        if batch_id:
+            before = spark.read.schema("newest timestamp").parquet(f"{path}/marks/batch={batch_id - 1}").first()[0]
+        mark = F.lit(before).cast("timestamp")
+        newest = batch.agg(F.greatest(F.max(F.col(at).cast("timestamp")), mark).alias("newest"))
+        late = F.coalesce(F.col(at).cast("timestamp") < mark - F.expr(f"make_dt_interval(0, 0, 0, {lateness_seconds})"), F.lit(False))
+        batch.where(~late).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        (batch.where(late).withColumn("behind", mark - F.expr(f"make_dt_interval(0, 0, 0, {lateness_seconds})"))
+         .write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}"))
+        newest.write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+    return store
+
+
 class Smoother(StatefulProcessor):
     """Keeps each series' smoothing state; rows of a batch are taken in time order."""
 

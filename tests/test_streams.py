@@ -53,3 +53,16 @@ def test_never_successful_and_rearmed(spark, tmp_path):
     assert got[0] == {("never", None, 60)}
     assert got[1] == got[0]
     assert got[2] == got[0] | {("late", 64, 124), ("x", 62, 122)}
+
+
+def test_dead_letters_are_kept_and_recovered(spark, tmp_path):
+    schema, out = "k int, at timestamp", str(tmp_path / "t")
+    store = streams.with_dead_letters(out, "at", 600)
+    batches = [[(1, at(0)), (2, at(60))], [(3, at(49)), (4, at(50)), (5, None)], [], [(6, at(40)), (7, at(200))], [(8, at(100))]]
+    for i, rows in enumerate(batches):
+        for _ in range(2):  # a batch that runs again changes nothing
+            store(spark.createDataFrame(rows, schema), i)
+    late = {r.k: (r.batch, r.behind) for r in spark.read.schema("k int, behind timestamp, batch int").parquet(f"{out}/late").collect()}
+    assert late == {3: (1, at(50)), 6: (3, at(50)), 8: (4, at(190))}
+    kept = {r.k for r in spark.read.parquet(f"{out}/rows").collect()}
+    assert kept | set(late) == set(range(1, 9)) and not kept & set(late)
