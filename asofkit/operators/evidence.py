@@ -106,6 +106,78 @@ def readiness(certified: DataFrame, scopes: list[str], min_rows: int, min_days:
     return all_.select("scope", F.explode(checks).alias("c")).select("scope", "c.*")
 
 
+#: Smallest numbers of trusted posts of an account and of news, days that news must span, and the share of one source.
+AUTHOR_SAMPLES, NEWS_EVENTS, NEWS_DAYS, NEWS_SHARE = 30, 200, 90, 0.40
+_CLAIM = "evidence struct<contract_version: string, scope: string, source: string, available_at: string, oos_eligible: boolean>"
+
+
+def ledger(raw: DataFrame, contract: str, scopes: tuple[str, ...] = ("author", "news"), column: str = "raw_json") -> DataFrame:
+    """Per scope: certified, eligible and not_eligible records, evidence_start, evidence_end, max_source_share, source_counts.
+
+    Certified is a record whose JSON carries evidence of this contract and a known scope; eligible one whose evidence
+    says so with a JSON true. The window and the sources are those of eligible records; a blank source is none. Every
+    scope has a row, with zeros where there is nothing.
+    """
+    e = raw.select(F.from_json(column, _CLAIM)["evidence"].alias("e")).select("e.*")
+    e = e.where(F.trim("contract_version") == contract).withColumn("scope", F.lower(F.trim("scope"))).where(F.col("scope").isin(*scopes))
+    ok = F.coalesce("oos_eligible", F.lit(False))
+    name = F.nullif(F.substring(redact(F.trim(F.coalesce("source", F.lit("")))), 1, 100), F.lit(""))
+    at = F.when(ok, strict_time(F.col("available_at")))
+    per = e.withColumn("source", F.when(ok, name)).groupBy("scope", "source").agg(
+        F.count(F.lit(1)).alias("certified"), F.count_if(ok).alias("eligible"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    named = F.struct("source", F.col("eligible").alias("n"))
+    g = per.groupBy("scope").agg(F.sum("certified").alias("certified"), F.sum("eligible").alias("eligible"), F.min("lo").alias("evidence_start"), F.max("hi").alias("evidence_end"),
+                                 F.max(F.when(F.col("source").isNotNull(), F.col("eligible"))).alias("top"), F.sum(F.when(F.col("source").isNotNull(), F.col("eligible"))).alias("known"),
+                                 F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), named))).alias("source_counts"))
+    out = raw.sparkSession.createDataFrame([(x,) for x in scopes], "scope string").join(g, "scope", "left").fillna(0, ["certified", "eligible"])
+    return out.select("scope", "certified", "eligible", (F.col("certified") - F.col("eligible")).alias("not_eligible"), "evidence_start", "evidence_end",
+                      F.coalesce(F.try_divide("top", "known"), F.lit(0.0)).alias("max_source_share"), F.coalesce("source_counts", F.array()).alias("source_counts"))
+
+
+def author_gaps(posts: DataFrame) -> DataFrame:
+    """Per author: opinions, trusted_posts, min_account_samples, identity_consistent and PASS or BLOCKED.
+
+    Rows are opinions: author, account, post_id, trusted. An author passes if each of their accounts has enough trusted
+    posts and no account is another author's too.
+    """
+    account = posts.groupBy("account", "author").agg(F.count(F.lit(1)).alias("opinions"), F.count_distinct(F.when(F.col("trusted"), F.col("post_id"))).alias("n"))
+    shared = account.groupBy("account").agg(F.count_distinct("author").alias("owners")).where("owners > 1").select("account", F.lit(True).alias("shared"))
+    g = account.join(shared, "account", "left").groupBy("author").agg(F.sum("opinions").alias("opinions"), F.sum("n").alias("trusted_posts"), F.min("n").alias("min_account_samples"),
+                                                                      (F.count("shared") == 0).alias("identity_consistent"))
+    return g.withColumn("status", F.when(F.col("identity_consistent") & (F.col("min_account_samples") >= AUTHOR_SAMPLES), "PASS").otherwise("BLOCKED"))
+
+
+def qualification(authors: DataFrame, news: DataFrame, books: DataFrame) -> DataFrame:
+    """The gaps of both chains as rows (key, scope, current, required, comparator, status).
+
+    ``authors``: of ``author_gaps``; ``news``: (source, available_at) of usable events; ``books``: of ``ledger``. What only
+    a person can approve is always BLOCKED, and nothing passes for want of data.
+    """
+    a = authors.agg(F.count(F.lit(1)).alias("authors"), F.coalesce(F.min("min_account_samples"), F.lit(0)).alias("least"), F.count_if("identity_consistent").alias("consistent"),
+                    F.count_if(F.col("status") == "PASS").alias("ready"))
+    per = news.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("available_at").alias("lo"), F.max("available_at").alias("hi"))
+    n = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.coalesce(F.max("n"), F.lit(0)).alias("top"),
+                F.coalesce(F.expr("(unix_seconds(cast(max(hi) as timestamp)) - unix_seconds(cast(min(lo) as timestamp))) div 86400"), F.lit(0)).alias("days"))
+    eligible = [F.coalesce(F.max(F.when(F.col("scope") == s, F.col("eligible"))), F.lit(0)).alias(f"{s}_eligible") for s in ("author", "news")]
+    facts = a.join(n).join(books.agg(*eligible))  # one row each
+    share = F.try_divide("top", "events")
+
+    def gap(key: str, current: Column, need: str, comparator: str, ok: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), F.lit(key.split(".")[0]).alias("scope"), current.cast("string").alias("current"), F.lit(need).alias("required"),
+                        F.lit(comparator).alias("comparator"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("BLOCKED").alias("status"))
+
+    some, never = F.col("authors") > 0, F.lit(False)
+    gaps = F.array(
+        gap("author.trusted_posts_per_account", F.col("least"), str(AUTHOR_SAMPLES), ">=", some & (F.col("ready") == F.col("authors"))),
+        gap("author.identity_consistency", F.concat_ws("/", F.col("consistent").cast("string"), F.col("authors").cast("string")), "all", "==", some & (F.col("consistent") == F.col("authors"))),
+        gap("author.source_authorization", F.lit("unverified"), "approved by a person", "human_gate", never),
+        gap("news.events", F.col("events"), str(NEWS_EVENTS), ">=", F.col("events") >= NEWS_EVENTS), gap("news.history_days", F.col("days"), str(NEWS_DAYS), ">=", F.col("days") >= NEWS_DAYS),
+        gap("news.max_source_share", F.round(F.coalesce(share, F.lit(0.0)), 6), str(NEWS_SHARE), "<=", share <= NEWS_SHARE),
+        gap("news.available_history_evidence", F.lit("unverified"), "approved by a person", "human_gate", never),
+        *[gap(f"{s}.evidence_intake_oos_eligible", F.col(f"{s}_eligible"), str(need), ">=", F.col(f"{s}_eligible") >= need) for s, need in (("author", AUTHOR_SAMPLES), ("news", NEWS_EVENTS))])
+    return facts.select(F.explode(gaps).alias("g")).select("g.*")
+
+
 def account_readiness(posts: DataFrame, min_posts: int = 30) -> DataFrame:
     """Trusted posts per account; every account must reach the number and have one author."""
     g = posts.where("trusted").groupBy("account").agg(F.count_distinct("post_id").alias("n"), F.count_distinct("author").alias("authors"))

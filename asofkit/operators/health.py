@@ -37,6 +37,53 @@ def overall_state(health: DataFrame) -> DataFrame:
     return g.withColumn("state", F.when(F.col("enabled") == 0, "UNKNOWN").when(F.col("failed") > 0, "FAILED").when(F.col("degraded") > 0, "DEGRADED").otherwise("HEALTHY"))
 
 
+#: Buckets of processing results.
+PROCESSED = {"success": ["ACCEPTED", "SUCCESS"], "rejected": ["REJECTED", "DUPLICATE"], "failed": ["FAILED"]}
+
+
+def processor_health(sources: DataFrame, raw_items: DataFrame, results: DataFrame) -> DataFrame:
+    """Per source: raw items, results by bucket (anything else is in_flight) and the processor's state.
+
+    OBSERVED with results, NOT_OBSERVED where raw items have none, NO_INPUT without either. ``raw_items`` and
+    ``results`` (source, outcome) are those of the window; a source that has none of them has a row too.
+    """
+    seen = raw_items.groupBy("source").agg(F.count(F.lit(1)).alias("raw_items"))
+    bucket = F.lit("in_flight")
+    for name, outcomes in PROCESSED.items():
+        bucket = F.when(F.col("outcome").isin(outcomes), name).otherwise(bucket)
+    counts = results.withColumn("__b", bucket).groupBy("source").agg(*[F.count_if(F.col("__b") == b).alias(f"processed_{b}") for b in (*PROCESSED, "in_flight")])
+    out = sources.select("source", "enabled").join(seen, "source", "left").join(counts, "source", "left").na.fill(0)
+    total = sum((F.col(f"processed_{b}") for b in (*PROCESSED, "in_flight")), F.lit(0))
+    return out.withColumn("processor_state", F.when(total > 0, "OBSERVED").when(F.col("raw_items") > 0, "NOT_OBSERVED").otherwise("NO_INPUT"))
+
+
+def scheduler_summary(jobs: DataFrame) -> DataFrame:
+    """One row over slots (status, retry_count, scheduled_at, output_json): counts by status, retries, entries of sources in
+    the outputs, slots whose output reports none, and the last slot."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    reported = F.json_array_length(F.get_json_object("output_json", "$.sources"))
+    return jobs.agg(F.count(F.lit(1)).alias("slots"), n("SUCCESS").alias("success"), n("PARTIAL_FAILED").alias("partial_failed"), n("FAILED").alias("failed"),
+                    n("PENDING", "RUNNING", "RETRYING").alias("in_flight"), n("CANCELLED").alias("other"), F.coalesce(F.sum(F.coalesce("retry_count", F.lit(0))), F.lit(0)).alias("retries"),
+                    F.coalesce(F.sum(reported), F.lit(0)).cast("long").alias("per_source_entries"), F.count_if(reported.isNull()).alias("slots_without_output"), F.max("scheduled_at").alias("last_slot_at"))
+
+
+def overall_health(health: DataFrame, processing: DataFrame) -> DataFrame:
+    """(state, reasons) of collection and processing together: NO_SOURCES, DISABLED, FAILED, DEGRADED with every reason, or HEALTHY.
+
+    ``health``: of ``source_health``; ``processing``: of ``processor_health``.
+    """
+    on = F.col("enabled")
+    h = health.agg(F.count(F.lit(1)).alias("sources"), F.count_if(on).alias("on"), F.count_if(on & (F.col("state") == "FAILED")).alias("failed"), F.count_if(on & (F.col("state") != "HEALTHY")).alias("weak"))
+    total = sum((F.col(f"processed_{b}") for b in (*PROCESSED, "in_flight")), F.lit(0))
+    p = processing.agg(F.coalesce(F.sum("raw_items"), F.lit(0)).alias("raw"), F.coalesce(F.sum(total), F.lit(0)).alias("results"), F.coalesce(F.sum("processed_failed"), F.lit(0)).alias("broken"),
+                       F.count_if(on & (F.col("processor_state") == "NOT_OBSERVED")).alias("blind"))
+    whole_blind = (F.col("results") == 0) & (F.col("raw") > 0)
+    reasons_ = F.array_compact(F.array(F.when(F.col("weak") > 0, "sources_not_healthy"), F.when(whole_blind, "no_processing_results").when(F.col("blind") > 0, "sources_without_results"),
+                                       F.when(F.col("broken") > 0, "processing_failures")))
+    state = (F.when(F.col("sources") == 0, "NO_SOURCES").when(F.col("on") == 0, "DISABLED").when(F.col("failed") > 0, "FAILED").when(F.size("reasons") > 0, "DEGRADED").otherwise("HEALTHY"))
+    return h.join(p).withColumn("reasons", reasons_).select(state.alias("state"), F.when(state == "DEGRADED", F.col("reasons")).otherwise(F.array()).alias("reasons"))  # one row each
+
+
 def batch_status(inserted: Column, failed: Column) -> Column:
     """FAILED if only failures, PARTIAL_FAILED if some, else SUCCESS."""
     return F.when((failed > 0) & (inserted == 0), "FAILED").when(failed > 0, "PARTIAL_FAILED").otherwise("SUCCESS")

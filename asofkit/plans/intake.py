@@ -258,10 +258,14 @@ def macro_frame(spark, d):
                     F.round("other_ret_1", 6).alias("other_ret"), F.round("future_return", 6).alias("future_return"))
 
 
-@query("SELECT * FROM (VALUES ('1-URGENT_released_at', 0), ('2-HIGH_released_at', 0), ('other_at', 0)) v(\"column\", violations)")
+@query("""WITH f AS (SELECT o_orderdate AS used, o_orderdate + to_days(CAST(o_orderkey % 9 - 7 AS INTEGER)) AS urgent, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 3 - 2 AS INTEGER)) END AS high FROM orders)
+SELECT unnest(['urgent', 'high']) AS "column", unnest([count(*) FILTER (WHERE urgent > used), count(*) FILTER (WHERE high > used)]) AS violations FROM f""")
 def macro_time_violations(spark, d):
-    f, _ = _macro_frame(spark, d)
-    return snapshots.time_violations(f, ["1-URGENT_released_at", "2-HIGH_released_at", "other_at"], "signal_at")
+    """A frame whose releases are partly later than the time they are used at; a release at that very time is none, nor is a missing one."""
+    i = F.col("o_orderkey")
+    moved = lambda n: F.date_add("o_orderdate", n.cast("int"))
+    f = a.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("at"), moved(i % 9 - 7).alias("urgent"), F.when(i % 4 != 0, moved(i % 3 - 2)).alias("high"))
+    return snapshots.time_violations(f, ["urgent", "high"], "at")
 
 
 def _cells(spark, d):

@@ -548,3 +548,104 @@ SELECT scope, 'max_source_share', round(top / nullif(n, 0), 6), 0.4, CASE WHEN t
 def readiness_checks(spark, d):
     p = a.posts(spark, d).select(F.concat(F.lit("scope"), (F.col("post_id") % 2).cast("string")).alias("scope"), "source", F.col("post_id").alias("item"), F.to_date("published_at").alias("available_at"))
     return evidence.readiness(p, ["scope0", "scope1", "scope2"], 200, 90, 0.4).withColumn("current", F.round("current", 6))
+
+
+_RAW = """x AS (SELECT doc_id AS i, source, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'author' ELSE ' News' END AS scope, doc_id % 5 IN (1, 2, 3) AS eligible, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) AS seen
+    FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0),
+  ev AS (SELECT i, lower(trim(scope)) AS scope, eligible, CASE WHEN eligible THEN nullif(coalesce(source, ''), '') END AS source, CASE WHEN eligible THEN seen END AS seen FROM x)"""
+
+
+def _ledger(spark, d):
+    """Raw JSON of all documents: some without evidence, of another contract, or with a text for the flag."""
+    i = F.col("doc_id")
+    at = F.date_format(F.expr("timestampadd(HOUR, cast(doc_id as int), timestamp_ntz'2024-01-01 00:00:00')"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def claim(flag):
+        return F.to_json(F.struct(F.struct(F.when(i % 7 == 0, "v0").otherwise(" v1 ").alias("contract_version"), F.when(i % 3 == 0, "author").otherwise(" News").alias("scope"), "source",
+                                           at.alias("available_at"), flag.alias("oos_eligible")).alias("evidence")))
+    raw = a.table(spark, d, "documents").select(F.when(i % 11 == 0, '{"other": 1}').when(i % 5 == 4, claim(F.lit("true"))).otherwise(claim(i % 5 > 0)).alias("raw_json"))
+    return evidence.ledger(raw, "v1")
+
+
+@query(f"""WITH {_RAW}, c AS (SELECT scope, count(*) AS n FROM ev WHERE source IS NOT NULL GROUP BY scope, source)
+SELECT scope, count(*) AS certified, count(*) FILTER (WHERE eligible) AS eligible, count(*) FILTER (WHERE NOT eligible) AS not_eligible, {T('min(seen)')} AS evidence_start, {T('max(seen)')} AS evidence_end,
+  round((SELECT max(n) / sum(n) FROM c WHERE c.scope = ev.scope), 6) AS max_source_share FROM ev GROUP BY scope""")
+def evidence_ledger(spark, d):
+    out = _ledger(spark, d)
+    return out.select("scope", "certified", "eligible", "not_eligible", a.stamp("evidence_start").alias("evidence_start"), a.stamp("evidence_end").alias("evidence_end"), r6("max_source_share"))
+
+
+_GAPS = f"""{a.OPINIONS}, acc AS (SELECT CASE WHEN opinion_id % 997 = 0 THEN 2 ELSE author_id % 9 END AS author, author_id % 45 AS account, count(*) AS opinions, count(DISTINCT opinion_id) FILTER (WHERE trusted) AS n FROM opinions GROUP BY ALL),
+  sh AS (SELECT account FROM acc GROUP BY account HAVING count(DISTINCT author) > 1),
+  gaps AS (SELECT author, CAST(sum(opinions) AS BIGINT) AS opinions, CAST(sum(n) AS BIGINT) AS trusted_posts, min(n) AS min_account_samples, bool_and(account NOT IN (SELECT account FROM sh)) AS identity_consistent FROM acc GROUP BY author),
+  ag AS (SELECT *, CASE WHEN identity_consistent AND min_account_samples >= 30 THEN 'PASS' ELSE 'BLOCKED' END AS status FROM gaps)"""
+
+
+def _gaps(spark, d):
+    o = a.opinions(spark, d)
+    return evidence.author_gaps(o.select(F.when(F.col("opinion_id") % 997 == 0, 2).otherwise(F.col("author_id") % 9).alias("author"), (F.col("author_id") % 45).alias("account"), F.col("opinion_id").alias("post_id"), "trusted"))
+
+
+@query(f"WITH {_GAPS} SELECT author, opinions, trusted_posts, min_account_samples, identity_consistent, status FROM ag")
+def author_gaps(spark, d):
+    return _gaps(spark, d)
+
+
+@query(f"""WITH {_GAPS}, {_RAW}, a1 AS (SELECT count(*) AS authors, coalesce(min(min_account_samples), 0) AS least, count(*) FILTER (WHERE identity_consistent) AS consistent, count(*) FILTER (WHERE status = 'PASS') AS ready FROM ag),
+  per AS (SELECT source, count(*) AS n, min(published_at) AS lo, max(published_at) AS hi FROM (SELECT source, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) AS published_at FROM documents) GROUP BY source),
+  n1 AS (SELECT sum(n) AS events, max(n) AS top, CAST(floor((epoch(max(hi)) - epoch(min(lo))) / 86400) AS BIGINT) AS days FROM per),
+  e1 AS (SELECT count(*) FILTER (WHERE scope = 'author' AND eligible) AS ae, count(*) FILTER (WHERE scope = 'news' AND eligible) AS ne FROM ev),
+  g AS (SELECT unnest([{{'key': 'author.trusted_posts_per_account', 'current': CAST(least AS VARCHAR), 'required': '30', 'comparator': '>=', 'ok': authors > 0 AND ready = authors}},
+    {{'key': 'author.identity_consistency', 'current': consistent || '/' || authors, 'required': 'all', 'comparator': '==', 'ok': authors > 0 AND consistent = authors}},
+    {{'key': 'author.source_authorization', 'current': 'unverified', 'required': 'approved by a person', 'comparator': 'human_gate', 'ok': false}},
+    {{'key': 'news.events', 'current': CAST(events AS VARCHAR), 'required': '200', 'comparator': '>=', 'ok': events >= 200}},
+    {{'key': 'news.history_days', 'current': CAST(days AS VARCHAR), 'required': '90', 'comparator': '>=', 'ok': days >= 90}},
+    {{'key': 'news.max_source_share', 'current': CAST(round(top / events, 6) AS VARCHAR), 'required': '0.4', 'comparator': '<=', 'ok': top / events <= 0.4}},
+    {{'key': 'news.available_history_evidence', 'current': 'unverified', 'required': 'approved by a person', 'comparator': 'human_gate', 'ok': false}},
+    {{'key': 'author.evidence_intake_oos_eligible', 'current': CAST(ae AS VARCHAR), 'required': '30', 'comparator': '>=', 'ok': ae >= 30}},
+    {{'key': 'news.evidence_intake_oos_eligible', 'current': CAST(ne AS VARCHAR), 'required': '200', 'comparator': '>=', 'ok': ne >= 200}}]) AS g FROM a1, n1, e1)
+SELECT g.key, split_part(g.key, '.', 1) AS scope, g.current, g.required, g.comparator, CASE WHEN g.ok THEN 'PASS' ELSE 'BLOCKED' END AS status FROM g""")
+def qualification_gaps(spark, d):
+    news = a.table(spark, d, "documents").select("source", F.expr("timestampadd(HOUR, cast(doc_id as int), timestamp_ntz'2024-01-01 00:00:00')").alias("available_at"))
+    return evidence.qualification(_gaps(spark, d), news, _ledger(spark, d))
+
+
+_PROC = """src AS (SELECT i AS source, i <> 3 AS enabled FROM range(0, 25) t(i)),
+  ra AS (SELECT user_id % 20 AS source, count(*) AS raw_items FROM events GROUP BY ALL),
+  pr AS (SELECT user_id % 20 AS source, (['ACCEPTED', 'DUPLICATE', 'REJECTED', 'FAILED', 'RUNNING'])[event_id % 5 + 1] AS outcome FROM events WHERE user_id % 20 NOT IN (4, 9)),
+  pc AS (SELECT source, count(*) FILTER (WHERE outcome = 'ACCEPTED') AS s, count(*) FILTER (WHERE outcome IN ('REJECTED', 'DUPLICATE')) AS r, count(*) FILTER (WHERE outcome = 'FAILED') AS f, count(*) FILTER (WHERE outcome = 'RUNNING') AS g FROM pr GROUP BY source),
+  ph AS (SELECT source, enabled, coalesce(raw_items, 0) AS raw_items, coalesce(s, 0) AS processed_success, coalesce(r, 0) AS processed_rejected, coalesce(f, 0) AS processed_failed, coalesce(g, 0) AS processed_in_flight,
+    CASE WHEN pc.source IS NOT NULL THEN 'OBSERVED' WHEN raw_items > 0 THEN 'NOT_OBSERVED' ELSE 'NO_INPUT' END AS processor_state FROM src LEFT JOIN ra USING (source) LEFT JOIN pc USING (source))"""
+
+
+def _processing(spark, d):
+    src = spark.range(25).select(F.col("id").alias("source"), (F.col("id") != 3).alias("enabled"))
+    e = a.table(spark, d, "events").select((F.col("user_id") % 20).alias("source"), F.get(F.array(*map(F.lit, ["ACCEPTED", "DUPLICATE", "REJECTED", "FAILED", "RUNNING"])), (F.col("event_id") % 5).cast("int")).alias("outcome"))
+    return health.processor_health(src, e, e.where("source not in (4, 9)"))
+
+
+@query(f"WITH {_PROC} SELECT source, raw_items, processed_success, processed_rejected, processed_failed, processed_in_flight, processor_state FROM ph")
+def processor_health(spark, d):
+    return _processing(spark, d).drop("enabled")
+
+
+@query("""WITH j AS (SELECT (['SUCCESS', 'PARTIAL_FAILED', 'FAILED', 'RUNNING', 'CANCELLED', 'RETRYING'])[o_orderkey % 6 + 1] AS status, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 3 END AS retry_count, o_orderdate AS seen,
+  CASE WHEN o_orderkey % 5 IN (1, 2) THEN o_orderkey % 5 END AS entries FROM orders)
+SELECT count(*) AS slots, count(*) FILTER (WHERE status = 'SUCCESS') AS success, count(*) FILTER (WHERE status = 'PARTIAL_FAILED') AS partial_failed, count(*) FILTER (WHERE status = 'FAILED') AS failed,
+  count(*) FILTER (WHERE status IN ('RUNNING', 'RETRYING')) AS in_flight, count(*) FILTER (WHERE status = 'CANCELLED') AS other, CAST(sum(coalesce(retry_count, 0)) AS BIGINT) AS retries,
+  CAST(sum(coalesce(entries, 0)) AS BIGINT) AS per_source_entries, count(*) FILTER (WHERE entries IS NULL) AS slots_without_output, strftime(max(seen), '%Y-%m-%d') AS last_slot_at FROM j""")
+def scheduler_summary(spark, d):
+    i = F.col("o_orderkey")
+    jobs = a.table(spark, d, "orders").select(
+        F.get(F.array(*map(F.lit, ["SUCCESS", "PARTIAL_FAILED", "FAILED", "RUNNING", "CANCELLED", "RETRYING"])), (i % 6).cast("int")).alias("status"), F.when(i % 4 != 0, i % 3).alias("retry_count"), F.col("o_orderdate").alias("scheduled_at"),
+        F.when(i % 5 == 1, '{"sources": [1]}').when(i % 5 == 2, '{"sources": ["a", {"b": 1}]}').when(i % 5 == 3, '{"sources": "none"}').when(i % 5 == 4, "broken").alias("output_json"))
+    return health.scheduler_summary(jobs).withColumn("last_slot_at", F.date_format("last_slot_at", "yyyy-MM-dd"))
+
+
+@query(f"""WITH {_HEALTH}, {_PROC.split("),", 1)[1]}, o AS (SELECT count(*) FILTER (WHERE enabled AND state = 'FAILED') AS failed, count(*) FILTER (WHERE enabled AND state <> 'HEALTHY') AS weak, count(*) FILTER (WHERE enabled) AS active FROM h),
+  q AS (SELECT count(*) FILTER (WHERE enabled AND processor_state = 'NOT_OBSERVED') AS blind, sum(processed_failed) AS broken FROM ph)
+SELECT CASE WHEN active = 0 THEN 'DISABLED' WHEN failed > 0 THEN 'FAILED' ELSE 'DEGRADED' END AS state,
+  CASE WHEN failed > 0 THEN '' ELSE concat_ws(',', CASE WHEN weak > 0 THEN 'sources_not_healthy' END, CASE WHEN blind > 0 THEN 'sources_without_results' END, CASE WHEN broken > 0 THEN 'processing_failures' END) END AS reasons FROM o, q""")
+def overall_health(spark, d):
+    out = health.overall_health(_health(spark, d), _processing(spark, d))
+    return out.select("state", F.array_join("reasons", ",").alias("reasons"))

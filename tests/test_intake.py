@@ -173,3 +173,11 @@ def test_date_chunks_and_accounts(spark):
     with pytest.raises(Exception, match="bad post"):
         p = spark.createDataFrame([("s", "1", "x", T0, T0 - timedelta(hours=1), None)], "source string, record_id string, content string, published_at timestamp, effective_at timestamp, collected_at timestamp")
         intake.import_posts(p, p.limit(0), [F.col("record_id")]).collect()
+
+
+def test_macro_frame_uses_nothing_before_its_release(spark):
+    from asofkit.plans import intake as queries
+
+    frame, _ = queries._macro_frame(spark, "/root/testdata/sf0.001")
+    found = snapshots.time_violations(frame, ["1-URGENT_released_at", "2-HIGH_released_at", "other_at"], "signal_at").collect()
+    assert frame.where("other_at is not null").count() > 0 and {r.violations for r in found} == {0}
