@@ -3,8 +3,9 @@
 The product is accumulated only where the sizes allow a link. With the columns of every row in one
 common order, two rows that reach the threshold share a column among the first few of each (how
 many follows from the row's size), and their sizes and places bound the overlap. Columns are
-ordered from rare to frequent by a count sketch over all rows, so frequent n-grams do not meet. Rows
-with equal sets are one row: copies neither meet nor make the n-grams of a text look frequent.
+ordered from rare to frequent by a count sketch over all rows, which is made in the pass that digests the
+sets; any one order is right, and this one keeps frequent n-grams from meeting. Rows with equal sets
+are one row, so copies do not meet.
 
 Linking needs no pair inside a group that is already connected. Round one compares each row with
 one representative of the column's block and the representatives with each other, which joins the
@@ -47,11 +48,14 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _sets(k: int):
-    """Rows (id, tk, n, d1, d2): size and two digests of each document's set."""
+    """Rows (id, tk, n, d1, d2): size and two digests of each document's set; then the task's share of the count sketch, in blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "tk", "n", "d1", "d2", "block", "counts"]
+        sketch = np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column("text")):
                 h, doc = shingle_sets(data, offsets, k)
+                sketch += np.bincount(_slot(h), minlength=SKETCH)
                 n = np.bincount(doc, minlength=j - i)
                 digests = []
                 for salt in (0x1234567, 0x89ABCDE):  # sums over the set, so order does not matter
@@ -60,20 +64,11 @@ def _sets(k: int):
                     ends = np.cumsum(n)
                     digests.append(pa.array((total[ends] - total[ends - n]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("tk").slice(i, j - i), pa.array(n.astype(np.int32)),
-                                                  *digests], names=["id", "tk", "n", "d1", "d2"])
-    return run
-
-
-def _sketch(k: int):
-    """The task's share of the count sketch, in blocks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch.column("text")):
-                sketch += np.bincount(_slot(shingle_sets(data, offsets, k)[0]), minlength=SKETCH)
+                                                  *digests, pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=names)
         held = np.flatnonzero(sketch.reshape(-1, SKETCH_BLOCK).any(axis=1))
         counts = [np.minimum(sketch[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK], 2**31 - 1).astype("<i4").tobytes() for b in held]
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts, pa.binary())], names=["block", "counts"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(held), t) for t in kinds], pa.array(held.astype(np.int32)), pa.array(counts, pa.binary())], names=names)
     return run
 
 
@@ -255,7 +250,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     scratch = Scratch(spark, "ngram-join")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
-    sets = scratch.save(texts.mapInArrow(_sets(k), "id bigint, tk bigint, n int, d1 bigint, d2 bigint"), "sets")
+    made = texts.mapInArrow(_sets(k), "id bigint, tk bigint, n int, d1 bigint, d2 bigint, block int, counts binary").withColumn("task", F.spark_partition_id())
+    made = scratch.save(made, "sets", compression="zstd")
+    sets, shares = made.where("block is null").select("id", "tk", "n", "d1", "d2"), made.where("block is not null").select("block", "counts", "task")
 
     # Equal sets are one row of the matrix, under its smallest identifier.
     classes = scratch.save(sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "tk")).alias("r"))
@@ -265,7 +262,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     release(spark)
     sketch = np.zeros(SKETCH, dtype=np.int32)
     # At most SKETCH / SKETCH_BLOCK rows of 64 KB, however many documents there are.
-    shares = scratch.save(texts.mapInArrow(_sketch(k), "block int, counts binary").withColumn("task", F.spark_partition_id()), "shares", compression="zstd")
     for r in _summed(shares).collect():
         sketch[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, "<i4")
     shared = spark.sparkContext.broadcast(sketch)
@@ -276,7 +272,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     frequent = scratch.save(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "frequent")
     entries = scratch.save(join_counted(grams, frequent, ["gram"], "c", grams.count()).drop("c"), "entries")
     signatures = scratch.save(rows.select("id", "tk", "n", "signature"), "signatures")
-    scratch.drop("rows", "frequent", "shares")
+    scratch.drop("rows", "frequent")
     release(spark)
 
     # Round one: a row with the representative of its block, representatives with each other.
