@@ -108,6 +108,32 @@ def sanitize_map(m: Column, entries: int = 50) -> Column:
     return F.transform_values(F.map_from_entries(few), lambda _, v: safe_text(v))
 
 
+def sanitize_json(text: Column, entries: int = 32, items: int = 8, most: int = 300) -> Column:
+    """A JSON object as one of scalars and short lists: what may be written into an audit.
+
+    Keys that are blank, longer than 100 characters or name credentials go, as do values that are objects; of a list
+    the scalars among its first ``items`` stay. Texts are redacted and cut, those under a key with url, uri or link reduced to
+    scheme, host and path; other scalars keep their kind. At most ``entries`` keys stay, in their order. Null unless it is an object.
+    """
+    kind = F.schema_of_variant
+    shown = lambda v: F.substring(redact(v.cast("string")), 1, most)
+    as_json = lambda v: F.parse_json(F.to_json(v.cast("variant")))
+
+    def scalar(v: Column) -> Column:
+        return F.when(kind(v) == "STRING", as_json(shown(v))).otherwise(v)
+
+    def value(k: Column, v: Column) -> Column:
+        lists = F.filter(F.slice(v.cast("array<variant>"), 1, items), lambda x: ~F.coalesce(kind(x).rlike("^(OBJECT|ARRAY|VOID)"), F.lit(True)))
+        link = (kind(v) == "STRING") & F.lower(k).rlike("url|uri|link")
+        return (F.when(F.startswith(kind(v), F.lit("ARRAY")), as_json(F.transform(lists, scalar)))
+                .when(link, as_json(F.substring(F.coalesce(safe_url(v.cast("string")), shown(v)), 1, most))).otherwise(scalar(v)))
+
+    m = F.from_json(text, "map<string,variant>")
+    fine = F.filter(F.map_entries(m), lambda e: (F.trim(e.key) != "") & (F.length(F.trim(e.key)) <= 100) & ~is_sensitive_key(e.key) & ~F.startswith(kind(e.value), F.lit("OBJECT")))
+    few = F.transform(F.slice(fine, 1, entries), lambda e: F.struct(F.trim(e.key).alias("key"), value(e.key, e.value).alias("value")))
+    return F.when(m.isNotNull(), F.to_json(F.map_from_entries(few)))
+
+
 CJK = r"[㐀-䶿一-鿿豈-﫿]+"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,57 @@ def readiness(certified: DataFrame, scopes: list[str], min_rows: int, min_days:
     return all_.select("scope", F.explode(checks).alias("c")).select("scope", "c.*")
 
 
+AUTHOR_FIELDS = ["source", "id", "external_account_id", "author_name", "content", "url", "published_at", "collected_at", "effective_at", "collection_time_provenance", "source_type", "has_media"]
+
+
+def web_key(url: Column) -> Column:
+    """scheme, host, port, path and query of a http address, scheme and host in lower case; null for anything else."""
+    p = r"(?i)^(https?)://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::([0-9]{1,5}))?([/?#].*)?$"
+    rest = lambda q: F.regexp_extract(F.regexp_extract(url, p, 4), q, 1)
+    part = lambda i: F.regexp_extract(url, p, i)
+    port = F.when(part(3) != "", F.concat(F.lit(":"), part(3).cast("int").cast("string"))).otherwise("")
+    return F.when(url.rlike(p), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), port, rest("^([^?#]*)"), F.lit("?"), rest(r"^[^?#]*\?([^#]*)")))
+
+
+def author_audit(rows: DataFrame, windows: DataFrame, now: Column, min_chars: int = 90) -> DataFrame:
+    """Text rows of AUTHOR_FIELDS, numbered by ``row``, with their problems.
+
+    A row that lacks a field has that problem alone and is no earlier row to any other. Names of an account, record
+    identifiers, bodies (without regard to case and white space) and addresses are held against those of earlier rows;
+    the first row of each is found map-side, so a body that very many rows repeat is no task's work alone. ``windows``:
+    (source, account, valid_from, expires_at), one for each authorised account; an account without one is a problem of its rows.
+    """
+    missing = reduce(lambda x, c: x | (F.trim(F.coalesce(F.col(c), F.lit(""))) == ""), AUTHOR_FIELDS, F.lit(False))
+    d = rows.select("row", *[F.trim(c).alias(c) for c in AUTHOR_FIELDS], missing.alias("missing"))
+    d = d.withColumns({"account": F.concat_ws("\x1f", "source", "external_account_id"), "identity": F.concat_ws("\x1f", "source", "id"), "url_key": web_key(F.col("url")),
+                       "body": F.sha2(F.lower(F.trim(F.regexp_replace("content", r"\s+", " "))), 256)})
+    whole = d.where(~F.col("missing"))
+    for key in ("identity", "body", "url_key"):
+        first = whole.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("row").alias(f"first_{key}"))
+        d = d.join(first, key, "left")
+    d = d.join(whole.groupBy("account").agg(F.min_by("author_name", "row").alias("first_name")), "account", "left")
+    allowed = windows.select(F.concat_ws("\x1f", "source", "account").alias("account"), "valid_from", "expires_at", F.lit(True).alias("authorised"))
+    d = d.join(allowed, "account", "left")
+    published, collected, effective = (strict_time(F.col(c)) for c in ("published_at", "collected_at", "effective_at"))
+    bad_time = published.isNull() | collected.isNull() | effective.isNull()
+    seen = lambda key: F.col("row") > F.col(f"first_{key}")
+    rules = reasons(
+        MANY_NAMES=F.col("author_name") != F.col("first_name"), DUPLICATE_ID=seen("identity"), DUPLICATE_BODY=seen("body"), TOO_SHORT=F.length("content") < min_chars,
+        BAD_URL=F.col("url_key").isNull(), DUPLICATE_URL=seen("url_key"), BAD_TIME=bad_time, TIME_ORDER=~bad_time & (collected <= published),
+        EFFECTIVE=~bad_time & (effective != F.greatest(published, collected)), FUTURE_TIME=~bad_time & ((published > now) | (collected > now)),
+        OUTSIDE_WINDOW=~bad_time & ((collected < F.col("valid_from")) | (collected >= F.col("expires_at"))), PROVENANCE=F.col("collection_time_provenance") != "independent_observation",
+        SOURCE_TYPE=F.upper("source_type") != "NEWS", HAS_MEDIA=~F.lower("has_media").isin("true", "false"), NOT_AUTHORISED=F.col("authorised").isNull())
+    return d.select("row", "source", "external_account_id", "author_name", F.when(F.col("missing"), F.array(F.lit("MISSING_FIELD"))).otherwise(rules).alias("problems"))
+
+
+def author_audit_summary(audit: DataFrame) -> DataFrame:
+    """(rows, errors, accounts, fewest, ready): ready means rows, no problem, and enough rows of every account."""
+    whole = audit.where(~F.array_contains("problems", "MISSING_FIELD"))
+    per = whole.groupBy("source", "external_account_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("accounts"), F.coalesce(F.min("n"), F.lit(0)).alias("fewest"))
+    all_ = audit.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("problems")), F.lit(0)).alias("errors"))
+    return all_.join(per).withColumn("ready", (F.col("rows") > 0) & (F.col("errors") == 0) & (F.col("accounts") > 0) & (F.col("fewest") >= AUTHOR_SAMPLES))  # one row each
+
+
 #: Smallest numbers of trusted posts of an account and of news, days that news must span, and the share of one source.
 AUTHOR_SAMPLES, NEWS_EVENTS, NEWS_DAYS, NEWS_SHARE = 30, 200, 90, 0.40
 _CLAIM = "evidence struct<contract_version: string, scope: string, source: string, available_at: string, oos_eligible: boolean>"

@@ -649,3 +649,53 @@ SELECT CASE WHEN active = 0 THEN 'DISABLED' WHEN failed > 0 THEN 'FAILED' ELSE '
 def overall_health(spark, d):
     out = health.overall_health(_health(spark, d), _processing(spark, d))
     return out.select("state", F.array_join("reasons", ",").alias("reasons"))
+
+
+_AUDIT = """r AS (SELECT doc_id AS i, 's' || (doc_id % 2) AS source, CASE WHEN doc_id % 53 = 0 THEN ' ' ELSE CAST(doc_id % 400 AS VARCHAR) END AS id, 'a' || (doc_id % 6) AS acc, CASE WHEN doc_id % 45 = 7 THEN 'Other' ELSE 'N' || (doc_id % 6) END AS author,
+    coalesce(text, '') AS content, 'p' || (doc_id % 700) AS page, doc_id % 3 AS form, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS pub, doc_id % 9 AS late FROM documents),
+  x AS (SELECT *, trim(id) = '' OR trim(content) = '' AS missing, source || '/' || acc AS account, lower(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS body, CASE WHEN form < 2 THEN page END AS url_key,
+    CASE WHEN late = 0 THEN pub ELSE pub + to_minutes(5) END AS col, CASE WHEN late = 1 THEN pub ELSE greatest(pub, CASE WHEN late = 0 THEN pub ELSE pub + to_minutes(5) END) END AS eff FROM r),
+  y AS (SELECT *, first_value(author) OVER (PARTITION BY missing, account ORDER BY i) AS own, row_number() OVER (PARTITION BY missing, source, trim(id) ORDER BY i) > 1 AS d1, row_number() OVER (PARTITION BY missing, body ORDER BY i) > 1 AS d2,
+    url_key IS NOT NULL AND row_number() OVER (PARTITION BY missing, url_key ORDER BY i) > 1 AS d3 FROM x),
+  audit AS (SELECT i, account, missing, CASE WHEN missing THEN 'MISSING_FIELD' ELSE concat_ws(',', CASE WHEN author <> own THEN 'MANY_NAMES' END, CASE WHEN d1 THEN 'DUPLICATE_ID' END, CASE WHEN d2 THEN 'DUPLICATE_BODY' END,
+    CASE WHEN length(trim(content)) < 90 THEN 'TOO_SHORT' END, CASE WHEN url_key IS NULL THEN 'BAD_URL' END, CASE WHEN d3 THEN 'DUPLICATE_URL' END, CASE WHEN late = 2 THEN 'BAD_TIME' END, CASE WHEN late <> 2 AND col <= pub THEN 'TIME_ORDER' END,
+    CASE WHEN late <> 2 AND eff <> greatest(pub, col) THEN 'EFFECTIVE' END, CASE WHEN late <> 2 AND (pub > TIMESTAMP '2024-01-01 15:00:00' OR col > TIMESTAMP '2024-01-01 15:00:00') THEN 'FUTURE_TIME' END,
+    CASE WHEN late <> 2 AND acc = 'a1' AND col >= TIMESTAMP '2024-01-01 04:00:00' THEN 'OUTSIDE_WINDOW' END, CASE WHEN i % 29 = 0 THEN 'PROVENANCE' END, CASE WHEN i % 31 = 0 THEN 'SOURCE_TYPE' END, CASE WHEN i % 37 = 0 THEN 'HAS_MEDIA' END,
+    CASE WHEN acc = 'a5' THEN 'NOT_AUTHORISED' END) END AS problems FROM y)"""
+
+
+def _audit(spark, d):
+    i = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    at = lambda m: F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(mins=(i + m).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    page = F.concat(F.lit("p"), s(i % 700))
+    url = F.when(i % 3 == 0, F.concat(F.lit("https://u:p@Host.org:8080/"), page, F.lit("?q=1#x"))).when(i % 3 == 1, F.concat(F.lit("HTTPS://host.org:8080/"), page, F.lit("?q=1"))).otherwise(F.concat(F.lit("ftp://host/"), page))
+    rows = a.table(spark, d, "documents").select(
+        i.alias("row"), F.concat(F.lit("s"), s(i % 2)).alias("source"), F.when(i % 53 == 0, " ").otherwise(s(i % 400)).alias("id"), F.concat(F.lit("a"), s(i % 6)).alias("external_account_id"),
+        F.when(i % 45 == 7, "Other").otherwise(F.concat(F.lit("N"), s(i % 6))).alias("author_name"), F.col("text").alias("content"), url.alias("url"), at(0).alias("published_at"),
+        F.when(i % 9 == 2, "yesterday").otherwise(at(F.when(i % 9 == 0, 0).otherwise(5))).alias("collected_at"), at(F.when(i % 9 < 2, 0).otherwise(5)).alias("effective_at"),
+        F.when(i % 29 == 0, "guess").otherwise("independent_observation").alias("collection_time_provenance"), F.when(i % 31 == 0, "post").otherwise("news").alias("source_type"), F.when(i % 37 == 0, "maybe").otherwise("True").alias("has_media"))
+    windows_ = spark.createDataFrame([(f"s{k % 2}", f"a{k}") for k in range(5)], "source string, account string").withColumns({
+        "valid_from": F.expr("timestamp'2023-01-01 00:00:00'"), "expires_at": F.when(F.col("account") == "a1", F.expr("timestamp'2024-01-01 04:00:00'"))})
+    return evidence.author_audit(rows, windows_, F.expr("timestamp'2024-01-01 15:00:00'"))
+
+
+@query(f"WITH {_AUDIT} SELECT i AS \"row\", problems FROM audit")
+def author_audit(spark, d):
+    return _audit(spark, d).select("row", F.array_join("problems", ",").alias("problems"))
+
+
+@query(f"""WITH {_AUDIT}, p AS (SELECT account, count(*) AS n FROM audit WHERE NOT missing GROUP BY account)
+SELECT count(*) AS "rows", CAST(sum(CASE WHEN problems = '' THEN 0 ELSE len(string_split(problems, ',')) END) AS BIGINT) AS errors, (SELECT count(*) FROM p) AS accounts, (SELECT min(n) FROM p) AS fewest, false AS ready FROM audit""")
+def author_audit_summary(spark, d):
+    return evidence.author_audit_summary(_audit(spark, d)).select("rows", F.col("errors").cast("long").alias("errors"), "accounts", "fewest", "ready")
+
+
+@query("""SELECT o_orderkey, '{"note":"' || o_orderpriority || '","n":' || o_orderkey || ',"list":[' || o_orderkey % 5 || ',"x",true],"feed_url":' || CASE WHEN o_orderkey % 2 = 0 THEN '"https://h.org/a"' ELSE '12' END || ',"none":null}' AS safe FROM orders""")
+def sanitised_json(spark, d):
+    """Credentials, objects in values and in lists, and what an address holds beyond its path are gone; kinds stay."""
+    i = F.col("o_orderkey").cast("string")
+    even = F.col("o_orderkey") % 2 == 0
+    j = F.concat(F.lit('{"note": "'), "o_orderpriority", F.lit('", "api_key": "x", "n": '), i, F.lit(', "list": ['), (F.col("o_orderkey") % 5).cast("string"),
+                 F.lit(', "x", {"a": 1}, null, true], "headers": {"Authorization": "b"}, "feed_url": '), F.when(even, '"https://u:p@h.org/a?token=1#f"').otherwise("12"), F.lit(', "none": null, " ": 1}'))
+    return a.table(spark, d, "orders").select("o_orderkey", tx.sanitize_json(j).alias("safe"))
