@@ -278,7 +278,8 @@ _STEP = {"e20": ("close", "2.0::DOUBLE / 21"), "e60": ("close", "2.0::DOUBLE / 6
 _LATER = {"adx": ("dx", "1.0::DOUBLE / 14"), "sig": ("macd", "2.0::DOUBLE / 10")}
 
 
-@query(f"""WITH RECURSIVE {_NUMBERED},
+#: Every indicator by recursion over the bars of a segment.
+INDICATORS = f"""{_NUMBERED},
   x AS (SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr,
     CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS plus, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS minus,
     CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss FROM num),
@@ -291,7 +292,10 @@ _LATER = {"adx": ("dx", "1.0::DOUBLE / 14"), "sig": ("macd", "2.0::DOUBLE / 10")
     UNION ALL SELECT x.instrument, x.segment, x.i, {', '.join(f'CASE WHEN x.{x} IS NULL THEN y.{m} ELSE {_MEAN.format(m, x, f"({a_})")} END' for m, (x, a_) in _LATER.items())}, y.n + (x.dx IS NOT NULL)::INT
     FROM r y JOIN z x ON x.instrument = y.instrument AND x.segment = y.segment AND x.i = y.i + 1),
   k AS (SELECT b.instrument, b.segment, b.i, count(*) FILTER (WHERE c.pct <= b.pct) / 60 AS rank FROM z b JOIN z c ON c.instrument = b.instrument AND c.segment = b.segment AND c.i BETWEEN b.i - 59 AND b.i
-    WHERE b.i >= 73 GROUP BY ALL)
+    WHERE b.i >= 73 GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {INDICATORS}
 SELECT instrument, {t('open_time')} AS open_time, round(CASE WHEN i >= 20 THEN e20 END, 4) AS ema_20, round(CASE WHEN i >= 60 THEN e60 END, 4) AS ema_60,
   round(CASE WHEN i >= 24 THEN e20 / lag(e20, 4) OVER w - 1 END, 6) AS ema_20_slope_4, round(CASE WHEN i >= 64 THEN e60 / lag(e60, 4) OVER w - 1 END, 6) AS ema_60_slope_4,
   round(CASE WHEN i >= 14 THEN pct END, 6) AS atr_14_pct, round(CASE WHEN n >= 14 THEN adx END, 4) AS adx_14, round(rank, 6) AS atr_pct_rank_60,

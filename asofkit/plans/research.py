@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import annotation, bars, evidence, health, indicators, labels, propagation, regime, skill, store, windows
 from . import adapters as a
+from . import market
 
 QUERIES, ORACLE = {}, {}
 
@@ -128,11 +129,18 @@ def binomial_tails(spark, d):
     return counts[0].unionByName(counts[1]).withColumn("p", F.round(skill.binomial_p("hits", "n"), 8))
 
 
-@query()
+@query(f"""WITH {_SIG}, g AS (SELECT instrument, count(*) FILTER (WHERE ret > 0) AS h, count(*) AS n FROM k GROUP BY ALL), u AS (SELECT instrument, n, h, unnest(range(h, n + 1)) AS i FROM g),
+  pv AS (SELECT instrument, h / n AS hit_rate, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS p_value FROM u GROUP BY instrument, h, n),
+  r AS (SELECT *, {_rank('sig', 'instrument')} AS rx, {_rank('ret', 'instrument')} AS ry FROM k), i1 AS (SELECT instrument, corr(rx, ry) AS ic FROM r GROUP BY instrument),
+  r2 AS (SELECT *, {_rank('sig', 'instrument, win')} AS rx, {_rank('ret', 'instrument, win')} AS ry FROM k),
+  w AS (SELECT instrument, win, CASE WHEN count(*) >= 10 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM r2 GROUP BY ALL),
+  i2 AS (SELECT instrument, avg(ic) / stddev_samp(ic) AS icir FROM w GROUP BY instrument)
+SELECT instrument, round(ic, 6) AS ic, round(icir, 6) AS icir, round(hit_rate, 6) AS hit_rate, round(p_value, 8) AS p_value,
+  CASE WHEN (ic >= 0.03 AND icir >= 0.3) OR (hit_rate > 0.5 AND p_value < 0.05) THEN 'PASS' ELSE 'FAIL' END AS gate FROM pv JOIN i1 USING (instrument) JOIN i2 USING (instrument)""")
 def signal_gate(spark, d):
     s = _signals(spark, d).withColumn("hit", F.col("ret") > 0).withColumn("p", F.col("sig") % 10 / F.lit(10.0))
     m = skill.signal_metrics(s, ["instrument"], "p", "hit", "sig", "ret").join(skill.window_ic(s, ["instrument"], "win", "sig", "ret").select("instrument", "icir", "t"), "instrument")
-    return skill.signal_gate(m.withColumn("t_p", skill.two_sided_normal_p("t")))
+    return skill.signal_gate(m).select("instrument", r6("ic"), r6("icir"), r6("hit_rate"), F.round("p_value", 8).alias("p_value"), "gate")
 
 
 @query(f"WITH {_SIG} SELECT instrument, least(floor(sig % 10 / 10.0 * 10), 9)::BIGINT AS bin, count(*) AS n, round(avg(sig % 10 / 10.0), 6) AS mean_p, round(avg((ret > 0)::INT), 6) AS hit_rate FROM k GROUP BY ALL")
@@ -186,11 +194,53 @@ def _regimes(spark, d):
     return regime.regime_run(a.bars_1h(spark, d), marks)
 
 
+#: Indicators by recursion, marks of the four hours before a close, the first rule that fits, and its smoothing by recursion.
+_REGIME = f"""{market.INDICATORS}, {a.OPINIONS.replace('opinions AS', 'op AS')}, mk AS (SELECT effective_at AS at_, opinion_id % 80 = 0 AS news FROM op),
+  ind AS (SELECT z.instrument, z.segment, z.i, z.open_time, z.open_time + INTERVAL 1 HOUR AS close_time, close, CASE WHEN i >= 20 THEN e20 END AS e20, CASE WHEN i >= 60 THEN e60 END AS e60,
+    CASE WHEN i >= 24 THEN e20 / lag(e20, 4) OVER w - 1 END AS s20, CASE WHEN i >= 64 THEN e60 / lag(e60, 4) OVER w - 1 END AS s60, CASE WHEN i >= 14 THEN pct END AS pct, CASE WHEN n >= 14 THEN adx END AS adx, rank
+    FROM z JOIN r USING (instrument, segment, i) LEFT JOIN k USING (instrument, segment, i) WINDOW w AS (PARTITION BY instrument, segment ORDER BY i)),
+  seen AS (SELECT ind.instrument, ind.open_time, count(*) FILTER (WHERE news) AS nn, count(*) FILTER (WHERE NOT news) AS nm, max(at_) AS newest FROM ind JOIN mk ON at_ <= close_time AND at_ > close_time - INTERVAL 4 HOUR GROUP BY ALL),
+  f AS (SELECT ind.*, coalesce(nn, 0) AS nn, coalesce(nm, 0) AS nm, newest, e20 IS NULL OR e60 IS NULL OR s20 IS NULL OR s60 IS NULL OR pct IS NULL OR adx IS NULL OR rank IS NULL AS lacks FROM ind LEFT JOIN seen USING (instrument, open_time)),
+  raw AS (SELECT *, CASE WHEN lacks THEN 'UNKNOWN' WHEN nn >= 3 OR nm >= 1 THEN 'NEWS_DRIVEN' WHEN rank >= 0.8 THEN 'HIGH_VOLATILITY' WHEN adx >= 25 AND e20 > e60 AND s20 > 0 AND s60 > 0 THEN 'TREND_UP'
+      WHEN adx >= 25 AND e20 < e60 AND s20 < 0 AND s60 < 0 THEN 'TREND_DOWN' WHEN adx < 20 THEN 'RANGE' WHEN rank <= 0.2 THEN 'LOW_VOLATILITY' ELSE 'RANGE' END AS raw_regime,
+    CASE WHEN lacks THEN 0 WHEN nn >= 3 OR nm >= 1 THEN least(1, 0.7 + 0.1 * nn + 0.2 * nm) WHEN rank >= 0.8 THEN rank WHEN adx >= 25 AND (e20 > e60 AND s20 > 0 AND s60 > 0 OR e20 < e60 AND s20 < 0 AND s60 < 0) THEN least(1, adx / 50)
+      WHEN adx < 20 THEN greatest(0.5, 1 - adx / 40) WHEN rank <= 0.2 THEN 1 - rank ELSE 0.55 END AS confidence,
+    CASE WHEN rank IS NULL THEN 'UNKNOWN' WHEN nn >= 3 OR nm >= 1 THEN 'NEWS_DRIVEN' WHEN rank >= 0.8 THEN 'HIGH_VOLATILITY' WHEN adx >= 22 AND (e20 - e60) / (close * pct) >= 0.5 AND s20 > 0 THEN 'TREND_UP'
+      WHEN adx >= 22 AND (e20 - e60) / (close * pct) <= -0.5 AND s20 < 0 THEN 'TREND_DOWN' WHEN adx < 20 THEN 'RANGE' WHEN rank <= 0.2 THEN 'LOW_VOLATILITY' ELSE 'RANGE' END AS stat FROM f),
+  sm AS (SELECT instrument, segment, i, raw_regime AS active, CASE WHEN raw_regime = 'UNKNOWN' THEN 0 ELSE 1 END AS held, 'UNKNOWN' AS pending, 0 AS n FROM raw WHERE i = 1
+    UNION ALL SELECT instrument, segment, i, CASE WHEN fresh THEN g ELSE active END, CASE WHEN g = 'UNKNOWN' THEN 0 WHEN fresh THEN 1 ELSE held + 1 END, CASE WHEN fresh OR keeps THEN 'UNKNOWN' ELSE g END, CASE WHEN fresh OR keeps THEN 0 ELSE count_ END FROM (
+      SELECT *, g = 'UNKNOWN' OR active = 'UNKNOWN' OR (NOT keeps AND count_ >= 3) AS fresh FROM (
+        SELECT raw.instrument, raw.segment, raw.i, raw_regime AS g, sm.active, sm.held, raw_regime = sm.active OR sm.held < 12 AS keeps, CASE WHEN raw_regime = sm.pending THEN sm.n + 1 ELSE 1 END AS count_
+        FROM sm JOIN raw ON raw.instrument = sm.instrument AND raw.segment = sm.segment AND raw.i = sm.i + 1))),
+  st AS (SELECT raw.*, active AS regime, max(greatest(close_time, coalesce(newest, close_time))) OVER (PARTITION BY raw.instrument, raw.segment ORDER BY raw.i) AS available FROM raw JOIN sm USING (instrument, segment, i))"""
+
+
+@query(f"WITH RECURSIVE {_REGIME} SELECT instrument, {T('open_time')} AS open_time, raw_regime, regime, stat AS stat_regime, round(confidence, 6) AS confidence, {T('available')} AS available_at FROM st")
+def regime_states(spark, d):
+    """What the rules, the smoothing and the statistics say of every bar."""
+    return _regimes(spark, d).select("instrument", a.stamp("open_time").alias("open_time"), "raw_regime", "regime", "stat_regime", r6("confidence"), a.stamp("available_at").alias("available_at"))
+
+
 @query()
 def regime_labels(spark, d):
     return _regimes(spark, d).select("instrument", a.stamp("open_time").alias("open_time"), "segment", "raw_regime", "regime", r6("confidence"), "prefix_hash")
 
 
+_NAMES = ["TREND_UP", "TREND_DOWN", "RANGE", "HIGH_VOLATILITY", "LOW_VOLATILITY", "NEWS_DRIVEN", "UNKNOWN"]
+
+
+@query(f"""WITH RECURSIVE {_REGIME}, base AS (SELECT instrument, count(*) AS n, avg((regime = 'UNKNOWN')::INT) AS unknown_ratio, avg(CASE WHEN raw_regime <> 'UNKNOWN' THEN (raw_regime = stat)::INT END) AS agreement,
+    count(*) FILTER (WHERE available > close_time) AS violations, {', '.join(f"count(*) FILTER (WHERE regime = '{x}') AS n_{x}" for x in _NAMES)} FROM st GROUP BY instrument),
+  ch AS (SELECT *, (lag(regime) OVER v IS DISTINCT FROM regime OR lag(segment) OVER v IS DISTINCT FROM segment)::INT AS starts FROM st WINDOW v AS (PARTITION BY instrument ORDER BY open_time)),
+  nr AS (SELECT *, sum(starts) OVER (PARTITION BY instrument ORDER BY open_time) AS run FROM ch), ru AS (SELECT instrument, run, min(regime) AS regime, count(*) AS n FROM nr GROUP BY instrument, run),
+  le AS (SELECT instrument, avg(n) AS mean_run FROM ru WHERE regime <> 'UNKNOWN' GROUP BY instrument)
+SELECT instrument, n, round(unknown_ratio, 6) AS unknown_ratio, round(agreement, 6) AS agreement, violations, {', '.join(f'n_{x}' for x in _NAMES)}, round(mean_run, 6) AS mean_run FROM base LEFT JOIN le USING (instrument)""")
+def regime_shares(spark, d):
+    """Shares, agreement, late inputs and mean length of runs, from the states of every bar."""
+    m = regime.regime_metrics(_regimes(spark, d))
+    return m.select("instrument", "n", r6("unknown_ratio"), r6("agreement"), "violations", *[f"n_{x}" for x in _NAMES], r6("mean_run"))
+
+
 @query()
 def regime_gate(spark, d):
     return regime.regime_metrics(_regimes(spark, d))
@@ -531,11 +581,17 @@ def active_rows(spark, d):
     return store.active_rows(p, fix, "post_id", "source")[0].select("post_id")
 
 
-@query()
+_DIGEST = "sha256(concat_ws(chr(31), {0}))"
+_TABLES = {"nation": ["n_name", "n_nationkey", "n_regionkey"], "documents": ["doc_id", "lang", "n_chars", "source", "text"], "orders": ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"]}
+_PIECES = ", ".join(f"CAST(sum(CAST('0x' || substring(d, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(8))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", n AS "rows", sha256(concat_ws('|', n, {', '.join(f's{i}' for i in range(8))})) AS digest FROM (SELECT count(*) AS n, {_PIECES}
+  FROM (SELECT {_DIGEST.format(', '.join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in columns))} AS d FROM {t}))""" for t, columns in _TABLES.items()))
 def table_digests(spark, d):
     out = None
-    for t in ("nation", "orders", "documents"):
-        one = store.table_digest(a.table(spark, d, t)).select(F.lit(t).alias("table"), "rows", "digest")
+    for t in _TABLES:
+        one = store.table_digest(a.table(spark, d, t).select(*_TABLES[t])).select(F.lit(t).alias("table"), "rows", "digest")
         out = one if out is None else out.unionByName(one)
     return out
 
