@@ -38,16 +38,16 @@ def ewm_scan(df: DataFrame, by: list[str], order: str, means: dict[str, Mean], c
     should hold some thousand rows at most, as powers of 1 - alpha over a chunk must be doubles.
     """
     w = Window.partitionBy(*by, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d, names = df, list(means)
-    for name, m in means.items():
-        keep = F.lit(1.0 - m.alpha)
-        d = d.withColumn(f"__x_{name}", m.value.cast("double")).withColumn(f"__n_{name}", F.count(f"__x_{name}").over(w))
-        x, n = F.col(f"__x_{name}"), F.col(f"__n_{name}")
-        d = d.withColumn(f"__p_{name}", F.pow(keep, n))
-        later = m.alpha * x / F.col(f"__p_{name}")
-        # Two sums: as if the series began before the chunk, and as if it began in it.
-        d = d.withColumn(f"__a_{name}", F.col(f"__p_{name}") * F.coalesce(F.sum(later).over(w), F.lit(0.0)))
-        d = d.withColumn(f"__b_{name}", F.col(f"__p_{name}") * F.coalesce(F.sum(F.when(n == 1, x / F.col(f"__p_{name}")).otherwise(later)).over(w), F.lit(0.0)))
+    names, got = list(means), lambda k, name: F.col(f"__{k}_{name}")
+    d = df.withColumns({f"__x_{name}": m.value.cast("double") for name, m in means.items()})
+    d = d.withColumns({f"__n_{name}": F.count(f"__x_{name}").over(w) for name in names})
+    d = d.withColumns({f"__p_{name}": F.pow(F.lit(1.0 - m.alpha), got("n", name)) for name, m in means.items()})
+    sums = {}
+    for name, m in means.items():  # two sums: as if the series began before the chunk, and as if it began in it
+        later = m.alpha * got("x", name) / got("p", name)
+        begun = F.when(got("n", name) == 1, got("x", name) / got("p", name)).otherwise(later)
+        sums |= {f"__{k}_{name}": got("p", name) * F.coalesce(F.sum(v).over(w), F.lit(0.0)) for k, v in (("a", later), ("b", begun))}
+    d = d.withColumns(sums)
     ends = d.groupBy(*by, chunk).agg(F.max_by(F.array(*[F.struct(
         *[F.col(f"__{k}_{name}").alias(k) for k in "npab"]) for name in names]), order).alias("e"))
     zero = ", ".join(["struct(0L as n, 0D as y)"] * len(names))
@@ -57,10 +57,12 @@ def ewm_scan(df: DataFrame, by: list[str], order: str, means: dict[str, Mean], c
                                  array_append(t.out, struct(r.c as c, t.now as at)) as out), t -> t.out)""")).alias("o"))
               .select(*by, F.col("o.c").alias(chunk), F.col("o.at").alias("__at")))
     d = d.join(starts, [*by, chunk])
+    out = {}
     for i, (name, m) in enumerate(means.items()):
         before = F.col("__at")[i]
-        y = F.when(before.n == 0, F.col(f"__b_{name}")).otherwise(F.col(f"__a_{name}") + F.col(f"__p_{name}") * before.y)
-        d = d.withColumn(name, F.when(before.n + F.col(f"__n_{name}") >= m.warm, y))
+        y = F.when(before.n == 0, got("b", name)).otherwise(got("a", name) + got("p", name) * before.y)
+        out[name] = F.when(before.n + got("n", name) >= m.warm, y)
+    d = d.withColumns(out)
     return d.drop("__at", *[f"__{k}_{name}" for name in names for k in "xnpab"])
 
 

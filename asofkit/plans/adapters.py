@@ -17,17 +17,28 @@ def stamp(c) -> F.Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def bars_1h(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("event_type").alias("instrument"), F.date_trunc("hour", "ts").alias("open_time"), "ts", "event_id", "value")
+def _hourly(e: DataFrame) -> DataFrame:
     at = F.struct("ts", "event_id")
     return (e.groupBy("instrument", "open_time").agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
                                                     F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("volume"))
             .withColumn("close_time", F.col("open_time") + F.expr("interval 1 hour")))
 
 
+def bars_1h(spark: SparkSession, d: str) -> DataFrame:
+    return _hourly(table(spark, d, "events").select(F.col("event_type").alias("instrument"), F.date_trunc("hour", "ts").alias("open_time"), "ts", "event_id", "value"))
+
+
+def bars_all(spark: SparkSession, d: str) -> DataFrame:
+    """The bars of every type, and those of all events together, which have no gaps."""
+    e = table(spark, d, "events").select(F.explode(F.array("event_type", F.lit("ALL"))).alias("instrument"), F.date_trunc("hour", "ts").alias("open_time"), "ts", "event_id", "value")
+    return _hourly(e)
+
+
 BARS = """bars AS (SELECT event_type AS instrument, date_trunc('hour', ts) AS open_time, date_trunc('hour', ts) + INTERVAL 1 HOUR AS close_time,
   arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*) AS volume
   FROM events GROUP BY ALL)"""
+BARS_ALL = BARS.replace("FROM events", "FROM (SELECT * FROM events UNION ALL SELECT * REPLACE ('ALL' AS event_type) FROM events)")
+
 
 
 def slots(spark: SparkSession, d: str) -> DataFrame:

@@ -295,6 +295,9 @@ INDICATORS = f"""{_NUMBERED},
     WHERE b.i >= 73 GROUP BY ALL)"""
 
 
+INDICATORS = INDICATORS.replace(a.BARS, a.BARS_ALL)
+
+
 @query(f"""WITH RECURSIVE {INDICATORS}
 SELECT instrument, {t('open_time')} AS open_time, round(CASE WHEN i >= 20 THEN e20 END, 4) AS ema_20, round(CASE WHEN i >= 60 THEN e60 END, 4) AS ema_60,
   round(CASE WHEN i >= 24 THEN e20 / lag(e20, 4) OVER w - 1 END, 6) AS ema_20_slope_4, round(CASE WHEN i >= 64 THEN e60 / lag(e60, 4) OVER w - 1 END, 6) AS ema_60_slope_4,
@@ -306,7 +309,7 @@ def technical_indicators(spark, d):
     """Every indicator of every bar; each segment begins anew."""
     from ..operators import indicators
 
-    out = indicators.indicators(bars.segments(a.bars_1h(spark, d)))
+    out = indicators.indicators(bars.segments(a.bars_all(spark, d)))
     short = {"ema_20", "ema_60", "adx_14", "rsi_14"}
     return out.select("instrument", a.stamp("open_time").alias("open_time"), *[F.round(c, 4 if c in short else 6).alias(c) for c in indicators.INDICATORS])
 

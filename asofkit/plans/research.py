@@ -188,14 +188,15 @@ def ema_20(spark, d):
 
 
 def _regimes(spark, d):
-    o = a.opinions(spark, d)
-    marks = o.select(F.col("effective_at").cast("timestamp").alias("mark_at"), F.col("effective_at").cast("timestamp").alias("known_at"),
-                     F.when(F.col("opinion_id") % 80 == 0, "news").otherwise("macro").alias("kind"))
-    return regime.regime_run(a.bars_1h(spark, d), marks)
+    """Regimes of the bars, with great sign-ups as news and the greatest purchases as macro releases."""
+    e = a.table(spark, d, "events")
+    kind = F.when((F.col("event_type") == "signup") & (F.col("value") > 100), "news").when((F.col("event_type") == "purchase") & (F.col("value") > 200), "macro")
+    at = F.col("ts").cast("timestamp")
+    return regime.regime_run(a.bars_all(spark, d), e.select(at.alias("mark_at"), at.alias("known_at"), kind.alias("kind")).where("kind is not null"))
 
 
 #: Indicators by recursion, marks of the four hours before a close, the first rule that fits, and its smoothing by recursion.
-_REGIME = f"""{market.INDICATORS}, {a.OPINIONS.replace('opinions AS', 'op AS')}, mk AS (SELECT effective_at AS at_, opinion_id % 80 = 0 AS news FROM op),
+_REGIME = f"""{market.INDICATORS}, mk AS (SELECT ts AS at_, event_type = 'signup' AS news FROM events WHERE event_type = 'signup' AND value > 100 OR event_type = 'purchase' AND value > 200),
   ind AS (SELECT z.instrument, z.segment, z.i, z.open_time, z.open_time + INTERVAL 1 HOUR AS close_time, close, CASE WHEN i >= 20 THEN e20 END AS e20, CASE WHEN i >= 60 THEN e60 END AS e60,
     CASE WHEN i >= 24 THEN e20 / lag(e20, 4) OVER w - 1 END AS s20, CASE WHEN i >= 64 THEN e60 / lag(e60, 4) OVER w - 1 END AS s60, CASE WHEN i >= 14 THEN pct END AS pct, CASE WHEN n >= 14 THEN adx END AS adx, rank
     FROM z JOIN r USING (instrument, segment, i) LEFT JOIN k USING (instrument, segment, i) WINDOW w AS (PARTITION BY instrument, segment ORDER BY i)),
