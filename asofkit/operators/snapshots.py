@@ -81,6 +81,26 @@ def new_versions(data: DataFrame, versions: DataFrame, name: str) -> DataFrame:
     return store.table_digest(data).select(F.lit(name).alias("dataset"), "rows", "digest").join(versions.select("dataset", "digest"), ["dataset", "digest"], "left_anti")
 
 
+def append_derived(base: DataFrame, path: str, versions_path: str, name: str, step_seconds: int, bucket_seconds: int, computed_at: Column) -> None:
+    """Appends the larger bars that the table at ``path`` lacks, and notes the table's digest where it is a new one.
+
+    Running it again on the same bars adds neither bars nor a version; bars that are there keep their effective time.
+    """
+    spark = base.sparkSession
+
+    def there(at: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(at)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], schema)
+
+    derived_bars(base, there(path, "instrument string, open_time timestamp"), step_seconds, bucket_seconds, computed_at).write.mode("append").parquet(path)
+    versions = there(versions_path, "dataset string, rows bigint, digest string")
+    new_versions(spark.read.parquet(path), versions, name).write.mode("append").parquet(versions_path)
+
+
 def macro_frame(bars: DataFrame, releases: DataFrame, codes: list[str], other: DataFrame, chunk: str = "month") -> DataFrame:
     """Bars with level, change and release time of each code by its release, and features of a second series.
 
