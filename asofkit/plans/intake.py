@@ -236,9 +236,9 @@ def derived_bars(spark, d):
 
 
 @query(f"""WITH {a.BARS}, g AS (SELECT instrument, time_bucket(INTERVAL 4 HOUR, open_time) AS b, count(*) AS n FROM bars GROUP BY ALL), c AS (SELECT * FROM g WHERE n = 4)
-SELECT 'bars_4h' AS dataset, count(*) AS "rows" FROM c WHERE day(b) <= 15 UNION ALL SELECT 'bars_4h', count(*) FROM c""")
+SELECT 'bars_4h' AS dataset, count(*) AS "rows" FROM c WHERE day(b) <= 15 UNION SELECT 'bars_4h', count(*) FROM c""")
 def derived_bar_append(spark, d):
-    """Versions of a table of derived bars after loads of half of the bars, all of them, and all once more."""
+    """Versions of a table of derived bars after loads of half of the bars, all of them, and all once more; a load that adds nothing is none."""
     b, path = a.bars_1h(spark, d), a.folder(spark, "derived")
     for part in (b.where(F.dayofmonth("open_time") <= 15), b, b):
         snapshots.append_derived(part, f"{path}/bars", f"{path}/versions", "bars_4h", 3600, 14400, F.expr("timestamp'2024-02-20 00:00:00'"))
