@@ -9,8 +9,9 @@ are one row, so copies do not meet.
 
 Linking needs no pair inside a group that is already connected. Round one compares each row with
 one representative of the column's block and the representatives with each other, which joins the
-groups of near copies; round two compares what shares a column across different groups, and
-nothing is left out: blocks of rows of one column meet in a task, which discards pairs by bounds on
+groups of near copies; round two compares what shares a column across different groups, first each
+row with the one whose signature is nearest, so that a group is joined by about as many pairs as it
+has rows, then all that is still apart. Nothing is left out: blocks of rows of one column meet in a task, which discards pairs by bounds on
 their overlap - sizes, places, and a parity signature of each row, in which every n-gram flips one
 bit, so two sets differ in at least as many n-grams as their signatures in bits. What remains is
 multiplied in blocks: the rows that meet one head are looked up in its column set entry by entry,
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch, release
 from .skew import join_counted
-from .textbytes import chunks, mix, shingle_sets
+from .textbytes import chunks, flat, mix, shingle_sets
 
 #: Counters of the sketch (bounded, 1 MB) and their blocks.
 SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 14
@@ -38,6 +39,12 @@ SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 14
 BLOCKS = 32
 #: Rows of a column that meet in one task of round two; bits of a row's signature.
 TILE, SIGNATURE = 1024, 1024
+#: Pairs that are held against the bounds at once.
+PAIRS = 1 << 16
+#: Passes of round two that take only each row's nearest pair, before one that takes all.
+SPARSE = 3
+#: Rows of which late passes may broadcast the identifiers (16 bytes each).
+FEW = 20_000
 #: Rows that one copy of a head's set is multiplied with.
 ROWS_OF_HEAD = 256
 _NULL_ID = -(2**63)
@@ -155,54 +162,71 @@ def _overlaps(k: int, percent: int):
     return run
 
 
-def _survivors(percent: int):
-    """Rows sorted by column and tile -> pairs of different groups that no bound discards."""
-    names = ["gram", "x", "y", "half", "id", "tk", "n", "place", "g", "signature"]
-
-    def pairs(rows: dict) -> pa.RecordBatch | None:
-        n, place, g, half = (np.array(rows[c]) for c in ("n", "place", "g", "half"))
-        sig = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint64).reshape(len(n), -1)
-        ids, keys = np.array(rows["id"]), np.array(rows["tk"])
-        same_tile = rows["x"][0] == rows["y"][0]
-        out = []
-        for s in range(0, len(n), 256):
-            i = np.arange(s, min(s + 256, len(n)))
-            if not same_tile:
-                i = i[half[i] == 0]
-            if not len(i):
-                continue
-            total = n[i, None] + n[None, :]
-            left = np.minimum((n - place)[i, None], (n - place)[None, :])
-            fine = (g[i, None] != g[None, :]) & ((100 + percent) * left >= percent * total)
-            fine &= np.minimum(n[i, None], n[None, :]) * 100 >= np.maximum(n[i, None], n[None, :]) * percent
-            fine &= (np.arange(len(n))[None, :] > i[:, None]) if same_tile else (half == 1)[None, :]
-            a, b = np.nonzero(fine)
-            a = i[a]
-            apart = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1)
-            near = (100 + percent) * apart.astype(np.int64) <= (100 - percent) * (n[a] + n[b])
-            out.append((a[near], b[near]))
-        if not out:
-            return None
-        a, b = (np.concatenate(z) for z in zip(*out))
-        swap = (ids[a] > ids[b]) | ((ids[a] == ids[b]) & (keys[a] > keys[b]))
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(keys[a]), pa.array(ids[b]), pa.array(keys[b])], names=["a", "ta", "b", "tb"])
+def _survivors(percent: int, nearest: bool):
+    """Rows sorted by column, tiles and half -> pairs of different groups that no bound discards.
+
+    With ``nearest`` each row gets only the pair whose signatures differ least, so there are never
+    more pairs than rows; columns in which that leaves pairs out follow as rows of their own.
+    """
+    def pairs(n, place, g, sig, lo, hi) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ends = np.concatenate([[0], np.cumsum(hi - lo)])
+        s = 0
+        while s < len(n):
+            e = max(s + 1, int(np.searchsorted(ends, ends[s] + PAIRS, "right")) - 1)
+            i = np.repeat(np.arange(s, e), (hi - lo)[s:e])
+            j = np.arange(len(i)) - np.repeat(ends[s:e] - ends[s] - lo[s:e], (hi - lo)[s:e])
+            fine = g[i] != g[j]
+            i, j = i[fine], j[fine]
+            total = n[i] + n[j]
+            fine = (100 + percent) * np.minimum((n - place)[i], (n - place)[j]) >= percent * total
+            fine &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+            i, j, total = i[fine], j[fine], total[fine]
+            apart = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1).astype(np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * total
+            yield i[near], j[near], apart[near]
+            s = e
+
+    def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        gram, x, y, half, ids, keys, n, place, g = (batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "x", "y", "half", "id", "tk", "n", "place", "g"))
+        sig = flat(batch.column("signature"))[0].view(np.uint64).reshape(len(n), -1)
+        at = np.arange(len(n))
+        tile = np.concatenate([[0], np.cumsum((gram[1:] != gram[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
+        hi = np.searchsorted(tile, tile, "right")
+        # In one tile a row meets those behind it; of two tiles, the rows of the first meet the second.
+        lo = np.where(x == y, at + 1, np.where(half == 0, np.searchsorted(2 * tile + half, 2 * tile + 1), hi))
+        more = []
+        for i, j, apart in pairs(n, place, g, sig, lo, hi):
+            if nearest and len(i):
+                order = np.lexsort((apart, i))
+                first = np.ones(len(i), dtype=bool)
+                first[1:] = i[order][1:] != i[order][:-1]
+                more.append(gram[i[order][~first]])
+                i, j = i[order][first], j[order][first]
+            swap = (ids[i] > ids[j]) | ((ids[i] == ids[j]) & (keys[i] > keys[j]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[i], keys[i], ids[j], keys[j])), pa.nulls(len(i), pa.int64())], names=["a", "ta", "b", "tb", "more"])
+        left = np.unique(np.concatenate(more)) if more else gram[:0]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(left), pa.int64())] * 4, pa.array(left)], names=["a", "ta", "b", "tb", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {c: [] for c in names}
+        held: list[pa.RecordBatch] = []
+        joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "x", "y")], axis=1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            for s, e in zip(cuts, cuts[1:]):
-                if held["gram"] and (held["gram"][-1], held["x"][-1], held["y"][-1]) != tuple(key[s].tolist()):
-                    if len(held["gram"]) > 1 and (found := pairs(held)) is not None:
-                        yield found
-                    held = {c: [] for c in names}
-                part = batch.slice(s, e - s)
-                for c in names:
-                    held[c] += part.column(c).to_pylist()
-        if len(held["gram"]) > 1 and (found := pairs(held)) is not None:
-            yield found
+            # Rows up to the last tile's first one hold whole tiles.
+            other = np.flatnonzero((key != key[-1]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and (cut or [held[-1].column(c)[-1].as_py() for c in ("gram", "x", "y")] != key[-1].tolist()):
+                held += [batch.slice(0, cut)] if cut else []
+                yield from solve(joined())
+                held = []
+            elif cut:
+                yield from solve(batch.slice(0, cut))
+            held.append(batch.slice(cut))
+        if held:
+            yield from solve(joined())
     return run
 
 
@@ -216,10 +240,11 @@ class _Join:
         both = pairs.join(end("a", "ta", "n", "sa"), ["a", "ta"]).join(end("b", "tb", "m", "sb"), ["b", "tb"])
         return both.select("a", "ta", "b", "tb", "n", "m", "sa", "sb").mapInArrow(_near(self.percent), "a bigint, ta bigint, b bigint, tb bigint")
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+    def links(self, pairs: DataFrame, name: str, late: bool = False) -> DataFrame:
         """pairs (a, ta, b, tb) of row keys, distinct -> (a, b, overlap) of those that link.
 
         ``a`` is the head: its set is sent once for up to ROWS_OF_HEAD rows that are multiplied with it.
+        ``late`` passes have few pairs: then only the texts that they name are shuffled.
         """
         n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         heads = pairs.groupBy("a", "ta").agg(F.ceil(F.count(F.lit(1)) / ROWS_OF_HEAD).cast("int").alias("parts"))
@@ -229,13 +254,24 @@ class _Join:
         rows = rows.select(F.col("b").alias("id"), F.col("tb").alias("tk"), "a", "ta",
                            F.pmod(F.xxhash64("b", "tb"), F.ceil(F.col("rows") / ROWS_OF_HEAD)).cast("int").alias("part"), F.lit(1).alias("side"))
         need = own.unionByName(rows)
-        met = (self.texts.join(need.hint("shuffle_hash"), ["id", "tk"]).select("a", "ta", "part", "side", F.col("id").alias("b"), "text")
+        texts, ids = self.texts, need.select("id", "tk").distinct()
+        if late and 2 * total <= FEW:
+            texts = texts.join(F.broadcast(ids), ["id", "tk"], "left_semi")
+        met = (texts.join(need.hint("shuffle_hash"), ["id", "tk"]).select("a", "ta", "part", "side", F.col("id").alias("b"), "text")
                .repartition(n, "a", "ta", "part").sortWithinPartitions("a", "ta", "part", "side"))
         found = self.scratch.save(met.mapInArrow(_overlaps(self.k, self.percent), "a bigint, b bigint, overlap bigint"), name)
         release(pairs.sparkSession)
         return found
 
 
+def _tiles(e: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Large columns are cut into tiles by hash; a task gets two tiles of one column, or one."""
+    m = F.ceil(F.col("m") / TILE)
+    e = e.join(e.groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "gram").join(signatures.select("id", "tk", "signature"), ["id", "tk"]).withColumn("tile", F.pmod(F.xxhash64("id", "tk"), m))
+    return e.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))).select(
+        "gram", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"), (F.col("tile") > F.col("o")).cast("int").alias("half"), "id", "tk", "n", "place", "g", "signature")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept.
 
@@ -294,26 +330,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     first = join.links(scratch.save(join.near(tried), "near1"), "links1")
     groups = connected_components(first)
 
-    # Round two: all else that shares a column across different groups.
-    e = entries.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
-    torn = e.groupBy("gram").agg((F.min("g") != F.max("g")).alias("torn")).where("torn").select("gram")
-    e = scratch.save(e.join(torn, "gram"), "torn")
-    # Large columns are cut into tiles by hash; a task gets two tiles of one column, or one.
-    m = F.ceil(F.col("m") / TILE)
-    e = e.join(e.groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "gram").join(signatures.select("id", "tk", "signature"), ["id", "tk"]).withColumn("tile", F.pmod(F.xxhash64("id", "tk"), m))
-    e = e.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))).select(
-        "gram", F.least("tile", "o").alias("x"), F.greatest("tile", "o").alias("y"), (F.col("tile") > F.col("o")).cast("int").alias("half"), "id", "tk", "n", "place", "g", "signature")
+    # Round two: all else that shares a column across different groups. Passes that take each row's
+    # nearest pair join large groups in a number of pairs that follows from their rows; the columns
+    # in which they left pairs out go on, with the groups known by then.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    two = (e.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
-           .mapInArrow(_survivors(percent), "a bigint, ta bigint, b bigint, tb bigint").distinct())
-    two = scratch.save(two.join(tried, ["a", "ta", "b", "tb"], "left_anti"), "near2")
-    scratch.drop("torn", "entries")
-    release(spark)
     links = first.select("a", "b")
-    if not two.isEmpty():
-        links = links.unionByName(join.links(two, "links2").select("a", "b"))
-        groups = connected_components(links)
-    scratch.drop("texts", "signatures", "tried", "near1", "near2")
+    e, nearest = entries, True
+    for turn in range(SPARSE + 1):
+        e = e.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
+        torn = e.groupBy("gram").agg((F.min("g") != F.max("g")).alias("torn")).where("torn").select("gram")
+        e = scratch.save(e.join(torn, "gram"), f"torn{turn}")
+        found = scratch.save(_tiles(e, signatures).repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y", "half")
+                             .mapInArrow(_survivors(percent, nearest), "a bigint, ta bigint, b bigint, tb bigint, more bigint"), f"found{turn}")
+        scratch.drop(*(["entries"] if turn == 0 else [f"torn{turn - 1}", f"found{turn - 1}"]))
+        release(spark)
+        two = scratch.save(found.where("a is not null").drop("more").distinct().join(tried, ["a", "ta", "b", "tb"], "left_anti"), f"near2-{turn}")
+        linked = not two.isEmpty()
+        if linked:
+            fresh = join.links(two, f"links2-{turn}", late=turn > 0).select("a", "b")
+            linked = not fresh.isEmpty()
+            tried = tried.unionByName(two)
+        if linked:
+            links = links.unionByName(fresh)
+            groups = connected_components(links)
+        left = found.where("more is not null").select(F.col("more").alias("gram")).distinct()
+        if not nearest or left.isEmpty():
+            break
+        nearest = linked and turn + 1 < SPARSE
+        e = e.drop("g").join(left, "gram")
+    scratch.drop("texts", "signatures", "tried", "near1", f"torn{turn}", f"found{turn}", *(f"near2-{t}" for t in range(turn + 1)))
     shared.unpersist()
 
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("m"), "rep", F.coalesce("component", "rep").alias("component"))
