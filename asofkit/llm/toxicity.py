@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kept import free
 from .scratch import small_batches
 from .textbytes import LOWER, PrefixHash, chunks, mix, word_bounds
 
@@ -71,9 +72,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in chunks(batch.column("text")):
             f, doc = word_features(data, offsets)
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))])
-            yield pa.RecordBatch.from_arrays([batch.column("kind").slice(i, j - i), pa.ListArray.from_arrays(
-                pa.array(bounds, pa.int32()), pa.array(f, pa.int32()))], names=["kind", "f"])
+            cuts = np.cumsum(np.bincount(doc, minlength=j - i))[:-1]
+            yield pa.RecordBatch.from_arrays([batch.column("kind").slice(i, j - i), pa.array(
+                [x.astype("<i4").tobytes() for x in np.split(f, cuts)], pa.binary())], names=["kind", "f"])
+
+
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows that have each feature; some rows at a time, as all at once would be copied."""
+    total = np.zeros(FEATURES, dtype=np.int64)
+    for s in range(0, len(rows), 256):
+        total += np.bincount(np.concatenate(rows[s : s + 256]), minlength=FEATURES)
+    return total
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, s: Settings) -> np.ndarray:
@@ -82,15 +91,14 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     n_pos = len(positive)
     if not positive or not unlabelled:
         return np.array([*np.zeros(FEATURES), -4.0], dtype=np.float32)
-    col = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     # Features that toxic texts have far more often than unlabelled ones; others would only be noise.
     is_pos = np.arange(len(rows)) < n_pos
-    with_pos, with_un = (np.bincount(col[k[row]], minlength=FEATURES) for k in (is_pos, ~is_pos))
+    with_pos, with_un = _counts(positive), _counts(unlabelled)
     expected = with_un * (n_pos / len(unlabelled))
     telling = (with_pos - expected) / np.sqrt(expected + 1) >= s.least_z
     telling &= prior * with_pos >= s.least_precision * expected  # toxic texts among those that have it
-    col, row = col[telling[col]], row[telling[col]]
+    rows = [r[telling[r]] for r in rows]
+    col, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, col = np.unique(col, return_inverse=True)
     w, b = np.zeros(len(used)), -1.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -133,11 +141,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
               .unionByName(other.select(F.lit(0).alias("kind"), "text")))
     sets: dict[int, list[np.ndarray]] = {0: [], 1: []}
     # Bounded by the settings: sets of distinct words of the sampled texts.
-    for r in sample.mapInArrow(_features, "kind int, f array<int>").toLocalIterator():
-        sets[r.kind].append(np.array(r.f, dtype=np.int32))
+    for r in sample.mapInArrow(_features, "kind int, f binary").toLocalIterator():
+        sets[r.kind].append(np.frombuffer(r.f, dtype="<i4"))
     for k in sets:
         sets[k].sort(key=lambda x: (len(x), x.tobytes()))
-    return fit_nnpu(sets[1], sets[0], min(max(share or 0.0, 1e-3), 0.999), settings)
+    weights = fit_nnpu(sets[1], sets[0], min(max(share or 0.0, 1e-3), 0.999), settings)
+    sets.clear()
+    free()  # the sample would stay with the driver's allocator
+    return weights
 
 
 def _scores(weights, at: str):
