@@ -30,6 +30,8 @@ from .token_io import RaggedCache, encode_units
 SPACE_MARK = "▁"
 #: Longer units are composed one by one.
 LONG_UNIT = 48
+#: Units that are composed at once; their tables are the largest thing that a worker holds for a moment.
+UNITS = 5000
 
 
 class Transducer:
@@ -235,8 +237,8 @@ class Transducer:
         for i in long:
             out[i] = self._with_bytes(self.shortest_path(texts[i]))
         short = order[len(long):]
-        for s in range(0, len(short), 20_000):
-            part = short[s : s + 20_000]
+        for s in range(0, len(short), UNITS):
+            part = short[s : s + UNITS]
             for i, ids in zip(part, self.shortest_paths([texts[i] for i in part])):
                 out[i] = self._with_bytes(ids)
         return out
@@ -345,3 +347,15 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
     out = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(
         _decode(model_path), "id bigint, ids array<int>, decoded string")
     return out.select(F.col("id").alias(id_col), F.col("ids").alias(ids_col), "decoded")
+
+
+def _both(path: str):
+    encode, decode = _encode(path), _decode(path)
+    return lambda batches: decode(encode(batches))
+
+
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids, decoded): encode_pieces and decode_pieces of it in one worker a task, where one after the other takes two."""
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(
+        _both(model_path), "id bigint, ids array<int>, decoded string")
+    return out.withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from asofkit.llm import exact_dedup, mixing, ngram_join, sentencepieces, toxicity
 from asofkit.llm.ranking import global_rank
-from asofkit.llm.scratch import Scratch
+from asofkit.llm.scratch import Scratch, trim
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,6 +30,7 @@ def with_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
     That is doc_id where it is never null and never repeated. Else the rows are written with their
     position, so that equal rows have keys of their own.
     """
+    trim(spark)  # of the stage before
     if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
         return docs.withColumn("row_key", F.col("doc_id").cast("long"))
     order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
@@ -59,7 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = sentencepieces.decode_pieces(sentencepieces.encode_pieces(docs, path), path)
+    both = sentencepieces.round_trip(docs, path)
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
