@@ -43,7 +43,8 @@ def collection_records(rows: DataFrame, known: DataFrame, order: list[Column], n
     Adds the normalised title and text, warnings, effective_at, identity, outcome and reasons. A
     record without content or id is REJECTED before it has an identity. The first record of an
     identity registers it, also if its validation then rejects it; later ones and those in
-    ``known`` (identity) are DUPLICATE; the others are ACCEPTED.
+    ``known`` (identity) are DUPLICATE; the others are ACCEPTED. ``now`` is the time of the run, which
+    may be a column of the rows.
     """
     r = rows.withColumn("title", tx.normalize_text("title")).withColumn("text", tx.normalize_text("text"))
     cut = [("title", MAX_TITLE, "title_cut"), ("text", max_text, "text_cut")]
