@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..shared import save
+from ..shared import save, small_batches
 from .propagation import clusters
 
 MAX_TITLE = 500
@@ -20,14 +20,25 @@ def blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def content_fingerprint(title: Column, text: Column) -> Column:
-    return tx.content_hash(title, text, namespace="collection.processor.content")
+def _texts(max_text: int):
+    """(title, text, title_cut, text_cut, key) of source, record id, title and text: canonical, cut texts, and the key of the record.
 
+    All in one function, since a function of a function's result takes a worker and a copy of the texts of its own.
+    It counts as not deterministic so that no filter repeats it.
+    """
+    def cut(column: pa.Array, n: int) -> tuple[list, list]:
+        whole = [None if x is None else tx._canonical(x) or None for x in column.to_pylist()]
+        return [x and x[:n] for x in whole], [x is not None and len(x) > n for x in whole]
+
+    @F.arrow_udf("title string, text string, title_cut boolean, text_cut boolean, key string")
+    def run(source: pa.Array, record_id: pa.Array, title: pa.Array, text: pa.Array) -> pa.Array:
+        (titles, long_titles), (texts, long_texts) = cut(title, MAX_TITLE), cut(text, max_text)
+        prints = [tx.content_digest(*x, namespace="collection.processor.content") for x in zip(titles, texts)]
+        keys = [tx.content_digest(*x, namespace="collection.processor.identity") for x in zip(source.to_pylist(), record_id.to_pylist(), prints)]
+        columns = [pa.array(titles, pa.string()), pa.array(texts, pa.string()), pa.array(long_titles, pa.bool_()), pa.array(long_texts, pa.bool_()), pa.array(keys, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["title", "text", "title_cut", "text_cut", "key"])
 
-def identity_key(source: Column, record_id: Column, fingerprint: Column) -> Column:
-    """Stable key of a record; a blank record id has none, since nothing else could stand for it."""
-    key = tx.content_hash(source, F.trim(record_id), fingerprint, namespace="collection.processor.identity")
-    return F.when(~blank(record_id), key)
+    return run.asNondeterministic()
 
 
 def record_issues(record_id: Column, title: Column, text: Column, collected: Column, published: Column, now: Column, tolerance_seconds: int) -> Column:
@@ -46,27 +57,22 @@ def collection_records(rows: DataFrame, known: DataFrame, order: list[Column], n
     ``known`` (identity) are DUPLICATE; the others are ACCEPTED. ``now`` is the time of the run, which
     may be a column of the rows.
     """
-    r = rows.withColumn("title", tx.normalize_text("title")).withColumn("text", tx.normalize_text("text"))
-    cut = [("title", MAX_TITLE, "title_cut"), ("text", max_text, "text_cut")]
-    warn = [F.when(F.length(c) > n, F.lit(code)) for c, n, code in cut]
+    small_batches(rows.sparkSession)
+    r = rows.withColumn("__x", _texts(max_text)(*[F.col(c).cast("string") for c in ("source", "source_record_id", "title", "text")]))
     usual = F.greatest("published_at", "collected_at")
-    warn.append(F.when(F.col("effective_floor") > usual, F.lit("effective_floor")))
-    r = r.withColumn("warnings", F.filter(F.array(*warn), lambda x: x.isNotNull())).withColumn("effective_at", F.greatest("published_at", "collected_at", "effective_floor"))
-    for c, n, _ in cut:
-        r = r.withColumn(c, F.substring(c, 1, n))
+    warn = [F.when(F.col(f"__x.{c}"), F.lit(c)) for c in ("title_cut", "text_cut")] + [F.when(F.col("effective_floor") > usual, F.lit("effective_floor"))]
+    r = r.withColumns({"warnings": F.filter(F.array(*warn), lambda x: x.isNotNull()), "effective_at": F.greatest("published_at", "collected_at", "effective_floor"),
+                       "title": F.col("__x.title"), "text": F.col("__x.text")})
     early = F.when(blank(F.col("title")) & blank(F.col("text")), "empty_content").when(blank(F.col("source_record_id")), "missing_source_record_id")
-    r = r.withColumn("__early", early).withColumn("identity", F.when(early.isNull(), identity_key(
-        F.col("source"), F.col("source_record_id"), content_fingerprint(F.col("title"), F.col("text")))))
-    keyed = r.where("identity is not null")
-    nth = F.row_number().over(Window.partitionBy("identity").orderBy(*order))
-    seen = known.select("identity", F.lit(True).alias("__known")).distinct()
-    keyed = keyed.withColumn("__nth", nth).join(seen, "identity", "left")
     issues = record_issues(F.col("source_record_id"), F.col("title"), F.col("text"), F.col("collected_at"), F.col("published_at"), now, tolerance_seconds)
+    r = r.withColumns({"identity": F.when(early.isNull(), F.col("__x.key")), "reasons": F.when(early.isNotNull(), F.array(early)).otherwise(issues)}).drop("__x")
+    # Rows without an identity are spread by their place in the order: they would all be one key.
+    r = r.withColumn("__key", F.coalesce("identity", F.concat(F.lit("none "), F.xxhash64(*order).cast("string"))))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    seen = known.select(F.col("identity").alias("__key"), F.lit(True).alias("__known")).where("__key is not null").distinct()
     again = (F.col("__nth") > 1) | F.coalesce("__known", F.lit(False))
-    keyed = keyed.withColumn("reasons", issues).withColumn("outcome", F.when(F.size("reasons") > 0, "REJECTED").when(again, "DUPLICATE").otherwise("ACCEPTED"))
-    out = [*rows.columns, "warnings", "effective_at", "identity", "outcome", "reasons"]
-    none = r.where("identity is null").withColumn("reasons", F.array("__early")).withColumn("outcome", F.lit("REJECTED"))
-    return keyed.select(*out).unionByName(none.select(*out))
+    r = r.withColumn("__nth", nth).join(seen, "__key", "left").withColumn("outcome", F.when(F.size("reasons") > 0, "REJECTED").when(again, "DUPLICATE").otherwise("ACCEPTED"))
+    return r.select(*rows.columns, "warnings", "effective_at", "identity", "outcome", "reasons")
 
 
 def corpus_problems(content: Column, published: Column, effective: Column, now: Column, tolerance_seconds: int = 3600) -> Column:
