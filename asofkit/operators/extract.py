@@ -8,6 +8,7 @@ of terms. Nothing is shuffled; a post is never looked at outside its task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,8 +28,31 @@ def _any(terms: list[str]) -> str:
     return "(?:" + "|".join(rf"\b\Q{t}\E\b" if t.isascii() else rf"\Q{t}\E" for t in terms) + ")"
 
 
+def _tree(terms: list[str]) -> str:
+    """The terms as one pattern that shares their beginnings."""
+    rest: dict[str, list[str]] = {}
+    for t in terms:
+        if t:
+            rest.setdefault(t[0], []).append(t[1:])
+    parts = [re.escape(c) + _tree(ends) for c, ends in sorted(rest.items())]
+    return "" if not parts else ("(?:" + "|".join(parts) + ")" + ("?" if "" in terms else "")) if len(parts) > 1 or "" in terms else parts[0]
+
+
+def _some(terms: list[str]) -> str:
+    """Matches where ``_any`` does, but not always as far: a look at one character comes before the terms, which share their beginnings."""
+    parts = []
+    for ts, edge in (({t.lower() for t in terms if t.isascii()}, r"\b"), ({t for t in terms if not t.isascii()}, "")):
+        first = sorted({t[0] for t in ts})
+        if first and not edge and all(c.lower() == c.upper() for c in first):
+            look = f"(?-iu:(?=[{re.escape(first[0])}-{re.escape(first[-1])}]))"  # a range is one comparison, a class of such characters many
+        else:
+            look = f"(?=[{''.join(map(re.escape, first))}])"
+        parts += [f"{look}{edge}{_tree(sorted(ts))}{edge}"] if ts else []
+    return "(?:" + "|".join(parts) + ")"
+
+
 def _has(text: Column, terms: list[str]) -> Column:
-    return text.rlike("(?iuU)" + _any(terms))
+    return text.rlike("(?iuU)" + _some(terms))
 
 
 def _first(text: Column, pattern: str) -> Column:
@@ -70,15 +94,19 @@ def instruments_column(text: Column, names: dict[str, list[str]] | None = None)
 
 
 def units_column(text: Column) -> Column:
-    """(sentence, unit) of every opinion of a text, in order."""
-    directed = "(?iuU)" + _any(rules.LONG + rules.SHORT + rules.FLAT)
+    """(sentence, unit) of every opinion of a text, in order.
+
+    Lines, which no sentence crosses, and sentences that name no direction are left out before they are cut further.
+    """
+    directed = lambda c: _has(c, rules.LONG + rules.SHORT + rules.FLAT)
 
     def of_sentence(sentence: Column) -> Column:
-        clauses = F.transform(_parts(sentence, rules.CLAUSE_END), lambda c: F.when(c.rlike(directed), F.concat(F.lit(_OPEN), c)).otherwise(c))
+        clauses = F.transform(_parts(sentence, rules.CLAUSE_END), lambda c: F.when(directed(c), F.concat(F.lit(_OPEN), c)).otherwise(c))
         units = F.split(F.array_join(clauses, "，"), f"，?{_OPEN}")  # what stands before the first direction belongs to none
         return F.transform(F.slice(units, 2, F.size(units)), lambda u: F.struct(sentence.alias("sentence"), u.alias("unit")))
 
-    return F.flatten(F.transform(_parts(text, rules.SENTENCE_END), of_sentence))
+    lines = F.filter(F.split(text, "\n"), directed)
+    return F.flatten(F.transform(F.filter(_parts(F.array_join(lines, "\n"), rules.SENTENCE_END), directed), of_sentence))
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -189,11 +217,13 @@ def extract_opinions(posts: DataFrame, names: dict[str, list[str]] | None = None
     several instruments gives a draft for each; a code outside ``names`` is kept with a warning.
     """
     known = rules.INSTRUMENTS if names is None else names
-    text = F.translate(F.coalesce("text", F.lit("")), _OPEN + _CLOSE, "  ")
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)), F.translate(text, _OPEN + _CLOSE, "  ")).otherwise(text)
     cut = posts.select("post_id", text.alias("whole")).withColumn("units", units_column(F.col("whole")))
-    units = cut.select("post_id", F.posexplode("units").alias("unit_no", "x")).select("post_id", "unit_no", "x.*")
+    # Outer, as else a filter on the size of the list repeats all that it is made of.
+    units = cut.select("post_id", F.posexplode_outer("units").alias("unit_no", "x")).where("unit_no is not null").select("post_id", "unit_no", "x.*")
     judged = opinion_columns(units, names).withColumn("parser_version", F.lit(version))
-    opinions = (judged.select("*", F.posexplode("instruments").alias("instrument_no", "instrument"))
+    opinions = (judged.select("*", F.posexplode_outer("instruments").alias("instrument_no", "instrument"))
                 .withColumn("warnings", F.array_compact(F.array(F.when(~F.col("instrument").isin(*known), "unknown_instrument"))))
                 .select("post_id", "parser_version", "unit_no", "instrument_no", *[x.split(" ")[0] for x in OPINION.split(", ")]))
     blank = _stripped(F.col("whole")) == ""
